@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, packing, simhash_bk
+from tidemark.llm import exact_dedup, line_quality, mixing, packing, simhash_bk
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.shared import shared_folder
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first(docs)
 
@@ -27,7 +31,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]
 
 #: Tokenisation, fingerprints and a trained classifier have no SQL.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, maxscore, mixing, packing, secrets, simhash_bk
+from tidemark.llm import exact_dedup, hmm_lm, html_text, line_quality, maxscore, mixing, packing, secrets, simhash_bk, warc
 from tidemark.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return maxscore.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
@@ -34,6 +38,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bk.near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.concat(*[F.substring(F.hex("fp"), k, 2) for k in range(15, 0, -2)])).alias("fingerprint"), "component_id")
@@ -53,8 +61,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(*columns)
+
+
 def queries() -> dict:
-    made = (op2_maxscore, op3_mixing, op4_packing, op5_exact_dedup, op7_simhash, op8_secrets)
+    made = (
+        op1_html_text, op2_maxscore, op3_mixing, op4_packing, op5_exact_dedup, op6_hmm_lm, op7_simhash, op8_secrets, op9_line_quality, op10_warc,
+    )
     return {f.__name__: f for f in made}
 
 
