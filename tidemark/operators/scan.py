@@ -1,0 +1,116 @@
+"""The scan of a video: sample, look up, deduplicate, score, govern, stop. Truly sequential, so one video is one group.
+
+A group holds one video's deliverable frames; videos are spread over tasks by Spark, and the verdict over what was
+recorded is taken by the ordinary aggregation afterwards.
+"""
+
+from __future__ import annotations
+
+import math
+from bisect import bisect_right
+from collections import deque
+from dataclasses import replace
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from tidemark.constants import BUDGETS, CACHE_FRAMES, EARLY_EXIT_MARGIN, EARLY_EXIT_SINGLE, NO_HASH, TOP_K, Budget, Policy
+from tidemark.operators.sampling import Sampler, nearest_whole
+
+LOG = "video_id long, seq long, asked_ms long, ts_ms long, survey boolean, score double, status string, duplicate boolean, stop string, duration_ms long, elapsed_ms double"
+
+
+def governed_budget(budget: Budget, p50: float, samples: int) -> Budget:
+    over = p50 / max(1, budget.target_ms)
+    if samples < 6 or not p50 > 0 or over <= 1.5:
+        return budget
+    by = min(3.0, over)
+    return replace(budget, max_frames=max(16, nearest_whole(budget.max_frames / by)), min_gap_ms=nearest_whole(budget.min_gap_ms * min(2.0, by)))
+
+
+def floor_after_duplicates(floor: int, duplicates: int, duration: float) -> int:
+    if duplicates <= 2:
+        return floor
+    return nearest_whole(min(floor * 1.6 ** (duplicates - 2), max(floor, duration / 8)))
+
+
+def _exit_early(scores: list[float], times: list[int], policy: Policy) -> bool:
+    if not scores:
+        return False
+    top, flagged = sorted(scores, reverse=True)[:TOP_K], sorted(t for t, s in zip(times, scores, strict=True) if s >= policy.frame_threshold)
+    count, anchor = 0, -math.inf
+    for t in flagged:
+        if policy.gap_ms <= 0 or t - anchor >= policy.gap_ms:
+            count, anchor = count + 1, t
+    positive = count >= policy.min_flagged or top[0] >= policy.single_threshold
+    strong = count >= max(2, policy.min_flagged) and sum(top) / len(top) >= policy.frame_threshold + EARLY_EXIT_MARGIN
+    return positive and (top[0] >= max(policy.single_threshold, EARLY_EXIT_SINGLE) or strong)
+
+
+def scan_video(frames: pd.DataFrame, policy: Policy, budget: Budget, early_exit: bool = True, dedupe: bool = True) -> list[tuple]:
+    """The log of one video's scan. frames: ts_ms, score, hash, is_sync, infer_ms, duration_ms, failed."""
+    rows = frames.sort_values("ts_ms").to_dict("records")
+    times = [r["ts_ms"] for r in rows]
+    duration = int(rows[0]["duration_ms"])
+    configured = budget
+    sampler = Sampler(duration, budget, [r["ts_ms"] for r in rows if r["is_sync"]])
+    cache, spent = deque(maxlen=CACHE_FRAMES), deque(maxlen=512)
+    recorded: dict[int, float] = {}
+    elapsed, duplicates, log, stop = 0.0, 0, [], None
+    while stop is None:
+        if len(recorded) >= sampler.budget.max_frames:
+            stop = "frame-budget"
+        elif elapsed > sampler.budget.max_ms:
+            stop = "time-budget"
+        elif (asked := sampler.next_request()) is None:
+            stop = "complete"
+        if stop:
+            break
+        at, in_survey = asked
+        row = rows[max(0, bisect_right(times, at) - 1)]
+        if row["failed"]:
+            sampler.fail(at)
+            log.append((at, None, in_survey, None, "failed", False, elapsed))
+            continue
+        bits, score, status = int(row["hash"] or NO_HASH, 16), row["score"], "inferred"
+        near = min(((bits ^ h).bit_count(), -k) for k, (h, _) in enumerate(cache)) if dedupe and bits and cache else None
+        if near and near[0] <= budget.hamming:
+            score, status = cache[-near[1]][1], "inherited"
+        else:
+            elapsed += row["infer_ms"]
+            spent.append(row["infer_ms"])
+            if bits:
+                cache.append((bits, score))
+            ordered = sorted(spent)
+            sampler.budget = governed_budget(configured, ordered[max(0, math.ceil(len(ordered) / 2) - 1)], len(spent))
+        delivered = int(row["ts_ms"])
+        twice = delivered in recorded
+        if twice:
+            duplicates += 1
+            floor = floor_after_duplicates(budget.min_gap_ms, duplicates, duration)
+            configured = replace(configured, min_gap_ms=max(configured.min_gap_ms, floor))
+            sampler.coarser(max(sampler.budget.min_gap_ms, floor))
+        else:
+            recorded[delivered] = score
+        sampler.observe(at, score)
+        log.append((at, delivered, in_survey, score, status, twice, elapsed))
+        if early_exit and _exit_early(list(recorded.values()), list(recorded), policy):
+            stop = "early-exit"
+    return [(k, *x[:6], stop, duration, x[6]) for k, x in enumerate(log)]
+
+
+def scans(frames: DataFrame, policy: Policy, budget: Budget = BUDGETS["medium"], early_exit: bool = True, dedupe: bool = True) -> DataFrame:
+    """frames (video_id, ts_ms, score, hash, is_sync, infer_ms, failed, duration_ms) -> the scan log of every video."""
+    columns = [c.split()[0] for c in LOG.split(", ")]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        log = scan_video(pdf, policy, budget, early_exit, dedupe)
+        out = pd.DataFrame([(pdf["video_id"].iloc[0], *row) for row in log], columns=columns)
+        return out.astype({"ts_ms": "Int64"})
+
+    return frames.groupBy("video_id").applyInPandas(one, LOG)
+
+
+def recorded(log: DataFrame) -> DataFrame:
+    """The frames that a scan recorded, for the aggregations."""
+    return log.where("status <> 'failed' AND NOT duplicate").select("video_id", "ts_ms", "score", "duration_ms")

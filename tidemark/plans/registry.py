@@ -1,11 +1,329 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the given tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.constants import BUDGETS, DEFAULT_POLICY, POLICIES
+from tidemark.functions import device, formats, scoring
+from tidemark.functions.scoring import round_to
+from tidemark.operators import detectors, lookups, metrics, mitigation, near, sampling, scan, temporal
+from tidemark.plans import sql
+from tidemark.sources import container
+from tidemark.sources import frames as sources
+from tidemark.streaming import progress
+
+BALANCED = POLICIES[DEFAULT_POLICY]
+
+
+def six(x: Column | str) -> Column:
+    return round_to(F.col(x) if isinstance(x, str) else x, 6)
+
+
+def scan_verdict(policy: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = temporal.verdicts(sources.frames(spark, sf_dir), POLICIES[policy])
+    return rows.select(
+        "video_id", "n_frames", six("max_score").alias("max_score"), six("topk_mean").alias("topk_mean"), "flagged", "independent", six("coverage").alias("coverage"), "contains_inappropriate_content", "confidence"
+    )
+
+
+def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every video under every policy, with how many policies flag it."""
+    rows = sources.frames(spark, sf_dir)
+    made = [temporal.verdicts(rows, p).select("video_id", F.lit(p.id).alias("policy"), "contains_inappropriate_content", "confidence") for p in POLICIES.values()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.segments(sources.frames(spark, sf_dir), BALANCED).withColumn("peak_score", six("peak_score"))
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.coverage(sources.frames(spark, sf_dir)).withColumn("coverage", six("coverage"))
+
+
+def independent_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags at 0.3, counted once in 400 ms."""
+    flagged = sources.frames(spark, sf_dir).where("score >= 0.3")
+    rows = flagged.groupBy("video_id").agg(F.count("*").alias("flagged"), F.collect_list("ts_ms").alias("times"))
+    return rows.select("video_id", "flagged", temporal.independent(F.col("times"), 400).alias("independent"))
+
+
+def topk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.top_mean(sources.frames(spark, sf_dir)).withColumn("topk_mean", six("topk_mean"))
+
+
+def early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strict = POLICIES["strict"]
+    rows = temporal.evidence(sources.frames(spark, sf_dir), strict)
+    return rows.select("video_id", temporal.early_exit(strict).alias("early_exit"))
+
+
+def verdict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = temporal.verdicts(sources.frames(spark, sf_dir), BALANCED)
+    return rows.select("video_id", temporal.verdict_json(rows).alias("verdict"))
+
+
+def restricted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as a report shows them: times as text, place on the timeline."""
+    rows = temporal.segments(sources.frames(spark, sf_dir), BALANCED).withColumn("d", F.lit(sources.DURATION_MS).cast("double"))
+    box = formats.timeline_box(F.col("start_ms"), F.col("end_ms"), F.col("d"))
+    return rows.select("video_id", "segment", formats.timestamp(F.col("start_ms")).alias("starts"), six(box["left_pct"]).alias("left_pct"), six(box["width_pct"]).alias("width_pct"), formats.percent(F.col("peak_score")).alias("peak"))
+
+
+def peak_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source as the frames of a video."""
+    return temporal.category_peaks(sources.categories(spark, sf_dir), "source")
+
+
+def merge_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two detectors per document, of which the second doubts the first's violence score; absent categories stay absent."""
+    rows = sources.categories(spark, sf_dir)
+    second = F.map_filter(F.transform_values("categories", lambda k, v: v * 0.5 + 0.25), lambda k, v: k == "violence")
+    made = rows.withColumn("merged", detectors.merged([F.col("categories"), second]))
+    at = lambda k: F.try_element_at(F.col("merged"), F.lit(k))
+    return made.select("doc_id", F.size("merged").cast("long").alias("n_categories"), at("sexual").alias("sexual"), at("violence").alias("violence"))
+
+
+def combine_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.categories(spark, sf_dir)
+    return rows.select("doc_id", scoring.combined(F.col("categories")).alias("score"), scoring.combined(F.col("categories"), {"violence": 0.5}).alias("half_violence"))
+
+
+def screened_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: the categories that some document was screened for, and the others."""
+    rows = sources.categories(spark, sf_dir).select("source", F.explode_outer(F.map_keys("categories")).alias("c"))
+    sets = rows.groupBy("source").agg(F.array_sort(F.collect_set("c")).alias("screened"))
+    return sets.select("source", F.array_join("screened", ",").alias("screened"), F.array_join(scoring.unscreened(F.col("screened")), ",").alias("unscreened"))
+
+
+def frame_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.class_vectors(spark, sf_dir).withColumn("classes", scoring.class_struct(F.col("probabilities")))
+    return rows.select("frame_id", *[six(scoring.frame_score(F.col("classes"), p)).alias(p.id) for p in POLICIES.values()])
+
+
+def dominant_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.class_vectors(spark, sf_dir).withColumn("classes", scoring.class_struct(F.col("probabilities")))
+    return rows.select("frame_id", scoring.dominant_class(F.col("classes")).alias("dominant"))
+
+
+def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.class_vectors(spark, sf_dir).select("frame_id", F.posexplode("probabilities").alias("at", "p"))
+    return rows.select("frame_id", F.col("at").cast("long").alias("at"), six("p").alias("p"))
+
+
+def detector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and logit detectors plugged in: merged categories, combined score, screened and unscreened categories."""
+    rows = sources.class_vectors(spark, sf_dir).withColumn("classes", scoring.class_struct(F.col("probabilities")))
+    made = detectors.detect(rows, [detectors.ClassDetector(), detectors.LogitDetector("logits", 1)], BALANCED)
+    return made.select("frame_id", six("score").alias("score"), F.array_join("screened", ",").alias("screened"), F.array_join("unscreened", ",").alias("unscreened"))
+
+
+def dhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.hashes(spark, sf_dir)
+
+
+def near_dup_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_pairs(sources.hashes(spark, sf_dir), 6)
+
+
+def perceptual_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of a label as a video's frames in arrival order."""
+    rows = sources.hashes(spark, sf_dir).join(sources.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), "label"), "frame_id")
+    frames = rows.select(F.col("label").cast("long").alias("video_id"), F.col("frame_id").alias("arrival"), "hash", (F.col("frame_id") % 97 / 97.0).alias("score"))
+    return near.cached_scores(frames, threshold=12)
+
+
+def first_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.frames(spark, sf_dir).select("video_id", "ts_ms", "arrival", six("score").alias("score"))
+
+
+def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.deliveries(spark, sf_dir).groupBy("video_id").agg((F.max("ts_ms") + 1).alias("duration_ms"))
+
+
+def survey_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.survey(_videos(spark, sf_dir), BUDGETS["medium"])
+
+
+def survey_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame that each survey request is served with: the last one at or before it."""
+    plan = survey_plan(spark, sf_dir)
+    return lookups.as_of(plan, sources.frames(spark, sf_dir), "video_id", "ts_ms", "ts_ms", "served_ms")
+
+
+def keyframe_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.frames(spark, sf_dir).select("video_id", "ts_ms")
+    return lookups.as_of(rows, sources.keyframes(spark, sf_dir), "video_id", "ts_ms", "kf_ms", "kf_ms")
+
+
+def nearest_keyframe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.frames(spark, sf_dir).select("video_id", "ts_ms")
+    return lookups.nearest(rows, sources.keyframes(spark, sf_dir), "video_id", "ts_ms", "kf_ms", "kf_ms", 5000)
+
+
+def range_mitigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose time falls into a restricted span."""
+    rows = sources.frames(spark, sf_dir)
+    return mitigation.restricted_points(rows.select("video_id", "ts_ms"), temporal.segments(rows, BALANCED))
+
+
+def player_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a player in blur mode shows at the end of each video."""
+    rows = sources.frames(spark, sf_dir)
+    spans = temporal.segments(rows, BALANCED)
+    verdicts = temporal.verdicts(rows, BALANCED).select("video_id", "coverage", F.col("contains_inappropriate_content").alias("flagged"))
+    ends = rows.groupBy("video_id").agg(F.max("ts_ms").alias("ts_ms"))
+    inside = mitigation.restricted_points(ends, spans).select("video_id", F.lit(True).alias("in_span"))
+    state = (
+        verdicts.join(spans.groupBy("video_id").agg(F.count("*").alias("segments")), "video_id", "left")
+        .join(inside, "video_id", "left")
+        .withColumn("segments", F.coalesce("segments", F.lit(0).cast("long")))
+        .withColumn("in_span", F.coalesce("in_span", F.lit(False)))
+        .withColumns({"mode": F.lit("blur"), "phase": F.lit("done"), "finalized": F.lit(True), "revealing": F.lit(False), "acknowledged": F.lit(False)})
+    )
+    return mitigation.obscured(state).select("video_id", "segments", "in_span", "trustworthy", "obscured")
+
+
+def timer_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"), F.col("value").alias("ms"))
+    return metrics.histograms(rows)
+
+
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases per second of a video's span, as inferences."""
+    rows = sources.deliveries(spark, sf_dir).withColumn("name", F.col("kind"))
+    elapsed = (F.max("ts_ms") - F.min("ts_ms")) / 1000.0
+    return metrics.throughput(rows, "video_id", "purchase", elapsed).withColumn("per_second", six("per_second"))
+
+
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.deliveries(spark, sf_dir).select("video_id", F.col("kind").alias("name"), F.lit(1).cast("long").alias("n"))
+    made = metrics.counters(rows, "video_id")
+    return made.select("video_id", F.to_json("counters").alias("counters"))
+
+
+def long_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.table(spark, sf_dir, "events").select(F.col("user_id").alias("scan_id"), F.col("value").alias("ms"))
+    return metrics.long_tasks(rows)
+
+
+def latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as updates that replace each other: the last one of every conversation."""
+    rows = sources.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("role").alias("role"))
+    return metrics.latest(rows, "conv_id", "turn")
+
+
+def _devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as devices: their keys say what a device has."""
+    key = F.col("c_custkey")
+    rows = sources.table(spark, sf_dir, "customer")
+    return rows.select(
+        F.col("c_custkey").alias("device_id"),
+        (key % 3 != 0).alias("webgpu"),
+        (key % 5 != 0).alias("webgl"),
+        (key % 7 != 0).alias("wasm"),
+        (key % 2 == 0).alias("webcodecs"),
+        device.cores_of(F.when(key % 11 != 0, key % 17).cast("int")).alias("cores"),
+        F.when(key % 4 != 0, key % 13).cast("double").alias("memory_gb"),
+        (key % 6 == 0).alias("save_data"),
+    )
+
+
+def tier_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _devices(spark, sf_dir).withColumn("tier", device.tier(F.col("webgpu"), F.col("webgl"), F.col("cores"), F.col("memory_gb")))
+    made = rows.withColumn("b", device.budget(F.col("tier"), F.col("save_data")))
+    return made.select("device_id", "tier", *[F.col(f"b.{c}").alias(c) for c in ("survey_frames", "max_frames", "max_ms", "target_ms", "concurrency")])
+
+
+def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _devices(spark, sf_dir).withColumn("tier", device.tier(F.col("webgpu"), F.col("webgl"), F.col("cores"), F.col("memory_gb")))
+    rows = rows.withColumn("backend", device.preferred_backend(F.col("webgpu"), F.col("webgl"), F.col("wasm")))
+    described = device.describe(F.col("tier"), F.col("backend"), F.col("cores"), F.col("memory_gb"), F.col("webcodecs"))
+    return rows.select("device_id", described.alias("description"), F.array_join(device.backend_chain(F.col("backend")), ">").alias("chain"))
+
+
+def governor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The medium budget of every video after the median of its values as inference times."""
+    rows = sources.deliveries(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list(F.col("score") * 400)).alias("v"))
+    b = BUDGETS["medium"]
+    made = device.governed(F.lit(b.max_frames), F.lit(b.min_gap_ms), F.lit(b.target_ms), metrics.nearest_rank(F.col("v"), 0.5), F.size("v"))
+    return rows.withColumn("g", made).select("video_id", "g.max_frames", "g.min_gap_ms", "g.throttled", six("g.factor").alias("factor"))
+
+
+def resolution_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far duplicates (a second delivery within the same 100 ms) widen each video's gap."""
+    slots = sources.deliveries(spark, sf_dir).groupBy("video_id", F.floor(F.col("ts_ms") / 100).alias("slot")).agg((F.count("*") - 1).alias("again"))
+    rows = slots.groupBy("video_id").agg(F.sum("again").alias("duplicates"))
+    return rows.select("video_id", "duplicates", device.resolution_floor(F.lit(250), F.col("duplicates"), F.lit(sources.DURATION_MS)).alias("floor_ms"))
+
+
+def source_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files: key and price say what they are."""
+    key = F.col("o_orderkey")
+    rows = sources.table(spark, sf_dir, "orders")
+    size = F.when(key % 5 != 0, F.floor(F.col("o_totalprice") * 1000).cast("long"))
+    kind = device.source_kind(F.col("o_orderstatus") != "P", size, key % 7 != 0, key % 3 != 0)
+    return rows.select(F.col("o_orderkey").alias("file_id"), kind["kind"].alias("kind"), kind["reason"].alias("reason"))
+
+
+def url_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.table(spark, sf_dir, "pages").select("page_id", device.accepts_url(F.col("url")).alias("accepted"))
+
+
+def median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as container samples of a video, signups as keyframes."""
+    rows = sources.frames(spark, sf_dir).select("video_id", "ts_ms", (F.col("arrival") % 90).alias("duration_ms"), (F.col("kind") == "signup").alias("is_sync"))
+    stats = container.container_stats(rows)
+    resolution = device.resolution_ms(F.col("frame_ms"), F.col("keyframe_gap_ms").cast("double"), F.col("keyframes"))
+    return stats.select("video_id", "duration_ms", "keyframes", "frame_ms", "keyframe_gap_ms", resolution.alias("resolution_ms"))
+
+
+def _scannable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.frames(spark, sf_dir)
+    bits = F.lower(F.lpad(F.hex(F.xxhash64("video_id", F.floor(F.col("ts_ms") / 5000))), 16, "0"))
+    return rows.select("video_id", "ts_ms", "score", bits.alias("hash"), (F.col("kind") == "signup").alias("is_sync"), (F.col("score") * 400).alias("infer_ms"), (F.col("kind") == "error").alias("failed"), "duration_ms")
+
+
+def full_scan_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every video scanned by the adaptive sampler, then the verdict over what was recorded."""
+    log = scan.scans(_scannable(spark, sf_dir), BALANCED)
+    rows = temporal.verdicts(scan.recorded(log), BALANCED)
+    return rows.select("video_id", "n_frames", six("coverage").alias("coverage"), "contains_inappropriate_content", "confidence")
+
+
+def refine_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that the sampler makes, in order."""
+    return scan.scans(_scannable(spark, sf_dir), BALANCED, early_exit=False).select("video_id", "seq", "asked_ms", "ts_ms", "survey", "status", "stop")
+
+
+def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.scan_stats(scan.scans(_scannable(spark, sf_dir), BALANCED, early_exit=False), "video_id")
+
+
+def streaming_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last verdict that a stream over the events published for every video."""
+    schema = sources.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    micros = F.expr(f"timestampdiff(MICROSECOND, {sources.EPOCH}, ts)")
+    deliveries = stream.select(
+        F.col("user_id").alias("video_id"), F.floor(micros / F.lit(1e7)).cast("long").alias("ts_ms"), F.least(F.lit(1.0), F.col("value") / 400.0).alias("score"),
+        F.col("event_id").alias("arrival"), F.lit(sources.DURATION_MS).cast("long").alias("duration_ms"),
+    )
+    return progress.run(spark, deliveries, BALANCED)
+
 
 def queries() -> dict:
-    return {}
+    plain = (
+        what_if, segments, coverage, independent_flagged, topk_mean, early_exit, verdict_json, restricted_report, peak_category, merge_detectors, combine_categories, screened_sets, frame_score, dominant_class, softmax,
+        detector_scan, dhash, near_dup_banded, perceptual_dedupe, first_delivered, survey_plan, survey_lookup, keyframe_asof, nearest_keyframe, range_mitigation, player_state, timer_histogram, throughput, counters,
+        long_tasks, latest_progress, tier_budget, capabilities, governor, resolution_floor, source_decision, url_validation, median_gap, full_scan_simulation, refine_plan, scan_stats, streaming_verdict,
+    )
+    return {f"scan_verdict_{p}": partial(scan_verdict, p) for p in POLICIES} | {f.__name__: f for f in plain}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.all_queries()
