@@ -15,6 +15,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -95,18 +96,53 @@ class Packer:
         self.open = 0
 
 
+#: Fixed value: the public split pattern of byte-level BPE vocabularies with about 50,000 entries.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_vocabulary(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of a byte-level BPE file whose ids follow its merges, so that they can stand for the ranks; else None."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if not plain or spec.get("normalizer") or model.get("dropout") or model.get("byte_fallback"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    octet = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    added = {x["content"] for x in spec.get("added_tokens", ())}
+    ranks = {bytes(octet[c] for c in word): k for word, k in model["vocab"].items() if word not in added}
+    merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    order = [model["vocab"][m.replace(" ", "")] for m in merged]
+    return ranks if order == sorted(order) and len(ranks) == 256 + len(order) else None
+
+
 def encoder(tokenizer_path: str, end_id: int):
-    """A function from texts to id arrays that end with end_id."""
+    """A function from texts to id arrays that end with end_id.
+
+    The ids are those of the tokenizers library with this file and add_special_tokens=False. Where the file is a plain
+    byte-level BPE, tiktoken makes the same ids from the file's own vocabulary at a fraction of the time.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-    from tokenizers import Tokenizer
+    with open(tokenizer_path, encoding="utf-8") as file:
+        spec = json.load(file)
+    ranks = byte_vocabulary(spec)
+    if ranks is None:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        return lambda texts: [np.array([*e.ids, end_id], dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array([*e.ids, end_id], dtype="<u4") for e in found]
+    def encode(text: str) -> np.ndarray:
+        marked = any(s in text for s in special)
+        ids = own.encode(text, allowed_special="all") if marked else own.encode_ordinary(text)
+        ids.append(end_id)
+        return np.array(ids, dtype="<u4")
 
-    return encode
+    return lambda texts: [encode(t) for t in texts]
 
 
 def calls(ids: list, texts: list) -> Iterator[tuple[list, list]]:
