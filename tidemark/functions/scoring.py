@@ -58,7 +58,11 @@ def dominant_class(classes: Column) -> Column:
 def merged_crops(crops: Column) -> Column:
     """array of class structs -> the highest value per class, 0 at least; an empty array is an error."""
     some = F.when(F.size(crops) > 0, crops).otherwise(F.raise_error(F.lit("no crops to merge")))
-    return F.struct(*[F.greatest(F.lit(0.0), F.array_max(F.transform(some, lambda s, c=c: s[c]))).alias(c) for c in CLASSES])
+
+    def highest(name: str) -> Column:
+        return F.greatest(F.lit(0.0), F.array_max(F.transform(some, lambda s: s[name])))
+
+    return F.struct(*[highest(c).alias(c) for c in CLASSES])
 
 
 def combined(categories: Column, weights: Mapping[str, float] | None = None) -> Column:
