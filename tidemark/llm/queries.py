@@ -77,5 +77,33 @@ def queries() -> dict:
     return {f.__name__: f for f in made}
 
 
+_BASE32 = " || ".join(
+    f"substr('{warc.BASE32}', 1 + (((('0x' || substr(h, {k + 1}, 5))::INTEGER) >> {s}) & 31), 1)" for k in range(0, 40, 5) for s in (15, 10, 5, 0)
+)
+
+SQL = {
+    "op2_maxscore": """
+      WITH long AS (SELECT vec_id, unnest(range(1, 65)) AS dim, unnest(embedding) AS x FROM embeddings), v AS (SELECT vec_id, dim, CAST(floor(64 * x::DOUBLE) AS BIGINT) AS x FROM long),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2),
+      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+      SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_mixing": """
+      WITH d AS (SELECT *, coalesce(source, '') AS s, greatest(1, length(coalesce(text, ''))) AS size, coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || md5(coalesce(text, '')) AS key FROM documents),
+      n AS (SELECT s, sum(size)::DOUBLE AS n FROM d GROUP BY 1), m AS (SELECT s, 1.0::DOUBLE / (SELECT count(*) FROM n) * (SELECT sum(n) FROM n) / n AS mean FROM n),
+      c AS (SELECT s, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS cdf FROM m, range(0, 300) t(k)),
+      u AS (SELECT *, ('0x' || substr(md5('42' || chr(31) || key), 1, 12))::BIGINT / 281474976710656::DOUBLE AS u FROM d),
+      w AS (SELECT u.key, u.s, count(*) AS copies FROM (SELECT DISTINCT key, s, u FROM u) u JOIN c ON u.s = c.s WHERE c.cdf <= u.u GROUP BY 1, 2),
+      x AS (SELECT u.*, w.copies, unnest(range(1, w.copies + 1)) AS copy FROM u JOIN w ON u.key = w.key AND u.s = w.s)
+      SELECT doc_id, text, lang, source, n_chars, copy, copies, md5('43' || chr(31) || key || chr(31) || copy) AS mix_key FROM x""",
+    "op5_exact_dedup": r"""
+      WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+      k AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
+      SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k""",
+    "op10_warc": f"""
+      WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages), g AS (SELECT *, strlen(html) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+      SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to, url FROM g""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
