@@ -97,13 +97,13 @@ def write(pages: DataFrame, folder: str, html_col: str = "html", id_col: str = "
     )
     # the payloads: one html per response, joined on the row's own identity, which has no hot key
     whole = rows.select("id", "url", *keys, "html")
-    if not firsts.where(~F.col("response")).isEmpty():  # rows that are equal in everything
+    if not firsts.where("n > 1").isEmpty():  # rows that are equal in everything
         whole = whole.dropDuplicates(["id", "url", *keys])
-    chosen = firsts.where("response").select(F.col("id").alias("r_id"), F.col("url").alias("r_url"), *[F.col(k).alias(f"r_{k}") for k in keys])
+    chosen = firsts.where("response").groupBy(F.col("id").alias("r_id"), F.col("url").alias("r_url"), *[F.col(k).alias(f"r_{k}") for k in keys]).agg(F.count("*").alias("r_times"))
     match = whole["id"].eqNullSafe(chosen["r_id"]) & whole["url"].eqNullSafe(chosen["r_url"])
     for k in keys:
         match = match & (whole[k] == chosen[f"r_{k}"])
-    full = chosen.join(whole, match).select(
+    full = chosen.join(whole, match).withColumn("r_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("r_times")))).select(
         _header(
             _line("WARC-Type", F.lit("response")), *common, digest, size, _line("Content-Type", F.lit("application/http;msgtype=response")),
             _line("Content-Length", (F.octet_length(headers) + F.col("bytes")).cast("string")),
