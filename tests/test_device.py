@@ -92,3 +92,21 @@ def test_crops(value):
     assert value(device.crops(F.lit(640), F.lit(360), "centerCrop"))[0].x == 140
     assert [c.x for c in value(device.crops(F.lit(640), F.lit(360), "multiCrop"))] == [0, 280]
     assert value(device.crops(F.lit(400), F.lit(360), "multiCrop")) == []
+
+
+def test_probe(value):
+    d = lambda x: F.lit(x).cast("double")
+    assert value(device.resolved_duration(d(float("inf")), d(None), d(9000.0))) == 9000
+    assert value(device.resolved_duration(d(None), d(0.0), d(None))) is None
+    assert value(device.seek_target(F.lit(70_000), F.lit(60_000))) == 59_950 and value(device.seek_target(F.lit(-3), F.lit(60_000))) == 0
+    assert value(device.probe_result(d(5.0), F.lit("ok"))).ok
+    assert [value(device.probe_result(d(None), F.lit(r))).kind for r in ("ok", "tainted", "failed")] == ["live", "cors", "decode"]
+
+
+def test_outcome_and_first_verdict(spark):
+    from tidemark.operators import metrics
+
+    log = "video_id long, survey boolean, status string, duplicate boolean, stop string, elapsed_ms double"
+    rows = spark.createDataFrame([(1, True, "failed", False, "complete", 1.0), (2, True, "inferred", False, "frame-budget", 2.0), (2, False, "inferred", False, "frame-budget", 5.0)], log)
+    assert {r.video_id: r.status for r in metrics.outcome(rows).collect()} == {1: "no-frames", 2: "frame-budget"}
+    assert {r.video_id: r.first_verdict_ms for r in metrics.first_verdict(rows).collect()} == {1: 1.0, 2: 2.0}

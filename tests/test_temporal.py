@@ -88,3 +88,31 @@ def test_stream_and_table_agree(spark, frames, tmp_path):
 def test_empty(frames):
     none = frames("1:.9").where("score > 5")
     assert temporal.verdicts(none, BALANCED).count() == 0 and temporal.segments(none, BALANCED).count() == 0
+
+
+def test_streaming_cache_equals_the_batch_fold(spark, tmp_path):
+    import random
+
+    from tidemark.operators import near
+    from tidemark.streaming import cache
+
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    rows = [(v, k, f"{0 if rng.random() < 0.1 else rng.choice(base) ^ (1 << rng.randrange(64)):016x}", rng.random()) for v in (1, 2, 3) for k in range(80)]
+    schema = "video_id long, arrival long, hash string, score double"
+    for part in range(4):
+        spark.createDataFrame([r for r in rows if r[1] // 20 == part], schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={part}"))
+    cache.with_state_store(spark)
+    stream = spark.readStream.schema(schema + ", part int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "false").parquet(str(tmp_path / "in"))
+    query = (
+        cache.cached_scores(stream.drop("part"), capacity=5)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(str(tmp_path / f"out/n={n}")))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    got = {(r.video_id, r.arrival): (r.score, r.inherited) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(r.video_id, r.arrival): (r.score, r.inherited) for r in near.cached_scores(spark.createDataFrame(rows, schema), capacity=5).collect()}
+    assert got == want and any(i for _, i in want.values())

@@ -7,7 +7,7 @@ from dataclasses import fields
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.constants import BACKENDS, BUDGETS, GOP_WALK, MAX_INDEXED_BYTES, Budget
+from tidemark.constants import BACKENDS, BUDGETS, GOP_WALK, MAX_INDEXED_BYTES, SEEK_MARGIN_MS, Budget
 from tidemark.functions.scoring import half_up
 
 
@@ -128,3 +128,25 @@ def crops(width: Column, height: Column, fit: str) -> Column:
         wide = width / F.greatest(F.lit(1), height) > 1.5
         return F.when(wide, F.array(square(F.lit(0)), square(F.greatest(F.lit(0), width - side)))).otherwise(none)
     return none
+
+
+def resolved_duration(duration_ms: Column, seekable_end_ms: Column, discovered_ms: Column) -> Column:
+    """The first finite, positive duration that a source tells; null for a live source."""
+    known = lambda x: F.when((x > 0) & ~F.isnan(x.cast("double")) & (x.cast("double") != float("inf")), x.cast("double"))
+    return F.coalesce(known(duration_ms), known(seekable_end_ms), known(discovered_ms))
+
+
+def seek_target(ts_ms: Column, duration_ms: Column) -> Column:
+    """Where a seek goes: within the video, and never onto its very end."""
+    return F.greatest(F.lit(0), F.least(ts_ms, duration_ms - SEEK_MARGIN_MS))
+
+
+def probe_result(duration_ms: Column, readable: Column) -> Column:
+    """struct<ok, kind, message, duration_ms>: a probe's success, or why it failed."""
+    failed = lambda kind, why: F.struct(F.lit(False).alias("ok"), F.lit(kind).alias("kind"), F.lit(why).alias("message"), F.lit(None).cast("double").alias("duration_ms"))
+    return (
+        F.when(readable == "tainted", failed("cors", "pixels can't be read"))
+        .when(readable != "ok", failed("decode", "no frame could be read"))
+        .when(duration_ms.isNull(), failed("live", "the video has no end"))
+        .otherwise(F.struct(F.lit(True).alias("ok"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("message"), duration_ms.cast("double").alias("duration_ms")))
+    )

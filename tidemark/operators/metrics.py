@@ -64,3 +64,21 @@ def latest(events: DataFrame, key: str, order: str) -> DataFrame:
     """The last row per key: what remains of a run of updates that replace each other."""
     whole = F.struct(*[F.col(c) for c in events.columns])
     return events.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.col(order)).alias("_row")).select("_row.*")
+
+
+def frames_per_second(events: DataFrame, time_col: str = "ts") -> DataFrame:
+    """second, fps: events per second of the clock."""
+    return events.groupBy(F.window(time_col, "1 second").alias("w")).agg(F.count("*").alias("fps")).select(F.col("w.start").alias("second"), "fps")
+
+
+def first_verdict(log: DataFrame, key: str = "video_id") -> DataFrame:
+    """key, first_verdict_ms: when a scan's last survey request was answered, or its end where there was no refinement."""
+    at = F.coalesce(F.max(F.when(F.col("survey"), F.col("elapsed_ms"))), F.max("elapsed_ms"))
+    return log.groupBy(key).agg(at.alias("first_verdict_ms"))
+
+
+def outcome(log: DataFrame, key: str = "video_id") -> DataFrame:
+    """key, status: why a scan stopped, or no-frames if it recorded none and was not cancelled."""
+    recorded = F.count_if((F.col("status") != "failed") & ~F.col("duplicate"))
+    stop = F.max("stop")
+    return log.groupBy(key).agg(F.when((recorded == 0) & (stop != "cancelled"), "no-frames").otherwise(stop).alias("status"))
