@@ -85,6 +85,11 @@ def test_stream_and_table_agree(spark, frames, tmp_path):
     assert once[0].n_frames == 3 and once[0].contains_inappropriate_content
 
 
+def test_observed_metrics(frames):
+    rows, seen = progress.observed(frames("1:.2 2:.9"))
+    assert rows.count() == 2 and seen.get == {"rows": 2, "high_share": 0.5, "max_score": 0.9}
+
+
 def test_empty(frames):
     none = frames("1:.9").where("score > 5")
     assert temporal.verdicts(none, BALANCED).count() == 0 and temporal.segments(none, BALANCED).count() == 0

@@ -7,12 +7,12 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.constants import BUDGETS, DEFAULT_POLICY, POLICIES
+from tidemark.constants import BUDGETS, CLASSES, DEFAULT_POLICY, POLICIES
 from tidemark.functions import device, formats, scoring
 from tidemark.functions.scoring import round_to
 from tidemark.operators import detectors, lookups, metrics, mitigation, near, sampling, scan, temporal
 from tidemark.plans import sql
-from tidemark.sources import container
+from tidemark.sources import container, sinks
 from tidemark.sources import frames as sources
 from tidemark.streaming import progress
 
@@ -122,6 +122,40 @@ def detector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("frame_id", six("score").alias("score"), F.array_join("screened", ",").alias("screened"), F.array_join("unscreened", ",").alias("unscreened"))
 
 
+def merge_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two crops of a frame, from the first and second five components: the highest value per class."""
+    part = lambda at: F.transform(F.slice("embedding", at, 5), lambda x: x.cast("double"))
+    rows = sources.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.array(part(1), part(6)).alias("crops"))
+    crops = rows.withColumn("crops", F.transform("crops", scoring.softmax)).withColumn("crops", F.transform("crops", scoring.class_struct))
+    made = crops.select("frame_id", scoring.merged_crops(F.col("crops")).alias("m"))
+    return made.select("frame_id", *[six(F.col(f"m.{c}")).alias(c.lower()) for c in CLASSES])
+
+
+def hit_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely a survey of 16 would meet each restricted span."""
+    rows = temporal.segments(sources.frames(spark, sf_dir), BALANCED)
+    p = scoring.hit_probability(F.lit(16), (F.col("end_ms") - F.col("start_ms")).cast("double"), F.lit(float(sources.DURATION_MS)))
+    return rows.select("video_id", "segment", six(p).alias("probability"))
+
+
+def frame_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many seconds of the clock saw how many events."""
+    rows = metrics.frames_per_second(sources.table(spark, sf_dir, "events").select("ts"), "ts")
+    return rows.groupBy("fps").agg(F.count("*").alias("seconds"))
+
+
+def scan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each scan stopped, and when it could first tell a verdict."""
+    log = scan.scans(_scannable(spark, sf_dir), BALANCED)
+    return metrics.outcome(log).join(metrics.first_verdict(log), "video_id")
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts as lines of a Markdown table."""
+    rows = temporal.verdicts(sources.frames(spark, sf_dir), BALANCED)
+    return sinks.report_rows(rows.withColumn("elapsed_ms", F.col("n_frames") * 20))
+
+
 def dhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.hashes(spark, sf_dir)
 
@@ -319,7 +353,7 @@ def streaming_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     plain = (
         what_if, segments, coverage, independent_flagged, topk_mean, early_exit, verdict_json, restricted_report, peak_category, merge_detectors, combine_categories, screened_sets, frame_score, dominant_class, softmax,
-        detector_scan, dhash, near_dup_banded, perceptual_dedupe, first_delivered, survey_plan, survey_lookup, keyframe_asof, nearest_keyframe, range_mitigation, player_state, timer_histogram, throughput, counters,
+        detector_scan, merge_crops, hit_probability, frame_rate, scan_outcome, report, dhash, near_dup_banded, perceptual_dedupe, first_delivered, survey_plan, survey_lookup, keyframe_asof, nearest_keyframe, range_mitigation, player_state, timer_histogram, throughput, counters,
         long_tasks, latest_progress, tier_budget, capabilities, governor, resolution_floor, source_decision, url_validation, median_gap, full_scan_simulation, refine_plan, scan_stats, streaming_verdict,
     )
     return {f"scan_verdict_{p}": partial(scan_verdict, p) for p in POLICIES} | {f.__name__: f for f in plain}

@@ -157,6 +157,13 @@ def all_queries() -> dict[str, str]:
         "dominant_class": f"{vectors()} SELECT frame_id, {dominant} AS dominant FROM s",
         "softmax": f"{vectors()} SELECT frame_id, CAST(k AS BIGINT) AS \"at\", {six('p[k + 1]')} AS p FROM s, range(0, 5) t(k)",
         "detector_scan": f"""{vectors()} SELECT frame_id, {six(f"greatest({weighted(p)}, {unit('p[2]')})")} AS score, 'sexual,violence' AS screened, '{",".join(c for c in CATEGORIES if c not in ("sexual", "violence"))}' AS unscreened FROM s""",
+        "merge_crops": f"""WITH v AS (SELECT vec_id AS frame_id, list_transform(embedding[1:5], lambda x: x::DOUBLE) AS a, list_transform(embedding[6:10], lambda x: x::DOUBLE) AS b FROM embeddings),
+          e AS (SELECT frame_id, list_transform(a, lambda x: exp(x - list_max(a))) AS a, list_transform(b, lambda x: exp(x - list_max(b))) AS b FROM v)
+          SELECT frame_id, {", ".join(six(f"greatest(a[{k + 1}] / (a[1] + a[2] + a[3] + a[4] + a[5]), b[{k + 1}] / (b[1] + b[2] + b[3] + b[4] + b[5]))") + f" AS {c.lower()}" for k, c in enumerate(CLASSES))} FROM e""",
+        "hit_probability": f"{spans(p)} SELECT video_id, segment, {six('least(1::DOUBLE, 16 * (end_ms - start_ms)::DOUBLE / 259200::DOUBLE)')} AS probability FROM spans",
+        "frame_rate": "SELECT fps, count(*) AS seconds FROM (SELECT date_trunc('second', ts) AS s, count(*) AS fps FROM events GROUP BY 1) GROUP BY 1",
+        "report": f"""{judged(p)} SELECT '| ' || video_id || ' | ' || CASE WHEN contains_inappropriate_content THEN 'flagged' ELSE 'clean' END || ' | ' || printf('%.2f', confidence) || ' | '
+          || CAST(CAST(floor(coverage * 100 + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) || '% | ' || CASE WHEN n_frames * 20 < 1000 THEN CAST(n_frames * 20 AS VARCHAR) || ' ms' ELSE printf('%.2f s', n_frames * 20 / 1000.0::DOUBLE) END || ' |' AS value FROM judged""",
         "dhash": f"WITH {hashes()} SELECT * FROM hashes",
         "near_dup_banded": f"""WITH {hashes()}, counted AS (SELECT hash, count(*) AS frames FROM hashes WHERE hash <> repeat('0', 16) GROUP BY 1),
           pairs AS (SELECT a.hash AS hash_a, b.hash AS hash_b, CAST(bit_count(xor(('0x' || a.hash)::UBIGINT, ('0x' || b.hash)::UBIGINT)) AS BIGINT) AS distance, a.frames AS frames_a, b.frames AS frames_b

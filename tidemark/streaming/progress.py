@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import TOP_K, VOUCH_RADIUS_MS, Policy
@@ -55,25 +55,34 @@ def snapshots(deliveries: DataFrame, policy: Policy) -> DataFrame:
     return judged.select("video_id", "n_frames", yes.alias("contains_inappropriate_content"), round_to(sure, 2).alias("confidence"))
 
 
-def run(spark: SparkSession, stream: DataFrame, policy: Policy, folder: str | None = None) -> DataFrame:
-    """Drain a stream of deliveries; the last published verdict of every video."""
-    folder = folder or f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
+def start(stream: DataFrame, policy: Policy, folder: str, every: str | None = None):
+    """Publish verdicts under folder: every so often ('100 milliseconds'), or until the stream is drained. stop() cancels; a new start goes on."""
 
     def publish(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/published/number={number}")
 
-    query = (
-        snapshots(stream, policy)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", f"{folder}/state")
-        .foreachBatch(publish)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    writer = snapshots(stream, policy).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(publish)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The last verdict of every video."""
     return latest(spark.read.parquet(f"{folder}/published").drop("number"), "video_id", "batch").drop("batch")
 
 
+def run(spark: SparkSession, stream: DataFrame, policy: Policy, folder: str | None = None) -> DataFrame:
+    """Drain a stream of deliveries; the last published verdict of every video."""
+    folder = folder or f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
+    start(stream, policy, folder).awaitTermination()
+    return published(spark, folder)
+
+
+def observed(frames: DataFrame, name: str = "frames") -> tuple[DataFrame, Observation]:
+    """frames with run metrics that cost no pass of their own: rows, flagged share and highest score once an action has run."""
+    seen = Observation(name)
+    return frames.observe(seen, F.count("*").alias("rows"), F.avg((F.col("score") >= 0.5).cast("double")).alias("high_share"), F.max("score").alias("max_score")), seen
+
+
 def sessions(deliveries: DataFrame, time_col: str, gap: str = "2 seconds", late: str = "1 minute") -> DataFrame:
     """Flagged spans as session windows, for sinks that can only append: a span is published once it can't grow any more."""
     return deliveries.withWatermark(time_col, late).groupBy("video_id", F.session_window(time_col, gap).alias("span")).agg(F.count("*").alias("frames"), F.max("score").alias("peak_score"))
