@@ -26,6 +26,11 @@ def test_density_finds_unlabelled_main_text():
     assert main_text(page) == f"{LONG} {LONG} link {LONG}"
 
 
+def test_titles_stay_without_an_article():
+    page = f"<body><nav>menu</nav><h1>Head line</h1><div id='x'><div class='story-text'><h2>Sub</h2><p>{LONG}</p><p>{LONG}</p></div></div><div id='y'><a href='/'>elsewhere</a></div></body>"
+    assert main_text(page) == f"Head line Sub {LONG} {LONG}"
+
+
 def test_boilerplate_goes_and_text_stays():
     page = f"""<body><header>site</header><nav>menu</nav><div class="cookie-banner">we use cookies</div><div class="ad">buy</div><main><div class="post-content"><h2>Title</h2><p>{LONG}</p>
     <blockquote>{LONG}</blockquote></div><div class="sidebar">side</div><form><label>mail</label></form><div class="comments"><p>{LONG} I think.</p></div></main><footer>foot</footer></body>"""

@@ -8,7 +8,8 @@ and LT tags inside links, and the body's own C_b and LC_b, the composite density
 
 with zeros in denominators read as one. A node's density sum is the sum over its children (its own text counts as one).
 The node of the greatest sum is the core of the page; the least density on its path up to the body is the threshold, and
-every other node that reaches it adds the node of greatest sum below it. A core inside an <article> is widened to it.
+every other node that reaches it adds the node of greatest sum below it. A core inside an <article> is widened to it;
+otherwise to containers that add little text, and the page's h1 before it is kept.
 
 Memory: one page at a time. Defined cases: a null, empty or text-less page gives an empty text; rows that repeat a
 page_id are rows of their own; nesting may be of any depth; extra columns are ignored.
@@ -53,6 +54,8 @@ CUT_WORDS = set(
 KEEP_WORDS = set("article post entry content story main body text title headline".split())
 #: Cut even where a word of KEEP_WORDS stands beside it.
 CUT_ANYWAY = set("ad ads advert advertisement sponsored promo cookie consent newsletter subscribe share social related recommended sidebar comment comments commentlist replies respond navigation nav menu footer widget".split())
+#: How much more text a container may add to the core to be taken with it.
+WIDEN = 0.15
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -201,6 +204,13 @@ class Page:
                 top = up
             up = parents[up]
         marked = [False] * n
+        if top is None:
+            # a container that adds little but a title or a caption belongs to the core
+            while (up := parents[core]) != core and up != body and tags[up] not in ("html", "#root"):
+                more, more_links = chars[up] - chars[core], links[up] - links[core]
+                if more > WIDEN * chars[core] or more_links * 2 > more:
+                    break
+                core = up
         if top is not None:
             marked[top] = True
         else:
@@ -217,6 +227,8 @@ class Page:
             for k in range(n):
                 if not cut[k] and k != body and k and chars[k] and dense[k] >= threshold:
                     marked[best[k]] = True
+                elif k < core and tags[k] == "h1" and not cut[k] and not in_link[k]:
+                    marked[k] = True
         for k in range(1, n):
             marked[k] = (marked[k] or marked[parents[k]]) and not cut[k]
         return marked
