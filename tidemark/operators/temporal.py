@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +44,21 @@ def top_mean(frames: DataFrame, k: int = TOP_K) -> DataFrame:
     return best.groupBy("video_id").agg(F.avg("score").alias("topk_mean"))
 
 
-def evidence(frames: DataFrame, policy: Policy) -> DataFrame:
-    """One row per video with what a verdict rests on, in one pass over the video's frames.
+def _gathered(frames: DataFrame, policies: Sequence[Policy]) -> DataFrame:
+    """One row per video: what verdicts rest on, and per policy the number and the times of its flagged frames.
 
-    Frames meet by video once: the windows and the aggregation share that partitioning. The array that the greedy count
-    needs holds the flagged times of one video, whose number the frame budget bounds.
+    Frames meet by video once: the windows and the aggregation share that partitioning. The arrays that the greedy count
+    needs hold the flagged times of one video, whose number the frame budget bounds.
     """
     order = Window.partitionBy("video_id").orderBy("ts_ms")
     ts, before, after = F.col("ts_ms"), F.lag("ts_ms").over(order), F.lead("ts_ms").over(order)
     reach = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(float(VOUCH_RADIUS_MS)), x))
     held = reach(F.coalesce((ts - before) / 2.0, ts.cast("double"))) + reach(F.coalesce((after - ts) / 2.0, (F.col("duration_ms") - ts).cast("double")))
     best = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "ts_ms")) <= TOP_K
-    flagged = F.col("score") >= policy.frame_threshold
+    own = []
+    for p in policies:
+        flagged = F.col("score") >= p.frame_threshold
+        own += [F.count_if(flagged).alias(f"_flagged_{p.id}"), F.collect_list(F.when(flagged, ts)).alias(f"_times_{p.id}")]
     return (
         frames.withColumn("_held", held)
         .withColumn("_best", best)
@@ -62,26 +67,47 @@ def evidence(frames: DataFrame, policy: Policy) -> DataFrame:
             F.count("*").alias("n_frames"),
             F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"),
             F.avg(F.when(F.col("_best"), F.col("score"))).alias("topk_mean"),
-            F.count_if(flagged).alias("flagged"),
-            F.collect_list(F.when(flagged, ts)).alias("_times"),
             F.sum("_held").alias("_held"),
             F.max("duration_ms").alias("_d"),
+            *own,
         )
-        .withColumn("independent", independent(F.col("_times"), policy.gap_ms))
         .withColumn("coverage", F.when(F.col("_d") > 0, clamp01(F.col("_held") / F.col("_d"))).otherwise(F.lit(0.0)))
-        .drop("_times", "_held", "_d")
+        .drop("_held", "_d")
     )
 
 
-def positive(policy: Policy) -> Column:
-    return (F.col("n_frames") > 0) & ((F.col("independent") >= policy.min_flagged) | (F.col("max_score") >= policy.single_threshold))
+def evidence(frames: DataFrame, policy: Policy) -> DataFrame:
+    """One row per video: n_frames, max_score, topk_mean, coverage, flagged, independent."""
+    rows = _gathered(frames, [policy]).withColumnRenamed(f"_flagged_{policy.id}", "flagged")
+    return rows.withColumn("independent", independent(F.col(f"_times_{policy.id}"), policy.gap_ms)).drop(f"_times_{policy.id}")
+
+
+def positive(policy: Policy, count: Column | None = None) -> Column:
+    count = F.col("independent") if count is None else count
+    return (F.col("n_frames") > 0) & ((count >= policy.min_flagged) | (F.col("max_score") >= policy.single_threshold))
+
+
+def confidence(policy: Policy, count: Column | None = None) -> Column:
+    count = F.col("independent") if count is None else count
+    sure = positive_confidence(F.col("topk_mean"), count, policy)
+    return round_to(F.when(positive(policy, count), sure).otherwise(negative_confidence(F.col("max_score"), F.col("coverage"), policy)), 2)
 
 
 def verdicts(frames: DataFrame, policy: Policy) -> DataFrame:
     """evidence with contains_inappropriate_content and confidence."""
-    yes = positive(policy)
-    sure = F.when(yes, positive_confidence(F.col("topk_mean"), F.col("independent"), policy)).otherwise(negative_confidence(F.col("max_score"), F.col("coverage"), policy))
-    return evidence(frames, policy).withColumn("contains_inappropriate_content", yes).withColumn("confidence", round_to(sure, 2))
+    return evidence(frames, policy).withColumn("contains_inappropriate_content", positive(policy)).withColumn("confidence", confidence(policy))
+
+
+def verdicts_under(frames: DataFrame, policies: Sequence[Policy]) -> DataFrame:
+    """video_id, policy, contains_inappropriate_content, confidence: all policies in one pass over the frames."""
+    rows = _gathered(frames, policies)
+    for p in policies:
+        rows = rows.withColumn(f"_n_{p.id}", independent(F.col(f"_times_{p.id}"), p.gap_ms))
+    each = [
+        F.struct(F.lit(p.id).alias("policy"), positive(p, F.col(f"_n_{p.id}")).alias("contains_inappropriate_content"), confidence(p, F.col(f"_n_{p.id}")).alias("confidence"))
+        for p in policies
+    ]
+    return rows.select("video_id", F.inline(F.array(*each)))
 
 
 def early_exit(policy: Policy) -> Column:

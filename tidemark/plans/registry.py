@@ -31,10 +31,8 @@ def scan_verdict(policy: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every video under every policy, with how many policies flag it."""
-    rows = sources.frames(spark, sf_dir)
-    made = [temporal.verdicts(rows, p).select("video_id", F.lit(p.id).alias("policy"), "contains_inappropriate_content", "confidence") for p in POLICIES.values()]
-    return made[0].unionByName(made[1]).unionByName(made[2])
+    """Every video under every policy."""
+    return temporal.verdicts_under(sources.frames(spark, sf_dir), list(POLICIES.values()))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,8 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_delivered(deliveries(spark, sf_dir))
+    """Dealt by video at once: what follows per (video, time) and per video then needs no other shuffle."""
+    return first_delivered(deliveries(spark, sf_dir).repartition(F.col("video_id")))
 
 
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:

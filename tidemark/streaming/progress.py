@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import TOP_K, VOUCH_RADIUS_MS, Policy
-from tidemark.functions.scoring import clamp01, negative_confidence, positive_confidence, round_to
+from tidemark.functions.scoring import clamp01
 from tidemark.operators.metrics import latest
-from tidemark.operators.temporal import independent, positive
+from tidemark.operators.temporal import confidence, independent, positive
 from tidemark.shared import shared_folder
 
 
@@ -50,9 +50,7 @@ def snapshots(deliveries: DataFrame, policy: Policy) -> DataFrame:
         .withColumn("independent", independent(flagged, policy.gap_ms))
         .withColumn("coverage", F.when(F.col("d") > 0, clamp01(held_ms(times, F.col("d")) / F.col("d"))).otherwise(F.lit(0.0)))
     )
-    yes = positive(policy)
-    sure = F.when(yes, positive_confidence(F.col("topk_mean"), F.col("independent"), policy)).otherwise(negative_confidence(F.col("max_score"), F.col("coverage"), policy))
-    return judged.select("video_id", "n_frames", yes.alias("contains_inappropriate_content"), round_to(sure, 2).alias("confidence"))
+    return judged.select("video_id", "n_frames", positive(policy).alias("contains_inappropriate_content"), confidence(policy).alias("confidence"))
 
 
 def start(stream: DataFrame, policy: Policy, folder: str, every: str | None = None):
