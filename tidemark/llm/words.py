@@ -11,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 INVERSE = pow(BASE, -1, 2**64)
@@ -72,7 +73,7 @@ class Words:
 def chunks(column: pa.Array) -> Iterator[pa.Array]:
     """A binary column in slices of about CHUNK bytes; a longer text is a slice of its own."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.cumsum([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()])
+    sizes = np.cumsum([0 if x is None else x for x in pc.binary_length(column).to_pylist()])
     begin, done = 0, 0
     while begin < len(column):
         end = max(begin + 1, int(np.searchsorted(sizes, done + CHUNK, "right")))
