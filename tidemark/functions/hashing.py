@@ -38,14 +38,9 @@ def dhash(image: Column, width: int, height: int) -> Column:
             return cells[0]
         return F.aggregate(F.array(*cells), F.lit(0.0), lambda a, x: a + x) / len(cells)
 
-    grid = F.array(*[box(gx, gy) for gy in range(GRID_Y) for gx in range(GRID_X)])
-    bits = F.aggregate(
-        F.sequence(F.lit(0), F.lit(GRID_Y * (GRID_X - 1) - 1)),
-        F.lit(0).cast("long"),
-        lambda acc, k: F.shiftleft(acc, 1).bitwiseOR(
-            F.when(F.get(grid, F.floor(k / 8).cast("int") * GRID_X + k % 8) < F.get(grid, F.floor(k / 8).cast("int") * GRID_X + k % 8 + 1), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-        ),
-    )
+    grid = [[box(gx, gy) for gx in range(GRID_X)] for gy in range(GRID_Y)]
+    darker = [F.when(row[x] < row[x + 1], F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")) for row in grid for x in range(GRID_X - 1)]
+    bits = F.aggregate(F.array(*darker), F.lit(0).cast("long"), lambda acc, bit: F.shiftleft(acc, 1).bitwiseOR(bit))
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 

@@ -39,8 +39,8 @@ def snapshots(deliveries: DataFrame, policy: Policy) -> DataFrame:
     state = deliveries.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("duration_ms").alias("d"))
     # of the deliveries of one time the first to arrive counts; they stand side by side
     first = F.filter("rows", lambda x, k: (k == 0) | (x["ts_ms"] != F.get(F.col("rows"), k - 1)["ts_ms"]))
-    frames = state.withColumn("frames", first)
-    times, scores = F.transform("frames", lambda x: x["ts_ms"]), F.transform("frames", lambda x: x["score"])
+    frames = state.withColumn("frames", first).withColumn("times", F.transform("frames", lambda x: x["ts_ms"]))
+    times, scores = F.col("times"), F.transform("frames", lambda x: x["score"])
     best = F.slice(F.reverse(F.array_sort(scores)), 1, TOP_K)
     flagged = F.transform(F.filter("frames", lambda x: x["score"] >= policy.frame_threshold), lambda x: x["ts_ms"])
     judged = (
