@@ -1,16 +1,17 @@
-"""WARC archives: written by Spark's text writer, indexed first, read back by coalesced byte ranges.
+"""WARC archives: written with their index, read back by coalesced byte ranges.
 
 Writing: pages with equal payloads (compared by length, SHA-1 and SHA-256) of at least `least` bytes are grouped; the
-largest page_id's record is the response and carries the payload, the others are revisit records of headers alone. One
-row is one record; with CRLF CRLF as the line separator the text writer's part files are WARC files on any file system
-that Spark can write to, committed per task.
+largest page_id's record is the response and carries the payload, the others are revisit records of headers alone.
+A task writes its records, each a gzip member of its own, to a file of its own in the shared folder and gives Spark the
+index rows: file, offset, length, url, digest, page_id, record type. Spark commits the index as a table, so that a lost or repeated
+task leaves at most a file that no index row names.
 
-Index first: tasks walk over the archives from header to header and write one row per record (file, offset, length, url,
-digest, page_id, type). Reading: the selected index rows are ordered by file and offset, neighbours at most `gap` bytes
-apart are joined to ranges of at most `most` bytes, and each range is read at once and cut into its records.
+Reading: the selected index rows are ordered by file and offset, neighbours at most `gap` bytes apart are joined to
+ranges of at most `most` bytes, and each range is read at once and cut into its records.
 
-Files are read by ranges through pyarrow's file systems; where the folder's scheme is not one of RANGE_SCHEMES, whole
-part files are read by Spark instead and cut by the same index.
+Files are written and read through pyarrow's file systems. Where the folder's scheme is not one of RANGE_SCHEMES, Spark's
+text writer makes the archives instead (CRLF CRLF as line separator makes its part files plain WARC), whole part files
+are read by Spark, and the same kind of index is made by walking over them.
 
 Memory: one range, or one record, per task. Defined cases: a null html is an empty payload; a null url leaves out the target
 URI; rows that repeat a page_id and payload are records of their own, of which one is the response; a null page_id loses to any
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -36,6 +38,8 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 RANGE_SCHEMES = {"", "file", "hdfs", "s3", "gs"}
 GAP, MOST = 64 * 1024, 8 * 1024 * 1024
+#: Bytes after which a task begins another archive, and the effort of compression.
+ROLL, LEVEL = 1 << 30, 6
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 INDEX = "file string, offset long, length long, url string, digest string, page_id string, record_type string, refers_to string"
 
@@ -49,6 +53,11 @@ def base32(hex_digest: Column) -> Column:
     return F.concat(*letters)
 
 
+def _rows(found: list) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+
+
 def _header(*lines: Column) -> Column:
     return F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"))
 
@@ -57,8 +66,8 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-def write(pages: DataFrame, folder: str, html_col: str = "html", id_col: str = "page_id", url_col: str = "url", least: int = 0) -> None:
-    """Write the archives of pages as part files in folder."""
+def records(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url", least: int = 0) -> DataFrame:
+    """One row per page: its record (value) without the closing CRLF CRLF, and url, digest, page_id, record_type, refers_to."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     sha1 = F.sha1(html)
     rows = pages.select(
@@ -83,6 +92,7 @@ def write(pages: DataFrame, folder: str, html_col: str = "html", id_col: str = "
     revisits = revisits.unionByName(firsts.where(~F.col("response")).select("id", "url", "bytes", "digest", "top"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     record = lambda c: F.concat(F.lit("<urn:page:"), text(c), F.lit(">"))
+    about = lambda kind, refers: ["url", "digest", text("id").alias("page_id"), F.lit(kind).alias("record_type"), refers.alias("refers_to")]
     common = [_line("WARC-Record-ID", record("id")), _line("WARC-Date", F.lit(DATE)), _line("WARC-Target-URI", F.col("url"))]
     digest = _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     size = _line("X-Payload-Length", F.col("bytes").cast("string"))
@@ -93,7 +103,7 @@ def write(pages: DataFrame, folder: str, html_col: str = "html", id_col: str = "
             _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
             _line("WARC-Refers-To", record("top")), _line("Content-Type", F.lit("application/http;msgtype=response")),
             _line("Content-Length", F.octet_length(headers).cast("string")),
-        ).alias("head"), headers.alias("body"),
+        ).alias("head"), headers.alias("body"), *about("revisit", text("top")),
     )
     # the payloads: one html per response, joined on the row's own identity, which has no hot key
     whole = rows.select("id", "url", *keys, "html")
@@ -107,9 +117,48 @@ def write(pages: DataFrame, folder: str, html_col: str = "html", id_col: str = "
         _header(
             _line("WARC-Type", F.lit("response")), *common, digest, size, _line("Content-Type", F.lit("application/http;msgtype=response")),
             _line("Content-Length", (F.octet_length(headers) + F.col("bytes")).cast("string")),
-        ).alias("head"), F.concat(headers, F.col("html")).alias("body"),
+        ).alias("head"), F.concat(headers, F.col("html")).alias("body"), *about("response", F.lit(None).cast("string")),
     )
-    full.unionByName(again).select(F.concat("head", "body").alias("value")).write.option("lineSep", END).text(folder)
+    both = full.unionByName(again)
+    return both.select(F.concat("head", "body").alias("value"), "url", "digest", "page_id", "record_type", "refers_to")
+
+
+def write(pages: DataFrame, folder: str, html_col: str = "html", id_col: str = "page_id", url_col: str = "url", least: int = 0) -> None:
+    """Write folder/archive and folder/index."""
+    spark, rows = pages.sparkSession, records(pages, html_col, id_col, url_col, least)
+    if not by_ranges(folder):
+        rows.select("value").write.option("lineSep", END).text(f"{folder}/archive")
+        walked(spark, f"{folder}/archive").write.parquet(f"{folder}/index")
+        return
+    archive = _uri(f"{folder}/archive")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(archive)
+        file, path, at = None, "", 0
+        for batch in batches:
+            found = []
+            for value, *about in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file is None or at > ROLL:
+                    if file is not None:
+                        file.close()
+                    system.create_dir(inner, recursive=True)
+                    name = f"part-{uuid.uuid4().hex}.warc.gz"
+                    file, path, at = system.open_output_stream(f"{inner}/{name}", compression=None), f"{archive}/{name}", 0
+                packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                member = packer.compress(value + END.encode()) + packer.flush()
+                file.write(member)
+                found.append((path, at, len(member), *about))
+                at += len(member)
+            if found:
+                file.flush()
+                yield _rows(found)
+        if file is not None:
+            file.close()
+
+    packed = rows.select(F.col("value").cast("binary").alias("value"), "url", "digest", "page_id", "record_type", "refers_to")
+    packed.mapInArrow(task, INDEX).write.parquet(f"{folder}/index")
 
 
 def _records(blob: bytes, at: int = 0) -> Iterator[tuple[int, int, dict, int]]:
@@ -152,40 +201,19 @@ def by_ranges(folder: str) -> bool:
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of the archives in folder."""
+    return spark.read.parquet(f"{folder}/index")
+
 
-    def rows(found: list) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True))
-        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+def walked(spark: SparkSession, archive: str) -> DataFrame:
+    """The index of plain archives, from header to header of whole part files."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with _opened(path) as file:
-                    size, at, step = file.size(), 0, 4 * 1024 * 1024
-                    while at < size:
-                        blob = file.read_at(min(step, size - at), at)
-                        found = [(path, at + o, n, *_described(f)) for o, n, f, _ in _records(blob)]
-                        if found:
-                            yield rows(found)
-                            at, step = found[-1][1] + found[-1][2], 4 * 1024 * 1024
-                        elif at + len(blob) >= size:
-                            raise ValueError(f"{path} ends within a record")
-                        else:
-                            step *= 2  # a record longer than a step
-
-    def walk_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if found := [(path, o, n, *_described(f)) for o, n, f, _ in _records(blob.as_py())]:
-                    yield rows(found)
+                    yield _rows(found)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    if by_ranges(folder):
-        paths = files.select("path", "length").where("length > 0").select("path").repartition(F.col("path"))
-        return paths.select(F.regexp_replace("path", "^file:/(?=[^/])", "file:///").alias("file")).mapInArrow(walk, INDEX)
-    return files.select("path", "content").mapInArrow(walk_whole, INDEX)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archive).select("path", "content").mapInArrow(walk, INDEX)
 
 
 def coalesced(selected: DataFrame, gap: int = GAP, most: int = MOST) -> DataFrame:
@@ -207,12 +235,14 @@ def read(spark: SparkSession, selected: DataFrame, folder: str, id_type: str = "
     A response's size and digest are computed from the payload that was read and must agree with its headers.
     """
 
-    def cut_out(blob: bytes, at: int) -> tuple:
-        _, _, fields, block = next(_records(blob, at))
+    def cut_out(blob: bytes, at: int, length: int) -> tuple:
+        record = blob[at : at + length]
+        record = zlib.decompress(record, 31) if record[:2] == b"\x1f\x8b" else record
+        _, _, fields, block = next(_records(record))
         url, digest, page, kind, refers = _described(fields)
         size, payload = int(fields["X-Payload-Length"]), None
         if kind == "response":
-            body = blob[block : block + int(fields["Content-Length"])]
+            body = record[block : block + int(fields["Content-Length"])]
             payload = body[body.index(b"\r\n\r\n") + 4 :]
             if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != size:
                 raise ValueError(f"the payload of page {page} does not agree with its digest")
@@ -229,19 +259,19 @@ def read(spark: SparkSession, selected: DataFrame, folder: str, id_type: str = "
             for row in batch.to_pylist():
                 with _opened(row["file"]) as file:
                     blob = file.read_at(row["stop"] - row["start"], row["start"])
-                yield batch_of([cut_out(blob, r["offset"] - row["start"]) for r in row["records"]])
+                yield batch_of([cut_out(blob, r["offset"] - row["start"], r["length"]) for r in row["records"]])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield batch_of([cut_out(row["content"], r["offset"]) for r in row["records"]])
+                yield batch_of([cut_out(row["content"], r["offset"], r["length"]) for r in row["records"]])
 
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
     joined = coalesced(selected, gap, most)
     if by_ranges(folder):
         made = joined.select("file", "start", "stop", "records").repartition(F.col("file"), F.col("start")).mapInArrow(ranges, schema)
     else:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/archive")
         made = files.join(joined, files.path == joined.file).select("content", "records").mapInArrow(whole, schema)
     typed = made.select(
         F.expr(f"try_cast(page_id AS {id_type})").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", F.expr(f"try_cast(refers_to AS {id_type})").alias("refers_to"), "payload"
@@ -253,6 +283,5 @@ def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None, html
     """Write the archives and their index to the shared folder, then read every record back."""
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write(pages, f"{folder}/archive", html_col, id_col, url_col, least)
-    index(spark, f"{folder}/archive").write.parquet(f"{folder}/index")
-    return read(spark, spark.read.parquet(f"{folder}/index"), f"{folder}/archive", pages.schema[id_col].dataType.simpleString())
+    write(pages, folder, html_col, id_col, url_col, least)
+    return read(spark, index(spark, folder), folder, pages.schema[id_col].dataType.simpleString())
