@@ -11,7 +11,7 @@ Tables come in two ways:
   errors, some table reads only untouched blocks, so no link is lost. For radius 3 of 64 bits: 6 blocks, 20 tables that
   read about 32 bits each.
 * `sampled_tables`: for wide radii, where no exact scheme narrows the search: each table reads random bits, as many as
-  the number of fingerprints asks for, and there are as many tables as the wanted recall at the radius asks for.
+  the number of fingerprints asks for, and there are as many tables as the wanted recall at the least similarity asks for.
 
 The trees are not broadcast whole: they hold a fingerprint of every document, which has no size bound. Instead a shard's
 tree is built where the shard's queries are.
@@ -101,10 +101,15 @@ def exact_tables(bits: int, radius: int, blocks: int) -> list[np.ndarray]:
     return [np.concatenate(kept) for kept in itertools.combinations(parts, blocks - radius)]
 
 
-def sampled_tables(bits: int, radius: int, rows: int, recall: float, seed: int = 7) -> list[np.ndarray]:
-    """Tables that read about log2(rows) bits, enough for the recall of a pair at the radius."""
+def expected_distance(bits: int, similarity: float) -> float:
+    """How many bits differ on average between texts of a Jaccard similarity."""
+    return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_tables(bits: int, distance: float, rows: int, recall: float, seed: int = 7) -> list[np.ndarray]:
+    """Tables that read about log2(rows) bits, enough for the recall of a pair at the distance."""
     read = min(max(16, math.ceil(math.log2(max(rows, 2)))), 48)
-    meet = (1 - radius / bits) ** read
+    meet = (1 - distance / bits) ** read
     random = np.random.default_rng(seed)
     return [random.choice(bits, read, replace=False) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - meet)))]
 
@@ -164,11 +169,14 @@ def _stars(column: pa.ChunkedArray, starts: np.ndarray, width: int, radius: int)
     return pa.RecordBatch.from_arrays([kept.take(pa.array(moved)), kept.take(pa.array(label[moved]))], ["a", "b"])
 
 
-def grouped(prints: DataFrame, bits: int, radius: int, tables: list[np.ndarray] | None = None, recall: float = 0.98) -> DataFrame:
-    """prints (checkpointed rows with fp) -> distinct fp with the root fingerprint of its component."""
+def grouped(prints: DataFrame, bits: int, radius: int, tables: list[np.ndarray] | None = None, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
+    """prints (checkpointed rows with fp) -> distinct fp with the root fingerprint of its component.
+
+    Without tables, sampled ones are made that have the recall for pairs of the similarity.
+    """
     distinct = prints.select("fp").distinct()
     if tables is None:
-        tables = sampled_tables(bits, radius, distinct.count(), recall)
+        tables = sampled_tables(bits, expected_distance(bits, similarity), distinct.count(), recall)
     roots = components(bucket_links(distinct, bits, radius, tables))
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -182,14 +190,15 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, bits: int = 512, radius: int = 90, recall: float = 0.98) -> DataFrame:
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, bits: int = 512, radius: int = 90, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
     """docs with one document of each near-duplicate group, the one with the smallest id.
 
     Two texts of Jaccard similarity J over their shingles differ in a share of acos(2J / (1 + J)) / pi of the bits: 0.152
-    at J = 0.8, which is 78 of 512 bits with a deviation of 8. The default radius takes in such pairs with 1.5 deviations to spare.
+    at J = 0.8, which is 78 of 512 bits with a deviation of 8. The default radius takes in such pairs with 1.5 deviations
+    to spare; the tables have the recall at the similarity itself.
     """
     prints = cut(fingerprints(docs, text_col, id_col, words, bits))
-    group = grouped(prints, bits, radius, recall=recall)
+    group = grouped(prints, bits, radius, None, similarity, recall)
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
     rows = prints.withColumn("place", place).drop("id", "text_hash")
     first = rows.groupBy("fp").agg(F.min("place").alias("place")).join(group, "fp").groupBy("root").agg(F.min("place").alias("keep"))
