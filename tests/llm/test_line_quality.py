@@ -71,6 +71,8 @@ def test_keep_good_carries_rows(spark):
 
 def test_edges(spark):
     docs, labels = corpus(spark)
+    clashing = docs.selectExpr("*", "1 AS label", "2 AS raw", "3 AS quality", "4 AS score")
+    assert [r.score for r in line_quality.score(clashing, labels).orderBy("doc_id").collect()] == [r.score for r in line_quality.score(docs, labels).orderBy("doc_id").collect()]
     assert line_quality.score(docs.where("false"), labels).count() == 0
     assert {r.score for r in line_quality.score(docs, labels.where("false")).collect()} == {0.5}
     assert {r.score for r in line_quality.score(docs, labels.where("quality = 1")).collect()} == {1.0}

@@ -37,6 +37,7 @@ def test_edges(spark):
     docs = documents(spark, AWKWARD)
     assert mixing.mix(docs.where("false")).count() == 0
     assert mixing.mix(docs, marks=False).columns == docs.columns
-    with pytest.raises(ValueError, match="copy"):
-        mixing.mix(docs.withColumn("copy", F.lit(1)))
+    clashing = docs.withColumn("copy", F.lit(-1)).withColumn("__mix_doc", F.lit(-2)).withColumn("s", F.lit(-3))
+    made = mixing.mix(clashing)
+    assert made.columns == [*clashing.columns, "copy_", "copies", "mix_key"] and made.select("copy", "__mix_doc", "s").distinct().collect() == [(-1, -2, -3)]
     assert mixing.cumulative(0.0) == [1.0] and mixing.cumulative(30.0)[-1] == pytest.approx(1)

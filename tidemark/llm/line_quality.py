@@ -95,7 +95,8 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_
     many = usable.count()
     part = min(1.0, sample / max(many, 1))
     drawn = usable.where(F.pmod(F.xxhash64("__label_id"), F.lit(1_000_003)) < F.lit(part * 1_000_003))
-    rows = docs.join(F.broadcast(drawn), docs[id_col] == drawn["__label_id"]).select("label", utf8(docs[text_col]).alias("raw"))
+    texts = docs.select(F.col(id_col).alias("__doc_id"), utf8(F.col(text_col)).alias("raw"))
+    rows = texts.join(F.broadcast(drawn), F.col("__doc_id") == F.col("__label_id")).select("label", "raw")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -64,40 +64,34 @@ def mix(
 ) -> DataFrame:
     """docs with every document repeated by its draw, in shuffled order; marks adds copy, copies and mix_key."""
     spark, columns = docs.sparkSession, docs.columns
-    if clash := {"copy", "copies", "mix_key"} & set(columns):
-        raise ValueError(f"columns {sorted(clash)} are made here")
+    free = lambda name: name if name.lower() not in {c.lower() for c in columns} else free(name + "_")
+    copy, times, key, where, who, cdf, salt, at = map(free, ("copy", "copies", "mix_key", "__mix_source", "__mix_doc", "__mix_cdf", "__mix_salt", "__mix_u"))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     size = F.greatest(F.lit(1), F.coalesce(F.length(text_col), F.lit(1)))
     sizes = docs.groupBy(source.alias("s")).agg(F.sum(size).alias("n"))
     few = sizes.limit(MAX_BROADCAST + 1).collect()
-    keyed = docs.withColumn("__mix_source", source).withColumn(
-        "__mix_doc", F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.withColumn(where, source).withColumn(
+        who, F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     )
     if len(few) <= MAX_BROADCAST:
         rows = [(s, cumulative(m)) for s, m in means({r.s: r.n for r in few}, targets).items()]
-        rates = spark.createDataFrame(rows, "__mix_source string, __mix_cdf array<double>")
-        joined = keyed.join(F.broadcast(rates), "__mix_source")
+        rates = spark.createDataFrame(rows, f"{where} string, {cdf} array<double>")
+        joined = keyed.join(F.broadcast(rates), where)
     else:
-        total, count = sizes.agg(F.sum("n"), F.count("*")).first()
-        weights = F.lit(1.0) if targets is None else F.lit(None).cast("double")
+        total = sizes.agg(F.sum("n")).first()[0]
+        weighted = sizes.withColumn("w", F.lit(1.0))
         if targets is not None:
             given = spark.createDataFrame(list(targets.items()), "s string, w double")
             weighted = sizes.join(given, "s", "left").select("s", "n", F.coalesce("w", F.col("n") / total).alias("w"))
-        else:
-            weighted = sizes.select("s", "n", weights.alias("w"))
         scale = weighted.agg(F.sum("w")).first()[0]
-        cdf = F.udf(lambda m: cumulative(m), "array<double>")
-        rates = weighted.select(F.col("s").alias("__mix_source"), cdf(F.col("w") / scale * total / F.col("n")).alias("__mix_cdf"))
-        rates = rates.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = keyed.withColumn("__mix_salt", F.pmod(F.xxhash64("__mix_doc"), F.lit(SALTS)).cast("int"))
-        joined = salted.join(rates, ["__mix_source", "__mix_salt"])
-    u = unit(seed, F.col("__mix_doc"))
-    copies = F.when(F.element_at("__mix_cdf", -1) <= u, F.size("__mix_cdf")).otherwise(
-        F.size(F.filter("__mix_cdf", lambda p: p <= F.col("__mix_u")))
-    )
-    drawn = joined.withColumn("__mix_u", u).withColumn("copies", copies.cast("long")).where("copies > 0")
-    # a mean of zero has the distribution [1.0], whose inverse is zero everywhere
-    spread = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    keyed = spread.withColumn("mix_key", F.md5(F.concat_ws("\x1f", F.lit(str(seed + 1)), F.col("__mix_doc"), F.col("copy"))))
-    dealt = keyed.select(*[F.col(f"`{c}`") for c in columns], "copy", "copies", "mix_key").repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
-    return dealt if marks else dealt.select(*[F.col(f"`{c}`") for c in columns])
+        mean = F.col("w") / scale * total / F.col("n") if scale else F.lit(0.0)
+        rates = weighted.select(F.col("s").alias(where), F.udf(cumulative, "array<double>")(mean).alias(cdf))
+        rates = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn(salt, F.pmod(F.xxhash64(who), F.lit(SALTS)).cast("int")).join(rates, [where, salt])
+    # how many cumulative probabilities the number has passed; a mean of zero has the distribution [1.0], which none passes
+    drawn = joined.withColumn(at, unit(seed, F.col(who))).withColumn(times, F.size(F.filter(cdf, lambda p: p <= F.col(at))).cast("long")).where(F.col(times) > 0)
+    spread = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    keyed = spread.withColumn(key, F.md5(F.concat_ws("\x1f", F.lit(str(seed + 1)), F.col(who), F.col(copy))))
+    own = [F.col(f"`{c}`") for c in columns]
+    dealt = keyed.select(*own, copy, times, key).repartition(F.col(key)).sortWithinPartitions(key)
+    return dealt if marks else dealt.select(*own)

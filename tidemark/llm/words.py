@@ -73,6 +73,7 @@ class Words:
 def chunks(column: pa.Array) -> Iterator[pa.Array]:
     """A binary column in slices of about CHUNK bytes; a longer text is a slice of its own."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.binary()) if column.type != pa.binary() else column
     sizes = np.cumsum([0 if x is None else x for x in pc.binary_length(column).to_pylist()])
     begin, done = 0, 0
     while begin < len(column):
