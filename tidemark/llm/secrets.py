@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 
 # The contract's patterns, as (kind, pattern, group whose length counts, its least length).
 BASE = [
-    ("assign", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 ]
-BASE[0] = ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6)
+#: The same matches without those that are too short: such a match is a whole run, and no other begins within it.
+ENOUGH = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 #: Where a match of at least the least length can begin at all: a cheap test before the real work.
 MAYBE = {"assign": r"(?i:passw|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
@@ -36,7 +37,8 @@ CLASSES = [
     ("entropy_lower", r"[0-9a-z_-]+", 20, 3.6),
     ("entropy_base64", r"[A-Za-z0-9+/_-]+={0,2}", 20, 3.7),
 ]
-#: Strings that look random and are no secrets.
+#: Strings that look random and are no secrets, and up to which length.
+ALLOW_LENGTH = 200
 ALLOW = [
     r"[0-9+/_=-]+",  # numbers, dates and rules
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUIDs
@@ -65,39 +67,59 @@ def _found(text: Column, pattern: str, group: int) -> Column:
     )
 
 
+def _long_enough(found: Column, least: int) -> Column:
+    return F.filter(found, lambda m: F.length(m["own"]) >= least)
+
+
 def _spans(found: Column, rank: int) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), (m["start"] + m["length"]).alias("stop")))
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once: a lambda's variable, where an expression would be computed at every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def entropy(candidate: Column, window: int) -> Column:
     """The highest Shannon entropy of a window's characters (of the whole candidate, if shorter), by incremental counts."""
-    chars = F.split(candidate, "")
-    alphabet = F.array_distinct(chars)
-    codes = F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int"))
     terms = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(window + 1)])
     term = lambda n: F.element_at(terms, n + 1)
+    bits = lambda n, total: F.log2(n.cast("double")) - total / n
 
-    def slide(state, i):
-        enters, leaves = F.element_at(codes, i), F.when(i > window, F.element_at(codes, i - window)).otherwise(0)
-        gone = F.transform(state["counts"], lambda n, j: F.when(j + 1 == leaves, n - 1).otherwise(n))
-        had, has = F.when(leaves > 0, F.element_at(state["counts"], F.greatest(leaves, F.lit(1)))).otherwise(1), F.element_at(gone, enters)
+    def slide(state, x):
+        enters, leaves = x["enters"], x["leaves"]
+        had = F.when(leaves > 0, F.element_at(state["counts"], F.greatest(leaves, F.lit(1)))).otherwise(1)
+        # what the entering character's count is once the other has left
+        has = F.element_at(state["counts"], enters) - F.when(leaves == enters, 1).otherwise(0)
         total = state["sum"] - F.when(leaves > 0, term(had) - term(had - 1)).otherwise(0.0) + term(has + 1) - term(has)
-        n = F.least(i, F.lit(window))
-        bits = F.log2(n.cast("double")) - total / n
         return F.struct(
-            F.transform(gone, lambda n, j: F.when(j + 1 == enters, n + 1).otherwise(n)).alias("counts"),
+            F.transform(state["counts"], lambda n, j: n + F.when(j + 1 == enters, 1).otherwise(0) - F.when(j + 1 == leaves, 1).otherwise(0)).alias("counts"),
+            (state["n"] + 1).alias("n"),
             total.alias("sum"),
-            F.when((i >= window) | (i == F.size(codes)), F.greatest(state["best"], bits)).otherwise(state["best"]).alias("best"),
+            F.when(state["n"] + 1 >= window, F.greatest(state["best"], bits(F.lit(window), total))).otherwise(state["best"]).alias("best"),
         )
 
-    start = F.struct(F.transform(alphabet, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, slide, lambda s: s["best"])
+    def best(x):
+        start = F.struct(x["zeros"].alias("counts"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        moves = F.zip_with(
+            x["codes"],
+            F.slice(F.concat(F.array_repeat(F.lit(0), window), x["codes"]), F.lit(1), F.size(x["codes"])),
+            lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")),
+        )
+        return F.aggregate(moves, start, slide, lambda s: F.when(s["n"] < window, bits(F.greatest(s["n"], F.lit(1)), s["sum"])).otherwise(s["best"]))
+
+    def coded(x):
+        codes = F.transform(x["chars"], lambda c: F.array_position(x["alphabet"], c).cast("int"))
+        return _let(F.struct(codes.alias("codes"), F.transform(x["alphabet"], lambda _: F.lit(0)).alias("zeros")), best)
+
+    return _let(F.split(candidate, ""), lambda chars: _let(F.struct(chars.alias("chars"), F.array_distinct(chars).alias("alphabet")), coded))
 
 
 def _random(candidate: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOW:
-        allowed = allowed | candidate.rlike(f"^(?:{pattern})$")
+        # the patterns are of short strings, and nested repetition is no good on very long ones
+        allowed = allowed | ((F.length(candidate) <= ALLOW_LENGTH) & candidate.rlike(f"^(?:{pattern})$"))
     rank, enough = F.lit(0), F.lit(None).cast("double")
     for k, (_, pattern, _, bits) in reversed(list(enumerate(CLASSES))):
         fits = candidate.rlike(f"^{pattern}$")
@@ -113,8 +135,8 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     text, none = F.col("__text"), F.array().cast("array<struct<start:int,rank:int,stop:int>>")
     for rank, (kind, pattern, group, least) in enumerate(BASE):
-        found = F.filter(_found(text, pattern if group else pattern.replace("+", f"{{{least - (4 if kind == 'access' else 0)},}}"), group), lambda m, n=least: F.length(m["own"]) >= n)
-        rows = rows.withColumn(f"__{kind}", F.when(text.rlike(MAYBE[kind]), _spans(found, rank)).otherwise(none))
+        found = _found(text, ENOUGH.get(kind, pattern), group)
+        rows = rows.withColumn(f"__{kind}", F.when(text.rlike(MAYBE[kind]), _spans(_long_enough(found, least), rank)).otherwise(none))
     rows = rows.withColumn("__cand", F.when(text.rlike(CANDIDATE), _found(text, CANDIDATE, 0)).otherwise(F.array().cast("array<struct<start:int,length:int,own:string,whole:string>>")))
     rows = rows.withColumn(
         "__judged",
