@@ -33,7 +33,7 @@ from tidemark.llm import hmm
 from tidemark.llm.shared import cut, utf8
 from tidemark.llm.words import Lookup, Words, chunks, hash_of
 
-STATES, CLASSES, PASSES = 8, 32_768, 2
+STATES, CLASSES, PASSES = 16, 32_768, 2
 #: Texts of the sample that gives the first model (expected number), and rounds over it.
 SAMPLE, ROUNDS = 1500, 12
 HEAD = 1_000_000
