@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import WHITE
@@ -30,12 +30,15 @@ def salts_for(rows: int) -> int:
     return max(8, math.isqrt(rows))
 
 
+def _normal(text: Column) -> Column:
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), WHITE, "")
+
+
 def _keyed(docs: DataFrame, text_col: str, id_col: str, digest_bits: int, salts: int, carried: list) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ident = F.col(id_col)
-    norm = F.translate(text, WHITE, "")
     return docs.select(
-        norm.alias("norm"),
+        _normal(F.col(text_col)).alias("norm"),
         F.struct((-F.length(text)).alias("points"), ident.isNull().alias("no_id"), ident.alias("id")).alias("place"),
         F.pmod(F.xxhash64(ident), F.lit(salts)).alias("salt"),
         *carried,
@@ -69,7 +72,9 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents that stay, with all their columns: the same three combining steps carry whole rows."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    rows = _keyed(docs, text_col, id_col, 256, salts_for(docs.count()), [whole])
-    for keys in (["digest", "salt", "norm"], ["digest", "norm"]):
-        rows = rows.groupBy(*keys).agg(F.min_by("whole", "place").alias("whole"), F.min("place").alias("place"))
-    return rows.select("whole.*")
+    best = (F.min_by("whole", "place").alias("whole"), F.min("place").alias("place"))
+    keyed = _keyed(docs, text_col, id_col, 256, salts_for(docs.count()), [whole])
+    salted = keyed.groupBy("digest", "salt", "norm").agg(*best).select("digest", "whole", "place")
+    # the normalised text is made again where rows have met by digest, so that it needn't travel beside the text
+    met = salted.repartition(F.col("digest")).withColumn("norm", _normal(F.col("whole")[text_col]))
+    return met.groupBy("digest", "norm").agg(*best).select("whole.*")
