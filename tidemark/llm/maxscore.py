@@ -103,15 +103,20 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank (from 1), id_col, score: for each query its k best rows of vectors, its own row left out."""
 
+    v = F.col(vector_col)
+    sound = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
+
     def ready(df: DataFrame) -> DataFrame:
-        v = F.col(vector_col)
-        sound = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
         whole = F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")))
         return df.where(sound).select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
+    def extent(df: DataFrame) -> tuple[int, int]:
+        found = df.where(sound).agg(F.count("*").alias("n"), F.max(F.size(v)).alias("width")).first()
+        return found.n, found.width or 0
+
     rows, asked = ready(vectors), ready(queries)
-    n, m, width = rows.count(), asked.count(), rows.agg(F.max(F.size("v"))).first()[0] or 0
-    width = max(width, asked.agg(F.max(F.size("v"))).first()[0] or 0)
+    (n, width), (m, wide) = extent(vectors), extent(queries)
+    width = max(width, wide)
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(m / block))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("b", every(blocks))
