@@ -5,13 +5,9 @@ by several tables, each of which reads some of their bits; every bucket gets a B
 fingerprints is searched within the radius, following only edges in reach. A bucket emits a star per group it finds, not
 its pairs, and the stars of all buckets are joined up to components.
 
-Tables come in two ways:
-
-* `exact_tables`: the bits are cut into blocks, and a table reads all blocks but as many as the radius. Whatever the
-  errors, some table reads only untouched blocks, so no link is lost. For radius 3 of 64 bits: 6 blocks, 20 tables that
-  read about 32 bits each.
-* `sampled_tables`: for wide radii, where no exact scheme narrows the search: each table reads random bits, as many as
-  the number of fingerprints asks for, and there are as many tables as the wanted recall at the least similarity asks for.
+Tables are `exact_tables`: the bits are cut into blocks, and a table reads all blocks but as many as the radius. Whatever
+the errors, some table reads only untouched blocks, so no link is lost. For radius 3 of 64 bits: 6 blocks, 20 tables that
+read about 32 bits each. No such scheme narrows the wide radius of `keep_one`, whose buckets are those of `near_sets`.
 
 The trees are not broadcast whole: they hold a fingerprint of every document, which has no size bound. Instead a shard's
 tree is built where the shard's queries are.
@@ -25,63 +21,23 @@ part, and a component of nulls alone has a null id; an empty table gives an empt
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import near_sets
 from tidemark.llm.bktree import Forest, join_up
 from tidemark.llm.components import components
 from tidemark.llm.shared import cut, utf8
+from tidemark.llm.shingles import fingerprint, shingle_hashes
 
-#: Shingles whose bits are unpacked at once.
-CHUNK = 16_384
 #: Fingerprints that a bucket task takes at once, at least (a bucket is never split).
 ROWS = 200_000
 
 
-def shingle_hashes(raw: bytes, words: int, seed: int) -> np.ndarray:
-    """XXH64 of every run of so many words, lower-cased and space-joined; the whole text if it has fewer."""
-    found = raw.lower().split()
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    plain, digest = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) <= words:
-        return np.array([digest(plain, seed)], dtype=np.uint64)
-    ends = list(itertools.accumulate(len(w) + 1 for w in found))
-    starts = [0, *ends]
-    return np.fromiter((digest(plain[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :], strict=False)), dtype=np.uint64, count=len(found) - words + 1)
-
-
-def fingerprint(hashes: np.ndarray, width: int) -> bytes:
-    """The bits that are set in over half the hashes, little-endian. Words after the first mix the hash further."""
-    counts = np.zeros(64 * width, dtype=np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK]
-        wide = np.empty((len(part), width), dtype="<u8")
-        wide[:, 0] = part
-        for k in range(1, width):  # splitmix64
-            z = part + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            wide[:, k] = z ^ (z >> np.uint64(31))
-        octets = wide.view(np.uint8)
-        if len(part) < 4096:
-            counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        else:
-            for k in range(8 * width):
-                seen = np.bincount(octets[:, k], minlength=256)
-                counts[8 * k : 8 * k + 8] += seen @ BITS_OF
-    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
-
-
-BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-
-
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, bits: int = 64, seed: int = 42) -> DataFrame:
     """id, text_hash, fp (binary, little-endian) per row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -101,19 +57,6 @@ def exact_tables(bits: int, radius: int, blocks: int) -> list[np.ndarray]:
     return [np.concatenate(kept) for kept in itertools.combinations(parts, blocks - radius)]
 
 
-def expected_distance(bits: int, similarity: float) -> float:
-    """How many bits differ on average between texts of a Jaccard similarity."""
-    return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def sampled_tables(bits: int, distance: float, rows: int, recall: float, seed: int = 7) -> list[np.ndarray]:
-    """Tables that read about log2(rows) bits, enough for the recall of a pair at the distance."""
-    read = min(max(16, math.ceil(math.log2(max(rows, 2)))), 48)
-    meet = (1 - distance / bits) ** read
-    random = np.random.default_rng(seed)
-    return [random.choice(bits, read, replace=False) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - meet)))]
-
-
 def bucket_links(distinct: DataFrame, bits: int, radius: int, tables: list[np.ndarray]) -> DataFrame:
     """Links (a, b) between distinct fingerprints at most radius apart: of each bucket a star per group."""
     width = bits // 64
@@ -169,14 +112,9 @@ def _stars(column: pa.ChunkedArray, starts: np.ndarray, width: int, radius: int)
     return pa.RecordBatch.from_arrays([kept.take(pa.array(moved)), kept.take(pa.array(label[moved]))], ["a", "b"])
 
 
-def grouped(prints: DataFrame, bits: int, radius: int, tables: list[np.ndarray] | None = None, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
-    """prints (checkpointed rows with fp) -> distinct fp with the root fingerprint of its component.
-
-    Without tables, sampled ones are made that have the recall for pairs of the similarity.
-    """
+def grouped(prints: DataFrame, bits: int, radius: int, tables: list[np.ndarray]) -> DataFrame:
+    """prints (checkpointed rows with fp) -> distinct fp with the root fingerprint of its component."""
     distinct = prints.select("fp").distinct()
-    if tables is None:
-        tables = sampled_tables(bits, expected_distance(bits, similarity), distinct.count(), recall)
     roots = components(bucket_links(distinct, bits, radius, tables))
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -190,20 +128,19 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, bits: int = 512, radius: int = 90, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, bits: int = 512, radius: int = 132, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each near-duplicate group, the one with the smallest id.
 
-    Two texts of Jaccard similarity J over their shingles differ in a share of acos(2J / (1 + J)) / pi of the bits: 0.152
-    at J = 0.8, which is 78 of 512 bits with a deviation of 8. The default radius takes in such pairs with 1.5 deviations
-    to spare; the tables have the recall at the similarity itself.
+    Groups are the components of the pairs whose shingle sets have a Jaccard similarity of at least `similarity`, counted
+    on the sets themselves (`near_sets.grouped_sets`).
     """
-    prints = cut(fingerprints(docs, text_col, id_col, words, bits))
-    group = grouped(prints, bits, radius, None, similarity, recall)
+    prints = cut(near_sets.set_prints(docs, text_col, id_col, words, bits))
+    group = near_sets.grouped_sets(docs, prints, text_col, words, bits, radius, similarity)
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
-    rows = prints.withColumn("place", place).drop("id", "text_hash")
-    first = rows.groupBy("fp").agg(F.min("place").alias("place")).join(group, "fp").groupBy("root").agg(F.min("place").alias("keep"))
-    named = group.join(first, "root").select("fp", "keep")
-    gone = rows.join(named, "fp").where(~F.col("place").eqNullSafe(F.col("keep"))).select("place.*").distinct()
+    rows = prints.select("key", place.alias("place"))
+    first = rows.groupBy("key").agg(F.min("place").alias("place")).join(group, "key").groupBy("root").agg(F.min("place").alias("keep"))
+    named = group.join(first, "root").select("key", "keep")
+    gone = rows.join(named, "key").where(~F.col("place").eqNullSafe(F.col("keep"))).select("place.*").distinct()
     gone = gone.select(F.col("id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
     same = docs[id_col].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs[text_col]) == gone["__gone_hash"])
     return docs.join(gone, same, "left_anti")
