@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 from tidemark.llm import near_sets, simhash_bk
+from tidemark.llm.shingles import fingerprint
 from tests.llm.helpers import documents, words
 
 
@@ -79,3 +81,16 @@ def test_a_group_gives_candidates_in_proportion(spark):
     pairs = near_sets.leader_pairs(members, 8, 132, 0.8).count()
     assert nodes.count() - 1 <= pairs <= near_sets.BANDS * near_sets.LEADERS * 400
     assert kept(spark, [r.text for r in docs.collect()]) == {0}
+
+
+@pytest.mark.parametrize("size", [5, 10, 50, 300])
+def test_joint_recall_at_the_least_similarity(size):
+    rng = np.random.default_rng(size)
+    tries, met = 500, 0
+    for _ in range(tries):
+        whole = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        part = np.sort(rng.permutation(whole)[: size * 4 // 5])
+        a, b = (np.frombuffer(near_sets.bands(x), dtype="<i8") for x in (whole, part))
+        x, y = (np.frombuffer(fingerprint(h, 8), dtype="<u8") for h in (whole, part))
+        met += bool((a == b).any()) and int(np.bitwise_count(x ^ y).sum()) <= 132
+    assert met >= 0.995 * tries, met
