@@ -83,9 +83,10 @@ _BASE32 = " || ".join(
 
 SQL = {
     "op2_maxscore": """
-      WITH long AS (SELECT vec_id, unnest(range(1, 65)) AS dim, unnest(embedding) AS x FROM embeddings), v AS (SELECT vec_id, dim, CAST(floor(64 * x::DOUBLE) AS BIGINT) AS x FROM long),
-      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2),
-      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+      WITH e AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings), long AS (SELECT row, vec_id, unnest(range(1, 65)) AS dim, unnest(embedding) AS x FROM e),
+      v AS (SELECT row, vec_id, dim, CAST(floor(64 * x::DOUBLE) AS BIGINT) AS x FROM long),
+      s AS (SELECT q.row AS asked, c.row, q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.dim = c.dim AND q.row <> c.row WHERE q.vec_id % 20 = 0 GROUP BY 1, 2, 3, 4),
+      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
       SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op3_mixing": """
       WITH d AS (SELECT *, coalesce(source, '') AS s, greatest(1, length(coalesce(text, ''))) AS size, coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || md5(coalesce(text, '')) AS key FROM documents),
