@@ -55,7 +55,7 @@ def make_shard(impacts, k):
     return maxscore.Shard(impacts, [np.array([i]) for i in range(len(impacts))], k, block=64)
 
 
-@pytest.mark.parametrize(("data", "most"), [("round", 0.8), ("clusters", 0.2), ("decaying", 0.5)])
+@pytest.mark.parametrize(("data", "most"), [("round", 0.8), ("clusters", 0.1), ("decaying", 0.2)])
 def test_postings_are_skipped_and_nothing_is_lost(data, most):
     rng = np.random.default_rng(0)
     vectors = rng.normal(0, 8, (8000, 64))
@@ -75,4 +75,4 @@ def test_postings_are_skipped_and_nothing_is_lost(data, most):
         assert [(-s, i) for s, i in zip(got[q == k].tolist(), ids[q == k].tolist(), strict=True)] == want
     assert shard.total == 200 * 8000 * 64
     assert shard.visited < most * shard.total
-    assert [int(x) for x in ids[same]] == list(range(200))
+    assert (ids[same] == q[same]).all()
