@@ -1,13 +1,19 @@
 """Sum-of-squares online packing of tokenised documents into windows.
 
-Each task packs the documents of its own partition, so nothing is shuffled. The state is the level array: levels[h] is
-the number of open windows filled up to h. Whole windows are cut from a long document first; what remains of it goes
-online to the level h for which the sum of squares of the level array grows least (h = 0 opens a window, and a window
-that becomes full leaves the array), the fullest such level on a tie. At the end of a partition, and whenever
-`max_open` windows are open, the open windows are closed by laying their pieces end to end and cutting at the window
-size; the last part is cut at powers of two. So only pieces of windows that never filled are cut, and no padding is left.
+A document's whole windows are cut first, where it is tokenised. What remains of it is a piece: a narrow row of its
+place, length and checksum, without ids. Pieces go online to the windows: the state is the level array, levels[h] being
+the number of open windows filled up to h, and a piece goes to the level h for which the sum of squares of the level
+array grows least (h = 0 opens a window, and a window that becomes full leaves the array), the fullest such level on a
+tie.
 
-Memory: max_open windows of token ids per task, and one document.
+A task places about PIECES pieces. The pieces of its windows that never filled are handed on to fewer tasks, which place
+them in the same way, until one task has them all: it places them, once more the longest first, and then lays the pieces
+of the windows that are still open end to end and cuts them at the window size, the last part at powers of two. So no
+padding is left, and only some pieces of the last windows are cut; the checksums of these parts are made from the
+documents again. Where placing fills few windows (when hardly any two pieces fit together), tasks close their own windows so.
+
+Every level is checkpointed, so a sequence is the same however often a task runs. Memory: about PIECES narrow rows per
+task, or one document.
 
 Defined cases: a null or empty text is the single end id; rows that repeat a doc_id are packed one by one; an empty
 table gives an empty result; extra columns are ignored.
@@ -16,6 +22,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,34 +33,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import cut
+
 WINDOW = 1024
-MAX_OPEN = 4096
+#: Pieces of a task, about; and cut parts whose keys may be broadcast.
+PIECES = 100_000
 #: Characters that are tokenised in one call.
 CALL_CHARS = 200_000
-SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Packer:
-    """The level array and the open windows of one task. put() and close() give finished windows: lists of pieces.
-
-    A piece is (document, start, ids, tokens of the document).
-    """
+    """The level array and the open windows of one task. place() and close() give finished windows: lists of pieces."""
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN):
-        self.window, self.max_open, self.open = window, max_open, 0
+    def __init__(self, window: int = WINDOW):
+        self.window = window
         self.levels = np.zeros(window + 1, dtype=np.int64)
         self.stacks: list[list] = [[] for _ in range(window)]
 
-    def put(self, doc, ids: np.ndarray) -> Iterator[list]:
-        total, size = len(ids), self.window
-        for start in range(0, total - size + 1, size):
-            yield [(doc, start, ids[start : start + size], total)]
-        if rest := total % size:
-            yield from self._place((doc, total - rest, ids[total - rest :], total), rest)
-            if self.open >= self.max_open:
-                yield from self.close()
-
-    def _place(self, piece, length: int) -> Iterator[list]:
+    def place(self, piece, length: int) -> list | None:
+        """Put a piece of 1 to window - 1 tokens into a window; the window's (piece, length), if that fills it."""
         size, levels = self.window, self.levels
         # growth of the sum of squares if a window at level h gets the piece, for h = 0 .. size - length
         growth = 1 - 2 * levels[: size - length + 1]
@@ -61,39 +59,37 @@ class Packer:
         growth[0] = 0
         growth[:-1] += 2 * levels[length:size] + 1
         at = size - length - int(np.argmin(growth[::-1]))
-        if at:
-            pieces = self.stacks[at].pop()
-            levels[at] -= 1
-        else:
-            pieces = []
-            self.open += 1
-        pieces.append(piece)
+        pieces = self.stacks[at].pop() if at else []
+        levels[at] -= 1 if at else 0
+        pieces.append((piece, length))
         if at + length == size:
-            self.open -= 1
-            yield pieces
-        else:
-            levels[at + length] += 1
-            self.stacks[at + length].append(pieces)
-
-    def close(self) -> Iterator[list]:
-        """Close every open window without padding."""
-        window, room = [], self.window
-        left = int((self.levels * np.arange(self.window + 1)).sum())
-        for stack in reversed(self.stacks):
-            for pieces in stack:
-                for doc, start, ids, total in pieces:
-                    while len(ids):
-                        if not window:
-                            room = min(self.window, 1 << (left.bit_length() - 1))
-                        part = ids[:room]
-                        window.append((doc, start, part, total))
-                        start, ids, room, left = start + len(part), ids[len(part) :], room - len(part), left - len(part)
-                        if not room:
-                            yield window
-                            window = []
-            stack.clear()
+            return pieces
+        levels[at + length] += 1
+        self.stacks[at + length].append(pieces)
+        return None
+
+    def taken(self) -> list:
+        """The pieces of all open windows, fullest first; none is open then."""
+        out = [x for stack in reversed(self.stacks) for pieces in stack for x in pieces]
         self.levels[:] = 0
-        self.open = 0
+        self.stacks = [[] for _ in range(self.window)]
+        return out
+
+
+def laid(pieces: list, window: int) -> Iterator[list]:
+    """Windows without padding from (piece, length), end to end: lists of (piece, tokens of it before, length)."""
+    row, room, left = [], 0, sum(n for _, n in pieces)
+    for piece, length in pieces:
+        begin = 0
+        while begin < length:
+            if not row:
+                room = min(window, 1 << (left.bit_length() - 1))
+            part = min(room, length - begin)
+            row.append((piece, begin, part))
+            begin, room, left = begin + part, room - part, left - part
+            if not room:
+                yield row
+                row = []
 
 
 #: Fixed value: the public split pattern of byte-level BPE vocabularies with about 50,000 entries.
@@ -159,49 +155,131 @@ def calls(ids: list, texts: list) -> Iterator[tuple[list, list]]:
         yield a, b
 
 
-def pack(
-    docs: DataFrame,
-    tokenizer_path: str,
-    text_col: str = "text",
-    id_col: str = "doc_id",
-    end_id: int = 0,
-    window: int = WINDOW,
-    max_open: int = MAX_OPEN,
-) -> DataFrame:
-    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _tokenised(rows: DataFrame, kind: str, tokenizer_path: str, end_id: int, window: int) -> DataFrame:
+    """Per document: id, hash (of the text), total, seq (of its first whole window), crcs of whole windows, rest and its crc."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer_path, end_id), Packer(window, max_open)
+        encode = encoder(tokenizer_path, end_id)
         number = TaskContext.get().partitionId() << 33
-        id_type, out = None, []
+        for batch in batches:
+            out = []
+            for at, texts in calls(list(range(batch.num_rows)), batch.column(2).to_pylist()):
+                for tokens in encode(texts):
+                    total = len(tokens)
+                    crcs = [zlib.crc32(tokens[k : k + window].tobytes()) for k in range(0, total - window + 1, window)]
+                    rest = total % window
+                    out.append((total, number, crcs, rest, zlib.crc32(tokens[total - rest :].tobytes())))
+                    number += len(crcs)
+            if out:
+                total, seq, crcs, rest, crc = zip(*out, strict=True)
+                made = [pa.array(total, pa.int64()), pa.array(seq, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "hash", "total", "seq", "crcs", "rest", "crc"])
+
+    return rows.mapInArrow(task, f"id {kind}, hash long, total long, seq long, crcs array<long>, rest long, crc long")
+
+
+PLACED = ["id", "hash", "start", "length", "crc", "total", "seq", "offset"]
+
 
-        def lay(windows: Iterator[list]) -> None:
+def _placed(pieces: DataFrame, kind: str, window: int, level: int, last: bool) -> DataFrame:
+    """pieces with seq and offset; both null for a piece of a window that is still open, crc null for a part that was cut."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, number = Packer(window), level << 58 | TaskContext.get().partitionId() << 33
+        types, out = None, []
+
+        def finish(parts) -> None:
             nonlocal number
-            for pieces in windows:
-                offset = 0
-                for doc, start, ids, total in pieces:
-                    out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, number, offset))
-                    offset += len(ids)
-                number += 1
-
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            made = pa.RecordBatch.from_arrays([pa.array(c, id_type if k == 0 else pa.int64()) for k, c in enumerate(columns)], names)
+            offset = 0
+            for (key, hashed, start, whole, crc, total), begin, length in parts:
+                out.append((key, hashed, start + begin, length, crc if length == whole else None, total, number, offset))
+                offset += length
+            number += 1
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], PLACED)
             out.clear()
             return made
 
-        for rows in batches:
-            id_type = rows.column(0).type
-            for ids, texts in calls(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                for doc, tokens in zip(ids, encode(texts), strict=True):
-                    lay(packer.put(doc, tokens))
+        def place(piece, length: int) -> None:
+            if full := packer.place(piece, length):
+                finish((x, 0, n) for x, n in full)
+
+        for batch in batches:
+            types = [batch.column(0).type, *[pa.int64()] * 7]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place(row, row[3])
             if out:
-                yield batch()
-        lay(packer.close())
+                yield batch_of()
+        if last:
+            for piece, length in sorted(packer.taken(), key=lambda x: -x[1]):
+                place(piece, length)
+            for parts in laid(packer.taken(), window):
+                finish(parts)
+        else:
+            out.extend((*piece, None, None) for piece, _ in packer.taken())
         if out:
-            yield batch()
+            yield batch_of()
+
+    return pieces.select(*PLACED[:6]).mapInArrow(task, f"id {kind}, hash long, start long, length long, crc long, total long, seq long, offset long")
+
+
+def _summed(rows: DataFrame, parts: DataFrame, kind: str, tokenizer_path: str, end_id: int, few: bool) -> DataFrame:
+    """Cut parts (distinct id, hash, start, length) with their crc, from the documents again."""
+    small = F.broadcast if few else lambda df: df
+    keys = parts.groupBy(F.col("id").alias("k_id"), F.col("hash").alias("k_hash")).agg(F.collect_set(F.struct("start", "length")).alias("parts"))
+    own = (rows["hash"] == F.col("k_hash")) & rows["id"].eqNullSafe(F.col("k_id"))
+    texts = rows.join(small(keys.select("k_id", "k_hash")), own, "left_semi").groupBy("id", "hash").agg(F.first("text").alias("text"))
+    wanted = texts.join(small(keys), (texts["hash"] == F.col("k_hash")) & texts["id"].eqNullSafe(F.col("k_id"))).select("id", "hash", "text", "parts")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer_path, end_id)
+        for batch in batches:
+            out = []
+            for at, texts in calls(list(range(batch.num_rows)), batch.column(2).to_pylist()):
+                for k, tokens in zip(at, encode(texts), strict=True):
+                    out += [(k, p["start"], p["length"], zlib.crc32(tokens[p["start"] : p["start"] + p["length"]].tobytes())) for p in batch.column(3)[k].as_py()]
+            if out:
+                at, *made = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in made)], ["id", "hash", "start", "length", "crc"])
+
+    return wanted.mapInArrow(task, f"id {kind}, hash long, start long, length long, crc long")
 
-    return rows.mapInArrow(task, f"`{id_col}` {kind}, {SCHEMA}")
+
+def pack(
+    docs: DataFrame,
+    tokenizer_path: str,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    end_id: int = 0,
+    window: int = WINDOW,
+    pieces: int = PIECES,
+) -> DataFrame:
+    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    made = cut(_tokenised(rows, kind, tokenizer_path, end_id, window))
+    whole = made.select("id", "hash", "total", "seq", F.posexplode("crcs").alias("at", "crc"))
+    whole = whole.select("id", "hash", (F.col("at") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "crc", "total", F.col("seq") + F.col("at"), F.lit(0).cast("long"))
+    result = whole.toDF(*PLACED)
+    left = made.where("rest > 0").select("id", "hash", (F.col("total") - F.col("rest")).alias("start"), F.col("rest").alias("length"), "crc", "total")
+    count, level, stuck = left.count(), 1, False
+    while count:
+        tasks = math.ceil(count / pieces)
+        last = tasks == 1 or stuck
+        placed = cut(_placed(left.repartition(tasks), kind, window, level, last))
+        result = result.unionByName(placed.where("seq IS NOT NULL"))
+        left = placed.where("seq IS NULL").select(*PLACED[:6])
+        before, count, level = count, 0 if last else left.count(), level + 1
+        stuck = 2 * count > before
+    bare = result.where("crc IS NULL").select("id", "hash", "start", "length").distinct()
+    if level > 1 and (parts := bare.count()):
+        few = parts <= PIECES
+        sums = _summed(rows, bare, kind, tokenizer_path, end_id, few).select(*[F.col(c).alias(f"s_{c}") for c in ("id", "hash", "start", "length", "crc")])
+        same = (result["hash"] == F.col("s_hash")) & (result["start"] == F.col("s_start")) & (result["length"] == F.col("s_length")) & result["id"].eqNullSafe(F.col("s_id"))
+        joined = result.where("crc IS NULL").join(F.broadcast(sums) if few else sums, same)
+        result = result.where("crc IS NOT NULL").unionByName(joined.select(*[F.col("s_crc" if c == "crc" else c).alias(c) for c in PLACED]))
+    return result.select(
+        F.col("id").alias(id_col), "start", "length", F.col("crc").alias("ids_crc32"), F.col("total").alias("doc_tokens"), F.col("seq").alias("sequence_id"), "offset"
+    )
