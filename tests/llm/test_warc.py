@@ -60,6 +60,20 @@ def test_archives_are_whole_gzip_files(spark, tmp_path):
     assert len(found) == len(ROWS) and found.count("revisit") == 4
 
 
+def test_read_tasks_grow_with_the_archive(spark):
+    ranges = lambda n, size: spark.range(n).select(F.lit("f").alias("file"), (F.col("id") * size).alias("start"), ((F.col("id") + 1) * size).alias("stop"))
+    assert warc.read_tasks(ranges(4000, 8 << 20)) == 2000
+    assert warc.read_tasks(ranges(40, 1000)) == spark.sparkContext.defaultParallelism
+    assert warc.read_tasks(ranges(2, 1000)) == 2 and warc.read_tasks(ranges(0, 1)) == 1
+
+
+def test_many_ranges_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(k, f"http://x/{k}", f"page {k} " * 30) for k in range(200)]
+    warc.write(pages(spark, rows).repartition(3), f"file://{tmp_path}")
+    read = warc.read(spark, warc.index(spark, f"file://{tmp_path}"), f"file://{tmp_path}", most=1000)
+    assert read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and read.count() == 200
+
+
 def test_plain_path_agrees(spark, tmp_path, monkeypatch):
     ranged = warc.round_trip(pages(spark), folder=f"file://{tmp_path}/a")
     ranged = sorted(map(str, ranged.collect()))

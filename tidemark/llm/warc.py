@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, shared_folder
+from tidemark.llm.shared import cut, drop, shared_folder
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 RANGE_SCHEMES = {"", "file", "hdfs", "s3", "gs"}
 GAP, MOST = 64 * 1024, 8 * 1024 * 1024
+#: Archive bytes that a reading task takes, about.
+TASK_BYTES = 16 * 1024 * 1024
 #: Bytes after which a task begins another archive, and the effort of compression.
 ROLL, LEVEL = 1 << 30, 6
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -229,6 +232,12 @@ def coalesced(selected: DataFrame, gap: int = GAP, most: int = MOST) -> DataFram
     )
 
 
+def read_tasks(ranges: DataFrame) -> int:
+    """Tasks that read the ranges: by their bytes, and as many as run at once where there are ranges enough."""
+    count, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    return max(1, math.ceil(size / TASK_BYTES), min(count, ranges.sparkSession.sparkContext.defaultParallelism))
+
+
 def read(spark: SparkSession, selected: DataFrame, folder: str, id_type: str = "bigint", with_payload: bool = False, gap: int = GAP, most: int = MOST) -> DataFrame:
     """Records of the selected index rows: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload].
 
@@ -269,7 +278,8 @@ def read(spark: SparkSession, selected: DataFrame, folder: str, id_type: str = "
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
     joined = coalesced(selected, gap, most)
     if by_ranges(folder):
-        made = joined.select("file", "start", "stop", "records").repartition(F.col("file"), F.col("start")).mapInArrow(ranges, schema)
+        joined = cut(joined.select("file", "start", "stop", "records"))
+        made = joined.repartition(read_tasks(joined), F.col("file"), F.col("start")).mapInArrow(ranges, schema)
     else:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/archive")
         made = files.join(joined, files.path == joined.file).select("content", "records").mapInArrow(whole, schema)
@@ -280,8 +290,16 @@ def read(spark: SparkSession, selected: DataFrame, folder: str, id_type: str = "
 
 
 def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Write the archives and their index to the shared folder, then read every record back."""
+    """Write the archives and their index, then read every record back.
+
+    Without a folder they go to one in the shared folder, which is removed once the rows are checkpointed; a given folder
+    stays.
+    """
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write(pages, folder, html_col, id_col, url_col, least)
-    return read(spark, index(spark, folder), folder, pages.schema[id_col].dataType.simpleString())
+    place = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write(pages, place, html_col, id_col, url_col, least)
+    rows = read(spark, index(spark, place), place, pages.schema[id_col].dataType.simpleString())
+    if folder is None:
+        rows = cut(rows)
+        drop(spark, place)
+    return rows
