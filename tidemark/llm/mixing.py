@@ -6,25 +6,36 @@ at a number in [0, 1) that a seeded hash of the document gives: the smallest k w
 So runs agree, documents are drawn independently, and no source needs to be gathered anywhere. The copies are dealt to
 partitions by a second hash and ordered by it there, which is a global shuffle.
 
-The cumulative distributions are one small row per source. Up to MAX_BROADCAST sources they are broadcast; beyond it the
-same rows are joined on (source, salt).
+The means are one number per source. Up to MAX_BROADCAST sources they are broadcast; beyond it the same rows are joined on
+(source, salt). The inverse is taken from the probabilities around the mean, up to a mean of LARGE, and beyond it from
+the asymptotic expansion of the distribution, so neither needs memory that grows with the mean. A document with more than
+BLOCK copies is dealt in blocks of copies before they are made.
 
 Defined cases: a null source is the source ''; a source without a target weight keeps its own share of the corpus
 (so a mean of one before the weights are scaled to one); an empty text counts as one character; a weight of zero drops its source; an empty
-table gives an empty result; rows that repeat a doc_id are told apart by their text, and rows equal in both are drawn alike; columns that
-clash with the added ones are an error, all others are carried through.
+table gives an empty result; rows that repeat a doc_id are told apart by their text, and rows equal in both are drawn alike; all columns
+are carried through, and an added column whose name clashes with one of them gets a trailing underscore.
 """
 
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import cut
+
 MAX_BROADCAST = 10_000
 SALTS = 64
 BITS = 48
+#: Above this mean the distribution comes from its asymptotic expansion.
+LARGE = 10_000.0
+#: Copies of a document that one task makes at once, at most.
+BLOCK = 1024
 
 
 def means(sizes: dict[str, int], targets: dict[str, float] | None) -> dict[str, float]:
@@ -38,14 +49,63 @@ def means(sizes: dict[str, int], targets: dict[str, float] | None) -> dict[str,
     return {s: weights[s] / scale * total / n if scale else 0.0 for s, n in sizes.items()}
 
 
-def cumulative(mean: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... until the rest is below what BITS bits can tell."""
-    out, total, k = [], 0.0, 0
-    while mean > 0 and (k <= mean or 1 - total > 2.0 ** -(BITS + 2)) and k <= mean + 12 * math.sqrt(mean) + 40:
-        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
-        out.append(total)
-        k += 1
-    return out or [1.0]
+def _table(mean: float) -> tuple[int, np.ndarray]:
+    """The first k that a number of BITS bits can draw, about, and P(X <= k) from it on."""
+    wide = 12 * math.sqrt(mean) + 40
+    low, mode, high = max(0, int(mean - wide)), int(mean), int(mean + wide) + 1
+    up = np.cumprod(mean / np.arange(mode + 1, high))
+    down = np.cumprod(np.arange(mode, low, -1) / mean)
+    below = np.cumsum(np.concatenate([down[::-1], [1.0], up]))
+    return low, below / below[-1]
+
+
+# Coefficients of the uniform asymptotic expansion of the incomplete gamma function (Temme, 1979), by powers
+# of eta, for the powers 0, -1 and -2 of the parameter.
+TEMME = [
+    [-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -139 / 777600, 1 / 25515],
+    [-1 / 540, -1 / 288, 1 / 378, -77 / 77760, 1 / 4860],
+    [25 / 6048, -139 / 51840, 1 / 1296],
+]
+
+
+def _below(k: np.ndarray, mean: float) -> np.ndarray:
+    """P(X <= k) for a large mean and k not far from it."""
+    a = k + 1.0
+    mu = (mean - a) / a
+    series = mu**2 * (1 / 2 - mu * (1 / 3 - mu * (1 / 4 - mu * (1 / 5 - mu * (1 / 6 - mu * (1 / 7 - mu / 8))))))
+    phi = np.where(np.abs(mu) < 0.01, series, mu - np.log1p(mu))
+    eta = np.sign(mu) * np.sqrt(2 * phi)
+    rest = sum(np.polynomial.polynomial.polyval(eta, c) / a**n for n, c in enumerate(TEMME))
+    tail = np.array([math.erfc(x) for x in (eta * np.sqrt(a / 2)).tolist()]) / 2
+    return tail + np.exp(-a * phi) / np.sqrt(2 * math.pi * a) * rest
+
+
+def _large(mean: float, at: np.ndarray) -> np.ndarray:
+    normal = NormalDist()
+    z = np.array([normal.inv_cdf(min(max(u, 2.0**-60), 1 - 2.0**-53)) for u in at.tolist()])
+    k = np.floor(mean + z * math.sqrt(mean) + (z**2 - 1) / 6)
+    while (low := _below(k, mean) <= at).any():
+        k += low
+    while (high := _below(k - 1, mean) > at).any():
+        k -= high
+    return k
+
+
+def inverse(mean: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The smallest k with P(X <= k) > at of Poisson distributions with these means, in memory that doesn't grow with them."""
+    out = np.zeros(len(mean), dtype=np.int64)
+    for m in np.unique(mean[mean > 0]):
+        rows = np.flatnonzero(mean == m)
+        if m > LARGE:
+            out[rows] = _large(float(m), at[rows])
+        else:
+            low, below = _table(float(m))
+            out[rows] = low + np.searchsorted(below, at[rows], "right")
+    return out
+
+
+def _draw(mean: pd.Series, at: pd.Series) -> pd.Series:
+    return pd.Series(inverse(mean.to_numpy(), at.to_numpy()))
 
 
 def unit(seed: int, *parts) -> F.Column:
@@ -65,7 +125,7 @@ def mix(
     """docs with every document repeated by its draw, in shuffled order; marks adds copy, copies and mix_key."""
     spark, columns = docs.sparkSession, docs.columns
     free = lambda name: name if name.lower() not in {c.lower() for c in columns} else free(name + "_")
-    copy, times, key, where, who, cdf, salt, at = map(free, ("copy", "copies", "mix_key", "__mix_source", "__mix_doc", "__mix_cdf", "__mix_salt", "__mix_u"))
+    copy, times, key, where, who, rate, salt, block = map(free, ("copy", "copies", "mix_key", "__mix_source", "__mix_doc", "__mix_mean", "__mix_salt", "__mix_block"))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     size = F.greatest(F.lit(1), F.coalesce(F.length(text_col), F.lit(1)))
     sizes = docs.groupBy(source.alias("s")).agg(F.sum(size).alias("n"))
@@ -74,24 +134,32 @@ def mix(
         who, F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     )
     if len(few) <= MAX_BROADCAST:
-        rows = [(s, cumulative(m)) for s, m in means({r.s: r.n for r in few}, targets).items()]
-        rates = spark.createDataFrame(rows, f"{where} string, {cdf} array<double>")
+        found = means({r.s: r.n for r in few}, targets)
+        most = max(found.values(), default=0.0)
+        rates = spark.createDataFrame(list(found.items()), f"{where} string, {rate} double")
         joined = keyed.join(F.broadcast(rates), where)
     else:
+        sizes = cut(sizes)
         total = sizes.agg(F.sum("n")).first()[0]
         weighted = sizes.withColumn("w", F.lit(1.0))
         if targets is not None:
             given = spark.createDataFrame(list(targets.items()), "s string, w double")
             weighted = sizes.join(given, "s", "left").select("s", "n", F.coalesce("w", F.col("n") / total).alias("w"))
         scale = weighted.agg(F.sum("w")).first()[0]
-        mean = F.col("w") / scale * total / F.col("n") if scale else F.lit(0.0)
-        rates = weighted.select(F.col("s").alias(where), F.udf(cumulative, "array<double>")(mean).alias(cdf))
+        rates = weighted.select(F.col("s").alias(where), (F.col("w") / scale * total / F.col("n") if scale else F.lit(0.0)).alias(rate))
+        most = rates.agg(F.max(rate)).first()[0]
         rates = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn(salt, F.pmod(F.xxhash64(who), F.lit(SALTS)).cast("int")).join(rates, [where, salt])
-    # how many cumulative probabilities the number has passed; a mean of zero has the distribution [1.0], which none passes
-    drawn = joined.withColumn(at, unit(seed, F.col(who))).withColumn(times, F.size(F.filter(cdf, lambda p: p <= F.col(at))).cast("long")).where(F.col(times) > 0)
-    spread = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
-    keyed = spread.withColumn(key, F.md5(F.concat_ws("\x1f", F.lit(str(seed + 1)), F.col(who), F.col(copy))))
+    drawn = joined.withColumn(times, F.pandas_udf(_draw, "long")(F.col(rate), unit(seed, F.col(who)))).where(F.col(times) > 0)
+    one = F.lit(1).cast("long")
+    spread = drawn.withColumn(copy, F.explode(F.sequence(one, F.least(times, F.lit(BLOCK).cast("long")))))
+    if most + 12 * math.sqrt(most) + 40 > BLOCK:
+        # the further copies of a document with many of them are made by many tasks
+        blocks = F.sequence(one, F.floor((F.col(times) - 1) / BLOCK).cast("long"))
+        dealt = drawn.where(F.col(times) > BLOCK).withColumn(block, F.explode(blocks)).repartition(F.xxhash64(who, block))
+        further = F.sequence(F.col(block) * BLOCK + 1, F.least(F.col(times), (F.col(block) + 1) * BLOCK))
+        spread = spread.unionByName(dealt.withColumn(copy, F.explode(further)).drop(block))
+    marked = spread.withColumn(key, F.md5(F.concat_ws("\x1f", F.lit(str(seed + 1)), F.col(who), F.col(copy))))
     own = [F.col(f"`{c}`") for c in columns]
-    dealt = keyed.select(*own, copy, times, key).repartition(F.col(key)).sortWithinPartitions(key)
+    dealt = marked.select(*own, copy, times, key).repartition(F.col(key)).sortWithinPartitions(key)
     return dealt if marks else dealt.select(*own)

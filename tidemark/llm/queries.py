@@ -91,9 +91,10 @@ SQL = {
     "op3_mixing": """
       WITH d AS (SELECT *, coalesce(source, '') AS s, greatest(1, length(coalesce(text, ''))) AS size, coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || md5(coalesce(text, '')) AS key FROM documents),
       n AS (SELECT s, sum(size)::DOUBLE AS n FROM d GROUP BY 1), m AS (SELECT s, 1.0::DOUBLE / (SELECT count(*) FROM n) * (SELECT sum(n) FROM n) / n AS mean FROM n),
-      c AS (SELECT s, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS cdf FROM m, range(0, 300) t(k)),
+      r AS (SELECT s, mean, unnest(range(greatest(0, floor(mean - 12 * sqrt(mean) - 40))::BIGINT, ceil(mean + 12 * sqrt(mean) + 40)::BIGINT)) AS k FROM m),
+      c AS (SELECT s, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS cdf FROM r),
       u AS (SELECT *, ('0x' || substr(md5('42' || chr(31) || key), 1, 12))::BIGINT / 281474976710656::DOUBLE AS u FROM d),
-      w AS (SELECT u.key, u.s, count(*) AS copies FROM (SELECT DISTINCT key, s, u FROM u) u JOIN c ON u.s = c.s WHERE c.cdf <= u.u GROUP BY 1, 2),
+      w AS (SELECT u.key, u.s, min(c.k) AS copies FROM (SELECT DISTINCT key, s, u FROM u) u JOIN c ON u.s = c.s WHERE c.cdf > u.u GROUP BY 1, 2),
       x AS (SELECT u.*, w.copies, unnest(range(1, w.copies + 1)) AS copy FROM u JOIN w ON u.key = w.key AND u.s = w.s)
       SELECT doc_id, text, lang, source, n_chars, copy, copies, md5('43' || chr(31) || key || chr(31) || copy) AS mix_key FROM x""",
     "op5_exact_dedup": r"""
