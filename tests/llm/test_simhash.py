@@ -53,6 +53,70 @@ def test_groups_match_brute_force(spark):
     assert simhash_bk.near_groups(documents(spark, ["a"]).where("false")).count() == 0
 
 
+def flipped(rng, fp, most):
+    for b in rng.sample(range(64), rng.randrange(most + 1)):
+        fp ^= 1 << b
+    return fp
+
+
+@pytest.mark.parametrize(("shard", "most"), [(1024, 8192), (64, 400), (20, 40), (4, 10), (1, 4)])
+def test_hot_buckets_and_small_shards_lose_no_link(spark, shard, most):
+    """A third of all fingerprints are near one another; chains and clusters beside them, and near pairs at distances 3 and 4."""
+    rng = random.Random(7)
+    centre, fps = rng.getrandbits(64), [0, 7, (1 << 64) - 1]
+    fps += [flipped(rng, centre, 3) for _ in range(120)] + [flipped(rng, centre, 9) for _ in range(40)]
+    for _ in range(50):
+        base = rng.getrandbits(64)
+        fps += [base, flipped(rng, base, 3), flipped(rng, base, 5)]
+    chain = rng.getrandbits(64)
+    for _ in range(30):
+        chain = flipped(rng, chain, 3)
+        fps.append(chain)
+    fps = sorted(set(fps))
+    distinct = spark.createDataFrame([(bytearray(x.to_bytes(8, "little")),) for x in fps], "fp binary")
+    got = {int.from_bytes(r.fp, "little"): bytes(r.root) for r in simhash_bk.grouped(distinct, 64, 3, shard, most).collect()}
+    want = brute_components(dict(enumerate(fps)), 3)
+    pairs = {(got[fps[i]], c) for i, c in want.items()}
+    assert len(got) == len(fps) and len(pairs) == len(set(got.values())) == len(set(want.values()))
+
+
+def test_tables_read_what_the_number_of_fingerprints_needs():
+    width = lambda n: [len(t) for t in simhash_bk.exact_tables(64, 3, n)]
+    assert width(1000) == [0] and width(4096) == [2] * 4 and width(60_000_000) == [16] * 4
+    assert len(width(10**9)) == 10 and min(width(10**9)) == 20 and len(width(10**13)) == 35
+
+
+def test_trees_prune():
+    """Shards are large enough for the search to follow few of a tree's edges."""
+    items = np.random.default_rng(3).integers(0, 2**63, (4096, 1), dtype=np.uint64)
+    forest = bktree.Forest(items, np.arange(0, 4096, 1024))
+    assert list(forest.pairs(3)) == []
+    assert forest.visited < 0.35 * 4096 * 1024
+
+
+def test_hubs_are_not_gathered(spark):
+    """A hub with most of the links, and others joined to it, give one component each."""
+    links = [(k, 10_000 + k % 7) for k in range(3000)] + [(20_000 + k, 1) for k in range(2500)] + [(30_000, 30_001)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = brute_links(links)
+    assert got == {x: r for x, r in want.items() if x != r}
+
+
+def brute_links(links):
+    parent = {x: x for link in links for x in link}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
 def test_long_texts_count_every_shingle():
     text = " ".join(f"t{k % 977}" for k in range(40_000))
     hashes = simhash_bk.shingle_hashes(text.encode(), 3, 42)

@@ -25,6 +25,8 @@ class Forest:
     def __init__(self, items: np.ndarray, starts: np.ndarray):
         n = len(items)
         self.items = items
+        #: Nodes that searches have compared with a query.
+        self.visited = 0
         bucket = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
         self.root = starts[bucket]  # of each item, its bucket's first
         child_of, key, node = [], [], []
@@ -56,18 +58,26 @@ class Forest:
 
     def pairs(self, radius: int):
         """Yield arrays (i, j), i > j in the order of items: all pairs of a bucket at most radius apart."""
-        n = len(self.items)
+        for q, node in self.search(self.items, self.root, radius):
+            own = q > node
+            if own.any():
+                yield q[own], node[own]
+
+    def search(self, queries: np.ndarray, roots: np.ndarray, radius: int):
+        """Yield arrays (query, item): all items at most radius apart from a query in the tree that begins at its root."""
+        n = len(queries)
         step = max(1, min(n, STEP // 64))
         for begin in range(0, n, step):
-            stack = [(np.arange(begin, min(n, begin + step)), self.root[begin : min(n, begin + step)])]
+            stack = [(np.arange(begin, min(n, begin + step)), roots[begin : begin + step])]
             while stack:
                 q, node = stack.pop()
                 if len(q) > STEP:
                     half = len(q) // 2
                     stack += [(q[:half], node[:half]), (q[half:], node[half:])]
                     continue
-                d = distance(self.items[q], self.items[node])
-                hit = (d <= radius) & (q > node)
+                self.visited += len(q)
+                d = distance(queries[q], self.items[node])
+                hit = d <= radius
                 if hit.any():
                     yield q[hit], node[hit]
                 low = np.searchsorted(self.edges, node * self.wide + np.maximum(d - radius, 0), "left")

@@ -1,8 +1,9 @@
 """Connected components of links by alternating large-star and small-star steps on DataFrames.
 
 Each round gives every node the least node of its neighbourhood, first over its larger, then over its smaller
-neighbours. Minima are pre-aggregated in the map tasks, so a hub's links never meet in one group; the joins that bring a
-hub's minimum back to its links are plain equi-joins, which adaptive execution splits. Rounds are checkpointed.
+neighbours. Minima are pre-aggregated in the map tasks, so a hub's links never meet in one group. Hubs, nodes with more than
+one part in HUBS of all links, are fewer than 2 * HUBS at any size; their minima are broadcast to their links, and only those
+of the other nodes are joined by a shuffle. Rounds are checkpointed.
 """
 
 from __future__ import annotations
@@ -19,16 +20,26 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(h, 32))).first())
 
 
+HUBS = 2000
+
+
+def _brought(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """links (a, ...) with m of their a; least: a, m and the number n of a's rows, which sum up to 2 * total at most."""
+    bound = max(100, total // HUBS)
+    hubs, others = F.broadcast(least.where(F.col("n") > bound).select("a", "m")), least.where(F.col("n") <= bound).select("a", "m")
+    return links.join(hubs, "a").unionByName(links.join(hubs.select("a"), "a", "left_anti").join(others, "a"))
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a, b) -> (node, root), root the least node of its component; only nodes with a link to another appear."""
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(links)
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(small, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _brought(both.where("b > a"), least, mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        star = _brought(large, small, mark[0])
         links = cut(
             star.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(small.select("a", F.col("m").alias("b")))

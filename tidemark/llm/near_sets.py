@@ -127,7 +127,7 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return dealt.repartition(F.col("v")).sortWithinPartitions("v", "key").mapInArrow(several, "v long, block int, key binary, n int, fp binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def groups(batches: Iterator[pa.RecordBatch], names: list[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups (runs of equal names) and where each group begins."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -161,7 +161,7 @@ def leader_pairs(members: DataFrame, width: int, radius: int, similarity: float)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, leaders = None, []
-        for table, starts in _groups(batches, ["v", "block"], ROWS):
+        for table, starts in groups(batches, ["v", "block"], ROWS):
             items, n, keys = _items(table, width), table.column("n").to_numpy().astype(np.int64), table.column("key").to_pylist()
             v, block = table.column("v").to_numpy(), table.column("block").to_numpy()
             ends = np.append(starts[1:], table.num_rows)
@@ -225,7 +225,7 @@ def other_links(left: DataFrame, sets: DataFrame, width: int, radius: int, simil
                 x = up[x]
             return x
 
-        for table, starts in _groups(batches, ["v", "i", "j"], CELL_ROWS):
+        for table, starts in groups(batches, ["v", "i", "j"], CELL_ROWS):
             items, n, keys, roots = _items(table, width), table.column("n").to_numpy().astype(np.int64), table.column("key").to_pylist(), table.column("root").to_pylist()
             block, crossing = table.column("block").to_numpy(), table.column("i").to_numpy() != table.column("j").to_numpy()
             lists = pa.concat_arrays(table.column("shingles").chunks)

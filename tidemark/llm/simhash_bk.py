@@ -1,16 +1,21 @@
 """SimHash near-dedup with BK-trees.
 
-Fingerprints of any multiple of 64 bits are linked within a Hamming radius. Distinct fingerprints are dealt to buckets
-by several tables, each of which reads some of their bits; every bucket gets a BK-tree, in which each of its
-fingerprints is searched within the radius, following only edges in reach. A bucket emits a star per group it finds, not
-its pairs, and the stars of all buckets are joined up to components.
+Fingerprints of any multiple of 64 bits are linked within a Hamming radius. Distinct fingerprints are dealt to shards of
+about SHARD of them; every shard gets a BK-tree, in which each of its fingerprints is searched within the radius,
+following only edges in reach. A shard emits a star per group it finds, not its pairs, and the stars of all shards are
+joined up to components.
 
-Tables are `exact_tables`: the bits are cut into blocks, and a table reads all blocks but as many as the radius. Whatever
-the errors, some table reads only untouched blocks, so no link is lost. For radius 3 of 64 bits: 6 blocks, 20 tables that
-read about 32 bits each. No such scheme narrows the wide radius of `keep_one`, whose buckets are those of `near_sets`.
+A shard is the fingerprints that agree in some bits, which one of several tables reads. The bits are cut into blocks, and a table
+reads bits of all blocks but as many as the radius: whatever the errors, some table reads only untouched blocks, so no link is
+lost. It reads as many bits as the number of fingerprints needs for shards of that size: for radius 3 of 64 bits, 4 tables
+up to 16 bits each, and more and wider ones only beyond SHARD * 2 ** 16 fingerprints. So a search costs alike at every size.
 
-The trees are not broadcast whole: they hold a fingerprint of every document, which has no size bound. Instead a shard's
-tree is built where the shard's queries are.
+No bucket is held whole. One of more than MOST fingerprints is dealt on to sub-shards by a hash, each with two fingerprints of
+the bucket that all of them share, which joins what lies close together. Then the fingerprints of such a bucket that are not in its
+largest component are searched in the trees of all its sub-shards, streaming past them, for links to other components.
+
+The trees are not broadcast from the driver: they hold a fingerprint of every document, which has no size bound. Instead a
+shard's tree is built in the task that its queries are sent to. The wide radius of `keep_one` has candidates of its own (`near_sets`).
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; rows that repeat a doc_id are rows of
 their own in `near_groups`, and stay or go together in `keep_one` if their texts are equal too; a null doc_id takes
@@ -21,6 +26,7 @@ part, and a component of nulls alone has a null id; an empty table gives an empt
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +40,12 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import cut, utf8
 from tidemark.llm.shingles import fingerprint, shingle_hashes
 
-#: Fingerprints that a bucket task takes at once, at least (a bucket is never split).
-ROWS = 200_000
+#: Fingerprints of a shard, about, and those above which a bucket is dealt on to sub-shards.
+SHARD, MOST = 1024, 8192
+#: Fingerprints that a task takes at once, at least.
+ROWS = 100_000
+#: Hot buckets that may be broadcast.
+FEW = 10_000
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, bits: int = 64, seed: int = 42) -> DataFrame:
@@ -52,16 +62,22 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return rows.mapInArrow(task, f"id {kind}, text_hash long, fp binary")
 
 
-def exact_tables(bits: int, radius: int, blocks: int) -> list[np.ndarray]:
+def exact_tables(bits: int, radius: int, count: int, shard: int = SHARD) -> list[np.ndarray]:
+    """The bits that each table reads, for shards of about so many of count fingerprints."""
+    need = max(0, math.ceil(math.log2(max(count, 1) / shard)))
+    if not need:
+        return [np.zeros(0, dtype=np.int64)]
+    blocks = radius + 1
+    while bits // blocks * (blocks - radius) < min(need, bits // 2):
+        blocks += 1
     parts = np.array_split(np.arange(bits), blocks)
-    return [np.concatenate(kept) for kept in itertools.combinations(parts, blocks - radius)]
+    return [np.concatenate(kept)[:need] for kept in itertools.combinations(parts, blocks - radius)]
 
 
-def bucket_links(distinct: DataFrame, bits: int, radius: int, tables: list[np.ndarray]) -> DataFrame:
-    """Links (a, b) between distinct fingerprints at most radius apart: of each bucket a star per group."""
-    width = bits // 64
+def dealt(distinct: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """t, v (what table t reads), fp: every fingerprint once per table."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, column = batch.num_rows, batch.column(0)
             if not n:
@@ -71,58 +87,97 @@ def bucket_links(distinct: DataFrame, bits: int, radius: int, tables: list[np.nd
                 value = unpacked[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, dtype=np.int32)), pa.array(value), column], ["t", "v", "fp"])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held.append(batch)
-                rows += batch.num_rows
-                if rows < ROWS:
+    return distinct.select("fp").mapInArrow(task, "t int, v long, fp binary")
+
+
+def shard_links(shards: DataFrame, width: int, radius: int) -> DataFrame:
+    """Links (a, b) between fingerprints of a shard (t, v, sub) at most radius apart: of each shard a star per group."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in near_sets.groups(batches, ["t", "v", "sub"], ROWS):
+            column = table.column("fp").combine_chunks()
+            items = np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, width)
+            label = join_up(len(items), Forest(items, starts).pairs(radius))
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([column.take(pa.array(moved)), column.take(pa.array(label[moved]))], ["a", "b"])
+
+    return shards.repartition(F.col("t"), F.col("v"), F.col("sub")).sortWithinPartitions("t", "v", "sub").mapInArrow(task, "a binary, b binary")
+
+
+def cross_links(cells: DataFrame, width: int, radius: int) -> DataFrame:
+    """Links between components of a hot bucket: kind 1 (queries) streams past the tree of kind 0 of its sub-shard."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, tree, held, roots = None, None, [], None
+        for batch in batches:
+            t, v, sub, kind = (batch.column(c).to_numpy() for c in ("t", "v", "sub", "kind"))
+            edges = np.flatnonzero((t[1:] != t[:-1]) | (v[1:] != v[:-1]) | (sub[1:] != sub[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for begin, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if begin == end:
                     continue
-            if not rows:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks()
-            t, v = (whole.column(c).to_numpy() for c in ("t", "v"))
-            new = np.flatnonzero((t[1:] != t[:-1]) | (v[1:] != v[:-1])) + 1
-            starts = np.append(0, new)
-            end = rows if batch is None else int(starts[-1])  # the last bucket may go on
-            if end:
-                links = _stars(whole.column("fp").slice(0, end), starts[starts < end], width, radius)
-                if links is not None:
-                    yield links
-            held, rows = whole.slice(end).to_batches(), rows - end
-
-    dealt = distinct.select("fp").mapInArrow(deal, "t int, v long, fp binary")
-    return dealt.repartition(F.col("t"), F.col("v")).sortWithinPartitions("t", "v").mapInArrow(find, "a binary, b binary")
-
-
-def _stars(column: pa.ChunkedArray, starts: np.ndarray, width: int, radius: int) -> pa.RecordBatch | None:
-    sizes = np.diff(np.append(starts, len(column)))
-    many = np.repeat(sizes > 1, sizes)
-    if not many.any():
-        return None
-    kept = column.filter(pa.array(many)).combine_chunks()
-    items = np.frombuffer(b"".join(kept.to_pylist()), dtype="<u8").reshape(-1, width)
-    sizes = sizes[sizes > 1]
-    label = join_up(len(items), Forest(items, np.append(0, np.cumsum(sizes)[:-1])).pairs(radius))
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    if not len(moved):
-        return None
-    return pa.RecordBatch.from_arrays([kept.take(pa.array(moved)), kept.take(pa.array(label[moved]))], ["a", "b"])
-
-
-def grouped(prints: DataFrame, bits: int, radius: int, tables: list[np.ndarray]) -> DataFrame:
+                if cell != (t[begin], v[begin], sub[begin]):
+                    cell, tree, held = (t[begin], v[begin], sub[begin]), None, []
+                part = batch.slice(begin, end - begin)
+                if kind[begin] == 0:
+                    held.append(part)
+                    continue
+                if tree is None:
+                    if not held:  # no fingerprint was dealt to this sub-shard
+                        continue
+                    whole = pa.Table.from_batches(held)
+                    prints, roots = whole.column("fp").to_pylist(), whole.column("root").to_pylist()
+                    tree = Forest(np.frombuffer(b"".join(prints), dtype="<u8").reshape(-1, width), np.zeros(1, dtype=np.int64))
+                asked, own = part.column("fp").to_pylist(), part.column("root").to_pylist()
+                queries = np.frombuffer(b"".join(asked), dtype="<u8").reshape(-1, width)
+                found = {}
+                for i, j in tree.search(queries, np.zeros(len(queries), dtype=np.int64), radius):
+                    found |= {(own[x], roots[y]): (asked[x], prints[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if own[x] != roots[y]}
+                if found:
+                    a, b = zip(*found.values(), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    spread = cells.repartition(F.col("t"), F.col("v"), F.col("sub")).sortWithinPartitions("t", "v", "sub", "kind")
+    return spread.mapInArrow(task, "a binary, b binary")
+
+
+def linked_up(distinct: DataFrame, bits: int, radius: int, shard: int = SHARD, most: int = MOST) -> DataFrame:
+    """distinct (checkpointed fp) -> (node, root) of the components of all links within the radius."""
+    width, buckets = bits // 64, dealt(distinct, exact_tables(bits, radius, distinct.count(), shard))
+    size = F.count("*")
+    hot = cut(buckets.groupBy("t", "v").agg(size.alias("size"), F.array(F.min("fp"), F.max("fp")).alias("shared")).where(F.col("size") > most))
+    hot = hot.withColumn("subs", F.ceil(F.col("size") / F.lit(most // 2)).cast("int"))
+    number = hot.count()
+    if not number:
+        return components(shard_links(buckets.withColumn("sub", F.lit(0)), width, radius))
+    small = F.broadcast if number <= FEW else lambda df: df
+    sub = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int"), F.lit(0)).alias("sub")
+    placed = buckets.join(small(hot.select("t", "v", "subs")), ["t", "v"], "left").select("t", "v", sub, "subs", "fp")
+    every = F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")
+    shared = hot.select("t", "v", every, "shared").select("t", "v", "sub", F.explode("shared").alias("fp"))
+    links = cut(shard_links(placed.drop("subs").unionByName(shared), width, radius))
+    roots = components(links)
+    rooted = placed.where("subs IS NOT NULL").join(roots, F.col("fp") == F.col("node"), "left").select("t", "v", "sub", "subs", "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = cut(rooted)
+    parts = rooted.groupBy("t", "v", "root").agg(size.alias("n")).groupBy("t", "v").agg(size.alias("parts"), F.max_by("root", F.struct("n", "root")).alias("largest"))
+    apart = rooted.join(small(parts.where("parts > 1").select("t", "v", "largest")), ["t", "v"])
+    asked = apart.where("root <> largest").select("t", "v", every, "fp", "root", F.lit(1).alias("kind"))
+    cells = apart.select("t", "v", "sub", "fp", "root", F.lit(0).alias("kind")).unionByName(asked)
+    more = cut(cross_links(cells, width, radius))
+    return roots if more.isEmpty() else components(links.unionByName(more))
+
+
+def grouped(prints: DataFrame, bits: int, radius: int, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """prints (checkpointed rows with fp) -> distinct fp with the root fingerprint of its component."""
-    distinct = prints.select("fp").distinct()
-    roots = components(bucket_links(distinct, bits, radius, tables))
+    distinct = cut(prints.select("fp").distinct())
+    roots = linked_up(distinct, bits, radius, shard, most)
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, bits: int = 64, radius: int = 3, blocks: int = 6) -> DataFrame:
+def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, bits: int = 64, radius: int = 3, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """id_col, fp and component_id (the smallest id reachable) per row."""
     prints = cut(fingerprints(docs, text_col, id_col, words, bits))
-    group = grouped(prints, bits, radius, exact_tables(bits, radius, blocks))
+    group = grouped(prints, bits, radius, shard, most)
     smallest = prints.groupBy("fp").agg(F.min("id").alias("id")).join(group, "fp").groupBy("root").agg(F.min("id").alias("component_id"))
     named = group.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
