@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from tidemark.llm import hmm, hmm_lm
-from tidemark.llm.words import Lookup, Words, chunks, hash_of
+from tidemark.llm.words import Words, chunks
 from tests.llm.helpers import AWKWARD, documents, words
 
 
@@ -16,23 +16,16 @@ def test_words_match_split():
     texts = [(t or "").encode() for t in AWKWARD] + [b"A\x0bB\x0c c\r\nd", "  É ü".encode()]
     found = Words(pa.array(texts, pa.binary()).slice(1))
     want = [w for t in texts[1:] for w in t.lower().split()]
-    assert [found.word(k) for k in range(len(found.starts))] == want
-    assert [int(h) for h in found.hashes[:50]] == [hash_of(w) for w in want[:50]]
+    assert found.tokens.to_pylist() == want and [found.distinct[k] for k in found.codes] == want
     assert found.per_text.tolist() == [len(t.split()) for t in texts[1:]]
     assert [len(c) for c in chunks(pa.array([], pa.binary()))] == []
 
 
-def test_lookup():
-    keys = np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64)
-    look = Lookup(keys)
-    assert (look.find(keys) == np.arange(5000)).all() and (look.find(keys + np.uint64(1)) == -1).all()
-
-
 def tiny(states=3, classes=5, seed=1):
     rng = np.random.default_rng(seed)
     move = rng.random((states, states))
     emit = rng.random((classes, states))
-    return hmm.Model(np.full(states, 1 / states), np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    return hmm.Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def by_paths(model, classes):
@@ -65,14 +58,70 @@ def test_baum_welch_never_lowers_the_likelihood():
         now = hmm.log10_likelihood(model, classes, starts).sum()
         assert now >= last - 1e-3
         counts, last = hmm.Counts.zero(3, 5), now
-        hmm.baum_welch(model, classes, starts, np.ones(20, dtype=bool), counts)
+        hmm.baum_welch(model, classes, starts, counts)
         assert counts.emit.sum() == pytest.approx(400, rel=1e-5) and counts.move.sum() == pytest.approx(380, rel=1e-5)
-        model = hmm.Model(counts.start / counts.start.sum(), model.resume, counts.move / counts.move.sum(1, keepdims=True), counts.emit / counts.emit.sum(0))
-
-
-def test_segments():
-    at, begins = hmm.segments(np.array([5, 2, 4]), 2)
-    assert at.tolist() == [0, 2, 4, 5, 7, 9] and begins.tolist() == [True, False, False, True, True, False]
+        model = hmm.Model(counts.start / counts.start.sum(), counts.move / counts.move.sum(1, keepdims=True), counts.emit / counts.emit.sum(0))
+
+
+def by_all_pairs(model, classes):
+    """Expected counts by the unscaled recursions over a whole sequence."""
+    n, states = len(classes), len(model.start)
+    alpha, beta = np.zeros((n, states)), np.ones((n, states))
+    alpha[0] = model.start * model.emit[classes[0]]
+    for t in range(1, n):
+        alpha[t] = (alpha[t - 1] @ model.move) * model.emit[classes[t]]
+    for t in range(n - 2, -1, -1):
+        beta[t] = model.move @ (model.emit[classes[t + 1]] * beta[t + 1])
+    gamma = alpha * beta / alpha[-1].sum()
+    counts = hmm.Counts.zero(states, len(model.emit))
+    counts.start += gamma[0]
+    for t in range(n):
+        counts.emit[classes[t]] += gamma[t]
+        if t + 1 < n:
+            counts.move += alpha[t][:, None] * model.move * (model.emit[classes[t + 1]] * beta[t + 1])[None, :] / alpha[-1].sum()
+    return counts
+
+
+@pytest.mark.parametrize(("stretch", "flush"), [(64, 500_000), (7, 30), (1, 1), (1000, 50)])
+def test_baum_welch_carries_over_the_borders_of_stretches(monkeypatch, stretch, flush):
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    monkeypatch.setattr(hmm, "FLUSH", flush)
+    rng = np.random.default_rng(4)
+    lines = [rng.integers(0, 5, n) for n in (150, 1, 64, 65, 33, 128, 2, 150)]
+    model, want, got = tiny(), hmm.Counts.zero(3, 5), hmm.Counts.zero(3, 5)
+    for line in lines:
+        own = by_all_pairs(model, line)
+        want = hmm.Counts(want.start + own.start, want.move + own.move, want.emit + own.emit)
+    hmm.baum_welch(model, np.concatenate(lines), np.append(0, np.cumsum([len(x) for x in lines])[:-1]), got)
+    for a, b in ((got.start, want.start), (got.move, want.move), (got.emit, want.emit)):
+        assert a == pytest.approx(b, rel=1e-4)
+
+
+def test_classes_grow_with_the_words():
+    assert [hmm_lm.tail_classes(v) for v in (0, 1000, 10**6, 10**8)] == [1024, 1024, 32_768, 524_288]
+    found = hmm_lm.Vocabulary([b"the", b"of", b"rare"], 2, 1024)
+    places, classes = found.look_up([b"of", b"new", b"rare", b"the"])
+    assert places.tolist() == [1, -1, 2, 0] and classes[[0, 3]].tolist() == [1, 0] and (classes[1:3] >= 2).all() and (classes < found.end).all()
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_are_told_apart_by_their_bytes(spark):
+    """Words that polynomial hashes modulo a power of two take for one another."""
+    texts = []
+    for n in (1024, 2048, 4096):
+        one = thue_morse(n)
+        texts += [one] * 11 + [one.translate(str.maketrans("ab", "ba"))]
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    train = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 != 0]
+    ids = [(held if k % 12 == 11 else train)[k] for k in range(len(texts))]
+    got = {r.doc_id: r for r in hmm_lm.score(documents(spark, texts, ids), states=2).collect()}
+    assert [got[ids[k]].n_known for k in (0, 12, 24)] == [2, 2, 2] and [got[ids[k]].n_known for k in (11, 23, 35)] == [1, 1, 1]
 
 
 def two_tongues(n=300):
@@ -81,9 +130,10 @@ def two_tongues(n=300):
     return [" ".join(rng.choice(tongues[k % 2]) for _ in range(rng.randrange(5, 60))) for k in range(n)]
 
 
-@pytest.mark.parametrize("head", [10**6, 5])
-def test_scores(spark, monkeypatch, head):
+@pytest.mark.parametrize(("head", "own"), [(10**6, 1 << 16), (5, 1), (10**6, 1), (100, 60)])
+def test_scores(spark, monkeypatch, head, own):
     monkeypatch.setattr(hmm_lm, "HEAD", head)
+    monkeypatch.setattr(hmm_lm, "OWN", own)
     texts = AWKWARD + two_tongues()
     got = {r.doc_id: r for r in hmm_lm.score(documents(spark, texts), states=4).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))}
@@ -104,9 +154,8 @@ def test_scores(spark, monkeypatch, head):
 def test_the_model_is_a_distribution(spark):
     """Over one-word texts: all known words and each class' unseen ones add up to the chance of one word and the end."""
     texts = two_tongues(60)
-    classes = 64
     docs = documents(spark, texts + sorted({w for t in texts for w in t.split()}))
-    rows = hmm_lm.score(docs, states=2, classes=classes).collect()
+    rows = hmm_lm.score(docs, states=2).collect()
     single = {docs_row: 10**r.score for docs_row, r in enumerate(sorted(rows, key=lambda r: r.doc_id)) if r.n_tokens == 2}
     assert 0 < sum(single.values()) < 1
 

@@ -12,6 +12,12 @@ import numpy as np
 
 #: Least weight of the corpus' class shares in a state's emissions, and of an even spread in its transitions, in tokens.
 PRIOR_EMIT, PRIOR_MOVE = 20.0, 1.0
+#: Steps whose forward variables are held at once; those at the borders between are kept, and the rest is computed again.
+STRETCH = 64
+#: Tokens whose state weights are held before they are added to the counts.
+FLUSH = 500_000
+#: Rounds of the first clustering of sample texts, and the chance to stay in a state before any transition is counted.
+CLUSTERING, STAY = 8, 0.9
 
 
 def smoothed(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -24,7 +30,6 @@ def smoothed(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     start: np.ndarray  # (states,): the first token's state
-    resume: np.ndarray  # (states,): the state in which a later segment of a text begins, in training only
     move: np.ndarray  # (states, states)
     emit: np.ndarray  # (classes, states)
 
@@ -43,8 +48,7 @@ class Counts:
         states = len(self.start)
         move = self.move + PRIOR_MOVE / states
         start = self.start + PRIOR_MOVE / states
-        held = self.emit.sum(axis=0) + 1e-9
-        return Model(start / start.sum(), held / held.sum(), move / move.sum(axis=1, keepdims=True), smoothed(self.emit, shares))
+        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), smoothed(self.emit, shares))
 
 
 class _Steps:
@@ -84,81 +88,110 @@ def log10_likelihood(model: Model, classes: np.ndarray, starts: np.ndarray) -> n
     return out
 
 
-def baum_welch(model: Model, classes: np.ndarray, starts: np.ndarray, begins: np.ndarray, into: Counts) -> None:
-    """Add the expected counts of segments to `into`; begins: which of them begin a text."""
+def baum_welch(model: Model, classes: np.ndarray, starts: np.ndarray, into: Counts) -> None:
+    """Add the expected counts of whole sequences to `into`.
+
+    Forward variables are kept at every STRETCH steps only; going backwards, those between are computed again, while the
+    backward variables are carried over the borders.
+    """
+    if not len(starts):
+        return
     steps = _Steps(classes, starts)
     emit, move = np.ascontiguousarray(model.emit.T, dtype=np.float32), model.move.astype(np.float32)
-    opens = begins[steps.order]
-    alpha = np.where(opens, model.start[:, None], model.resume[:, None]).astype(np.float32)
-    alphas, seen = [], []
-    for t, n in enumerate(steps.running):
-        here = emit[:, steps.step(t)]
+    states, longest = len(model.start), len(steps.running)
+
+    def forward(alpha, t):
+        n, here = steps.running[t], emit[:, steps.step(t)]
         alpha = (move.T @ alpha[:, :n] if t else alpha) * here
-        alpha /= alpha.sum(axis=0)
-        alphas.append(alpha)
-        seen.append(here)
-    states, last = len(model.start), len(alphas) - 1
-    moves, gammas = np.zeros((states, states)), np.empty((states, len(classes)))
-    beta = np.ones((states, 0), dtype=np.float32)
-    for t in range(last, -1, -1):
-        now, n, m = alphas[t], steps.running[t], beta.shape[1]
-        gamma = gammas[:, steps.at[t] : steps.at[t + 1]]
-        wider = np.ones((states, n), dtype=np.float32)
-        if m:  # the first m go on
-            later = seen[t + 1] * beta
-            back = move @ later
-            weight = (now[:, :m] * back).sum(axis=0)
-            moves += (now[:, :m] / weight) @ later.T
-            wider[:, :m] = back / weight
-        beta = wider
-        gamma[:] = now * beta
+        return alpha / alpha.sum(axis=0), here
+
+    alpha, borders = np.repeat(model.start.astype(np.float32)[:, None], len(starts), axis=1), []
+    for t in range(longest):
+        if t % STRETCH == 0:
+            borders.append(alpha)
+        if t < (longest - 1) // STRETCH * STRETCH:  # the last stretch is computed below
+            alpha, _ = forward(alpha, t)
+    moves, held, size = np.zeros((states, states)), [], 0
+
+    def flush():
+        weights = np.concatenate([g for _, g in held], axis=1)
+        where = np.concatenate([c for c, _ in held])
+        for k in range(states):
+            into.emit[:, k] += np.bincount(where, weights[k], minlength=len(into.emit))
+        held.clear()
+
+    beta, later = np.ones((states, 0), dtype=np.float32), None
+    for part in range(len(borders) - 1, -1, -1):
+        first, end = part * STRETCH, min(longest, (part + 1) * STRETCH)
+        alpha, alphas, seen = borders.pop(), [], []
+        for t in range(first, end):
+            alpha, here = forward(alpha, t)
+            alphas.append(alpha)
+            seen.append(here)
+        for t in range(end - 1, first - 1, -1):
+            now, n, m = alphas[t - first], steps.running[t], beta.shape[1]
+            wider = np.ones((states, n), dtype=np.float32)
+            if m:  # the first m go on
+                ahead = later * beta
+                back = move @ ahead
+                weight = (now[:, :m] * back).sum(axis=0)
+                moves += (now[:, :m] / weight) @ ahead.T
+                wider[:, :m] = back / weight
+            beta, later = wider, seen[t - first]
+            held.append((steps.step(t), now * beta))
+            size += n
+            if size > FLUSH:
+                if t == 0:
+                    into.start += held[-1][1].sum(axis=1)
+                flush()
+                size = 0
+            elif t == 0:
+                into.start += held[-1][1].sum(axis=1)
+    if held:
+        flush()
     into.move += moves * model.move
-    into.start += gammas[:, : len(starts)][:, opens].sum(axis=1)
-    for k in range(states):
-        into.emit[:, k] += np.bincount(steps.classes, gammas[k], minlength=len(into.emit))
 
 
-def segments(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of segments of at most so many tokens, and which of them begin a text."""
-    parts = -(-lengths // most)
-    offsets = np.append(0, np.cumsum(lengths)[:-1])
-    within = np.arange(parts.sum()) - np.repeat(np.append(0, np.cumsum(parts)[:-1]), parts)
-    return np.repeat(offsets, parts) + within * most, within == 0
+def mixture(logs: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How far each sequence belongs to each of the unigram models whose log probabilities are logs (classes, models)."""
+    fits = np.stack([np.add.reduceat(np.ascontiguousarray(logs[:, k])[classes], starts) for k in range(logs.shape[1])], axis=1)
+    belongs = np.exp(fits - fits.max(axis=1, keepdims=True))
+    return belongs / belongs.sum(axis=1, keepdims=True)
+
+
+def clustered(model: Model, classes: np.ndarray, starts: np.ndarray, into: Counts) -> None:
+    """Add the counts of sequences that each belong to states as whole texts: the emissions alone tell to which."""
+    if not len(starts):
+        return
+    belongs = mixture(np.log(model.emit), classes, starts)
+    lengths = np.diff(np.append(starts, len(classes)))
+    for k in range(belongs.shape[1]):
+        into.emit[:, k] += np.bincount(classes, np.repeat(belongs[:, k], lengths), minlength=len(into.emit))
+    into.start += belongs.sum(axis=0)
+    steps = belongs.T @ (lengths - 1)
+    into.move += np.diag(STAY * steps) + np.full_like(into.move, 1) * ((1 - STAY) * steps / len(steps))[:, None]
 
 
-def seeded(classes: np.ndarray, lengths: np.ndarray, shares: np.ndarray, states: int, rounds: int, seed: int) -> Model:
-    """A first model: texts are clustered by their classes (a mixture of unigrams), then Baum-Welch on the same sample."""
+def seeded(classes: np.ndarray, lengths: np.ndarray, shares: np.ndarray, states: int, seed: int) -> Model:
+    """A first model from some texts: clusters of them by their classes, begun from texts that the others explain worst."""
     random = np.random.default_rng(seed)
-    size = len(shares)
     starts = np.append(0, np.cumsum(lengths)[:-1])
     text = np.repeat(np.arange(len(lengths)), lengths)
 
     def unigram(weights: np.ndarray) -> np.ndarray:
-        return np.log(smoothed(np.bincount(classes, weights, minlength=size)[:, None], shares)[:, 0])
+        return smoothed(np.bincount(classes, weights, minlength=len(shares))[:, None], shares)[:, 0]
 
-    def fit(logs: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(logs[classes], starts)
+    def fit(table: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.log(table)[classes], starts)
 
-    chosen = [int(random.integers(len(lengths)))]
-    tables = [unigram(text == chosen[0])]
+    tables = [unigram(text == int(random.integers(len(lengths))))]
     fits = [fit(tables[0])]
     while len(tables) < states:  # the text that the others explain worst per token, of long enough ones
         worst = np.max(fits, axis=0) / lengths + (lengths < 20) * 1e9
-        chosen.append(int(np.argmin(worst)))
-        tables.append(unigram(text == chosen[-1]))
+        tables.append(unigram(text == int(np.argmin(worst))))
         fits.append(fit(tables[-1]))
-    for _ in range(8):
-        score = np.array(fits).T
-        belongs = np.exp(score - score.max(axis=1, keepdims=True))
-        belongs /= belongs.sum(axis=1, keepdims=True)
+    for _ in range(CLUSTERING):
+        belongs = mixture(np.log(np.array(tables)).T, classes, starts)
         tables = [unigram(belongs[text, k]) for k in range(states)]
-        fits = [fit(x) for x in tables]
-    emit = np.exp(np.array(tables)).T
-    move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    model = Model(np.full(states, 1 / states), np.full(states, 1 / states), move, emit)
-    at, begins = segments(lengths, 256)
-    for _ in range(rounds):
-        counts = Counts.zero(states, size)
-        baum_welch(model, classes, at, begins, counts)
-        model = counts.model(shares)
-    return model
+    move = np.full((states, states), (1 - STAY) / states) + STAY * np.eye(states)
+    return Model(np.full(states, 1 / states), move, np.array(tables).T)

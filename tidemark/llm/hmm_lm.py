@@ -1,18 +1,21 @@
 """LM scoring with a hidden Markov language model.
 
-A text is its lower-cased words and one end token. States emit word classes (a hash of the word; the end has a class of
-its own), and a class gives its words by their training counts:
+A text is its lower-cased words and one end token. States emit word classes, and a class gives its words by their
+training counts. A word that makes up more than one part in OWN of all tokens is a class of its own; the others share
+hashed classes, whose number grows with the square root of the vocabulary; the end has a class of its own:
 
     P(text) = sum over state paths of prod move * emit(class) * (c + 0.1) / Z(class),
-    Z(class) = sum over its training words of (c + 0.1), plus 0.1 for all words that were never seen
+    Z(class) = sum over its training words of (c + 0.1), plus, in a hashed class, 0.1 for all words that were never seen
 
-so the model is a proper distribution over texts whatever the size of the vocabulary, and the matrix of emissions has a
-fixed size. Training: a bounded sample gives the first model, then each pass over all training texts sums up Baum-Welch
-counts per partition, and the partitions' counts are summed by Spark. Scoring runs the scaled forward recursion over
-every whole text.
+so the model is a proper distribution over texts whatever the size of the vocabulary. Training: texts are written once as
+classes. Some texts, SEED_TOKENS tokens of them, only say where to begin: they are clustered into as many unigram models
+as there are states. All counts of the model come from all training texts: a pass that deals whole texts to those
+models, then Baum-Welch passes over whole texts. The counts of a pass are summed up per partition, and those of the
+partitions by Spark. Scoring runs the scaled forward recursion over every whole text.
 
 Word counts may be a table of any size. Words that make up more than one part in HEAD of all tokens, which are fewer
-than HEAD, are broadcast; the words of the tail are joined with the table of counts, where no word can be hot.
+than HEAD, are broadcast; the words of the tail are joined with the table of counts, where no word can be hot. Words are
+told apart by their bytes everywhere.
 
 Defined cases: a null or empty text is the end token alone; rows that repeat a doc_id are scored one by one (and train
 one by one); a null doc_id counts as the text '' for the held-out rule; with no training text every count is zero; an
@@ -21,24 +24,28 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hmm
 from tidemark.llm.shared import cut, utf8
-from tidemark.llm.words import Lookup, Words, chunks, hash_of
-
-STATES, CLASSES, PASSES = 16, 32_768, 2
-#: Texts of the sample that gives the first model (expected number), and rounds over it.
-SAMPLE, ROUNDS = 1500, 12
-HEAD = 1_000_000
-#: Tokens that a counting task sorts at once, that Baum-Welch takes at once, and in a training segment.
-HELD, TOKENS, SEGMENT = 1_500_000, 150_000, 256
+from tidemark.llm.words import Words, chunks
+
+STATES, PASSES = 16, 2
+#: Tokens of the texts that say where to begin (expected number); none of these texts has more than a quarter of them.
+SEED_TOKENS = 400_000
+HEAD, OWN = 1_000_000, 1 << 16
+#: Hashed classes per square root of the number of words, and at least.
+TAIL, LEAST_TAIL = 32, 1024
+#: Distinct words that a counting task holds, and tokens that Baum-Welch takes at once, at least.
+HELD, TOKENS = 300_000, 4_000_000
 ADD = 0.1
 
 
@@ -47,136 +54,165 @@ def remainder(id_col: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def _count(classes: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, size = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            # equal hashes within so many tokens are equal words
-            _, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-            mask = np.zeros(size, dtype=bool)
-            mask[first] = True
-            counts = np.zeros(size, dtype=np.int64)
-            counts[first] = n
-            at, tokens = 0, []
-            for w in parts:
-                tokens.append(w.picked(mask[at : at + len(w.starts)])[0])
-                at += len(w.starts)
-            kind = (np.concatenate(hashes)[mask] % np.uint64(classes)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(tokens), pa.array(kind), pa.array(counts[mask])], ["token", "k", "n"])
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[bytes, int] = {}
 
-        for batch in batches:
-            for piece in chunks(batch.column(0)):
-                words = Words(piece)
-                if len(words.starts):
-                    hashes.append(words.hashes)
-                    parts.append(words)
-                    size += len(words.starts)
-                if size > HELD:
-                    yield out()
-                    hashes, parts, size = [], [], 0
-        if size:
-            yield out()
+    def out() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "n"])
+        held.clear()
+        return made
+
+    for batch in batches:
+        for piece in chunks(batch.column(0)):
+            words = Words(piece)
+            for word, n in zip(words.distinct, np.bincount(words.codes, minlength=len(words.distinct)).tolist(), strict=True):
+                held[word] = held.get(word, 0) + n
+            if len(held) > HELD:
+                yield out()
+    if held:
+        yield out()
 
-    return task
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """texts (raw binary) -> token (binary) and its count c."""
+    return texts.select("raw").mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
-def word_counts(texts: DataFrame, classes: int = CLASSES) -> DataFrame:
-    """texts (raw binary) -> token (binary), its class k, its count c."""
-    made = texts.select("raw").mapInArrow(_count(classes), "token binary, k int, n long")
-    return made.groupBy("token").agg(F.max("k").alias("k"), F.sum("n").alias("c"))
 
+def tail_classes(kinds: int) -> int:
+    """How many hashed classes there are for so many words: a power of two."""
+    return 1 << math.ceil(math.log2(max(LEAST_TAIL, TAIL * math.sqrt(kinds))))
 
-def class_of(word: bytes, classes: int) -> int:
-    return hash_of(word) % classes
 
+class Vocabulary:
+    """The words of the head, the most frequent first, and the classes of all words."""
 
-def with_ends(words: Words, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, words: list[bytes], own: int, tail: int):
+        self.own, self.tail, self.end = own, tail, own + tail
+        self.places = {w: k for k, w in enumerate(words)}
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word its place in the head, -1 where it isn't there, and its class."""
+        find, mask = self.places.get, self.tail - 1
+        places = np.fromiter((find(w, -1) for w in words), dtype=np.int64, count=len(words))
+        hashed = (places < 0) | (places >= self.own)
+        classes = places.astype(np.int32)
+        classes[hashed] = [self.own + (xxhash.xxh64_intdigest(words[k], 42) & mask) for k in np.flatnonzero(hashed)]
+        return places, classes
+
+
+def with_ends(words: Words, classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the words, after each text's the end's; and tokens per text."""
     text = np.repeat(np.arange(len(words.per_text)), words.per_text)
-    out = np.full(len(text) + len(words.per_text), classes, dtype=np.int32)
-    out[np.arange(len(text)) + text] = words.hashes % np.uint64(classes)
+    out = np.full(len(text) + len(words.per_text), end, dtype=np.int32)
+    out[np.arange(len(text)) + text] = classes[words.codes]
     return out, words.per_text + 1
 
 
-def _train_task(shared, classes: int):
+def as_classes(texts: DataFrame, shared) -> DataFrame:
+    """texts (raw) -> seq: the classes of every text, little-endian, with the end."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: hmm.Model = shared.value
-        states = len(model.start)
-        counts = hmm.Counts.zero(states, classes + 1)
+        vocabulary = Vocabulary(*shared.value)
         for batch in batches:
             for piece in chunks(batch.column(0)):
-                tokens, lengths = with_ends(Words(piece), classes)
-                at, begins = hmm.segments(lengths, SEGMENT)
-                for low in range(0, len(at), TOKENS // 32):
-                    high = min(len(at), low + TOKENS // 32)
-                    end = at[high] if high < len(at) else len(tokens)
-                    hmm.baum_welch(model, tokens[at[low] : end], at[low:high] - at[low], begins[low:high], counts)
+                words = Words(piece)
+                classes, lengths = with_ends(words, vocabulary.look_up(words.distinct)[1], vocabulary.end)
+                ends = np.append(0, np.cumsum(4 * lengths)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(classes.astype("<i4"))])], ["seq"])
+
+    return texts.select("raw").mapInArrow(task, "seq binary")
+
+
+def _together(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of several texts, and where each begins."""
+    lengths = np.array([len(x) // 4 for x in column], dtype=np.int64)
+    return np.frombuffer(b"".join(column), dtype="<i4"), np.append(0, np.cumsum(lengths)[:-1]) if len(lengths) else lengths
+
+
+def _pass(seqs: DataFrame, model: hmm.Model, gather) -> hmm.Counts:
+    """Counts that gather(model, classes, starts, into) makes of all texts."""
+    classes, states = model.emit.shape
+    shared = seqs.sparkSession.sparkContext.broadcast(model)
+    names = [f"s{k}" for k in range(states)]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = hmm.Counts.zero(states, classes)
+        for batch in batches:
+            held, size = [], 0
+            for seq in batch.column(0).to_pylist():
+                held.append(seq)
+                size += len(seq) // 4
+                if size > TOKENS:
+                    gather(shared.value, *_together(held), counts)
+                    held, size = [], 0
+            gather(shared.value, *_together(held), counts)
         rows = np.concatenate([counts.emit, counts.move, counts.start[None, :]])
         some = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(rows[some, k]) for k in range(states)]], ["at", *[f"s{k}" for k in range(states)]])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(rows[some, k]) for k in range(states)]], ["at", *names])
 
-    return task
+    made = seqs.select("seq").mapInArrow(task, "at long, " + ", ".join(f"{s} double" for s in names))
+    summed = made.groupBy("at").agg(*[F.sum(s).alias(s) for s in names]).toPandas()
+    shared.unpersist()
+    whole = np.zeros((classes + states + 1, states))
+    whole[summed["at"].to_numpy()] = summed[names].to_numpy()
+    return hmm.Counts(whole[-1], whole[classes:-1], whole[:classes])
 
 
-def train(texts: DataFrame, rows: int, shares: np.ndarray, states: int = STATES, passes: int = PASSES, seed: int = 3) -> hmm.Model:
-    """texts (raw binary, key long hash) of all training documents -> the model. shares: of each class in their tokens."""
-    sc, classes = texts.sparkSession.sparkContext, len(shares) - 1
-    even = hmm.Counts.zero(states, classes + 1).model(shares)
-    part = min(1.0, SAMPLE / max(rows, 1))
-    sample = [r.raw for r in texts.where(F.pmod("key", F.lit(1_000_003)) < F.lit(part * 1_000_003)).select("raw").toLocalIterator()]
+def train(seqs: DataFrame, tokens: int, shares: np.ndarray, states: int = STATES, passes: int = PASSES, seed: int = 3) -> hmm.Model:
+    """seqs (checkpointed seq) of all training texts, with so many tokens -> the model. shares: of each class in them."""
+    part = F.lit(min(1.0, SEED_TOKENS / max(tokens, 1)) * 1_000_003)
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_003)) < part
+    sample = [bytes(r.seq) for r in seqs.where(drawn & (F.octet_length("seq") <= SEED_TOKENS)).select("seq").collect()]
     if not sample:
-        return even
-    lines = [with_ends(Words(piece), classes) for piece in chunks(pa.array(sample, pa.binary()))]
-    model = hmm.seeded(np.concatenate([x for x, _ in lines]), np.concatenate([n for _, n in lines]), shares, states, ROUNDS, seed)
+        return hmm.Counts.zero(states, len(shares)).model(shares)
+    classes, starts = _together(sample)
+    model = hmm.seeded(classes, np.diff(np.append(starts, len(classes))), shares, states, seed)
+    model = _pass(seqs, model, hmm.clustered).model(shares)
     for _ in range(passes):
-        shared = sc.broadcast(model)
-        names = [f"s{k}" for k in range(states)]
-        made = texts.select("raw").mapInArrow(_train_task(shared, classes), "at long, " + ", ".join(f"{s} double" for s in names))
-        summed = made.groupBy("at").agg(*[F.sum(s).alias(s) for s in names]).toPandas()
-        shared.unpersist()
-        whole = np.zeros((classes + 1 + states + 1, states))
-        whole[summed["at"].to_numpy()] = summed[names].to_numpy()
-        model = hmm.Counts(whole[-1], whole[classes + 1 : -1], whole[: classes + 1]).model(shares)
+        model = _pass(seqs, model, hmm.baum_welch).model(shares)
     return model
 
 
-def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: int = 10, states: int = STATES, classes: int = CLASSES, passes: int = PASSES) -> DataFrame:
+def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: int = 10, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score per row; trained where the id's remainder is not 0."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), (remainder(F.col(id_col), parts) == 0).alias("held_out"), utf8(F.col(text_col)).alias("raw"))
-    texts = rows.where(~F.col("held_out")).select("raw", F.xxhash64("id").alias("key"))
+    texts = rows.where(~F.col("held_out"))
     ends = texts.count()
-    counts = cut(word_counts(texts, classes))
-    by_class = counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()
-    seen, kinds = np.zeros(classes + 1), np.zeros(classes + 1)
-    seen[by_class["k"]], kinds[by_class["k"]] = by_class["c"], by_class["v"]
-    seen[-1], kinds[-1] = ends, min(ends, 1)
-    total, distinct = int(seen.sum()), int(kinds.sum())
-    mass = seen + ADD * kinds + ADD
+    counts = cut(word_counts(texts))
+    known = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("v")).first()
+    total, distinct = known.c + ends, known.v + min(ends, 1)
+    head = counts.where(F.col("c") * HEAD > total).toPandas().sort_values(["c", "token"], ascending=[False, True])
+    words, often = head["token"].map(bytes).tolist(), head["c"].to_numpy()
+    own, tail = int((often * OWN > total).sum()), tail_classes(known.v)
+    hashed = counts.where(F.col("c") * OWN <= total).groupBy(F.xxhash64("token").bitwiseAND(tail - 1).alias("k"))
+    by_class = hashed.agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()
+    mass = np.full(own + tail + 1, ADD)
+    mass[:own] += often[:own]
+    mass[own + by_class["k"].to_numpy(dtype=np.int64)] += by_class["c"].to_numpy() + ADD * by_class["v"].to_numpy()
+    mass[-1] += ends
     shares = mass / mass.sum()
-    model = train(texts, ends, shares, states, passes)
+    vocabulary = spark.sparkContext.broadcast((words, own, tail))
+    seqs = cut(as_classes(texts, vocabulary))
+    model = train(seqs, total, shares, states, passes)
     log_mass = np.log10(mass)
     log_mass[-1] = 0.0
     floor = np.log10(total + ADD * (distinct + 1))
     end_term = float(np.log10(ends + ADD))
-    head = counts.where(F.col("c") * HEAD > total).toPandas()
-    shared = spark.sparkContext.broadcast((model, log_mass, head["token"].map(bytes).tolist(), head["c"].to_numpy()))
+    shared = spark.sparkContext.broadcast((model, log_mass, np.append(np.log10(often + ADD), 0.0)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, log_mass, words, often = shared.value
-        head = Lookup(np.array([hash_of(w) for w in words], dtype=np.uint64))
-        log_at = np.append(np.log10(often + ADD), 0.0)
+        (model, log_mass, log_at), known_words = shared.value, Vocabulary(*vocabulary.value)
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             tokens, lengths, known, logs, spent, tails = [], [], [], [], [], []
             for piece in chunks(batch.column(2)):
                 found = Words(piece)
                 n = len(found.per_text)
-                at = head.find(found.hashes)
-                text = np.repeat(np.arange(n), found.per_text)
-                own, length = with_ends(found, classes)
+                places, classes = known_words.look_up(found.distinct)
+                text, at = np.repeat(np.arange(n), found.per_text), places[found.codes]
+                own, length = with_ends(found, classes, known_words.end)
                 tokens.append(own)
                 lengths.append(length)
                 logs.append(np.bincount(text, log_at[at], minlength=n))

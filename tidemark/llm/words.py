@@ -1,20 +1,17 @@
-"""Words of many texts at once: byte-level tokenising and hashing without a Python object per word.
+"""Words of many texts at once: byte-level tokenising without a Python object per word.
 
-A word is a run of bytes outside `[\\x20\\x09-\\x0D]`, with A-Z lower-cased. Its hash is the polynomial
-sum((byte + 1) * BASE ** position) modulo 2**64, mixed; it is taken from running sums, so its cost is per byte.
+A word is a run of bytes outside `[\\x20\\x09-\\x0D]`, with A-Z lower-cased. Equal words get one code by their bytes (Arrow's
+dictionary encoding), so two words are never taken for one another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
-INVERSE = pow(BASE, -1, 2**64)
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 IS_WHITE = np.zeros(256, dtype=bool)
@@ -23,51 +20,31 @@ IS_WHITE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1 << 20
 
 
-@cache
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
 class Words:
-    """Of some texts: octets (lower-cased), starts and ends of words in them, hashes, and words per text."""
+    """Of some texts: words per text, the code of every word, and the distinct words by code."""
 
     def __init__(self, column: pa.Array):
         bounds = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
         data = column.buffers()[2]
         raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
         bounds = bounds - bounds[0]
-        n = len(raw)
-        self.octets, black = LOWERED[raw], ~IS_WHITE[raw]
-        apart = np.zeros(n + 1, dtype=bool)  # a word can't go on over these places
+        black = ~IS_WHITE[raw]
+        apart = np.zeros(len(raw) + 1, dtype=bool)  # a word can't go on over these places
         apart[bounds] = True
         first, last = black.copy(), black.copy()
         first[1:] &= ~black[:-1] | apart[1:-1]
         last[:-1] &= ~black[1:] | apart[1:-1]
-        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.per_text = np.diff(np.searchsorted(self.starts, bounds))
-        size = 1 << max(n, 1).bit_length()
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.octets.astype(np.uint64) + np.uint64(1)) * _powers(BASE, size)[:n], out=sums[1:])
-        self.hashes = mixed((sums[self.ends] - sums[self.starts]) * _powers(INVERSE, size)[self.starts])
-
-    def word(self, k: int) -> bytes:
-        return self.octets[self.starts[k] : self.ends[k]].tobytes()
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.per_text = np.diff(np.searchsorted(starts, bounds))
+        offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+        self.tokens = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(LOWERED[raw[black]])])
+        encoded = self.tokens.dictionary_encode()
+        self.codes, self.distinct = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
 
     def picked(self, mask: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """The words under the mask as a binary array, and how many each text has."""
-        lengths = (self.ends - self.starts)[mask]
-        offsets = np.append(0, np.cumsum(lengths))
-        at = np.repeat(self.starts[mask] - offsets[:-1], lengths) + np.arange(offsets[-1])
-        made = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.octets[at])])
         text = np.repeat(np.arange(len(self.per_text)), self.per_text)
-        return made, np.bincount(text[mask], minlength=len(self.per_text))
+        return self.tokens.filter(pa.array(mask)), np.bincount(text[mask], minlength=len(self.per_text))
 
 
 def chunks(column: pa.Array) -> Iterator[pa.Array]:
@@ -80,38 +57,3 @@ def chunks(column: pa.Array) -> Iterator[pa.Array]:
         end = max(begin + 1, int(np.searchsorted(sizes, done + CHUNK, "right")))
         yield column.slice(begin, end - begin)
         begin, done = end, int(sizes[end - 1])
-
-
-def hash_of(word: bytes) -> int:
-    """The hash of one lower-cased word."""
-    h = sum((b + 1) * pow(BASE, i, 2**64) for i, b in enumerate(word)) % 2**64
-    h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 % 2**64
-    return h ^ (h >> 29)
-
-
-class Lookup:
-    """Hash -> position, by open addressing over a table at most a quarter full."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.append(hashes, np.uint64(0))
-        bits = max(10, (4 * len(hashes)).bit_length())
-        self.shift, self.size = np.uint64(64 - bits), 1 << bits
-        self.table = np.full(self.size, -1, dtype=np.int32)
-        left = np.arange(len(hashes))
-        slot = (hashes >> self.shift).astype(np.int64)
-        while len(left):
-            free = self.table[slot] < 0
-            self.table[slot[free]] = left[free]  # of several, the last one written stays
-            lost = self.table[slot] != left
-            left, slot = left[lost], (slot[lost] + 1) % self.size
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions, -1 where a hash isn't there."""
-        slot = (hashes >> self.shift).astype(np.int64)
-        out = self.table[slot]
-        open_ = np.flatnonzero((out >= 0) & (self.hashes[out] != hashes))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) % self.size
-            out[open_] = self.table[slot[open_]]
-            open_ = open_[(out[open_] >= 0) & (self.hashes[out[open_]] != hashes[open_])]
-        return out
