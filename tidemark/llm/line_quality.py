@@ -66,14 +66,14 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     words = Words(column)
     home = line[words.starts] if len(words.starts) else np.zeros(0, dtype=np.int64)
     n = np.bincount(home, minlength=total).astype(float)
-    key = np.sort((home.astype(np.uint64) << np.uint64(36)) | (words.hashes >> np.uint64(28)))
+    key = np.sort(home * np.int64(max(1, len(words.distinct))) + words.codes)
     new = np.ones(len(key), dtype=bool)
     new[1:] = key[1:] != key[:-1]
-    distinct = np.bincount((key[new] >> np.uint64(36)).astype(np.int64), minlength=total)
+    distinct = np.bincount(key[new] // max(1, len(words.distinct)), minlength=total)
     again = np.zeros(len(home), dtype=bool)
-    again[1:] = (words.hashes[1:] == words.hashes[:-1]) & (home[1:] == home[:-1])
+    again[1:] = (words.codes[1:] == words.codes[:-1]) & (home[1:] == home[:-1])
     length = words.ends - words.starts
-    last = words.octets[words.ends - 1] if len(home) else np.zeros(0, dtype=np.uint8)
+    last = raw[words.ends - 1] if len(home) else np.zeros(0, dtype=np.uint8)
     odd = (KIND[last] >= 5) & (KIND[last] <= 7)
     per = lambda mask: np.bincount(home[mask], minlength=total)
     chars, w = np.maximum(sizes, 1.0), np.maximum(n, 1.0)

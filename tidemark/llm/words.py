@@ -21,7 +21,7 @@ CHUNK = 1 << 20
 
 
 class Words:
-    """Of some texts: words per text, the code of every word, and the distinct words by code."""
+    """Of some texts: where words begin and end in them, words per text, the code of every word, and the distinct words by code."""
 
     def __init__(self, column: pa.Array):
         bounds = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
@@ -34,7 +34,7 @@ class Words:
         first, last = black.copy(), black.copy()
         first[1:] &= ~black[:-1] | apart[1:-1]
         last[:-1] &= ~black[1:] | apart[1:-1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.starts, self.ends = starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.per_text = np.diff(np.searchsorted(starts, bounds))
         offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
         self.tokens = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(LOWERED[raw[black]])])
