@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, line_quality, mixing, packing, simhash_bk
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.shared import shared_folder
+from tidemark.llm.shared import drop, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again; the last one's rows."""
+    """All stages, each written as Parquet to the shared folder and read again; the last one's rows.
+
+    A stage's table is removed once the next one is written. The last table stays: the returned rows are read from it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if before:
+            drop(spark, before)
+        before = f"{folder}/{k}-{name}"
     return docs

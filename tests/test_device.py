@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,54 @@ def test_outcome_and_first_verdict(spark):
     rows = spark.createDataFrame([(1, True, "failed", False, "complete", 1.0), (2, True, "inferred", False, "frame-budget", 2.0), (2, False, "inferred", False, "frame-budget", 5.0)], log)
     assert {r.video_id: r.status for r in metrics.outcome(rows).collect()} == {1: "no-frames", 2: "frame-budget"}
     assert {r.video_id: r.first_verdict_ms for r in metrics.first_verdict(rows).collect()} == {1: 1.0, 2: 2.0}
+
+
+def test_notes_and_gap(value):
+    b = F.lit
+    assert value(device.usable_probe(F.lit(None).cast("boolean"))) is False
+    assert value(device.notes(b(True), b(True), b(True), b(True))) == []
+    said = value(device.notes(b(True), b(False), b(False), b(False)))
+    assert len(said) == 3 and "adapter" in said[0] and "codec" in said[1] and "GPU backend" in said[2]
+    assert value(device.notes(b(False), b(False), b(True), b(True))) == []
+    assert [value(device.sampling_gap(F.lit(250), F.lit(r).cast("double"))) for r in (40.0, 250.4, 3000.5, None)] == [250, 250, 3001, 250]
+
+
+def test_timeline_axis(value):
+    marks = value(formats.timeline_axis(F.lit(240_000).cast("double")))
+    assert [(m.share, m.label) for m in marks] == [(0.0, "0:0.0"), (0.25, "1:00"), (0.5, "2:00"), (0.75, "3:00"), (1.0, "4:00")]
+
+
+def test_events_thumbnails_and_phases(value, spark):
+    from tidemark.operators import mitigation
+    from tidemark.sources import sinks
+
+    made = value(sinks.event("error", message=F.lit("why"), kind=F.lit("cors")))
+    assert made.asDict() == {"type": "error", "phase": None, "message": "why", "kind": "cors", "result": None}
+    rows = spark.createDataFrame([(0.6, "a"), (0.5, "b")], "score double, thumbnail string")
+    assert [r.t for r in rows.select(sinks.thumbnail(0.55).alias("t")).collect()] == ["a", None]
+    assert [value(mitigation.is_scanning(F.lit(p).cast("string"))) for p in ("survey", "refine", "done", "cancelled", None)] == [True, True, False, False, False]
+
+
+def test_interval_priority(value):
+    from tidemark.functions.scoring import interval_priority
+
+    assert value(interval_priority(F.lit(1000), F.lit(0.2), F.lit(0.6), F.lit(250))) == pytest.approx(0.75 * math.log2(5))
+
+
+def test_model_fitness(spark):
+    from tidemark.operators.detectors import fit_for_use
+
+    rows = spark.createDataFrame([([1.0, 0.0], True), ([2.0, 5.0], True), ([3.0, -1.0], True), ([0.0, 9.0], False)], "logits array<double>, is_clean boolean")
+    r = fit_for_use(rows).first()
+    assert (r.swing, r.ratio, r.fit) == (10.0, pytest.approx(2 / 3), False)
+    assert fit_for_use(rows.where("NOT is_clean")).first().ratio == 0.0
+    assert fit_for_use(rows.where("logits[1] < 1 OR NOT is_clean")).first().fit is True
+
+
+def test_default_detail(spark):
+    from tidemark.constants import POLICIES
+    from tidemark.operators import detectors
+
+    rows = spark.createDataFrame([(1, [0.0, 2.0])], "frame_id long, logits array<double>")
+    r = detectors.detect(rows, [detectors.LogitDetector()], POLICIES["balanced"]).first()
+    assert r.classes.asDict() == {"Drawing": 0.0, "Hentai": 0.0, "Neutral": 1.0, "Porn": 0.0, "Sexy": 0.0}

@@ -62,7 +62,44 @@ def test_cache_forgets_the_oldest(spark):
     assert cache(spark, [("0" * 16, 0.4), ("0" * 16, 0.5)]) == [(0.4, False), (0.5, False)]
 
 
-def test_near_pairs_match_all_pairs(spark):
+def test_one_video_streams_past_its_cache(spark):
+    """A long video and others, whose frames come in any order, against a fold over each."""
+    import random
+
+    from tidemark.operators.near import Cache
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    rows = [(v, k, f"{rng.choice(base) ^ (1 << rng.randrange(64)):016x}", rng.random()) for v, n in ((1, 3000), (2, 50), (3, 50)) for k in range(n)]
+    want = set()
+    for v in (1, 2, 3):
+        own = Cache(6, 24)
+        want |= {(v, k, *own.judge(int(h, 16), s)) for w, k, h, s in rows if w == v}
+    rng.shuffle(rows)
+    frames = spark.createDataFrame(rows, "video_id long, arrival long, hash string, score double").repartition(5)
+    assert {tuple(r) for r in near.cached_scores(frames).collect()} == want
+
+
+def test_luma(value):
+    assert value(hashing.luma(F.lit(100.0), F.lit(50.0), F.lit(10.0))) == pytest.approx(29.9 + 29.35 + 1.14)
+    image = value(hashing.luma_image(F.array(*[F.lit(float(x)) for x in (1, 2, 3, 255, 10, 20, 30, 0)])))
+    assert image == pytest.approx([0.299 + 1.174 + 0.342, 2.99 + 11.74 + 3.42])
+    assert value(hashing.usable(F.lit("0" * 16))) is False and value(hashing.usable(F.lit(None).cast("string"))) is False
+
+
+def test_tables_of_near_pairs_read_more_bits_of_more_hashes():
+    for count in (10, 10**4, 10**6, 10**9):
+        tables = near.key_tables(6, count)
+        assert all(sum(w for _, w in t) >= min(32, math.log2(count / 8)) - 1e-9 for t in tables) or count == 10
+        rng = __import__("random").Random(count)
+        for _ in range(200):
+            flips = sum(1 << b for b in rng.sample(range(64), 6))
+            assert any(all(not flips >> shift & ((1 << width) - 1) for shift, width in t) for t in tables)
+
+
+@pytest.mark.parametrize("meet", [8, 0.001])
+def test_near_pairs_match_all_pairs(spark, monkeypatch, meet):
+    monkeypatch.setattr(near, "MEET", meet)
     import random
 
     rng = random.Random(5)

@@ -1,97 +1,96 @@
-import pandas as pd
-import pytest
-
-from tidemark.constants import BUDGETS, POLICIES, Budget
-from tidemark.operators import sampling, scan
-from tidemark.operators.sampling import Sampler
-
-
-def survey_of(duration, budget=BUDGETS["medium"], keyframes=()):
-    s = Sampler(duration, budget, keyframes)
-    return list(s.queue)
-
-
-@pytest.mark.parametrize(("duration", "n", "first"), [(16_000, 16, 500), (32_000, 8, 2000)])
-def test_survey_cells(spark, duration, n, first):
-    budget = Budget(survey_frames=n)
-    videos = spark.createDataFrame([(1, duration)], "video_id long, duration_ms long")
-    got = [r.ts_ms for r in sampling.survey(videos, budget).orderBy("slot").collect()]
-    assert got[0] == first and got == survey_of(duration, budget) and len(got) == n
-
-
-def test_survey_respects_the_gap(spark):
-    assert (len(survey_of(1200)), len(survey_of(80))) == (4, 1)
-    videos = spark.createDataFrame([(1, 1200), (2, 80), (3, 0)], "video_id long, duration_ms long")
-    assert sorted(r["count"] for r in sampling.survey(videos, BUDGETS["medium"]).groupBy("video_id").count().collect()) == [1, 4]
-    with pytest.raises(ValueError, match="positive"):
-        Sampler(0, BUDGETS["medium"])
+import math
 
+import pytest
+from pyspark.sql import functions as F
 
-def test_snapping():
-    assert survey_of(16_000, keyframes=[480, 1490])[0] == 480
-    assert survey_of(16_000, keyframes=[3000])[0] == 500
-
-
-def run(sampler, score, most):
-    asked = []
-    while len(asked) < most and (request := sampler.next_request()):
-        asked.append(request)
-        sampler.observe(request[0], score(request[0]))
-    return asked
-
-
-def test_refinement_seeks_the_hot_spot():
-    asked = run(Sampler(60_000, Budget(survey_frames=6)), lambda t: 0.9 if abs(t - 20_000) < 6000 else 0.0, 18)
-    refined = [t for t, survey in asked if not survey]
-    assert sum(abs(t - 20_000) <= 10_000 for t in refined) > len(refined) / 2
-
+from tidemark.constants import BUDGETS, Budget
+from tidemark.operators import lookups, metrics, sampling
 
-def test_refinement_ends_and_is_deterministic():
-    asked = run(Sampler(6000, Budget(min_gap_ms=500)), lambda t: 0.9, 1000)
-    assert len(asked) < 40 and len({t for t, _ in asked}) == len(asked)
-    assert asked == run(Sampler(6000, Budget(min_gap_ms=500)), lambda t: 0.9, 1000)
+MEDIUM = BUDGETS["medium"]
 
 
-def test_keyframes_do_not_stop_refinement():
-    sampler = Sampler(29_900, BUDGETS["medium"], range(0, 29_900, 3000))
-    assert any(not survey for _, survey in run(sampler, lambda t: 0.1, 200))
+def videos(spark, *durations):
+    return spark.createDataFrame(list(enumerate(durations, 1)), "video_id long, duration_ms long")
 
 
-def test_failures_split_intervals():
-    sampler = Sampler(60_000, Budget(survey_frames=4))
-    while sampler.queue:
-        sampler.observe(sampler.next_request()[0], 0.2)
-    assert sampler.progress() == 0.5
-    at, _ = sampler.next_request()
-    before = len(sampler.heap)
-    sampler.fail(at)
-    assert len(sampler.heap) == before + 2 and at not in [t for t, _ in sampler.seen]
+def frames(spark, scores, video_id=1):
+    return spark.createDataFrame([(video_id, t, float(s)) for t, s in scores], "video_id long, ts_ms long, score double")
 
 
-def video(n=400, gap=100, **own):
-    rows = [{"ts_ms": k * gap, "score": 0.05, "hash": f"{(k * 0x9E3779B97F4A7C15 + 1) % 2**64:016x}", "is_sync": k % 25 == 0, "infer_ms": 20.0, "duration_ms": n * gap, "failed": False} | own for k in range(n)]
-    return pd.DataFrame(rows)
+@pytest.mark.parametrize(("duration", "n", "times"), [(16_000, 16, [500 + 1000 * k for k in range(16)]), (32_000, 8, [2000 + 4000 * k for k in range(8)]), (1200, 16, [150, 450, 750, 1050]), (80, 16, [40]), (7_200_000, 16, None)])
+def test_survey_cells(spark, duration, n, times):
+    got = [r.ts_ms for r in sampling.survey(videos(spark, duration), Budget(survey_frames=n)).orderBy("slot").collect()]
+    assert got == times if times else len(got) == n
 
 
-def test_scan_stops_at_its_budgets():
-    p = POLICIES["balanced"]
-    log = scan.scan_video(video(), p, Budget(max_frames=30))
-    assert log[-1][7] == "frame-budget" and sum(not x[6] for x in log) == 30
-    assert scan.scan_video(video(infer_ms=40.0), p, Budget(max_ms=500))[-1][7] == "time-budget"
-    assert scan.scan_video(video(20), p, Budget())[-1][7] == "complete"
-    assert scan.scan_video(video(score=0.99), p, Budget())[-1][7] == "early-exit"
+def test_survey_costs_the_same_at_any_duration_and_leaves_out_empty_videos(spark):
+    made = sampling.survey(videos(spark, 60_000, 3_600_000, 36_000_000, 0), MEDIUM).groupBy("video_id").count().collect()
+    assert {r.video_id: r["count"] for r in made} == {1: 16, 2: 16, 3: 16}
 
 
-def test_scan_inherits_scores_of_near_frames():
-    log = scan.scan_video(video(hash="00000000000000ff"), POLICIES["balanced"], Budget(max_frames=20))
-    assert [x[5] for x in log].count("inferred") == 1
-    assert {x[5] for x in scan.scan_video(video(failed=True), POLICIES["balanced"], Budget())} == {"failed"}
+def best_first(duration, answers, rows, budget):
+    """Halve the interval of the highest rank again and again, one at a time."""
+    gap, times = budget.min_gap_ms, sorted(rows)
 
+    def score_at(t):
+        before = [x for x in times if x <= t]
+        return rows[before[-1] if before else times[0]]
 
-def test_governor_and_floor():
-    b = Budget()
-    assert scan.governed_budget(b, 500, 3) == b and scan.governed_budget(b, 1.4 * 45, 40) == b
-    slow = scan.governed_budget(b, 120, 40)
-    assert slow.max_frames == 45 and slow.min_gap_ms == 500
-    assert [scan.floor_after_duplicates(250, n, 60_000) for n in (0, 2)] == [250, 250]
-    assert 250 < scan.floor_after_duplicates(250, 3, 60_000) and scan.floor_after_duplicates(250, 200, 60_000) <= 7500
+    seen = sorted(answers.items())
+    ends = [(0, seen[0][1]), *seen, (duration, seen[-1][1])]
+    rank = lambda a, b, x, y: math.floor((0.15 + max(x, y)) * math.log2(1 + (b - a) / gap) * 1e9 + 0.5) / 1e9
+    waiting = [(a, b, x, y, 1) for (a, x), (b, y) in zip(ends, ends[1:], strict=False) if b - a >= 2 * gap]
+    asked = []
+    while waiting and len(asked) < budget.max_frames - len(answers):
+        best = max(waiting, key=lambda i: (rank(*i[:4]), -i[4], -i[0]))
+        waiting.remove(best)
+        a, b, x, y, level = best
+        middle = math.floor((a + b) / 2 + 0.5)
+        s = score_at(middle)
+        asked.append(middle)
+        waiting += [i for i in ((a, middle, x, s, level + 1), (middle, b, s, y, level + 1)) if i[1] - i[0] >= 2 * gap]
+    return asked, bool(waiting)
+
+
+@pytest.mark.parametrize(("most", "gap"), [(10, 250), (25, 250), (40, 500), (200, 1000)])
+def test_refinement_is_best_first(spark, most, gap):
+    budget = Budget(survey_frames=6, max_frames=most, min_gap_ms=gap)
+    rows = {t: (0.9 if abs(t - 20_000) < 6000 else 0.0) + (t * 7919 % 1000) / 1e5 for t in range(0, 60_000, 130)}
+    table = frames(spark, rows.items())
+    answers = sampling.served(sampling.survey(videos(spark, 60_000), budget), table)
+    got = sampling.refine(videos(spark, 60_000), answers, table, budget).orderBy("place").collect()
+    want, more = best_first(60_000, {r.ts_ms: r.score for r in answers.collect()}, rows, budget)
+    assert {r.ts_ms for r in got} == set(want) and [r.place for r in got] == list(range(1, len(want) + 1))
+    assert more == (len(got) == most - 6)
+    hot = [t for t in want[:12] if abs(t - 20_000) <= 10_000]
+    assert len(hot) > len(want[:12]) / 2 or most == 10
+
+
+def test_refinement_ends_and_asks_nothing_twice(spark):
+    budget = Budget(min_gap_ms=500)
+    table = frames(spark, [(0, 0.9)])
+    got = sampling.selected(videos(spark, 6000), table, budget).collect()
+    assert len(got) < 40 and len({r.ts_ms for r in got}) == len(got)
+    stats = sampling.request_stats(sampling.selected(videos(spark, 6000), table, budget)).first()
+    assert (stats.frames, stats.duplicates, stats.surveyed + stats.refined) == (1, len(got) - 1, len(got))
+    assert sampling.selected(videos(spark, 6000).where("false"), table, budget).count() == 0
+
+
+def test_random_access(spark):
+    """The sample itself, unless its keyframe is more than 24 samples away."""
+    samples = [(1, t, t in (100, 2000)) for t in range(0, 4000, 10)] + [(2, t, False) for t in range(0, 400, 10)]
+    table = spark.createDataFrame(samples, "video_id long, ts_ms long, is_sync boolean")
+    asked = spark.createDataFrame([(1, -5), (1, 55), (1, 100), (1, 344), (1, 355), (1, 2244), (1, 2250), (1, 9999), (2, 245), (2, 399), (3, 1)], "video_id long, ts_ms long")
+    got = {(r.video_id, r.ts_ms): (r.served_ms, r.on_keyframe) for r in lookups.fetch(asked, table).collect()}
+    assert got == {
+        (1, -5): (0, False), (1, 55): (50, False), (1, 100): (100, True), (1, 344): (340, False), (1, 355): (100, True), (1, 2244): (2240, False), (1, 2250): (2000, True), (1, 9999): (2000, True),
+        (2, 245): (240, False), (2, 399): (0, True), (3, 1): (None, None),
+    }
+
+
+def test_scan_log_metrics(spark):
+    log = [(1, True, "inferred", False), (1, False, "inherited", True), (1, False, "failed", False), (1, False, "inferred", False)]
+    rows = spark.createDataFrame(log, "scan_id long, survey boolean, status string, duplicate boolean")
+    r = metrics.scan_stats(rows).first()
+    assert (r.sampled, r.inferred, r.deduped, r.failed, r.duplicates) == (2, 2, 1, 1, 1)
+    assert metrics.scan_stats(rows.where(F.lit(False))).count() == 0

@@ -1,4 +1,7 @@
+import json
+
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidemark.constants import POLICIES
@@ -85,6 +88,45 @@ def test_stream_and_table_agree(spark, frames, tmp_path):
     assert once[0].n_frames == 3 and once[0].contains_inappropriate_content
 
 
+def test_stream_writes_its_events(spark, frames, tmp_path):
+    rows = frames("9000:.72 1000:.7 4000:.1", 30_000)
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    progress.run(spark, stream, BALANCED, str(tmp_path / "out"))
+    told = progress.events(spark, str(tmp_path / "out")).orderBy("batch").collect()
+    assert [r.type for r in told][-1] == "done" and {r.type for r in told[:-1]} == {"progress"} and len(told) >= 2
+    last = json.loads(told[-2].result)
+    assert set(last) == {"contains_inappropriate_content", "confidence"} and last["contains_inappropriate_content"] is True
+
+
+def test_a_stream_that_fails_says_so(spark, frames, tmp_path):
+    rows = frames("9000:.72", 30_000)
+    rows.write.parquet(str(tmp_path / "in"))
+    broken = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withColumn("score", F.raise_error(F.lit("no pixels")).cast("double"))
+    with pytest.raises(StreamingQueryException):
+        progress.run(spark, broken, BALANCED, str(tmp_path / "out"))
+    told = progress.events(spark, str(tmp_path / "out")).collect()
+    assert [r.type for r in told] == ["error"] and "no pixels" in told[0].message and told[0].kind == "stream"
+
+
+def test_a_stopped_stream_goes_on_where_it_was(spark, frames, tmp_path):
+    rows = frames("9000:.72 1000:.7 4000:.1", 30_000)
+    rows.where("ts_ms = 9000").write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    progress.start(stream(), BALANCED, str(tmp_path / "out")).awaitTermination()
+    rows.where("ts_ms <> 9000").write.mode("append").parquet(str(tmp_path / "in"))
+    again = progress.start(stream(), BALANCED, str(tmp_path / "out"), every="100 milliseconds")
+    again.processAllAvailable()
+    again.stop()
+    assert [r.asDict() for r in progress.published(spark, str(tmp_path / "out")).collect()] == [r.asDict() for r in progress.snapshots(rows, BALANCED).collect()]
+
+
+def test_session_windows_are_flagged_spans(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", 0.8), (1, "2024-01-01 00:00:02", 0.9), (1, "2024-01-01 00:00:09", 0.7)], "video_id long, t string, score double")
+    made = progress.sessions(rows.withColumn("t", F.col("t").cast("timestamp")), "t").orderBy("span").collect()
+    assert [(r.frames, r.peak_score) for r in made] == [(2, 0.9), (1, 0.7)]
+
+
 def test_observed_metrics(frames):
     rows, seen = progress.observed(frames("1:.2 2:.9"))
     assert rows.count() == 2 and seen.get == {"rows": 2, "high_share": 0.5, "max_score": 0.9}

@@ -46,6 +46,26 @@ def preferred_backend(webgpu: Column, webgl: Column, wasm: Column) -> Column:
     return F.when(webgpu, "webgpu").when(webgl, "webgl").when(wasm, "wasm").otherwise("cpu")
 
 
+def usable_probe(result: Column) -> Column:
+    """A probe that threw (null) or found nothing is false, never an error."""
+    return F.coalesce(result, F.lit(False))
+
+
+def notes(gpu_present: Column, webgpu: Column, webgl: Column, webcodecs: Column) -> Column:
+    """What a user should know of a device, as an array of texts in a fixed order; empty if nothing is amiss."""
+    said = [
+        F.when(gpu_present & ~webgpu, "a GPU interface is there, but no adapter could be had"),
+        F.when(~webcodecs, "no codec interface: frames are taken by seeking, which is slower"),
+        F.when(~webgpu & ~webgl, "no GPU backend: inference runs on the processor, and slower"),
+    ]
+    return F.array_compact(F.array(*said))
+
+
+def sampling_gap(min_gap_ms: Column, resolution: Column) -> Column:
+    """The least gap between samples: never finer than the source resolves (null: unknown)."""
+    return F.greatest(min_gap_ms.cast("long"), half_up(resolution))
+
+
 def cores_of(reported: Column) -> Column:
     return F.greatest(F.lit(1), F.coalesce(reported, F.lit(2)))
 

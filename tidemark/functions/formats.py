@@ -51,3 +51,9 @@ def timeline_box(start_ms: Column, end_ms: Column, duration_ms: Column) -> Colum
     """struct<left_pct, width_pct> of a segment on a timeline."""
     left = F.least(F.lit(100.0), F.greatest(F.lit(0.0), start_ms / duration_ms * 100))
     return F.struct(left.alias("left_pct"), F.greatest(F.lit(0.6), (end_ms - start_ms) / duration_ms * 100).alias("width_pct"))
+
+
+def timeline_axis(duration_ms: Column) -> Column:
+    """array<struct<share, label>>: where a timeline's axis is marked, from its start to its end."""
+    marks = [F.struct(F.lit(share).alias("share"), timestamp(duration_ms * share).alias("label")) for share in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    return F.array(*marks)

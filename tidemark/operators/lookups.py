@@ -5,21 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.constants import SPAN_LEAD_MS
+from tidemark.constants import GOP_WALK, SPAN_LEAD_MS
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, out: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, out: str, also: tuple[str, ...] = ()) -> DataFrame:
     """left with out: the last right time at or before left's, else the first one after; null where the key has none.
 
-    One shuffle by key: both sides are laid in one order and the last right time is carried forward.
+    also: further columns of that right row. One shuffle by key: both sides are laid in one order and the last right row is
+    carried forward.
     """
-    both = left.select("*", F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_r")).unionByName(
-        right.select(key, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(right_ts).cast("long").alias("_r")), allowMissingColumns=True
-    )
+    row = F.struct(F.col(right_ts).cast("long").alias("_at"), *[F.col(c).alias(f"_{c}") for c in also])
+    laid = right.select(F.col(key), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), row.alias("_r"))
+    both = left.select("*", F.col(left_ts).alias("_t"), F.lit(1).alias("_side")).unionByName(laid, allowMissingColumns=True)
     order = Window.partitionBy(key).orderBy("_t", "_side")
     carried = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.min("_r").over(Window.partitionBy(key))
-    return both.withColumn(out, F.coalesce(carried, first)).where("_side = 1").drop("_t", "_side", "_r")
+    first = F.min_by("_r", F.when(F.col("_side") == 0, F.col("_t"))).over(Window.partitionBy(key))
+    found = both.withColumn("_r", F.coalesce(carried, first)).where("_side = 1")
+    return found.withColumns({out: F.col("_r._at")} | {c: F.col(f"_r._{c}") for c in also}).drop("_t", "_side", "_r")
+
+
+def fetch(requests: DataFrame, samples: DataFrame, walk: int = GOP_WALK) -> DataFrame:
+    """requests (video_id, ts_ms) with served_ms and on_keyframe: what random access delivers.
+
+    The last sample (video_id, ts_ms, is_sync) at or before the request (the first one, if none is) is decoded from the last keyframe at or
+    before it; if that is more than `walk` samples away, the keyframe itself is served. Without any keyframe the first
+    sample counts as one; a sample before the first keyframe is served as it is.
+    """
+    order, whole = Window.partitionBy("video_id").orderBy("ts_ms"), Window.partitionBy("video_id")
+    numbered = samples.withColumn("n", F.row_number().over(order)).withColumn("key", F.col("is_sync") | (~F.max("is_sync").over(whole) & (F.col("n") == 1)))
+    key = F.last(F.when(F.col("key"), F.struct("n", "ts_ms")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    far = F.coalesce(F.col("n") - F.col("k.n") > walk, F.lit(False))
+    ready = numbered.withColumn("k", key).select("video_id", "ts_ms", F.when(far, F.col("k.ts_ms")).otherwise(F.col("ts_ms")).alias("served_ms"), (far | F.col("key")).alias("on_keyframe"))
+    return as_of(requests, ready, "video_id", "ts_ms", "ts_ms", "_sample_ms", also=("served_ms", "on_keyframe")).drop("_sample_ms")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, out: str, tolerance: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.constants import TRUSTED_COVERAGE
@@ -11,6 +11,10 @@ from tidemark.operators.lookups import in_spans
 SCANNING = ("loading", "analysing", "survey", "refine")
 
 
+def is_scanning(phase: Column) -> Column:
+    return F.coalesce(phase.isin(*SCANNING), F.lit(False))
+
+
 def obscured(state: DataFrame) -> DataFrame:
     """state (mode, phase, finalized, flagged, segments, coverage, in_span, revealing, acknowledged) with trustworthy, blur, block, pregate, obscured.
 

@@ -1,21 +1,22 @@
-"""Which times of a video to look at: an even survey, then refinement of the most suspicious and widest intervals."""
+"""Which times of a video to look at: an even survey, then halves of the widest and most suspicious intervals.
+
+Refinement is a tree of halved intervals per video. An interval's rank is the suspicion of its ends times the logarithm of its
+width, and none is halved before the interval that it came from. So the first n halvings of a video, best first, are the n
+of the highest bottleneck: the least rank on the way from the survey down to the interval. That is a ranking of rows, which
+takes one level of the tree at a time, all videos at once: as a bottleneck never rises downwards, what is not among a
+video's first n on one level has nothing below it that is, and is left out before the next.
+"""
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_left
-from collections import deque
-from collections.abc import Iterable
-from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import Budget
-from tidemark.functions.scoring import half_up
-
-BASE_PRIORITY = 0.15
+from tidemark.functions.scoring import half_up, interval_priority, round_to
+from tidemark.operators.lookups import as_of
 
 
 def survey(videos: DataFrame, budget: Budget) -> DataFrame:
@@ -27,97 +28,61 @@ def survey(videos: DataFrame, budget: Budget) -> DataFrame:
     return cells.select("video_id", "slot", half_up(centre).alias("ts_ms")).dropDuplicates(["video_id", "ts_ms"])
 
 
-def nearest_whole(x: float) -> int:
-    return math.floor(x + 0.5)
+def served(requests: DataFrame, frames: DataFrame) -> DataFrame:
+    """requests (video_id, ts_ms) with served_ms and score of the frame (video_id, ts_ms, score) that answers each."""
+    return as_of(requests, frames, "video_id", "ts_ms", "ts_ms", "served_ms", also=("score",))
 
 
-@dataclass
-class Sampler:
-    """The requests for one video. next_request() gives a time and whether it belongs to the survey; observe() or fail() answers it.
+def _intervals(answers: DataFrame, videos: DataFrame) -> DataFrame:
+    """Between neighbouring answers, and from them to the ends of the video, which have the score of the nearest answer."""
+    order = Window.partitionBy("video_id").orderBy("ts_ms")
+    rows = answers.select("video_id", "ts_ms", "score").join(videos.select("video_id", "duration_ms"), "video_id")
+    rows = rows.withColumn("before", F.lag(F.struct("ts_ms", "score")).over(order)).withColumn("last", F.lead("ts_ms").over(order).isNull())
+    own, score = F.col("ts_ms").cast("long"), F.col("score")
+    between = F.struct(F.coalesce(F.col("before.ts_ms"), F.lit(0)).cast("long").alias("a"), own.alias("b"), F.coalesce("before.score", "score").alias("score_a"), score.alias("score_b"))
+    behind = F.struct(own.alias("a"), F.col("duration_ms").cast("long").alias("b"), score.alias("score_a"), score.alias("score_b"))
+    return rows.select("video_id", F.explode(F.when(F.col("last"), F.array(between, behind)).otherwise(F.array(between))).alias("x")).select("video_id", "x.*")
 
-    The budget may be replaced while requests are open: an interval's rank is fixed when it is added, its width is
-    tested again when it is taken.
-    """
 
-    duration: float
-    budget: Budget
-    keyframes: Iterable[float] = ()
-    seen: list[tuple[int, float]] = field(default_factory=list)
-
-    def __post_init__(self):
-        if not self.duration > 0:
-            raise ValueError("a video has a positive duration")
-        self.keyframes = sorted(self.keyframes)
-        self.asked: set[int] = set()
-        self.open: dict[int, tuple] = {}
-        self.heap: list[tuple] = []
-        self.refining = False
-        n = max(1, min(self.budget.survey_frames, max(1, math.floor(self.duration / self.budget.min_gap_ms)), self.budget.max_frames))
-        self.planned, self.queue, cell = n, deque(), self.duration / n
-        for k in range(n):
-            at = self._snapped((k + 0.5) * cell, cell / 2)
-            if at not in self.asked:
-                self.asked.add(at)
-                self.queue.append(at)
-
-    def _snapped(self, at: float, tolerance: float) -> int:
-        """The closest unasked keyframe within the tolerance among the three around the time, else the time itself."""
-        chosen, gap = nearest_whole(at), math.inf
-        if self.keyframes and tolerance > 0:
-            here = min(bisect_left(self.keyframes, at), len(self.keyframes) - 1)
-            for kf in self.keyframes[max(0, here - 1) : here + 2]:
-                if abs(kf - at) <= tolerance and abs(kf - at) < gap and nearest_whole(kf) not in self.asked:
-                    chosen, gap = nearest_whole(kf), abs(kf - at)
-        return chosen
-
-    def _add(self, a: float, b: float, score_a: float, score_b: float) -> None:
-        width, gap = b - a, self.budget.min_gap_ms
-        if width >= 2 * gap:
-            rank = (BASE_PRIORITY + max(score_a, score_b)) * math.log2(1 + width / gap)
-            heapq.heappush(self.heap, (-rank, a, b, score_a, score_b))
-
-    def next_request(self) -> tuple[int, bool] | None:
-        if self.queue:
-            return self.queue.popleft(), True
-        if not self.refining:
-            self.refining = True
-            times = sorted(self.seen)
-            if times:
-                bounds = [(0, times[0][1]), *times, (self.duration, times[-1][1])]
-                for (a, sa), (b, sb) in zip(bounds, bounds[1:], strict=False):
-                    self._add(a, b, sa, sb)
-        while self.heap:
-            _, a, b, score_a, score_b = heapq.heappop(self.heap)
-            if b - a < 2 * self.budget.min_gap_ms:
-                continue
-            middle = (a + b) / 2
-            at = self._snapped(middle, (b - a) / 4)
-            if at in self.asked:
-                at = nearest_whole(middle)
-            if at not in self.asked:
-                self.asked.add(at)
-                self.open[at] = (a, b, score_a, score_b)
-                return at, False
-        return None
-
-    def observe(self, at: int, score: float) -> None:
-        self.seen.append((at, score))
-        if at in self.open:
-            a, b, score_a, score_b = self.open.pop(at)
-            self._add(a, at, score_a, score)
-            self._add(at, b, score, score_b)
-
-    def fail(self, at: int) -> None:
-        if at in self.open:
-            a, b, score_a, score_b = self.open.pop(at)
-            self._add(a, at, score_a, score_a)
-            self._add(at, b, score_b, score_b)
-
-    def coarser(self, min_gap_ms: int, max_frames: int | None = None) -> None:
-        self.budget = replace(self.budget, min_gap_ms=min_gap_ms, max_frames=max_frames or self.budget.max_frames)
-
-    def progress(self) -> float:
-        if self.queue:
-            return (self.planned - len(self.queue)) / max(1, self.planned) / 2
-        left = max(1, self.budget.max_frames - self.planned)
-        return 0.5 + min(1.0, max(0, len(self.seen) - self.planned) / left) / 2
+def refine(videos: DataFrame, answers: DataFrame, frames: DataFrame, budget: Budget) -> DataFrame:
+    """The requests that follow a survey's answers (video_id, ts_ms, score), up to the frame budget of every video.
+
+    videos: video_id, duration_ms; frames: video_id, ts_ms, score, by which requests are answered. Gives video_id, place (from 1,
+    best first), ts_ms, level (from 1), priority (the bottleneck), served_ms, score. Ties go to the upper level, then to the
+    earlier interval. An interval narrower than two gaps isn't halved.
+    """
+    gap = budget.min_gap_ms
+    room = answers.groupBy("video_id").agg(F.greatest(F.lit(0), F.lit(budget.max_frames) - F.count("*")).alias("room"))
+    start = _intervals(answers, videos).join(room, "video_id")
+    widest = start.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 0
+    levels = 1 + math.ceil(math.log2(widest / (2 * gap))) if widest >= 2 * gap else 0
+    # open intervals and those that have been halved go through the levels together
+    nodes = start.select("*", F.lit(float("inf")).alias("priority"), F.lit(1).alias("level"), F.lit(None).cast("long").alias("ts_ms"), F.lit(None).cast("long").alias("served_ms"), F.lit(None).cast("double").alias("score"))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("priority"), "level", "a"))
+    for _ in range(levels):
+        is_open, width = F.col("ts_ms").isNull(), F.col("b") - F.col("a")
+        rank = round_to(interval_priority(width, F.col("score_a"), F.col("score_b"), F.lit(gap)), 9)
+        wide = nodes.where(~is_open | (width >= 2 * gap)).withColumn("priority", F.when(is_open, F.least("priority", rank)).otherwise(F.col("priority")))
+        kept = wide.withColumn("place", place).where(F.col("place") <= F.col("room")).drop("place")
+        asked = kept.withColumn("fresh", is_open).withColumn("ts_ms", F.coalesce("ts_ms", half_up((F.col("a") + F.col("b")) / 2.0)))
+        done = served(asked.drop("served_ms", "score"), frames)
+        names = ("a", "b", "score_a", "score_b", "level", "ts_ms", "served_ms", "score")
+        node = lambda **own: F.struct(*[own.get(c, F.col(c)).alias(c) for c in names])
+        none = {"ts_ms": F.lit(None).cast("long"), "served_ms": F.lit(None).cast("long"), "score": F.lit(None).cast("double"), "level": F.col("level") + 1}
+        halves = F.array(node(), node(**none, b=F.col("ts_ms"), score_b=F.col("score")), node(**none, a=F.col("ts_ms"), score_a=F.col("score")))
+        nodes = done.select("video_id", "room", "priority", F.explode(F.when(F.col("fresh"), halves).otherwise(F.array(node()))).alias("x")).select("video_id", "room", "priority", "x.*")
+    ranked = nodes.where("ts_ms IS NOT NULL").withColumn("place", place).where(F.col("place") <= F.col("room"))
+    return ranked.select("video_id", "place", "ts_ms", "level", "priority", "served_ms", "score")
+
+
+def selected(videos: DataFrame, frames: DataFrame, budget: Budget) -> DataFrame:
+    """video_id, ts_ms (asked), level (0: the survey), served_ms, score of all requests of survey and refinement."""
+    answers = served(survey(videos, budget), frames)
+    columns = ("video_id", "ts_ms", "level", "served_ms", "score")
+    return answers.withColumn("level", F.lit(0)).select(*columns).unionByName(refine(videos, answers, frames, budget).select(*columns))
+
+
+def request_stats(requests: DataFrame) -> DataFrame:
+    """video_id, surveyed, refined, frames (distinct ones that answered), duplicates (answers that had been given before)."""
+    counted = requests.groupBy("video_id").agg(F.count_if(F.col("level") == 0).alias("surveyed"), F.count_if(F.col("level") > 0).alias("refined"), F.countDistinct("served_ms").alias("frames"))
+    return counted.withColumn("duplicates", F.col("surveyed") + F.col("refined") - F.col("frames"))

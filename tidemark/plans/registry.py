@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import BUDGETS, CLASSES, DEFAULT_POLICY, POLICIES
-from tidemark.functions import device, formats, scoring
+from tidemark.functions import device, formats, hashing, scoring
 from tidemark.functions.scoring import round_to
-from tidemark.operators import detectors, lookups, metrics, mitigation, near, sampling, scan, temporal
+from tidemark.operators import detectors, lookups, metrics, mitigation, near, sampling, temporal
 from tidemark.plans import sql
 from tidemark.sources import container, sinks
 from tidemark.sources import frames as sources
@@ -114,16 +114,21 @@ def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class and logit detectors plugged in: merged categories, combined score, screened and unscreened categories."""
+    """Class and logit detectors plugged in: merged categories, combined score, screened and unscreened categories; and the
+    detail that a frame has where no detector gives one."""
     rows = sources.class_vectors(spark, sf_dir).withColumn("classes", scoring.class_struct(F.col("probabilities")))
     made = detectors.detect(rows, [detectors.ClassDetector(), detectors.LogitDetector("logits", 1)], BALANCED)
-    return made.select("frame_id", six("score").alias("score"), F.array_join("screened", ",").alias("screened"), F.array_join("unscreened", ",").alias("unscreened"))
+    only = detectors.detect(rows.select("frame_id", "logits"), [detectors.LogitDetector("logits", 1)], BALANCED)
+    detail = only.select("frame_id", F.col("classes.Neutral").alias("neutral_by_default"))
+    shown = made.select("frame_id", six("score").alias("score"), F.array_join("screened", ",").alias("screened"), F.array_join("unscreened", ",").alias("unscreened"))
+    return shown.join(detail, "frame_id")
 
 
 def merge_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two crops of a frame, from the first and second five components: the highest value per class."""
-    part = lambda at: F.transform(F.slice("embedding", at, 5), lambda x: x.cast("double"))
-    rows = sources.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.array(part(1), part(6)).alias("crops"))
+    """Two crops of a frame, from the halves of its embedding: the highest value per class."""
+    half = F.ceil(F.size("embedding") / 2).cast("int")
+    parts = F.array(F.slice("embedding", F.lit(1), half), F.slice("embedding", half + 1, half))
+    rows = sources.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.transform(parts, sources.class_logits).alias("crops"))
     crops = rows.withColumn("crops", F.transform("crops", scoring.softmax)).withColumn("crops", F.transform("crops", scoring.class_struct))
     made = crops.select("frame_id", scoring.merged_crops(F.col("crops")).alias("m"))
     return made.select("frame_id", *[six(F.col(f"m.{c}")).alias(c.lower()) for c in CLASSES])
@@ -142,12 +147,6 @@ def frame_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("fps").agg(F.count("*").alias("seconds"))
 
 
-def scan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each scan stopped, and when it could first tell a verdict."""
-    log = scan.scans(_scannable(spark, sf_dir), BALANCED)
-    return metrics.outcome(log).join(metrics.first_verdict(log), "video_id")
-
-
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts as lines of a Markdown table."""
     rows = temporal.verdicts(sources.frames(spark, sf_dir), BALANCED)
@@ -243,6 +242,25 @@ def long_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.long_tasks(rows)
 
 
+def timeline_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marks of every video's timeline."""
+    rows = _videos(spark, sf_dir).select("video_id", F.inline(formats.timeline_axis(F.col("duration_ms"))))
+    return rows.select("video_id", "share", "label")
+
+
+def luma_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as RGBA pixels of 16 a side of 4: the mean luma of every frame."""
+    pixels = F.transform("embedding", lambda x: x.cast("double"))
+    rows = sources.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), hashing.luma_image(pixels).alias("luma"))
+    return rows.select("frame_id", six(F.aggregate("luma", F.lit(0.0), lambda a, x: a + x) / F.size("luma")).alias("mean_luma"))
+
+
+def model_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first two logits of embeddings, those of even labels being clean, would do as a detector."""
+    rows = sources.table(spark, sf_dir, "embeddings").select(F.slice(sources.class_logits(F.col("embedding")), 1, 2).alias("logits"), (F.col("label") % 2 == 0).alias("is_clean"))
+    return detectors.fit_for_use(rows).select(six("swing").alias("swing"), six("ratio").alias("ratio"), "fit")
+
+
 def latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as updates that replace each other: the last one of every conversation."""
     rows = sources.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("role").alias("role"))
@@ -255,7 +273,8 @@ def _devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sources.table(spark, sf_dir, "customer")
     return rows.select(
         F.col("c_custkey").alias("device_id"),
-        (key % 3 != 0).alias("webgpu"),
+        device.usable_probe(F.when(key % 3 != 0, True)).alias("webgpu"),
+        (key % 9 != 0).alias("gpu_present"),
         (key % 5 != 0).alias("webgl"),
         (key % 7 != 0).alias("wasm"),
         (key % 2 == 0).alias("webcodecs"),
@@ -275,7 +294,8 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _devices(spark, sf_dir).withColumn("tier", device.tier(F.col("webgpu"), F.col("webgl"), F.col("cores"), F.col("memory_gb")))
     rows = rows.withColumn("backend", device.preferred_backend(F.col("webgpu"), F.col("webgl"), F.col("wasm")))
     described = device.describe(F.col("tier"), F.col("backend"), F.col("cores"), F.col("memory_gb"), F.col("webcodecs"))
-    return rows.select("device_id", described.alias("description"), F.array_join(device.backend_chain(F.col("backend")), ">").alias("chain"))
+    notes = device.notes(F.col("gpu_present"), F.col("webgpu"), F.col("webgl"), F.col("webcodecs"))
+    return rows.select("device_id", described.alias("description"), F.array_join(device.backend_chain(F.col("backend")), ">").alias("chain"), F.array_join(notes, "; ").alias("notes"))
 
 
 def governor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,48 +331,50 @@ def median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sources.frames(spark, sf_dir).select("video_id", "ts_ms", (F.col("arrival") % 90).alias("duration_ms"), (F.col("kind") == "signup").alias("is_sync"))
     stats = container.container_stats(rows)
     resolution = device.resolution_ms(F.col("frame_ms"), F.col("keyframe_gap_ms").cast("double"), F.col("keyframes"))
-    return stats.select("video_id", "duration_ms", "keyframes", "frame_ms", "keyframe_gap_ms", resolution.alias("resolution_ms"))
+    gap = device.sampling_gap(F.lit(BUDGETS["medium"].min_gap_ms), resolution)
+    return stats.select("video_id", "duration_ms", "keyframes", "frame_ms", "keyframe_gap_ms", resolution.alias("resolution_ms"), gap.alias("sampling_gap_ms"))
 
 
-def _scannable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sources.frames(spark, sf_dir)
-    bits = F.lower(F.lpad(F.hex(F.xxhash64("video_id", F.floor(F.col("ts_ms") / 5000))), 16, "0"))
-    return rows.select("video_id", "ts_ms", "score", bits.alias("hash"), (F.col("kind") == "signup").alias("is_sync"), (F.col("score") * 400).alias("infer_ms"), (F.col("kind") == "error").alias("failed"), "duration_ms")
+def random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each survey request is delivered with, signups being keyframes."""
+    samples = sources.frames(spark, sf_dir).select("video_id", "ts_ms", (F.col("kind") == "signup").alias("is_sync"))
+    return lookups.fetch(survey_plan(spark, sf_dir), samples)
 
 
-def full_scan_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every video scanned by the adaptive sampler, then the verdict over what was recorded."""
-    log = scan.scans(_scannable(spark, sf_dir), BALANCED)
-    rows = temporal.verdicts(scan.recorded(log), BALANCED)
-    return rows.select("video_id", "n_frames", six("coverage").alias("coverage"), "contains_inappropriate_content", "confidence")
+def refine_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that follow the survey of every video, best first."""
+    videos, frames, budget = _videos(spark, sf_dir), sources.frames(spark, sf_dir).select("video_id", "ts_ms", "score"), BUDGETS["medium"]
+    made = sampling.refine(videos, sampling.served(sampling.survey(videos, budget), frames), frames, budget)
+    return made.withColumns({"priority": six("priority"), "score": six("score"), "level": F.col("level").cast("long"), "place": F.col("place").cast("long")})
 
 
-def refine_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The requests that the sampler makes, in order."""
-    return scan.scans(_scannable(spark, sf_dir), BALANCED, early_exit=False).select("video_id", "seq", "asked_ms", "ts_ms", "survey", "status", "stop")
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.selected(_videos(spark, sf_dir), sources.frames(spark, sf_dir).select("video_id", "ts_ms", "score"), BUDGETS["medium"])
 
 
 def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.scan_stats(scan.scans(_scannable(spark, sf_dir), BALANCED, early_exit=False), "video_id")
+    """How many requests each video gets, how many frames answer them, and how often a frame is delivered again."""
+    return sampling.request_stats(_selected(spark, sf_dir))
+
+
+def selected_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts over the frames that survey and refinement choose."""
+    chosen = _selected(spark, sf_dir).select("video_id", F.col("served_ms").alias("ts_ms"), "score", F.lit(sources.DURATION_MS).cast("long").alias("duration_ms")).distinct()
+    rows = temporal.verdicts(chosen, BALANCED)
+    return rows.select("video_id", "n_frames", six("max_score").alias("max_score"), six("coverage").alias("coverage"), "contains_inappropriate_content", "confidence")
 
 
 def streaming_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last verdict that a stream over the events published for every video."""
-    schema = sources.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    micros = F.expr(f"timestampdiff(MICROSECOND, {sources.EPOCH}, ts)")
-    deliveries = stream.select(
-        F.col("user_id").alias("video_id"), F.floor(micros / F.lit(1e7)).cast("long").alias("ts_ms"), F.least(F.lit(1.0), F.col("value") / 400.0).alias("score"),
-        F.col("event_id").alias("arrival"), F.lit(sources.DURATION_MS).cast("long").alias("duration_ms"),
-    )
-    return progress.run(spark, deliveries, BALANCED)
+    rows = sources.stream(spark, sf_dir).select("video_id", "ts_ms", "score", "arrival", "duration_ms")
+    return progress.run(spark, rows, BALANCED)
 
 
 def queries() -> dict:
     plain = (
         what_if, segments, coverage, independent_flagged, topk_mean, early_exit, verdict_json, restricted_report, peak_category, merge_detectors, combine_categories, screened_sets, frame_score, dominant_class, softmax,
-        detector_scan, merge_crops, hit_probability, frame_rate, scan_outcome, report, dhash, near_dup_banded, perceptual_dedupe, first_delivered, survey_plan, survey_lookup, keyframe_asof, nearest_keyframe, range_mitigation, player_state, timer_histogram, throughput, counters,
-        long_tasks, latest_progress, tier_budget, capabilities, governor, resolution_floor, source_decision, url_validation, median_gap, full_scan_simulation, refine_plan, scan_stats, streaming_verdict,
+        detector_scan, merge_crops, hit_probability, frame_rate, report, dhash, near_dup_banded, perceptual_dedupe, first_delivered, survey_plan, survey_lookup, keyframe_asof, nearest_keyframe, range_mitigation, player_state, timer_histogram, throughput, counters,
+        long_tasks, timeline_axis, luma_means, model_fitness, latest_progress, tier_budget, capabilities, governor, resolution_floor, source_decision, url_validation, median_gap, random_access, refine_plan, scan_stats, selected_verdict, streaming_verdict,
     )
     return {f"scan_verdict_{p}": partial(scan_verdict, p) for p in POLICIES} | {f.__name__: f for f in plain}
 

@@ -80,9 +80,15 @@ def spans(p: Policy) -> str:
 CATEGORY_ROWS = """scored AS (SELECT d.doc_id, d.source, (1 - l.quality)::DOUBLE AS sexual, l.toxic::DOUBLE AS violence FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
+def logits(values: str) -> str:
+    """The five sums of every fifth component of a list."""
+    part = lambda k: f"coalesce(list_sum(list_transform(list_filter(range(1, len({values}) + 1), lambda i: (i - 1) % 5 = {k}), lambda i: ({values})[i]::DOUBLE)), 0::DOUBLE)"
+    return f"[{', '.join(part(k) for k in range(5))}]"
+
+
 def vectors() -> str:
     raised = "list_transform(logits, lambda x: exp(x - list_max(logits)))"
-    return f"""WITH v AS (SELECT vec_id AS frame_id, list_transform(embedding[1:5], lambda x: x::DOUBLE) AS logits FROM embeddings),
+    return f"""WITH v AS (SELECT vec_id AS frame_id, {logits("embedding")} AS logits FROM embeddings),
     e AS (SELECT frame_id, {raised} AS r FROM v), s AS (SELECT frame_id, list_transform(r, lambda x: x / (r[1] + r[2] + r[3] + r[4] + r[5])) AS p FROM e)"""
 
 
@@ -118,17 +124,50 @@ def tier_budget() -> str:
     CAST({by_tier("target_ms")} AS BIGINT) AS target_ms, CAST({by_tier("concurrency")} AS BIGINT) AS concurrency FROM tiered"""
 
 
+PLAN = """sized AS (SELECT video_id, max(ts_ms) + 1 AS d FROM deliveries GROUP BY 1),
+      counted AS (SELECT *, greatest(1, least(16, greatest(1, d // 250), 120)) AS n FROM sized),
+      cells AS (SELECT video_id, d, n, unnest(range(0, n)) AS slot FROM counted WHERE d > 0),
+      plan AS (SELECT video_id, slot, CAST(floor((slot + 0.5::DOUBLE) * (d / n::DOUBLE) + 0.5::DOUBLE) AS BIGINT) AS ts_ms FROM cells)"""
+
+
+def chosen(levels: int = 8) -> str:
+    """all_frames, refined and requests: survey and refinement under the medium budget, one level of halves after the other."""
+    rank = "floor((0.15::DOUBLE + greatest(sa, sb)) * log2(1 + (b - a) / 250::DOUBLE) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE"
+    lookup = lambda x, at: f"{x} ASOF LEFT JOIN all_frames f ON x.video_id = f.video_id AND x.{at} >= f.ts_ms LEFT JOIN firsts g ON x.video_id = g.video_id"
+    parts = [
+        FRAMES.replace(", frames AS (", ", all_frames AS ("),
+        PLAN,
+        "firsts AS (SELECT video_id, min(ts_ms) AS first_ms, arg_min(score, ts_ms) AS first_score FROM all_frames GROUP BY 1)",
+        f"answers AS (SELECT x.video_id, x.ts_ms, coalesce(f.ts_ms, g.first_ms) AS served_ms, coalesce(f.score, g.first_score) AS score FROM {lookup('plan x', 'ts_ms')})",
+        "room AS (SELECT video_id, greatest(0, 120 - count(*)) AS room FROM answers GROUP BY 1)",
+        "near AS (SELECT *, lag(ts_ms) OVER w AS before, lag(score) OVER w AS before_score, lead(ts_ms) OVER w IS NULL AS ends FROM answers WINDOW w AS (PARTITION BY video_id ORDER BY ts_ms))",
+        """open1 AS (SELECT video_id, coalesce(before, 0) AS a, ts_ms AS b, coalesce(before_score, score) AS sa, score AS sb, CAST('Infinity' AS DOUBLE) AS q FROM near
+          UNION ALL SELECT n.video_id, n.ts_ms, s.d, n.score, n.score, CAST('Infinity' AS DOUBLE) FROM near n JOIN sized s ON n.video_id = s.video_id WHERE ends)""",
+        "done0 AS (SELECT video_id, a, b, sa, sb, q, 0 AS level, a AS mid, a AS served_ms, sa AS score FROM open1 WHERE FALSE)",
+    ]
+    for k in range(1, levels + 1):
+        parts += [
+            f"next{k} AS (SELECT video_id, a, b, sa, sb, least(q, {rank}) AS q, {k} AS level, CAST(floor((a + b) / 2.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS mid FROM open{k} WHERE b - a >= 500)",
+            f"asked{k} AS (SELECT x.*, coalesce(f.ts_ms, g.first_ms) AS served_ms, coalesce(f.score, g.first_score) AS score FROM {lookup(f'next{k} x', 'mid')})",
+            f"""done{k} AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY q DESC, level, a) AS place FROM (SELECT * FROM done{k - 1} UNION ALL SELECT * FROM asked{k})) JOIN room USING (video_id)
+              WHERE place <= room)""".replace("EXCLUDE (place)", "EXCLUDE (place, room)"),
+            f"""open{k + 1} AS (SELECT video_id, a, mid AS b, sa, score AS sb, q FROM done{k} WHERE level = {k} UNION ALL SELECT video_id, mid, b, score, sb, q FROM done{k} WHERE level = {k})""",
+        ]
+    parts += [
+        f"refined AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY q DESC, level, a) AS place FROM done{levels})",
+        "requests AS (SELECT video_id, ts_ms, 0 AS level, served_ms, score FROM answers UNION ALL SELECT video_id, mid, level, served_ms, score FROM refined)",
+    ]
+    return "WITH " + ", ".join(parts)
+
+
 def all_queries() -> dict[str, str]:
     p = POLICIES[DEFAULT_POLICY]
+    plan = PLAN
     strict = POLICIES["strict"]
     rest = [c for c in CATEGORIES]
     nearest = """SELECT video_id, ts_ms, kf_ms FROM (
       SELECT f.video_id, f.ts_ms, k.kf_ms, row_number() OVER (PARTITION BY f.video_id, f.ts_ms ORDER BY abs(k.kf_ms - f.ts_ms), k.kf_ms) AS n
       FROM frames f LEFT JOIN keyframes k ON f.video_id = k.video_id AND abs(k.kf_ms - f.ts_ms) <= 5000) WHERE n = 1"""
-    plan = """sized AS (SELECT video_id, max(ts_ms) + 1 AS d FROM deliveries GROUP BY 1),
-      counted AS (SELECT *, greatest(1, least(16, greatest(1, d // 250), 120)) AS n FROM sized),
-      cells AS (SELECT video_id, d, n, unnest(range(0, n)) AS slot FROM counted WHERE d > 0),
-      plan AS (SELECT video_id, slot, CAST(floor((slot + 0.5::DOUBLE) * (d / n::DOUBLE) + 0.5::DOUBLE) AS BIGINT) AS ts_ms FROM cells)"""
     dominant = "CASE list_position(p, list_max(p)) " + " ".join(f"WHEN {k + 1} THEN '{c}'" for k, c in enumerate(CLASSES)) + " END"
     made = {
         **{f"scan_verdict_{k}": verdict(v) for k, v in POLICIES.items()},
@@ -156,8 +195,9 @@ def all_queries() -> dict[str, str]:
         "frame_score": f"{vectors()} SELECT frame_id, " + ", ".join(f"{six(weighted(q))} AS {k}" for k, q in POLICIES.items()) + " FROM s",
         "dominant_class": f"{vectors()} SELECT frame_id, {dominant} AS dominant FROM s",
         "softmax": f"{vectors()} SELECT frame_id, CAST(k AS BIGINT) AS \"at\", {six('p[k + 1]')} AS p FROM s, range(0, 5) t(k)",
-        "detector_scan": f"""{vectors()} SELECT frame_id, {six(f"greatest({weighted(p)}, {unit('p[2]')})")} AS score, 'sexual,violence' AS screened, '{",".join(c for c in CATEGORIES if c not in ("sexual", "violence"))}' AS unscreened FROM s""",
-        "merge_crops": f"""WITH v AS (SELECT vec_id AS frame_id, list_transform(embedding[1:5], lambda x: x::DOUBLE) AS a, list_transform(embedding[6:10], lambda x: x::DOUBLE) AS b FROM embeddings),
+        "detector_scan": f"""{vectors()} SELECT frame_id, {six(f"greatest({weighted(p)}, {unit('p[2]')})")} AS score, 'sexual,violence' AS screened, '{",".join(c for c in CATEGORIES if c not in ("sexual", "violence"))}' AS unscreened, 1::DOUBLE AS neutral_by_default FROM s""",
+        "merge_crops": f"""WITH h AS (SELECT vec_id AS frame_id, embedding[1:((len(embedding) + 1) // 2)] AS x, embedding[((len(embedding) + 1) // 2 + 1):] AS y FROM embeddings),
+          v AS (SELECT frame_id, {logits("x")} AS a, {logits("y")} AS b FROM h),
           e AS (SELECT frame_id, list_transform(a, lambda x: exp(x - list_max(a))) AS a, list_transform(b, lambda x: exp(x - list_max(b))) AS b FROM v)
           SELECT frame_id, {", ".join(six(f"greatest(a[{k + 1}] / (a[1] + a[2] + a[3] + a[4] + a[5]), b[{k + 1}] / (b[1] + b[2] + b[3] + b[4] + b[5]))") + f" AS {c.lower()}" for k, c in enumerate(CLASSES))} FROM e""",
         "hit_probability": f"{spans(p)} SELECT video_id, segment, {six('least(1::DOUBLE, 16 * (end_ms - start_ms)::DOUBLE / 259200::DOUBLE)')} AS probability FROM spans",
@@ -196,7 +236,15 @@ def all_queries() -> dict[str, str]:
         "latest_progress": "SELECT conv_id, turn, max(role) AS role FROM conversations c WHERE turn = (SELECT max(turn) FROM conversations d WHERE d.conv_id = c.conv_id) GROUP BY 1, 2",
         "tier_budget": tier_budget(),
         "capabilities": f"""WITH {DEVICES} SELECT device_id, tier || ' tier - ' || backend || ' - ' || cores || ' cores' || CASE WHEN memory_gb IS NOT NULL THEN ' - ' || memory_gb || ' GB' ELSE '' END || CASE WHEN webcodecs THEN ' - WebCodecs' ELSE '' END AS description,
-          CASE backend {" ".join(f"WHEN '{b}' THEN '{'>'.join(BACKENDS[k:])}'" for k, b in enumerate(BACKENDS))} END AS chain FROM tiered""",
+          CASE backend {" ".join(f"WHEN '{b}' THEN '{'>'.join(BACKENDS[k:])}'" for k, b in enumerate(BACKENDS))} END AS chain,
+          array_to_string(list_filter([CASE WHEN device_id % 9 <> 0 AND NOT webgpu THEN 'a GPU interface is there, but no adapter could be had' END, CASE WHEN NOT webcodecs THEN 'no codec interface: frames are taken by seeking, which is slower' END,
+            CASE WHEN NOT webgpu AND NOT webgl THEN 'no GPU backend: inference runs on the processor, and slower' END], lambda x: x IS NOT NULL), '; ') AS notes FROM tiered""",
+        "timeline_axis": f"""WITH {DELIVERIES}, sized AS (SELECT video_id, max(ts_ms) + 1 AS d FROM deliveries GROUP BY 1), marks AS (SELECT video_id, share, d * share AS ms FROM sized, (SELECT unnest([0, 0.25, 0.5, 0.75, 1])::DOUBLE AS share))
+          SELECT video_id, share, CASE WHEN ms >= 60000 THEN CAST(floor(ms / 60000) AS BIGINT) || ':' || lpad(CAST(CAST(floor(ms / 1000 - 60 * floor(ms / 60000)) AS BIGINT) AS VARCHAR), 2, '0') ELSE '0:' || printf('%.1f', ms / 1000) END AS label FROM marks""",
+        "luma_means": f"""WITH p AS (SELECT vec_id AS frame_id, list_transform(range(0, 16), lambda i: 0.299::DOUBLE * embedding[4 * i + 1]::DOUBLE + 0.587::DOUBLE * embedding[4 * i + 2]::DOUBLE + 0.114::DOUBLE * embedding[4 * i + 3]::DOUBLE) AS luma FROM embeddings)
+          SELECT frame_id, {six("list_sum(luma) / 16")} AS mean_luma FROM p""",
+        "model_fitness": f"""WITH v AS (SELECT {logits("embedding")} AS l, label % 2 = 0 AS clean FROM embeddings), m AS (SELECT max(l[2]) - min(l[2]) AS swing, count(*) FILTER (clean AND l[1] > l[2]) / count(*) FILTER (clean) AS ratio FROM v)
+          SELECT {six("swing")} AS swing, {six("ratio")} AS ratio, swing >= 4 AND ratio >= 0.67::DOUBLE AS fit FROM m""",
         "governor": f"""WITH {DELIVERIES}, t AS (SELECT video_id, quantile_disc(score * 400, 0.5) AS p50, count(*) AS n FROM deliveries GROUP BY 1),
           g AS (SELECT *, n >= 6 AND p50 > 0 AND p50 / 45::DOUBLE > 1.5::DOUBLE AS throttled, least(3::DOUBLE, p50 / 45::DOUBLE) AS f FROM t)
           SELECT video_id, CAST(CASE WHEN throttled THEN greatest(16, floor(120 / f + 0.5::DOUBLE)) ELSE 120 END AS BIGINT) AS max_frames,
@@ -215,7 +263,30 @@ def all_queries() -> dict[str, str]:
           gm AS (SELECT video_id, list_sort(list(gap)) AS v FROM gaps WHERE gap > 0 GROUP BY 1),
           t AS (SELECT e.video_id, greatest(1, last) AS duration_ms, keyframes, coalesce(fm.v[len(fm.v) // 2 + 1]::DOUBLE, 40::DOUBLE) AS frame_ms, gm.v[len(gm.v) // 2 + 1] AS keyframe_gap_ms
                 FROM ends e LEFT JOIN fm ON e.video_id = fm.video_id LEFT JOIN gm ON e.video_id = gm.video_id)
-          SELECT *, CASE WHEN keyframes >= 2 AND keyframe_gap_ms / greatest(1::DOUBLE, frame_ms) > 24 THEN keyframe_gap_ms::DOUBLE ELSE frame_ms END AS resolution_ms FROM t""",
+          , r AS (SELECT *, CASE WHEN keyframes >= 2 AND keyframe_gap_ms / greatest(1::DOUBLE, frame_ms) > 24 THEN keyframe_gap_ms::DOUBLE ELSE frame_ms END AS resolution_ms FROM t)
+          SELECT *, greatest(250, CAST(floor(resolution_ms + 0.5::DOUBLE) AS BIGINT)) AS sampling_gap_ms FROM r""",
+        "random_access": f"""WITH {FRAMES}, {plan}, m AS (SELECT video_id, bool_or(kind = 'signup') AS marked FROM frames GROUP BY 1),
+          numbered AS (SELECT f.video_id, f.ts_ms, row_number() OVER (PARTITION BY f.video_id ORDER BY f.ts_ms) AS n, f.kind = 'signup' AS sync, m.marked FROM frames f JOIN m ON f.video_id = m.video_id),
+          keyed AS (SELECT *, sync OR (NOT marked AND n = 1) AS key FROM numbered),
+          k AS (SELECT *, last_value(CASE WHEN key THEN n END IGNORE NULLS) OVER w AS kn, last_value(CASE WHEN key THEN ts_ms END IGNORE NULLS) OVER w AS kt FROM keyed WINDOW w AS (PARTITION BY video_id ORDER BY ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+          g AS (SELECT video_id, ts_ms, CASE WHEN coalesce(n - kn > 24, FALSE) THEN kt ELSE ts_ms END AS served_ms, key OR coalesce(n - kn > 24, FALSE) AS on_keyframe, n FROM k),
+          q AS (SELECT p.video_id, p.slot, p.ts_ms, coalesce(f.ts_ms, (SELECT min(g.ts_ms) FROM g WHERE g.video_id = p.video_id)) AS sample_ms FROM plan p ASOF LEFT JOIN frames f ON p.video_id = f.video_id AND p.ts_ms >= f.ts_ms)
+          SELECT q.video_id, q.slot, q.ts_ms, g.served_ms, g.on_keyframe FROM q JOIN g ON q.video_id = g.video_id AND q.sample_ms = g.ts_ms""",
+        "refine_plan": f"""{chosen()} SELECT video_id, place, mid AS ts_ms, level, {six("q")} AS priority, served_ms, {six("score")} AS score FROM refined""",
+        "scan_stats": f"""{chosen()}, c AS (SELECT video_id, count(*) FILTER (level = 0) AS surveyed, count(*) FILTER (level > 0) AS refined, count(DISTINCT served_ms) AS frames FROM requests GROUP BY 1)
+          SELECT *, surveyed + refined - frames AS duplicates FROM c""",
+        "selected_verdict": f"""{judged(p).replace(FRAMES, chosen().removeprefix("WITH ") + ", frames AS (SELECT DISTINCT video_id, served_ms AS ts_ms, score, CAST(259200 AS BIGINT) AS duration_ms FROM requests)")}
+          SELECT video_id, n_frames, {six("max_score")} AS max_score, {six("coverage")} AS coverage, contains_inappropriate_content, confidence FROM judged""",
+        "perceptual_dedupe": f"""WITH RECURSIVE {hashes()}, rows AS (SELECT CAST(e.label AS BIGINT) AS video_id, h.frame_id AS arrival, ('0x' || h.hash)::UBIGINT AS h, (h.frame_id % 97) / 97.0::DOUBLE AS score,
+            row_number() OVER (PARTITION BY e.label ORDER BY h.frame_id) AS n FROM hashes h JOIN embeddings e ON h.frame_id = e.vec_id),
+          fold(video_id, n, held, kept, arrival, score, inherited) AS (
+            SELECT DISTINCT video_id, CAST(0 AS BIGINT), CAST([] AS UBIGINT[]), CAST([] AS DOUBLE[]), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), FALSE FROM rows
+            UNION ALL
+            SELECT video_id, n, CASE WHEN hit OR h = 0 THEN held ELSE list_append(held, h)[-24:] END, CASE WHEN hit OR h = 0 THEN kept ELSE list_append(kept, own)[-24:] END, arrival,
+                   CASE WHEN hit THEN kept[len(gaps) - list_position(list_reverse(gaps), list_min(gaps)) + 1] ELSE own END, hit
+            FROM (SELECT r.video_id, r.n, r.h, r.score AS own, r.arrival, held, kept, list_transform(held, lambda x: bit_count(xor(x, r.h))) AS gaps, h <> 0 AND coalesce(list_min(list_transform(held, lambda x: bit_count(xor(x, r.h)))) <= 12, FALSE) AS hit
+                  FROM fold JOIN rows r ON r.video_id = fold.video_id AND r.n = fold.n + 1))
+          SELECT video_id, arrival, score, inherited FROM fold WHERE n > 0""",
         "streaming_verdict": f"{judged(p)} SELECT video_id, n_frames, contains_inappropriate_content, confidence FROM judged",
     }
     return made

@@ -5,7 +5,7 @@ frames: one row per scored frame of a video: video_id, ts_ms, score, arrival, du
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, scoring
@@ -25,9 +25,13 @@ def first_delivered(frames: DataFrame, keys: tuple[str, ...] = ("video_id", "ts_
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_deliveries(table(spark, sf_dir, "events"))
+
+
+def as_deliveries(events: DataFrame) -> DataFrame:
     """events as deliveries: a user is a video, ten seconds are a millisecond, value / 400 is the score."""
     micros = F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, ts)")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("video_id"),
         F.floor(micros / F.lit(1e7)).cast("long").alias("ts_ms"),
         F.least(F.lit(1.0), F.col("value") / F.lit(400.0)).alias("score"),
@@ -42,15 +46,28 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_delivered(deliveries(spark, sf_dir).repartition(F.col("video_id")))
 
 
+def stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """deliveries as a stream; files_per_trigger holds the source back to so many files per micro-batch."""
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return as_deliveries(reader.parquet(f"{sf_dir}/events.parquet*"))
+
+
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, kf_ms: the times of signup events."""
     return deliveries(spark, sf_dir).where("kind = 'signup'").select("video_id", F.col("ts_ms").alias("kf_ms")).distinct()
 
 
+def class_logits(values: Column) -> Column:
+    """Five class logits of an array of any length: the sums of every fifth component."""
+    return F.transform(F.array(*[F.lit(k) for k in range(5)]), lambda k: F.aggregate(F.filter(values, lambda x, i: i % 5 == k), F.lit(0.0), lambda a, x: a + x.cast("double")))
+
+
 def class_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame_id and the softmax of the first five components as class scores."""
-    logits = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), logits.alias("logits"), scoring.softmax(logits).alias("probabilities"))
+    """frame_id, logits of whole embeddings, and their softmax as class scores."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), class_logits(F.col("embedding")).alias("logits"))
+    return rows.withColumn("probabilities", scoring.softmax(F.col("logits")))
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,10 @@ def write_verdicts(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws("\t", F.col("video_id").cast("string"), verdict_json(rows)).alias("value")).write.text(path)
 
 
-def event(kind: str, **payload: Column) -> Column:
+def event(type_: str, /, **payload: Column) -> Column:
     """A tagged event: its type and only the payload that belongs to it."""
     fields = ("phase", "message", "kind", "result")
-    return F.struct(F.lit(kind).alias("type"), *[payload.get(f, F.lit(None)).cast("string").alias(f) for f in fields])
+    return F.struct(F.lit(type_).alias("type"), *[payload.get(f, F.lit(None)).cast("string").alias(f) for f in fields])
 
 
 def thumbnail(frame_threshold: float, picture: str = "thumbnail") -> Column:

@@ -6,7 +6,6 @@ hash and a score, whatever the length of the stream. Needs the RocksDB state sto
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.constants import CACHE_FRAMES, NO_HASH
+from tidemark.operators.near import Cache
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "video_id long, arrival long, score double, inherited boolean"
@@ -27,17 +27,11 @@ class CacheProcessor(StatefulProcessor):
         self.held = handle.getListState("held", "bits string, score double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        cache = deque(((int(h, 16), s) for h, s in self.held.get()), maxlen=self.capacity)
+        cache = Cache(self.threshold, self.capacity, ((int(h, 16), s) for h, s in self.held.get()))
         out = []
         for r in pd.concat(list(rows)).sort_values("arrival").itertuples():
-            bits = int(r.hash or NO_HASH, 16)
-            near = min((((bits ^ h).bit_count(), -k) for k, (h, _) in enumerate(cache)), default=None) if bits else None
-            hit = near is not None and near[0] <= self.threshold
-            score = cache[-near[1]][1] if hit else r.score
-            if bits and not hit:
-                cache.append((bits, score))
-            out.append((key[0], r.arrival, score, hit))
-        self.held.put([(f"{h:016x}", s) for h, s in cache])
+            out.append((key[0], r.arrival, *cache.judge(int(r.hash or NO_HASH, 16), r.score)))
+        self.held.put([(f"{h:016x}", s) for h, s in cache.held])
         yield pd.DataFrame(out, columns=["video_id", "arrival", "score", "inherited"])
 
     def close(self) -> None:

@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import TOP_K, VOUCH_RADIUS_MS, Policy
 from tidemark.functions.scoring import clamp01
 from tidemark.operators.metrics import latest
-from tidemark.operators.temporal import confidence, independent, positive
+from tidemark.operators.temporal import confidence, independent, positive, verdict_json
 from tidemark.shared import shared_folder
+from tidemark.sources.sinks import event
 
 
 def held_ms(times: Column, duration: Column, radius: int = VOUCH_RADIUS_MS) -> Column:
@@ -54,15 +56,40 @@ def snapshots(deliveries: DataFrame, policy: Policy) -> DataFrame:
 
 
 def start(stream: DataFrame, policy: Policy, folder: str, every: str | None = None):
-    """Publish verdicts under folder: every so often ('100 milliseconds'), or until the stream is drained. stop() cancels; a new start goes on."""
+    """Publish verdicts under folder: every so often ('100 milliseconds'), or until the stream is drained. stop() cancels; a new start goes on.
+
+    Every micro-batch also writes its events: 'progress' per video that changed, with the verdict as its result.
+    """
 
     def publish(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/published/number={number}")
+        stored = batch.sparkSession.read.parquet(f"{folder}/published/number={number}")
+        told = stored.select("video_id", event("progress", phase=F.lit("survey"), result=verdict_json(stored)).alias("event"))
+        told.select(F.lit(number).cast("long").alias("batch"), "video_id", "event.*").write.mode("overwrite").parquet(f"{folder}/events/part={number:09d}")
 
     writer = snapshots(stream, policy).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(publish)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def finish(spark: SparkSession, query, folder: str) -> None:
+    """Wait for a started stream and write its last event: 'done', or 'error' with its kind and message, which is raised again."""
+    try:
+        query.awaitTermination()
+        last, failure = event("done", phase=F.lit("done")), None
+    except StreamingQueryException as e:
+        failure = e
+        last = event("error", kind=F.lit("stream"), message=F.lit(str(e)[:2000]))
+    one = spark.range(1).select(F.lit(None).cast("long").alias("video_id"), last.alias("event"))
+    one.select(F.lit(2**62).alias("batch"), "video_id", "event.*").write.mode("overwrite").parquet(f"{folder}/events/part=last")
+    if failure is not None:
+        raise failure
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    """batch, video_id, type, phase, message, kind, result of all events; the one that ends the stream has the highest batch."""
+    return spark.read.parquet(f"{folder}/events").drop("part")
+
+
 def published(spark: SparkSession, folder: str) -> DataFrame:
     """The last verdict of every video."""
     return latest(spark.read.parquet(f"{folder}/published").drop("number"), "video_id", "batch").drop("batch")
@@ -71,7 +98,7 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
 def run(spark: SparkSession, stream: DataFrame, policy: Policy, folder: str | None = None) -> DataFrame:
     """Drain a stream of deliveries; the last published verdict of every video."""
     folder = folder or f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
-    start(stream, policy, folder).awaitTermination()
+    finish(spark, start(stream, policy, folder), folder)
     return published(spark, folder)
 
 
