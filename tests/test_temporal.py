@@ -78,6 +78,28 @@ def test_category_peaks(spark):
     assert [(r.category, r.peak, r.place) for r in got] == [("sexual", 0.4, 1), ("violence", 0.4, 2), ("gore", 0.0, 3)]
 
 
+def test_greedy_counts_of_long_videos(spark):
+    """Streams past the counts equal the fold over an array, for several rules at once and videos in any order."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(v, t, rng.random()) for v, n in ((1, 20_000), (2, 40), (3, 1)) for t in rng.sample(range(200_000), n)] + [(4, 5, 0.1), (None, 7, 0.9)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "video_id long, ts_ms long, score double").repartition(6)
+    rules = [("strict", 0.3, 0), ("balanced", 0.55, 400), ("permissive", 0.75, 1000)]
+    got = {r.video_id: tuple(r)[1:] for r in temporal.independents(table, rules).collect()}
+
+    def counted(video, least, gap):
+        n, anchor = 0, None
+        for t in sorted(t for v, t, s in rows if v == video and s >= least):
+            if gap <= 0 or anchor is None or t - anchor >= gap:
+                n, anchor = n + 1, t
+        return n
+
+    want = {v: tuple(counted(v, *rule[1:]) for rule in rules) for v in (1, 2, 3, None)}
+    assert got == {v: c for v, c in want.items() if any(c)}
+
+
 def test_stream_and_table_agree(spark, frames, tmp_path):
     rows = frames("9000:.72 1000:.7 1000:.99 4000:.1", 30_000)
     rows.repartition(3).write.parquet(str(tmp_path / "in"))

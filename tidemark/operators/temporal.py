@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,45 @@ def independent(times: Column, gap_ms: int) -> Column:
     )
 
 
+def independents(frames: DataFrame, rules: Sequence[tuple[str, float, int]]) -> DataFrame:
+    """video_id, and per rule (name, threshold, gap_ms) how many of the video's flagged frames are evidence of their own.
+
+    The flagged frames of a video stream by in the order of time, and only the last counted time of each rule is held, however
+    many frames there are.
+    """
+    kind = frames.schema["video_id"].dataType.simpleString()
+    names = [name for name, _, _ in rules]
+    least = min(threshold for _, threshold, _ in rules)
+    rows = frames.where(F.col("score") >= least).select("video_id", F.col("ts_ms").cast("long").alias("ts_ms"), F.col("score").cast("double").alias("score"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, video, counts, anchors, some = [], None, [], [], False
+
+        def out() -> pa.RecordBatch:
+            ids, *each = zip(*done, strict=True)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, key_type), *(pa.array(c, pa.int64()) for c in each)], ["video_id", *names])
+
+        for batch in batches:
+            key_type = batch.column(0).type
+            for v, t, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not some or v != video:
+                    if some:
+                        done.append((video, *counts))
+                    some, video, counts, anchors = True, v, [0] * len(rules), [None] * len(rules)
+                for k, (_, threshold, gap) in enumerate(rules):
+                    if s >= threshold and (gap <= 0 or anchors[k] is None or t - anchors[k] >= gap):
+                        counts[k], anchors[k] = counts[k] + 1, t
+            if done:
+                yield out()
+        if some:
+            done.append((video, *counts))
+            yield out()
+
+    ordered = rows.repartition(F.col("video_id")).sortWithinPartitions("video_id", "ts_ms")
+    return ordered.mapInArrow(fold, f"video_id {kind}, " + ", ".join(f"`{n}` long" for n in names))
+
+
 def top_mean(frames: DataFrame, k: int = TOP_K) -> DataFrame:
     """video_id, topk_mean: the mean of the k highest scores."""
     order = Window.partitionBy("video_id").orderBy(F.desc("score"), "ts_ms")
@@ -45,10 +85,9 @@ def top_mean(frames: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def _gathered(frames: DataFrame, policies: Sequence[Policy]) -> DataFrame:
-    """One row per video: what verdicts rest on, and per policy the number and the times of its flagged frames.
+    """One row per video: what verdicts rest on, and per policy the numbers of its flagged and its independent flagged frames.
 
-    Frames meet by video once: the windows and the aggregation share that partitioning. The arrays that the greedy count
-    needs hold the flagged times of one video, whose number the frame budget bounds.
+    Frames meet by video once: the windows and the aggregation share that partitioning, and no frames are gathered.
     """
     order = Window.partitionBy("video_id").orderBy("ts_ms")
     ts, before, after = F.col("ts_ms"), F.lag("ts_ms").over(order), F.lead("ts_ms").over(order)
@@ -57,9 +96,9 @@ def _gathered(frames: DataFrame, policies: Sequence[Policy]) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "ts_ms")) <= TOP_K
     own = []
     for p in policies:
-        flagged = F.col("score") >= p.frame_threshold
-        own += [F.count_if(flagged).alias(f"_flagged_{p.id}"), F.collect_list(F.when(flagged, ts)).alias(f"_times_{p.id}")]
-    return (
+        own.append(F.count_if(F.col("score") >= p.frame_threshold).alias(f"_flagged_{p.id}"))
+    counts = independents(frames, [(f"_n_{p.id}", p.frame_threshold, p.gap_ms) for p in policies])
+    rows = (
         frames.withColumn("_held", held)
         .withColumn("_best", best)
         .groupBy("video_id")
@@ -74,12 +113,12 @@ def _gathered(frames: DataFrame, policies: Sequence[Policy]) -> DataFrame:
         .withColumn("coverage", F.when(F.col("_d") > 0, clamp01(F.col("_held") / F.col("_d"))).otherwise(F.lit(0.0)))
         .drop("_held", "_d")
     )
+    return rows.join(counts, "video_id", "left").fillna(0, [f"_n_{p.id}" for p in policies])
 
 
 def evidence(frames: DataFrame, policy: Policy) -> DataFrame:
     """One row per video: n_frames, max_score, topk_mean, coverage, flagged, independent."""
-    rows = _gathered(frames, [policy]).withColumnRenamed(f"_flagged_{policy.id}", "flagged")
-    return rows.withColumn("independent", independent(F.col(f"_times_{policy.id}"), policy.gap_ms)).drop(f"_times_{policy.id}")
+    return _gathered(frames, [policy]).withColumnsRenamed({f"_flagged_{policy.id}": "flagged", f"_n_{policy.id}": "independent"})
 
 
 def positive(policy: Policy, count: Column | None = None) -> Column:
@@ -101,8 +140,6 @@ def verdicts(frames: DataFrame, policy: Policy) -> DataFrame:
 def verdicts_under(frames: DataFrame, policies: Sequence[Policy]) -> DataFrame:
     """video_id, policy, contains_inappropriate_content, confidence: all policies in one pass over the frames."""
     rows = _gathered(frames, policies)
-    for p in policies:
-        rows = rows.withColumn(f"_n_{p.id}", independent(F.col(f"_times_{p.id}"), p.gap_ms))
     each = [
         F.struct(F.lit(p.id).alias("policy"), positive(p, F.col(f"_n_{p.id}")).alias("contains_inappropriate_content"), confidence(p, F.col(f"_n_{p.id}")).alias("confidence"))
         for p in policies

@@ -45,9 +45,8 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def independent_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags at 0.3, counted once in 400 ms."""
-    flagged = sources.frames(spark, sf_dir).where("score >= 0.3")
-    rows = flagged.groupBy("video_id").agg(F.count("*").alias("flagged"), F.collect_list("ts_ms").alias("times"))
-    return rows.select("video_id", "flagged", temporal.independent(F.col("times"), 400).alias("independent"))
+    rows = sources.frames(spark, sf_dir)
+    return temporal.independents(rows, [("flagged", 0.3, 0), ("independent", 0.3, 400)])
 
 
 def topk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
