@@ -53,6 +53,41 @@ def test_held_out_accuracy(spark):
     assert len(held) > 50 and np.mean([r.predicted == int(r.doc_id % 5 > 0) for r in held]) > 0.95
 
 
+def test_a_document_scores_what_all_labellings_say(spark):
+    """The whole way of short documents, with the field that the query fits: every labelling of the lines on its own."""
+    docs, labels = corpus(spark)
+    field = line_quality.learn(docs, labels, "text", "doc_id", "quality", 3, 1, line_quality.SAMPLE)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in line_quality.score(docs, labels).collect()}
+    checked = 0
+    for i, text in texts.items():
+        made, sizes, lines = line_quality.line_features(pa.array([(text or "").encode()], pa.binary()))
+        n = int(lines[0])
+        if n > 8 or i % 7:
+            continue
+        scaled = np.vstack([np.zeros(made.shape[1]), (made - field.mean) / field.spread, np.zeros(made.shape[1])])
+        good = [float(np.concatenate([scaled[k + 1], scaled[k], scaled[k + 2], [1.0]]) @ field.weights) for k in range(n)]
+        total, ones = 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(np.clip(good[k], -30, 30) for k in range(n) if y[k]) + sum(field.moves[y[k], y[k + 1]] for k in range(n - 1)))
+            total += w
+            ones += w * np.array(y)
+        mean = np.clip(((ones / total) * (sizes + 1)).sum() / (sizes + 1).sum(), 1e-6, 1 - 1e-6)
+        want = 1 / (1 + np.exp(-(field.scale * np.log(mean / (1 - mean)) + field.shift)))
+        assert got[i] == pytest.approx(want, abs=1e-5)
+        checked += 1
+    assert checked > 40
+
+
+def test_the_sample_is_bounded_by_lines(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    seen = []
+    monkeypatch.setattr(line_quality, "SAMPLE_LINES", 100)
+    monkeypatch.setattr(line_quality, "fit", lambda made, sizes, lines, labels: seen.append((len(made), lines.sum())) or 0.5)
+    assert {r.score for r in line_quality.score(docs, labels).collect()} == {0.5}
+    assert seen[0][0] == seen[0][1] and 80 <= seen[0][0] <= 100
+
+
 def test_held_out_labels_do_not_matter(spark):
     docs, labels = corpus(spark)
     from tidemark.llm.hmm_lm import remainder

@@ -4,8 +4,8 @@ Every line gets features of its characters and words, taken from its bytes for a
 lines with their neighbours' features, and the marginals of forward-backward, weighted by the lines' lengths, make the
 document's quality, calibrated to a probability.
 
-The field is fitted on a bounded sample of labelled rows (SAMPLE, about so many documents); every document is scored
-over its whole text.
+The field is fitted on a bounded sample of labelled rows (SAMPLE, about so many documents, taken in the order of a hash
+until they have SAMPLE_LINES lines); every document is scored over its whole text.
 
 Defined cases: a null or empty text is one empty line; rows that repeat a doc_id are scored one by one; labels without
 an id or quality are left out and the least quality counts where an id has several; without any usable label, or with one
@@ -28,7 +28,7 @@ from tidemark.llm.hmm_lm import remainder
 from tidemark.llm.shared import utf8
 from tidemark.llm.words import LOWERED, Words, chunks
 
-SAMPLE = 6000
+SAMPLE, SAMPLE_LINES = 6000, 1_000_000
 NEWLINE = 10
 # Bytes by kind: upper, lower, digit, space, sentence marks, shouts, symbols, bars, bytes above 127.
 KINDS = 9
@@ -96,7 +96,7 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_
     part = min(1.0, sample / max(many, 1))
     drawn = usable.where(F.pmod(F.xxhash64("__label_id"), F.lit(1_000_003)) < F.lit(part * 1_000_003))
     texts = docs.select(F.col(id_col).alias("__doc_id"), utf8(F.col(text_col)).alias("raw"))
-    rows = texts.join(F.broadcast(drawn), F.col("__doc_id") == F.col("__label_id")).select("label", "raw")
+    rows = texts.join(F.broadcast(drawn), F.col("__doc_id") == F.col("__label_id")).select("label", "raw", F.xxhash64("__label_id", "raw").alias("place"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,17 +106,22 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_
                 starts = np.append(0, np.cumsum(lines))
                 out = [made[a:b].tobytes() for a, b in zip(starts, starts[1:], strict=False)]
                 size = [sizes[a:b].tobytes() for a, b in zip(starts, starts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(piece)), pa.array(out, pa.binary()), pa.array(size, pa.binary())], ["label", "made", "sizes"])
+                own = [batch.column(k).slice(at, len(piece)) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.binary()), pa.array(size, pa.binary())], ["label", "place", "made", "sizes"])
                 at += len(piece)
 
-    found: pd.DataFrame = rows.mapInArrow(task, "label int, made binary, sizes binary").toPandas()
-    wanted = found["label"].to_numpy(dtype=float)
-    if not len(wanted) or wanted.min() == wanted.max():
-        return float(wanted.mean()) if len(wanted) else 0.5
-    sizes = [np.frombuffer(bytes(x)) for x in found["sizes"]]
-    lines = np.array([len(x) for x in sizes])
-    made = np.concatenate([np.frombuffer(bytes(x)).reshape(n, -1) for x, n in zip(found["made"], lines, strict=True)])
-    return fit(made, np.concatenate(sizes), lines, wanted)
+    wanted, made, sizes, left = [], [], [], SAMPLE_LINES
+    for r in rows.mapInArrow(task, "label int, place long, made binary, sizes binary").orderBy("place").toLocalIterator():
+        own = np.frombuffer(bytes(r.sizes))
+        left -= len(own)
+        if left < 0 and wanted:
+            break
+        wanted.append(float(r.label))
+        sizes.append(own)
+        made.append(np.frombuffer(bytes(r.made)).reshape(len(own), -1))
+    if not wanted or min(wanted) == max(wanted):
+        return wanted[0] if wanted else 0.5
+    return fit(np.concatenate(made), np.concatenate(sizes), np.array([len(x) for x in sizes]), np.array(wanted))
 
 
 def score(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", parts: int = 3, left_out: int = 1, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
