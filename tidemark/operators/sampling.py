@@ -4,7 +4,7 @@ Refinement is a tree of halved intervals per video. An interval's rank is the su
 width, and none is halved before the interval that it came from. So the first n halvings of a video, best first, are the n
 of the highest bottleneck: the least rank on the way from the survey down to the interval. That is a ranking of rows, which
 takes one level of the tree at a time, all videos at once: as a bottleneck never rises downwards, what is not among a
-video's first n on one level has nothing below it that is, and is left out before the next.
+video's first n on one level has nothing below it that is, and is left out before the next. Levels are checkpointed.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.constants import Budget
 from tidemark.functions.scoring import half_up, interval_priority, round_to
 from tidemark.operators.lookups import as_of
+from tidemark.shared import cut
 
 
 def survey(videos: DataFrame, budget: Budget) -> DataFrame:
@@ -51,9 +52,9 @@ def refine(videos: DataFrame, answers: DataFrame, frames: DataFrame, budget: Bud
     best first), ts_ms, level (from 1), priority (the bottleneck), served_ms, score. Ties go to the upper level, then to the
     earlier interval. An interval narrower than two gaps isn't halved.
     """
-    gap = budget.min_gap_ms
+    gap, frames = budget.min_gap_ms, cut(frames.select("video_id", "ts_ms", "score"))
     room = answers.groupBy("video_id").agg(F.greatest(F.lit(0), F.lit(budget.max_frames) - F.count("*")).alias("room"))
-    start = _intervals(answers, videos).join(room, "video_id")
+    start = cut(_intervals(answers, videos).join(room, "video_id"))
     widest = start.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 0
     levels = 1 + math.ceil(math.log2(widest / (2 * gap))) if widest >= 2 * gap else 0
     # open intervals and those that have been halved go through the levels together
@@ -70,14 +71,14 @@ def refine(videos: DataFrame, answers: DataFrame, frames: DataFrame, budget: Bud
         node = lambda **own: F.struct(*[own.get(c, F.col(c)).alias(c) for c in names])
         none = {"ts_ms": F.lit(None).cast("long"), "served_ms": F.lit(None).cast("long"), "score": F.lit(None).cast("double"), "level": F.col("level") + 1}
         halves = F.array(node(), node(**none, b=F.col("ts_ms"), score_b=F.col("score")), node(**none, a=F.col("ts_ms"), score_a=F.col("score")))
-        nodes = done.select("video_id", "room", "priority", F.explode(F.when(F.col("fresh"), halves).otherwise(F.array(node()))).alias("x")).select("video_id", "room", "priority", "x.*")
+        nodes = cut(done.select("video_id", "room", "priority", F.explode(F.when(F.col("fresh"), halves).otherwise(F.array(node()))).alias("x")).select("video_id", "room", "priority", "x.*"))
     ranked = nodes.where("ts_ms IS NOT NULL").withColumn("place", place).where(F.col("place") <= F.col("room"))
     return ranked.select("video_id", "place", "ts_ms", "level", "priority", "served_ms", "score")
 
 
 def selected(videos: DataFrame, frames: DataFrame, budget: Budget) -> DataFrame:
     """video_id, ts_ms (asked), level (0: the survey), served_ms, score of all requests of survey and refinement."""
-    answers = served(survey(videos, budget), frames)
+    answers = cut(served(survey(videos, budget), frames))
     columns = ("video_id", "ts_ms", "level", "served_ms", "score")
     return answers.withColumn("level", F.lit(0)).select(*columns).unionByName(refine(videos, answers, frames, budget).select(*columns))
 
