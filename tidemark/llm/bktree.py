@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Query-node pairs that a search holds at once.
-STEP = 2_000_000
+#: Words of query-node pairs that a search compares at once.
+STEP = 1 << 19
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,13 +65,13 @@ class Forest:
 
     def search(self, queries: np.ndarray, roots: np.ndarray, radius: int):
         """Yield arrays (query, item): all items at most radius apart from a query in the tree that begins at its root."""
-        n = len(queries)
-        step = max(1, min(n, STEP // 64))
+        n, most = len(queries), max(1024, STEP // queries.shape[1])
+        step = max(1, most // 16)
         for begin in range(0, n, step):
             stack = [(np.arange(begin, min(n, begin + step)), roots[begin : begin + step])]
             while stack:
                 q, node = stack.pop()
-                if len(q) > STEP:
+                if len(q) > most:
                     half = len(q) // 2
                     stack += [(q[:half], node[:half]), (q[half:], node[half:])]
                     continue

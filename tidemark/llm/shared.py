@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.shared import shared_folder
+from tidemark.shared import cut, shared_folder
+
+__all__ = ["LOWER", "UPPER", "WHITE", "cut", "drop", "shared_folder", "table", "utf8"]
 
 #: What `[\x20\x09-\x0D]` matches: the white space of every contract here.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def drop(spark: SparkSession, folder: str) -> None:
     """Remove a folder of ours and all in it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
