@@ -16,8 +16,9 @@ PRIOR_EMIT, PRIOR_MOVE = 20.0, 1.0
 STRETCH = 64
 #: Tokens whose state weights are held before they are added to the counts.
 FLUSH = 500_000
-#: Rounds of the first clustering of sample texts, and the chance to stay in a state before any transition is counted.
-CLUSTERING, STAY = 8, 0.9
+#: Rounds of clustering texts for a first model and of Baum-Welch on them, and the chance to stay in a state before any
+#: transition is counted.
+CLUSTERING, ROUNDS, STAY = 8, 10, 0.9
 
 
 def smoothed(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -159,21 +160,8 @@ def mixture(logs: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> np.nda
     return belongs / belongs.sum(axis=1, keepdims=True)
 
 
-def clustered(model: Model, classes: np.ndarray, starts: np.ndarray, into: Counts) -> None:
-    """Add the counts of sequences that each belong to states as whole texts: the emissions alone tell to which."""
-    if not len(starts):
-        return
-    belongs = mixture(np.log(model.emit), classes, starts)
-    lengths = np.diff(np.append(starts, len(classes)))
-    for k in range(belongs.shape[1]):
-        into.emit[:, k] += np.bincount(classes, np.repeat(belongs[:, k], lengths), minlength=len(into.emit))
-    into.start += belongs.sum(axis=0)
-    steps = belongs.T @ (lengths - 1)
-    into.move += np.diag(STAY * steps) + np.full_like(into.move, 1) * ((1 - STAY) * steps / len(steps))[:, None]
-
-
 def seeded(classes: np.ndarray, lengths: np.ndarray, shares: np.ndarray, states: int, seed: int) -> Model:
-    """A first model from some texts: clusters of them by their classes, begun from texts that the others explain worst."""
+    """A first model from some texts: clusters of them by their classes, begun from texts that the others explain worst, then Baum-Welch."""
     random = np.random.default_rng(seed)
     starts = np.append(0, np.cumsum(lengths)[:-1])
     text = np.repeat(np.arange(len(lengths)), lengths)
@@ -194,4 +182,9 @@ def seeded(classes: np.ndarray, lengths: np.ndarray, shares: np.ndarray, states:
         belongs = mixture(np.log(np.array(tables)).T, classes, starts)
         tables = [unigram(belongs[text, k]) for k in range(states)]
     move = np.full((states, states), (1 - STAY) / states) + STAY * np.eye(states)
-    return Model(np.full(states, 1 / states), move, np.array(tables).T)
+    model = Model(np.full(states, 1 / states), move, np.array(tables).T)
+    for _ in range(ROUNDS):
+        counts = Counts.zero(states, len(shares))
+        baum_welch(model, classes, starts, counts)
+        model = counts.model(shares)
+    return model

@@ -8,10 +8,9 @@ hashed classes, whose number grows with the square root of the vocabulary; the e
     Z(class) = sum over its training words of (c + 0.1), plus, in a hashed class, 0.1 for all words that were never seen
 
 so the model is a proper distribution over texts whatever the size of the vocabulary. Training: texts are written once as
-classes. Some texts, SEED_TOKENS tokens of them, only say where to begin: they are clustered into as many unigram models
-as there are states. All counts of the model come from all training texts: a pass that deals whole texts to those
-models, then Baum-Welch passes over whole texts. The counts of a pass are summed up per partition, and those of the
-partitions by Spark. Scoring runs the scaled forward recursion over every whole text.
+classes. Some texts, SEED_TOKENS tokens of them, only say where to begin: the states of a first model are clusters of them.
+All counts of the final model come from all training texts, by Baum-Welch passes over whole texts. The counts of a pass are
+summed up per partition, and those of the partitions by Spark. Scoring runs the scaled forward recursion over every whole text.
 
 Word counts may be a table of any size. Words that make up more than one part in HEAD of all tokens, which are fewer
 than HEAD, are broadcast; the words of the tail are joined with the table of counts, where no word can be hot. Words are
@@ -39,8 +38,8 @@ from tidemark.llm.shared import cut, utf8
 from tidemark.llm.words import Words, chunks
 
 STATES, PASSES = 16, 2
-#: Tokens of the texts that say where to begin (expected number); none of these texts has more than a quarter of them.
-SEED_TOKENS = 400_000
+#: Tokens of the texts that say where to begin (expected number), and of one such text at most.
+SEED_TOKENS, SEED_TEXT = 400_000, 2_000
 HEAD, OWN = 1_000_000, 1 << 16
 #: Hashed classes per square root of the number of words, and at least.
 TAIL, LEAST_TAIL = 32, 1024
@@ -129,8 +128,8 @@ def _together(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column), dtype="<i4"), np.append(0, np.cumsum(lengths)[:-1]) if len(lengths) else lengths
 
 
-def _pass(seqs: DataFrame, model: hmm.Model, gather) -> hmm.Counts:
-    """Counts that gather(model, classes, starts, into) makes of all texts."""
+def _pass(seqs: DataFrame, model: hmm.Model) -> hmm.Counts:
+    """Baum-Welch counts of all texts under a model."""
     classes, states = model.emit.shape
     shared = seqs.sparkSession.sparkContext.broadcast(model)
     names = [f"s{k}" for k in range(states)]
@@ -143,9 +142,9 @@ def _pass(seqs: DataFrame, model: hmm.Model, gather) -> hmm.Counts:
                 held.append(seq)
                 size += len(seq) // 4
                 if size > TOKENS:
-                    gather(shared.value, *_together(held), counts)
+                    hmm.baum_welch(shared.value, *_together(held), counts)
                     held, size = [], 0
-            gather(shared.value, *_together(held), counts)
+            hmm.baum_welch(shared.value, *_together(held), counts)
         rows = np.concatenate([counts.emit, counts.move, counts.start[None, :]])
         some = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(rows[some, k]) for k in range(states)]], ["at", *names])
@@ -162,14 +161,13 @@ def train(seqs: DataFrame, tokens: int, shares: np.ndarray, states: int = STATES
     """seqs (checkpointed seq) of all training texts, with so many tokens -> the model. shares: of each class in them."""
     part = F.lit(min(1.0, SEED_TOKENS / max(tokens, 1)) * 1_000_003)
     drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_003)) < part
-    sample = [bytes(r.seq) for r in seqs.where(drawn & (F.octet_length("seq") <= SEED_TOKENS)).select("seq").collect()]
+    sample = [bytes(r.seq) for r in seqs.where(drawn & (F.octet_length("seq") <= 4 * SEED_TEXT)).select("seq").collect()]
     if not sample:
         return hmm.Counts.zero(states, len(shares)).model(shares)
     classes, starts = _together(sample)
     model = hmm.seeded(classes, np.diff(np.append(starts, len(classes))), shares, states, seed)
-    model = _pass(seqs, model, hmm.clustered).model(shares)
     for _ in range(passes):
-        model = _pass(seqs, model, hmm.baum_welch).model(shares)
+        model = _pass(seqs, model).model(shares)
     return model
 
 
