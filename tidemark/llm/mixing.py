@@ -150,7 +150,8 @@ def mix(
         most = rates.agg(F.max(rate)).first()[0]
         rates = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn(salt, F.pmod(F.xxhash64(who), F.lit(SALTS)).cast("int")).join(rates, [where, salt])
-    drawn = joined.withColumn(times, F.pandas_udf(_draw, "long")(F.col(rate), unit(seed, F.col(who)))).where(F.col(times) > 0)
+    # called non-deterministic so that no task evaluates it twice, for the filter and for the column
+    drawn = joined.withColumn(times, F.pandas_udf(_draw, "long").asNondeterministic()(F.col(rate), unit(seed, F.col(who)))).where(F.col(times) > 0)
     one = F.lit(1).cast("long")
     spread = drawn.withColumn(copy, F.explode(F.sequence(one, F.least(times, F.lit(BLOCK).cast("long")))))
     if most + 12 * math.sqrt(most) + 40 > BLOCK:
