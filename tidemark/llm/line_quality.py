@@ -110,19 +110,31 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_
                 yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.binary()), pa.array(size, pa.binary())], ["label", "place", "made", "sizes"])
                 at += len(piece)
 
+    most = SAMPLE_LINES
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = 0
+        for batch in batches:
+            ends = taken + np.cumsum([len(x) // 8 for x in batch.column(3).to_pylist()])
+            rows = int((ends <= most).sum()) or int(taken == 0 and batch.num_rows > 0)  # one document at least
+            if rows:
+                yield batch.slice(0, rows)
+            if rows < batch.num_rows:
+                for _ in batches:  # read to the end, so that the worker can be used again
+                    pass
+                return
+            taken = int(ends[-1]) if batch.num_rows else taken
+
     # a bounded sample: one task sorts it, where a sort by ranges would make the features twice
-    wanted, made, sizes, left = [], [], [], SAMPLE_LINES
-    for r in rows.mapInArrow(task, "label int, place long, made binary, sizes binary").repartition(1).sortWithinPartitions("place").toLocalIterator():
-        own = np.frombuffer(bytes(r.sizes))
-        left -= len(own)
-        if left < 0 and wanted:
-            break
-        wanted.append(float(r.label))
-        sizes.append(own)
-        made.append(np.frombuffer(bytes(r.made)).reshape(len(own), -1))
-    if not wanted or min(wanted) == max(wanted):
-        return wanted[0] if wanted else 0.5
-    return fit(np.concatenate(made), np.concatenate(sizes), np.array([len(x) for x in sizes]), np.array(wanted))
+    schema = "label int, place long, made binary, sizes binary"
+    found = rows.mapInArrow(task, schema).repartition(1).sortWithinPartitions("place").mapInArrow(bounded, schema).toPandas()
+    wanted = found["label"].to_numpy(dtype=float)
+    if not len(wanted) or wanted.min() == wanted.max():
+        return float(wanted.mean()) if len(wanted) else 0.5
+    sizes = [np.frombuffer(bytes(x)) for x in found["sizes"]]
+    lines = np.array([len(x) for x in sizes])
+    made = np.concatenate([np.frombuffer(bytes(x)).reshape(n, -1) for x, n in zip(found["made"], lines, strict=True)])
+    return fit(made, np.concatenate(sizes), lines, wanted)
 
 
 def score(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", parts: int = 3, left_out: int = 1, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
