@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, hmm_lm, html_text, line_quality, maxscore, mixing, packing, secrets, simhash_bk, warc
+from tidemark.llm import exact_dedup, hmm_lm, html_text, line_quality, maxscore, mixing, packing, prefix_trie, secrets, simhash_bk, warc
 from tidemark.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -70,9 +70,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select(*columns)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    made = prefix_trie.prefixes(table(spark, sf_dir, "conversations"), base=conv - conv % 100, head=F.crc32(conv.cast("string")) % 6)
+    return prefix_trie.nodes(made)
+
+
 def queries() -> dict:
     made = (
-        op1_html_text, op2_maxscore, op3_mixing, op4_packing, op5_exact_dedup, op6_hmm_lm, op7_simhash, op8_secrets, op9_line_quality, op10_warc,
+        op1_html_text, op2_maxscore, op3_mixing, op4_packing, op5_exact_dedup, op6_hmm_lm, op7_simhash, op8_secrets, op9_line_quality, op10_warc, op11_prefix_trie,
     )
     return {f.__name__: f for f in made}
 
@@ -106,6 +112,24 @@ SQL = {
       SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to, url FROM g""",
 }
 
+#: Every prefix as the text of its turns' digests; a node's subtree is met through the prefixes of the nodes' smallest members.
+SQL["op11_prefix_trie"] = """
+      WITH RECURSIVE bits(b, k, v) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END) FROM bits WHERE k < 8),
+      ids AS (SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL),
+      crc(c, s, v) AS (SELECT c, s, 4294967295 FROM ids UNION ALL SELECT c, substr(crc.s, 2), xor(crc.v >> 8, bits.v) FROM crc JOIN bits ON crc.s <> '' AND bits.k = 8 AND bits.b = xor(crc.v & 255, ascii(crc.s)::BIGINT)),
+      heads AS (SELECT c, c - c % 100 AS base, xor(v, 4294967295) % 6 AS h FROM crc WHERE s = ''),
+      t AS (SELECT conv_id AS c, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS leaf, length(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+      own AS (SELECT c, leaf, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, leaf) - 1 AS i FROM t),
+      built AS (SELECT heads.c, 0 AS side, i, leaf, size FROM heads JOIN own ON own.c = heads.base AND i < h UNION ALL SELECT heads.c, 1, i, leaf, size FROM heads JOIN own ON own.c = heads.c AND i >= h),
+      turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY side, i) AS d, leaf, size FROM built),
+      rows AS (SELECT c, d, size, string_agg(leaf, '') OVER (PARTITION BY c ORDER BY d) AS seq FROM turns UNION ALL SELECT c, 0, 0, '' FROM ids),
+      p AS (SELECT *, lag(seq) OVER (PARTITION BY c ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY c) AS last FROM rows),
+      n AS (SELECT seq, min(c) AS owner, max(d) AS d, max(parent) AS parent, max(size) AS size, count(*) AS n_convs, count(*) FILTER (last) AS n_ends, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends FROM p GROUP BY seq),
+      below AS (SELECT p.seq, count(*) FILTER (n.n_convs = n.n_ends) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved FROM n JOIN p ON p.c = n.owner AND p.d <= n.d GROUP BY 1),
+      kids AS (SELECT parent AS seq, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY 1)
+      SELECT n.owner AS conv_id, n.d AS depth, above.owner AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.n_ends, n.ends AS ends_sha256
+      FROM n JOIN below USING (seq) LEFT JOIN kids USING (seq) LEFT JOIN n above ON above.seq = n.parent"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
