@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, hmm_lm, html_text, line_quality, maxscore, mixing, packing, prefix_trie, secrets, simhash_bk, warc
+from tidemark.llm import cover_dedup, exact_dedup, hmm_lm, html_text, line_quality, maxscore, mixing, packing, prefix_trie, secrets, simhash_bk, warc, whitening
 from tidemark.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,9 +76,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(made)
 
 
+def op12_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 def queries() -> dict:
     made = (
-        op1_html_text, op2_maxscore, op3_mixing, op4_packing, op5_exact_dedup, op6_hmm_lm, op7_simhash, op8_secrets, op9_line_quality, op10_warc, op11_prefix_trie,
+        op1_html_text, op2_maxscore, op3_mixing, op4_packing, op5_exact_dedup, op6_hmm_lm, op7_simhash, op8_secrets, op9_line_quality, op10_warc, op11_prefix_trie, op12_cover_tree, op13_whitening,
     )
     return {f.__name__: f for f in made}
 
@@ -130,6 +138,15 @@ SQL["op11_prefix_trie"] = """
       SELECT n.owner AS conv_id, n.d AS depth, above.owner AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.n_ends, n.ends AS ends_sha256
       FROM n JOIN below USING (seq) LEFT JOIN kids USING (seq) LEFT JOIN n above ON above.seq = n.parent"""
 
+SQL["op12_cover_tree"] = """
+      WITH RECURSIVE e AS (SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      v AS (SELECT * FROM e WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+      l AS MATERIALIZED (SELECT a.row AS a, b.row AS b FROM v a JOIN v b ON a.row <> b.row AND list_cosine_similarity(a.e, b.e) >= 0.95::DOUBLE),
+      r(a, b) AS (SELECT row, row FROM e UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+      c AS (SELECT r.a AS row, min(o.vec_id) AS component_id FROM r JOIN e o ON o.row = r.b GROUP BY 1),
+      n AS (SELECT a AS row, count(*) AS n FROM l GROUP BY 1)
+      SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c USING (row) LEFT JOIN n USING (row)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
