@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,98 @@ def test_scan_log_metrics(spark):
     r = metrics.scan_stats(rows).first()
     assert (r.sampled, r.inferred, r.deduped, r.failed, r.duplicates) == (2, 2, 1, 1, 1)
     assert metrics.scan_stats(rows.where(F.lit(False))).count() == 0
+
+
+def sampled(duration, budget, keys, frames):
+    """The whole of sampling, one request after the other: (ts, on_keyframe, level) in order. frames: {ts: score or None}."""
+    gap, times, asked, taken = budget.min_gap_ms, sorted(frames), [], set()
+
+    def answer(t):
+        before = [x for x in times if x <= t]
+        return frames[before[-1] if before else times[0]]
+
+    def snap(at, tolerance):
+        own = math.floor(at + 0.5)
+        if not keys:
+            return own
+        low = min(sum(k < at for k in keys), len(keys) - 1)
+        near = [(abs(k - at), k) for k in keys[max(0, low - 1) : low + 2] if abs(k - at) <= tolerance and k not in taken]
+        return min(near)[1] if near else own
+
+    n = max(1, min(budget.survey_frames, max(1, duration // gap), budget.max_frames))
+    seen = []
+    for k in range(n):
+        at = (k + 0.5) * (duration / n)
+        t = snap(at, duration / n / 2)
+        if t not in taken:
+            taken.add(t)
+            asked.append((t, t != math.floor(at + 0.5), 0))
+            if answer(t) is not None:
+                seen.append((t, answer(t)))
+    seen.sort()
+    recorded = len(seen)
+    ends = [(0, seen[0][1]), *seen, (duration, seen[-1][1])] if seen else []
+    rank = lambda a, b, x, y: math.floor((0.15 + max(x, y)) * math.log2(1 + (b - a) / gap) * 1e9 + 0.5) / 1e9
+    waiting = [(a, b, x, y, 1) for (a, x), (b, y) in zip(ends, ends[1:], strict=False)]
+    while recorded < budget.max_frames:
+        waiting = [w for w in waiting if w[1] - w[0] >= 2 * gap]
+        if not waiting:
+            break
+        best = max(waiting, key=lambda i: (rank(*i[:4]), -i[4], -i[0]))
+        waiting.remove(best)
+        a, b, x, y, level = best
+        t = snap((a + b) / 2, (b - a) / 4)
+        if t in taken:
+            t = math.floor((a + b) / 2 + 0.5)
+            if t in taken:
+                continue
+        taken.add(t)
+        s = answer(t)
+        recorded += s is not None
+        asked.append((t, t != math.floor((a + b) / 2 + 0.5), level))
+        waiting += [(a, t, x, x if s is None else s, level + 1), (t, b, y if s is None else s, y, level + 1)]
+    return asked
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_snapped_sampling_equals_one_request_after_the_other(spark, seed):
+    """On random grids of keyframes, with frames that can't be read and videos whose survey fails in part or wholly."""
+    r = random.Random(seed)
+    budget = Budget(survey_frames=r.choice([4, 7]), max_frames=r.choice([15, 40]), min_gap_ms=r.choice([200, 500]))
+    plain, keys, rows = [], {}, {}
+    for v in range(12):
+        duration = r.choice([900, 20_000, 33_331])
+        plain.append((v, duration))
+        keys[v] = sorted(r.sample(range(duration), r.choice([0, 1, 5, 60])))
+        if v % 3 == 0:  # keyframes half-way between the cells' centres, which both want
+            n = max(1, min(budget.survey_frames, duration // budget.min_gap_ms))
+            keys[v] = [int(k * duration / n) for k in range(1, n) if k * duration % n == 0] or keys[v]
+        lost = r.choice([0, 0.2, 0.6]) if v else 1
+        rows[v] = {t: None if r.random() < lost else round(r.random(), 3) for t in r.sample(range(duration), 60)}
+    table = spark.createDataFrame(plain, "video_id long, duration_ms long")
+    frames = spark.createDataFrame([(v, t, s) for v in rows for t, s in rows[v].items()], "video_id long, ts_ms long, score double")
+    kfs = spark.createDataFrame([(v, k) for v in keys for k in keys[v]], "video_id long, kf_ms long")
+    got = {}
+    for x in sampling.selected(table, frames, budget, kfs).orderBy("video_id", "level", "ts_ms").collect():
+        got.setdefault(x.video_id, []).append((x.ts_ms, x.on_keyframe, x.level))
+    for v, duration in plain:
+        want = sampled(duration, budget, keys[v], rows[v])
+        assert sorted(got[v]) == sorted(want), v
+
+
+def test_requests_that_want_the_same_keyframe(spark):
+    """The earlier one has it, and whoever follows depends on that; times that are asked for again are left out."""
+    keys = [(1, k) for k in (1000, 2000, 2005, 9000)] + [(2, 500)]
+    asked = [(1, 0, 1500.0), (1, 1, 2100.0), (1, 2, 2200.0), (1, 3, 2300.0), (1, 4, 8999.6), (1, 5, 9000.4), (2, 0, 400.0), (2, 1, 600.0), (2, 2, 600.2), (3, 0, 7.5), (2, 3, 4000.0)]
+    rows = spark.createDataFrame([(v, s, t, 600.0) for v, s, t in asked], "video_id long, slot long, at double, tolerance double")
+    got = {(r.video_id, r.slot): (r.ts_ms, r.on_keyframe) for r in lookups.snapped(rows, spark.createDataFrame(keys, "video_id long, kf_ms long")).collect()}
+    assert got == {(1, 0): (1000, True), (1, 1): (2005, True), (1, 2): (2200, False), (1, 3): (2300, False), (1, 4): (9000, False), (2, 0): (500, True), (2, 1): (600, False), (2, 3): (4000, False), (3, 0): (8, False)}
+
+
+def test_frames_are_shuffled_once(spark, tmp_path):
+    """Survey and all levels are answered together: the plan has one exchange of frames' rows (the other is one row a bucket)."""
+    frames(spark, [(t, 0.1) for t in range(0, 60_000, 50)]).write.parquet(str(tmp_path / "frames"))
+    table = spark.read.parquet(str(tmp_path / "frames"))
+    laid = spark.createDataFrame([(1, t) for t in range(0, 60_000, 250)], "video_id long, ts_ms long")
+    plan = sampling.served(laid, table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2 and plan.count("hashpartitioning(video_id") == 3  # bucket ends by bucket, then by video; rows by bucket

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.constants import CATEGORIES, CLASSES, MAX_CONFIDENCE, Policy
+from tidemark.constants import BASE_PRIORITY, CATEGORIES, CLASSES, MAX_CONFIDENCE, Policy
 
 
 def clamp01(x: Column) -> Column:
@@ -103,7 +103,7 @@ def negative_confidence(top: Column, coverage: Column, policy: Policy) -> Column
 
 
 def interval_priority(span_ms: Column, score_a: Column, score_b: Column, min_gap_ms: Column) -> Column:
-    return (F.lit(0.15) + F.greatest(score_a, score_b)) * F.log2(1 + span_ms / min_gap_ms)
+    return (F.lit(BASE_PRIORITY) + F.greatest(score_a, score_b)) * F.log2(1 + span_ms / min_gap_ms)
 
 
 def hit_probability(samples: Column, span: Column, duration: Column) -> Column:

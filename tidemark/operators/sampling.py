@@ -2,31 +2,52 @@
 
 Refinement is a tree of halved intervals per video. An interval's rank is the suspicion of its ends times the logarithm of its
 width, and none is halved before the interval that it came from. So the first n halvings of a video, best first, are the n
-of the highest bottleneck: the least rank on the way from the survey down to the interval. That is a ranking of rows, which
-takes one level of the tree at a time, all videos at once: as a bottleneck never rises downwards, what is not among a
-video's first n on one level has nothing below it that is, and is left out before the next. Levels are checkpointed.
+of the highest bottleneck: the least rank on the way from the survey down to the interval. That is a ranking of rows.
+
+Where an interval is halved depends on its ends and on keyframes, not on scores. So all halvings that could be asked for are
+laid out first, at most one for each shortest gap of a video, and answered together with the survey: the frames are shuffled
+once, whatever the depth. Then ranks go down each survey interval's tree, and each video keeps its best.
+
+A request whose frame could not be read (its score is null) fails: a survey's is no end of an interval, and a halving's two
+halves keep the score of the end that they have. Neither counts as a frame.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.constants import Budget
-from tidemark.functions.scoring import half_up, interval_priority, round_to
-from tidemark.operators.lookups import as_of
+from tidemark.constants import BASE_PRIORITY, Budget
+from tidemark.functions.scoring import half_up
+from tidemark.operators.lookups import as_of, snapped
 from tidemark.shared import cut
 
+#: Times are below 2 ** TIME_BITS ms, so that a batch's interval and a time are one number.
+TIME_BITS = 46
+#: Halvings that a task lays out at once, about.
+NODES = 1 << 18
 
-def survey(videos: DataFrame, budget: Budget) -> DataFrame:
-    """videos (video_id, duration_ms > 0) -> video_id, slot, ts_ms: the centres of equal cells, however long the video is."""
+
+def cells(videos: DataFrame, budget: Budget) -> DataFrame:
+    """videos (video_id, duration_ms > 0) -> video_id, slot, at: the centres of equal cells, however long the video is; tolerance: half a cell."""
     most = F.greatest(F.lit(1).cast("long"), F.floor(F.col("duration_ms") / budget.min_gap_ms))
     n = F.greatest(F.lit(1).cast("long"), F.least(F.lit(budget.survey_frames).cast("long"), most, F.lit(budget.max_frames).cast("long")))
-    cells = videos.where("duration_ms > 0").withColumn("n", n).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    centre = (F.col("slot") + F.lit(0.5)) * (F.col("duration_ms") / F.col("n").cast("double"))
-    return cells.select("video_id", "slot", half_up(centre).alias("ts_ms")).dropDuplicates(["video_id", "ts_ms"])
+    laid = videos.where("duration_ms > 0").withColumn("n", n).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    wide = F.col("duration_ms") / F.col("n").cast("double")
+    return laid.select("video_id", "slot", ((F.col("slot") + F.lit(0.5)) * wide).alias("at"), (wide * 0.5).alias("tolerance"))
+
+
+def survey(videos: DataFrame, budget: Budget, keyframes: DataFrame | None = None) -> DataFrame:
+    """video_id, slot, ts_ms, and with keyframes (video_id, kf_ms) on_keyframe: cells' centres, or the free keyframes nearest to them within their cell."""
+    asked = cells(videos, budget)
+    if keyframes is None:
+        return asked.select("video_id", "slot", half_up(F.col("at")).alias("ts_ms")).dropDuplicates(["video_id", "ts_ms"])
+    return snapped(asked, keyframes).select("video_id", "slot", "ts_ms", "on_keyframe")
 
 
 def served(requests: DataFrame, frames: DataFrame) -> DataFrame:
@@ -34,8 +55,8 @@ def served(requests: DataFrame, frames: DataFrame) -> DataFrame:
     return as_of(requests, frames, "video_id", "ts_ms", "ts_ms", "served_ms", also=("score",))
 
 
-def _intervals(answers: DataFrame, videos: DataFrame) -> DataFrame:
-    """Between neighbouring answers, and from them to the ends of the video, which have the score of the nearest answer."""
+def _edges(answers: DataFrame, videos: DataFrame) -> DataFrame:
+    """video_id, a, b, score_a, score_b: between neighbouring answers, and from them to the ends of the video, which have the score of the nearest answer."""
     order = Window.partitionBy("video_id").orderBy("ts_ms")
     rows = answers.select("video_id", "ts_ms", "score").join(videos.select("video_id", "duration_ms"), "video_id")
     rows = rows.withColumn("before", F.lag(F.struct("ts_ms", "score")).over(order)).withColumn("last", F.lead("ts_ms").over(order).isNull())
@@ -45,45 +66,158 @@ def _intervals(answers: DataFrame, videos: DataFrame) -> DataFrame:
     return rows.select("video_id", F.explode(F.when(F.col("last"), F.array(between, behind)).otherwise(F.array(between))).alias("x")).select("video_id", "x.*")
 
 
-def refine(videos: DataFrame, answers: DataFrame, frames: DataFrame, budget: Budget) -> DataFrame:
-    """The requests that follow a survey's answers (video_id, ts_ms, score), up to the frame budget of every video.
+def _inside(edges: DataFrame, points: DataFrame, ts: str, out: str) -> DataFrame:
+    """edges with the array out: the times of points (video_id, ts) strictly inside each."""
+    placed = as_of(points.select("video_id", ts).distinct(), edges.select("video_id", "a", "b"), "video_id", ts, "a", "a", also=("b",))
+    held = placed.where((F.col(ts) > F.col("a")) & (F.col(ts) < F.col("b"))).groupBy("video_id", "a").agg(F.array_sort(F.collect_list(F.col(ts).cast("long"))).alias(out))
+    return edges.join(held, ["video_id", "a"], "left").withColumn(out, F.coalesce(out, F.array().cast("array<long>")))
+
+
+def halvings(edges: DataFrame, budget: Budget, keyframes: DataFrame | None = None, requested: DataFrame | None = None) -> DataFrame:
+    """edges (video_id, a, b) -> video_id, top (a of the edge), level, path, a, b, ts_ms, on_keyframe: every halving that refinement may ask for.
+
+    requested (video_id, ts_ms): times inside edges that have been asked for before. An interval narrower than two gaps isn't
+    halved. Its middle is the keyframe nearest to it within a quarter of its width that wasn't asked for, else its middle, rounded.
+    path: 1 for an edge, then 2 path and 2 path + 1 for the left and the right half.
+    """
+    gap, kind = budget.min_gap_ms, edges.schema["video_id"].dataType.simpleString()
+    rows = edges.select("video_id", "a", "b").where(F.col("b") - F.col("a") >= 2 * gap)
+    none = F.array().cast("array<long>")
+    if keyframes is None:
+        rows = rows.withColumns({"keys": none, "beyond": F.lit(False)})
+    else:
+        latest = keyframes.groupBy("video_id").agg(F.max("kf_ms").alias("latest"))
+        rows = _inside(rows, keyframes, "kf_ms", "keys").join(latest, "video_id", "left").withColumn("beyond", F.coalesce(F.col("latest") >= F.col("b"), F.lit(False)))
+    rows = rows.withColumn("taken", none) if requested is None else _inside(rows, requested, "ts_ms", "taken")
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Slices of a batch that have about NODES halvings each."""
+        size = np.cumsum((batch.column("b").to_numpy() - batch.column("a").to_numpy()) // gap) // NODES
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1), batch.num_rows]
+        yield from (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in parts(whole)):
+            video, (a, b), beyond = batch.column(0), (batch.column(c).to_numpy() for c in ("a", "b")), batch.column("beyond").to_numpy(zero_copy_only=False)
+            top, at, path, level = a, np.arange(batch.num_rows), np.ones(batch.num_rows, dtype=np.int64), 0
+            # of each edge its times, all of them as one rising sequence
+            lists = {c: (np.asarray(batch.column(c).value_lengths()), np.asarray(batch.column(c).flatten())) for c in ("keys", "taken")}
+            ends = np.cumsum(lists["keys"][0])
+            keys, taken = ((np.repeat(at, size) << TIME_BITS) + times for size, times in lists.values())
+            while True:
+                wide = b - a >= 2 * gap
+                a, b, at, path, level = a[wide], b[wide], at[wide], path[wide], level + 1
+                if not len(a):
+                    break
+                middle, own = (a + b) / 2, (a + b + 1) // 2
+                chosen = own
+                if len(keys):
+                    low, high = ends[at] - lists["keys"][0][at], ends[at]
+                    place = np.searchsorted(keys, (at << TIME_BITS) + own)
+                    place = np.where((place == high) & ~beyond[at], high - 1, place)  # behind all keyframes the last two are asked
+                    near = place[:, None] + np.array([-1, 0, 1])
+                    given = keys[np.clip(near, 0, len(keys) - 1)]
+                    far = np.abs((given & ((1 << TIME_BITS) - 1)) - middle[:, None])
+                    good = (near >= low[:, None]) & (near < high[:, None]) & (far <= (b - a)[:, None] / 4) & ~np.isin(given, taken)
+                    best = np.where(good, far, np.inf).argmin(axis=1)
+                    pick = np.arange(len(a)), best
+                    chosen = np.where(good[pick], given[pick] & ((1 << TIME_BITS) - 1), own)
+                free = ~np.isin((at << TIME_BITS) + chosen, taken)
+                a, b, at, path, chosen, own = (x[free] for x in (a, b, at, path, chosen, own))
+                columns = [pa.array(x) for x in (top[at], np.full(len(a), level, dtype=np.int32), path, a, b, chosen, chosen != own)]
+                yield pa.RecordBatch.from_arrays([video.take(pa.array(at)), *columns], ["video_id", "top", "level", "path", "a", "b", "ts_ms", "on_keyframe"])
+                a, b = np.concatenate([a, chosen]), np.concatenate([chosen, b])
+                at, path = np.concatenate([at, at]), np.concatenate([2 * path, 2 * path + 1])
+
+    return rows.select("video_id", "a", "b", "keys", "beyond", "taken").mapInArrow(task, f"video_id {kind}, top long, level int, path long, a long, b long, ts_ms long, on_keyframe boolean")
+
+
+def ranked(answered: DataFrame, edges: DataFrame, room: DataFrame, budget: Budget) -> DataFrame:
+    """The halvings (with served_ms, score) that are asked for, best first: video_id, place (from 1), ts_ms, level (from 1), priority, on_keyframe, served_ms, score.
+
+    edges: with the scores of their ends; room: video_id, room: so many frames may still be recorded. Ties go to the upper
+    level, then to the earlier interval.
+    """
+    gap, kind = float(budget.min_gap_ms), edges.schema["video_id"].dataType.simpleString()
+    names = ("video_id", "top", "level", "path", "a", "b", "ts_ms", "on_keyframe", "served_ms", "score")
+    heads = edges.select("video_id", F.col("a").alias("top"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("path"), "score_a", "score_b")
+    laid = answered.select(*names).unionByName(heads, allowMissingColumns=True)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: dict[int, tuple[float, float, float]] = {}
+        for batch in batches:
+            kept, priority = [], []
+            level, path, a, b, score, score_a, score_b = (batch.column(c).to_pylist() for c in ("level", "path", "a", "b", "score", "score_a", "score_b"))
+            for k, node in enumerate(path):
+                if level[k] == 0:
+                    ends = {1: (score_a[k], score_b[k], math.inf)}
+                    continue
+                own = ends.pop(node, None)
+                if own is None:  # of an edge that isn't asked about
+                    continue
+                x, y, bound = own
+                rank = math.floor((BASE_PRIORITY + max(x, y)) * math.log2(1 + (b[k] - a[k]) / gap) * 1e9 + 0.5) / 1e9
+                rank, s = min(rank, bound), score[k]
+                ends[2 * node], ends[2 * node + 1] = (x, x if s is None else s, rank), (y if s is None else s, y, rank)
+                kept.append(k)
+                priority.append(rank)
+            if kept:
+                rows = batch.take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("video_id", "a", "ts_ms", "level")), pa.array(priority), *(rows.column(c) for c in ("on_keyframe", "served_ms", "score"))], ["video_id", "a", "ts_ms", "level", "priority", "on_keyframe", "served_ms", "score"])
+
+    order = Window.partitionBy("video_id").orderBy(F.desc("priority"), "level", "a")
+    trees = laid.repartition("video_id", "top").sortWithinPartitions("video_id", "top", "level", "path")
+    down = trees.mapInArrow(task, f"video_id {kind}, a long, ts_ms long, level int, priority double, on_keyframe boolean, served_ms long, score double")
+    before = F.coalesce(F.sum(F.col("score").isNotNull().cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    best = down.join(room, "video_id").withColumns({"place": F.row_number().over(order), "_before": before}).where(F.col("_before") < F.col("room"))
+    return best.select("video_id", "place", "ts_ms", "level", "priority", "on_keyframe", "served_ms", "score")
+
+
+def _room(answers: DataFrame, budget: Budget) -> DataFrame:
+    return answers.groupBy("video_id").agg(F.greatest(F.lit(0), F.lit(budget.max_frames) - F.count("*")).alias("room"))
+
+
+def refine(videos: DataFrame, answers: DataFrame, frames: DataFrame, budget: Budget, keyframes: DataFrame | None = None) -> DataFrame:
+    """The requests that follow a survey's answers (video_id, ts_ms, score), up to the frame budget of every video, as of `ranked`.
+
+    videos: video_id, duration_ms; frames: video_id, ts_ms, score, by which requests are answered; keyframes: video_id, kf_ms.
+    """
+    sound, failed = answers.where("score IS NOT NULL"), answers.where("score IS NULL")
+    edges = cut(_edges(sound, videos))
+    answered = served(halvings(edges, budget, keyframes, failed.select("video_id", "ts_ms")), frames)
+    return ranked(answered, edges, _room(sound, budget), budget)
+
+
+def selected(videos: DataFrame, frames: DataFrame, budget: Budget, keyframes: DataFrame | None = None) -> DataFrame:
+    """All requests of survey (level 0) and refinement: video_id, place (null in the survey), ts_ms, level, priority, on_keyframe, served_ms, score.
 
-    videos: video_id, duration_ms; frames: video_id, ts_ms, score, by which requests are answered. Gives video_id, place (from 1,
-    best first), ts_ms, level (from 1), priority (the bottleneck), served_ms, score. Ties go to the upper level, then to the
-    earlier interval. An interval narrower than two gaps isn't halved.
+    Survey and halvings are answered in one shuffle of the frames. Only videos of which a survey request failed have other
+    intervals than were laid out: those are laid out and answered again.
     """
-    gap, frames = budget.min_gap_ms, cut(frames.select("video_id", "ts_ms", "score"))
-    room = answers.groupBy("video_id").agg(F.greatest(F.lit(0), F.lit(budget.max_frames) - F.count("*")).alias("room"))
-    start = cut(_intervals(answers, videos).join(room, "video_id"))
-    widest = start.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 0
-    levels = 1 + math.ceil(math.log2(widest / (2 * gap))) if widest >= 2 * gap else 0
-    # open intervals and those that have been halved go through the levels together
-    nodes = start.select("*", F.lit(float("inf")).alias("priority"), F.lit(1).alias("level"), F.lit(None).cast("long").alias("ts_ms"), F.lit(None).cast("long").alias("served_ms"), F.lit(None).cast("double").alias("score"))
-    place = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("priority"), "level", "a"))
-    for _ in range(levels):
-        is_open, width = F.col("ts_ms").isNull(), F.col("b") - F.col("a")
-        rank = round_to(interval_priority(width, F.col("score_a"), F.col("score_b"), F.lit(gap)), 9)
-        wide = nodes.where(~is_open | (width >= 2 * gap)).withColumn("priority", F.when(is_open, F.least("priority", rank)).otherwise(F.col("priority")))
-        kept = wide.withColumn("place", place).where(F.col("place") <= F.col("room")).drop("place")
-        asked = kept.withColumn("fresh", is_open).withColumn("ts_ms", F.coalesce("ts_ms", half_up((F.col("a") + F.col("b")) / 2.0)))
-        done = served(asked.drop("served_ms", "score"), frames)
-        names = ("a", "b", "score_a", "score_b", "level", "ts_ms", "served_ms", "score")
-        node = lambda **own: F.struct(*[own.get(c, F.col(c)).alias(c) for c in names])
-        none = {"ts_ms": F.lit(None).cast("long"), "served_ms": F.lit(None).cast("long"), "score": F.lit(None).cast("double"), "level": F.col("level") + 1}
-        halves = F.array(node(), node(**none, b=F.col("ts_ms"), score_b=F.col("score")), node(**none, a=F.col("ts_ms"), score_a=F.col("score")))
-        nodes = cut(done.select("video_id", "room", "priority", F.explode(F.when(F.col("fresh"), halves).otherwise(F.array(node()))).alias("x")).select("video_id", "room", "priority", "x.*"))
-    ranked = nodes.where("ts_ms IS NOT NULL").withColumn("place", place).where(F.col("place") <= F.col("room"))
-    return ranked.select("video_id", "place", "ts_ms", "level", "priority", "served_ms", "score")
-
-
-def selected(videos: DataFrame, frames: DataFrame, budget: Budget) -> DataFrame:
-    """video_id, ts_ms (asked), level (0: the survey), served_ms, score of all requests of survey and refinement."""
-    answers = cut(served(survey(videos, budget), frames))
-    columns = ("video_id", "ts_ms", "level", "served_ms", "score")
-    return answers.withColumn("level", F.lit(0)).select(*columns).unionByName(refine(videos, answers, frames, budget).select(*columns))
+    asked = survey(videos, budget, keyframes)
+    asked = cut(asked if keyframes is not None else asked.withColumn("on_keyframe", F.lit(False)))
+    edges = _edges(asked.withColumn("score", F.lit(0.0)), videos)
+    laid = halvings(edges, budget, keyframes).unionByName(asked.select("video_id", F.lit(0).alias("level"), "ts_ms", "on_keyframe"), allowMissingColumns=True)
+    answered = cut(served(laid, frames))
+    first, tree = answered.where("level = 0"), answered.where("level > 0")
+    sound = first.where("score IS NOT NULL")
+    edges = cut(_edges(sound, videos))
+    failed = first.where("score IS NULL").select("video_id", "ts_ms")
+    if not failed.isEmpty():
+        of = failed.select("video_id").distinct()
+        again = halvings(edges.join(of, "video_id", "left_semi"), budget, keyframes, failed)
+        tree = tree.join(of, "video_id", "left_anti").unionByName(served(again, frames.join(of, "video_id", "left_semi")))
+    refined = ranked(tree, edges, _room(sound, budget), budget)
+    return first.select("video_id", F.lit(None).cast("int").alias("place"), "ts_ms", "level", F.lit(None).cast("double").alias("priority"), "on_keyframe", "served_ms", "score").unionByName(refined)
 
 
 def request_stats(requests: DataFrame) -> DataFrame:
-    """video_id, surveyed, refined, frames (distinct ones that answered), duplicates (answers that had been given before)."""
-    counted = requests.groupBy("video_id").agg(F.count_if(F.col("level") == 0).alias("surveyed"), F.count_if(F.col("level") > 0).alias("refined"), F.countDistinct("served_ms").alias("frames"))
-    return counted.withColumn("duplicates", F.col("surveyed") + F.col("refined") - F.col("frames"))
+    """video_id, surveyed, refined, failed, frames (distinct ones that answered), duplicates (answers that had been given before)."""
+    sound = F.col("score").isNotNull()
+    counted = requests.groupBy("video_id").agg(
+        F.count_if(F.col("level") == 0).alias("surveyed"),
+        F.count_if(F.col("level") > 0).alias("refined"),
+        F.count_if(~sound).alias("failed"),
+        F.countDistinct(F.when(sound, F.col("served_ms"))).alias("frames"),
+    )
+    return counted.withColumn("duplicates", F.col("surveyed") + F.col("refined") - F.col("failed") - F.col("frames"))

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import EARLY_EXIT_MARGIN, EARLY_EXIT_SINGLE, MERGE_GAP_MS, PAD_MS, TOP_K, VOUCH_RADIUS_MS, Policy
 from tidemark.functions.scoring import clamp01, negative_confidence, positive_confidence, round_to
+from tidemark.operators.buckets import BUCKET, bucketed
 
 
 def coverage(frames: DataFrame, radius: int = VOUCH_RADIUS_MS) -> DataFrame:
-    """video_id, coverage: the share of the video that lies within the radius of a sample, each gap shared by its two ends."""
-    order = Window.partitionBy("video_id").orderBy("ts_ms")
-    ts, before, after = F.col("ts_ms"), F.lag("ts_ms").over(order), F.lead("ts_ms").over(order)
-    reach = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(float(radius)), x))
-    back = reach(F.coalesce((ts - before) / 2.0, ts.cast("double")))
-    ahead = reach(F.coalesce((after - ts) / 2.0, (F.col("duration_ms") - ts).cast("double")))
-    summed = frames.withColumn("_held", back + ahead).groupBy("video_id").agg(F.sum("_held").alias("held"), F.max("duration_ms").alias("d"))
-    return summed.select("video_id", F.when(F.col("d") > 0, clamp01(F.col("held") / F.col("d"))).otherwise(F.lit(0.0)).alias("coverage"))
+    """video_id, coverage: the share of the video that lies within the radius of a sample, each gap shared by its two ends.
+
+    Gaps within a time bucket are summed there, those between buckets over one row per bucket.
+    """
+    ts = F.col("ts_ms")
+    gap = lambda apart: F.when(apart.isNotNull(), F.least(F.lit(2 * radius).cast("long"), apart))
+    inside = gap(ts - F.lag("ts_ms").over(Window.partitionBy("video_id", BUCKET).orderBy("ts_ms")))
+    parts = bucketed(frames).withColumn("_gap", inside).groupBy("video_id", BUCKET)
+    parts = parts.agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"), F.sum("_gap").alias("gaps"), F.max("duration_ms").alias("d"))
+    between = gap(F.col("first") - F.lag("last").over(Window.partitionBy("video_id").orderBy(BUCKET)))
+    whole = parts.withColumn("_between", between).groupBy("video_id")
+    whole = whole.agg((F.coalesce(F.sum("gaps"), F.lit(0)) + F.coalesce(F.sum("_between"), F.lit(0))).alias("gaps"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("d").alias("d"))
+    end = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(float(radius)), x.cast("double")))
+    held = F.col("gaps") + end(F.col("first")) + end(F.col("d") - F.col("last"))
+    return whole.select("video_id", F.when(F.col("d") > 0, clamp01(held / F.col("d"))).otherwise(F.lit(0.0)).alias("coverage"))
 
 
 def independent(times: Column, gap_ms: int) -> Column:
@@ -38,43 +45,42 @@ def independent(times: Column, gap_ms: int) -> Column:
     )
 
 
-def independents(frames: DataFrame, rules: Sequence[tuple[str, float, int]]) -> DataFrame:
-    """video_id, and per rule (name, threshold, gap_ms) how many of the video's flagged frames are evidence of their own.
+class Islands:
+    """Independent evidence under a rule (name, threshold, gap_ms) without gathering the flagged frames.
 
-    The flagged frames of a video stream by in the order of time, and only the last counted time of each rule is held, however
-    many frames there are.
+    A flagged frame at least the gap after the flagged one before it always counts, whatever was counted earlier: it begins an
+    island. Of the others of its island only those at least the gap after its beginning may count, and none of them is within
+    the gap of another island's. So beginnings are counted, and only such late frames are folded, in order: their times are all
+    that is gathered of a video.
     """
-    kind = frames.schema["video_id"].dataType.simpleString()
-    names = [name for name, _, _ in rules]
-    least = min(threshold for _, threshold, _ in rules)
-    rows = frames.where(F.col("score") >= least).select("video_id", F.col("ts_ms").cast("long").alias("ts_ms"), F.col("score").cast("double").alias("score"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, video, counts, anchors, some = [], None, [], [], False
-
-        def out() -> pa.RecordBatch:
-            ids, *each = zip(*done, strict=True)
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, key_type), *(pa.array(c, pa.int64()) for c in each)], ["video_id", *names])
-
-        for batch in batches:
-            key_type = batch.column(0).type
-            for v, t, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not some or v != video:
-                    if some:
-                        done.append((video, *counts))
-                    some, video, counts, anchors = True, v, [0] * len(rules), [None] * len(rules)
-                for k, (_, threshold, gap) in enumerate(rules):
-                    if s >= threshold and (gap <= 0 or anchors[k] is None or t - anchors[k] >= gap):
-                        counts[k], anchors[k] = counts[k] + 1, t
-            if done:
-                yield out()
-        if some:
-            done.append((video, *counts))
-            yield out()
-
-    ordered = rows.repartition(F.col("video_id")).sortWithinPartitions("video_id", "ts_ms")
-    return ordered.mapInArrow(fold, f"video_id {kind}, " + ", ".join(f"`{n}` long" for n in names))
+
+    def __init__(self, name: str, threshold: float, gap_ms: int):
+        self.name, self.gap = name, gap_ms
+        self.flagged = F.col("score") >= threshold
+        self.begins, self.late = f"_begins_{name}", f"_late_{name}"
+
+    @staticmethod
+    def marked(frames: DataFrame, rules: Sequence[Islands]) -> DataFrame:
+        """frames with the marks of all rules; one order by video and time serves all of them."""
+        order, ts = Window.partitionBy("video_id").orderBy("ts_ms"), F.col("ts_ms").cast("long")
+        gapped = [r for r in rules if r.gap > 0]
+        before = {f"_before_{r.name}": F.max(F.when(r.flagged, ts)).over(order.rowsBetween(Window.unboundedPreceding, -1)) for r in gapped}
+        begins = {r.begins: F.when(r.flagged & F.coalesce(ts - F.col(f"_before_{r.name}") >= r.gap, F.lit(True)), ts) for r in gapped}
+        late = {r.late: F.when(r.flagged & (ts - F.max(r.begins).over(order.rowsBetween(Window.unboundedPreceding, 0)) >= r.gap), ts) for r in gapped}
+        return frames.withColumns(before).withColumns(begins).withColumns(late).drop(*before) if gapped else frames
+
+    def count(self) -> Column:
+        """Over the marked frames of a video."""
+        if self.gap <= 0:
+            return F.count_if(self.flagged)
+        return F.count(self.begins) + independent(F.collect_list(self.late), self.gap)
+
+
+def independents(frames: DataFrame, rules: Sequence[tuple[str, float, int]]) -> DataFrame:
+    """video_id, and per rule (name, threshold, gap_ms) how many of the video's flagged frames are evidence of their own."""
+    islands = [Islands(*rule) for rule in rules]
+    some = frames.where(F.col("score") >= min(threshold for _, threshold, _ in rules))
+    return Islands.marked(some, islands).groupBy("video_id").agg(*[i.count().alias(i.name) for i in islands])
 
 
 def top_mean(frames: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -87,19 +93,16 @@ def top_mean(frames: DataFrame, k: int = TOP_K) -> DataFrame:
 def _gathered(frames: DataFrame, policies: Sequence[Policy]) -> DataFrame:
     """One row per video: what verdicts rest on, and per policy the numbers of its flagged and its independent flagged frames.
 
-    Frames meet by video once: the windows and the aggregation share that partitioning, and no frames are gathered.
+    Frames meet by video once: the windows and the aggregation share that partitioning.
     """
     order = Window.partitionBy("video_id").orderBy("ts_ms")
     ts, before, after = F.col("ts_ms"), F.lag("ts_ms").over(order), F.lead("ts_ms").over(order)
     reach = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(float(VOUCH_RADIUS_MS)), x))
     held = reach(F.coalesce((ts - before) / 2.0, ts.cast("double"))) + reach(F.coalesce((after - ts) / 2.0, (F.col("duration_ms") - ts).cast("double")))
     best = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "ts_ms")) <= TOP_K
-    own = []
-    for p in policies:
-        own.append(F.count_if(F.col("score") >= p.frame_threshold).alias(f"_flagged_{p.id}"))
-    counts = independents(frames, [(f"_n_{p.id}", p.frame_threshold, p.gap_ms) for p in policies])
-    rows = (
-        frames.withColumn("_held", held)
+    islands = [Islands(f"_n_{p.id}", p.frame_threshold, p.gap_ms) for p in policies]
+    return (
+        Islands.marked(frames.withColumn("_held", held), islands)
         .withColumn("_best", best)
         .groupBy("video_id")
         .agg(
@@ -108,12 +111,12 @@ def _gathered(frames: DataFrame, policies: Sequence[Policy]) -> DataFrame:
             F.avg(F.when(F.col("_best"), F.col("score"))).alias("topk_mean"),
             F.sum("_held").alias("_held"),
             F.max("duration_ms").alias("_d"),
-            *own,
+            *[F.count_if(F.col("score") >= p.frame_threshold).alias(f"_flagged_{p.id}") for p in policies],
+            *[i.count().alias(i.name) for i in islands],
         )
         .withColumn("coverage", F.when(F.col("_d") > 0, clamp01(F.col("_held") / F.col("_d"))).otherwise(F.lit(0.0)))
         .drop("_held", "_d")
     )
-    return rows.join(counts, "video_id", "left").fillna(0, [f"_n_{p.id}" for p in policies])
 
 
 def evidence(frames: DataFrame, policy: Policy) -> DataFrame:
@@ -159,12 +162,24 @@ def segments(frames: DataFrame, policy: Policy, merge_gap: int = MERGE_GAP_MS, p
 
     Flagged frames at most merge_gap apart are one span, which is padded within the video and not merged again.
     """
-    order = Window.partitionBy("video_id").orderBy("ts_ms")
-    flagged = frames.where(F.col("score") >= policy.frame_threshold)
-    new = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) > merge_gap, F.lit(True))
-    numbered = flagged.withColumn("_new", new.cast("long")).withColumn("segment", F.sum("_new").over(order))
+    flagged = bucketed(frames.where(F.col("score") >= policy.frame_threshold))
+    inside = Window.partitionBy("video_id", BUCKET).orderBy("ts_ms")
+    new = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(inside) > merge_gap, F.lit(True))
+    numbered = flagged.withColumn("_new", new.cast("long")).withColumn("run", F.sum("_new").over(inside))
     peak = F.max(F.struct("score", (-F.col("ts_ms")).alias("t")))
-    spans = numbered.groupBy("video_id", "segment").agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"), F.max("duration_ms").alias("d"), peak.alias("p"))
+    runs = numbered.groupBy("video_id", BUCKET, "run").agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"), F.max("duration_ms").alias("d"), peak.alias("p"))
+    return joined_runs(runs, merge_gap, pad)
+
+
+def joined_runs(runs: DataFrame, merge_gap: int = MERGE_GAP_MS, pad: int = PAD_MS) -> DataFrame:
+    """Segments from runs of flagged frames within time buckets (video_id, first, last, d, p: peak score and -time).
+
+    Of a video only as many rows as it has runs are put in order.
+    """
+    across = Window.partitionBy("video_id").orderBy("first")
+    new = F.coalesce(F.col("first") - F.lag("last").over(across) > merge_gap, F.lit(True))
+    joined = runs.withColumn("_new", new.cast("long")).withColumn("segment", F.sum("_new").over(across))
+    spans = joined.groupBy("video_id", "segment").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("d").alias("d"), F.max("p").alias("p"))
     end = F.col("last") + pad
     return spans.select(
         "video_id",

@@ -36,11 +36,11 @@ def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.segments(sources.frames(spark, sf_dir), BALANCED).withColumn("peak_score", six("peak_score"))
+    return temporal.segments(sources.bucketed_frames(spark, sf_dir), BALANCED).withColumn("peak_score", six("peak_score"))
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.coverage(sources.frames(spark, sf_dir)).withColumn("coverage", six("coverage"))
+    return temporal.coverage(sources.bucketed_frames(spark, sf_dir)).withColumn("coverage", six("coverage"))
 
 
 def independent_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def verdict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def restricted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as a report shows them: times as text, place on the timeline."""
-    rows = temporal.segments(sources.frames(spark, sf_dir), BALANCED).withColumn("d", F.lit(sources.DURATION_MS).cast("double"))
+    rows = temporal.segments(sources.bucketed_frames(spark, sf_dir), BALANCED).withColumn("d", F.lit(sources.DURATION_MS).cast("double"))
     box = formats.timeline_box(F.col("start_ms"), F.col("end_ms"), F.col("d"))
     return rows.select("video_id", "segment", formats.timestamp(F.col("start_ms")).alias("starts"), six(box["left_pct"]).alias("left_pct"), six(box["width_pct"]).alias("width_pct"), formats.percent(F.col("peak_score")).alias("peak"))
 
@@ -135,7 +135,7 @@ def merge_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hit_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How likely a survey of 16 would meet each restricted span."""
-    rows = temporal.segments(sources.frames(spark, sf_dir), BALANCED)
+    rows = temporal.segments(sources.bucketed_frames(spark, sf_dir), BALANCED)
     p = scoring.hit_probability(F.lit(16), (F.col("end_ms") - F.col("start_ms")).cast("double"), F.lit(float(sources.DURATION_MS)))
     return rows.select("video_id", "segment", six(p).alias("probability"))
 
@@ -186,7 +186,7 @@ def survey_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyframe_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sources.frames(spark, sf_dir).select("video_id", "ts_ms")
+    rows = sources.bucketed_frames(spark, sf_dir).select("video_id", "ts_ms")
     return lookups.as_of(rows, sources.keyframes(spark, sf_dir), "video_id", "ts_ms", "kf_ms", "kf_ms")
 
 
@@ -197,7 +197,7 @@ def nearest_keyframe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_mitigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames whose time falls into a restricted span."""
-    rows = sources.frames(spark, sf_dir)
+    rows = sources.bucketed_frames(spark, sf_dir)
     return mitigation.restricted_points(rows.select("video_id", "ts_ms"), temporal.segments(rows, BALANCED))
 
 
@@ -340,15 +340,26 @@ def random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.fetch(survey_plan(spark, sf_dir), samples)
 
 
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.selected(_videos(spark, sf_dir), sources.frames(spark, sf_dir).select("video_id", "ts_ms", "score"), BUDGETS["medium"])
+
+
 def refine_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The requests that follow the survey of every video, best first."""
-    videos, frames, budget = _videos(spark, sf_dir), sources.frames(spark, sf_dir).select("video_id", "ts_ms", "score"), BUDGETS["medium"]
-    made = sampling.refine(videos, sampling.served(sampling.survey(videos, budget), frames), frames, budget)
+    made = _selected(spark, sf_dir).where("level > 0").drop("on_keyframe")
     return made.withColumns({"priority": six("priority"), "score": six("score"), "level": F.col("level").cast("long"), "place": F.col("place").cast("long")})
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.selected(_videos(spark, sf_dir), sources.frames(spark, sf_dir).select("video_id", "ts_ms", "score"), BUDGETS["medium"])
+def snapped_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survey requests on the keyframes (signups) nearest to them, none asked for twice."""
+    return sampling.survey(_videos(spark, sf_dir), BUDGETS["medium"], sources.keyframes(spark, sf_dir))
+
+
+def snapped_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests of every video, on keyframes (signups) where one is near; frames of error events can't be read."""
+    rows = sources.frames(spark, sf_dir).select("video_id", "ts_ms", F.when(F.col("kind") != "error", F.col("score")).alias("score"))
+    made = sampling.selected(_videos(spark, sf_dir), rows, BUDGETS["medium"], sources.keyframes(spark, sf_dir))
+    return made.withColumns({"priority": six("priority"), "score": six("score"), "level": F.col("level").cast("long"), "place": F.col("place").cast("long")})
 
 
 def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,11 +380,17 @@ def streaming_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.run(spark, rows, BALANCED)
 
 
+def streaming_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restricted spans after a stream over the events, whose state is time buckets."""
+    rows = sources.stream(spark, sf_dir).select("video_id", "ts_ms", "score", "arrival", "duration_ms")
+    return progress.segments(rows, BALANCED).withColumn("peak_score", six("peak_score"))
+
+
 def queries() -> dict:
     plain = (
         what_if, segments, coverage, independent_flagged, topk_mean, early_exit, verdict_json, restricted_report, peak_category, merge_detectors, combine_categories, screened_sets, frame_score, dominant_class, softmax,
         detector_scan, merge_crops, hit_probability, frame_rate, report, dhash, near_dup_banded, perceptual_dedupe, first_delivered, survey_plan, survey_lookup, keyframe_asof, nearest_keyframe, range_mitigation, player_state, timer_histogram, throughput, counters,
-        long_tasks, timeline_axis, luma_means, model_fitness, latest_progress, tier_budget, capabilities, governor, resolution_floor, source_decision, url_validation, median_gap, random_access, refine_plan, scan_stats, selected_verdict, streaming_verdict,
+        long_tasks, timeline_axis, luma_means, model_fitness, latest_progress, tier_budget, capabilities, governor, resolution_floor, source_decision, url_validation, median_gap, random_access, refine_plan, snapped_survey, snapped_refinement, scan_stats, selected_verdict, streaming_verdict, streaming_segments,
     )
     return {f"scan_verdict_{p}": partial(scan_verdict, p) for p in POLICIES} | {f.__name__: f for f in plain}
 

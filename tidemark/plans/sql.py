@@ -160,6 +160,55 @@ def chosen(levels: int = 8) -> str:
     return "WITH " + ", ".join(parts)
 
 
+#: The keyframe that a request at x, within `far` of it, goes to: the nearest free one of those around it, in the list kfs.
+AROUND = """list_sort(list_transform(list_filter(kfs[greatest(1, least(len(kfs), len(list_filter(kfs, lambda k: k < {x})) + 1) - 1):least(len(kfs), len(list_filter(kfs, lambda k: k < {x})) + 1) + 1],
+      lambda k: abs(k - {x}) <= {far} AND NOT list_contains({taken}, k)), lambda k: {{'d': abs(k - {x}), 'k': k}}))[1].k"""
+
+
+def snapped_survey() -> str:
+    """deliveries, sized, keyframes, key_lists, asked (video_id, slot, ts_ms, on_keyframe)."""
+    got = AROUND.format(x="centre", far="w / 2", taken="taken")
+    return f"""{FRAMES.replace(", frames AS (", ", all_frames AS (")}, {KEYFRAMES}, key_lists AS (SELECT video_id, list(kf_ms ORDER BY kf_ms) AS kfs FROM keyframes GROUP BY 1),
+      sized AS (SELECT video_id, max(ts_ms) + 1 AS d, least(16, greatest(1, (max(ts_ms) + 1) // 250)) AS n FROM deliveries GROUP BY 1),
+      slots AS (SELECT s.video_id, slot, (slot + 0.5::DOUBLE) * (d / n::DOUBLE) AS centre, d / n::DOUBLE AS w, coalesce(kfs, []) AS kfs FROM sized s, unnest(range(n)) AS u(slot), (SELECT 1) LEFT JOIN key_lists k ON k.video_id = s.video_id),
+      walk(video_id, slot, ts_ms, own, taken) AS (
+        SELECT DISTINCT video_id, CAST(-1 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]) FROM slots
+        UNION ALL
+        SELECT video_id, slot, t, own, list_append(taken, t) FROM (SELECT s.video_id, s.slot, taken, CAST(floor(centre + 0.5::DOUBLE) AS BIGINT) AS own, coalesce({got}, CAST(floor(centre + 0.5::DOUBLE) AS BIGINT)) AS t
+          FROM walk JOIN slots s ON s.video_id = walk.video_id AND s.slot = walk.slot + 1)),
+      asked AS (SELECT video_id, min(slot) AS slot, ts_ms, arg_min(ts_ms <> own, slot) AS on_keyframe FROM walk WHERE slot >= 0 GROUP BY video_id, ts_ms)"""
+
+
+def snapped_refinement(levels: int = 18) -> str:
+    """Survey and refinement on keyframes; frames of error events have no score. One level of halves after the other, all of them kept."""
+    rank = "floor((0.15::DOUBLE + greatest(sa, sb)) * log2(1 + (b - a) / 250::DOUBLE) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE"
+    lookup = lambda x, at: f"{x} ASOF LEFT JOIN seen f ON x.video_id = f.video_id AND x.{at} >= f.ts_ms LEFT JOIN firsts g ON x.video_id = g.video_id"
+    own = "CAST(floor((a + b) / 2.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
+    parts = [
+        snapped_survey(),
+        "seen AS (SELECT video_id, ts_ms, CASE WHEN kind <> 'error' THEN score END AS score FROM all_frames)",
+        "firsts AS (SELECT video_id, min(ts_ms) AS first_ms, arg_min({'s': score}, ts_ms).s AS first_score FROM seen GROUP BY 1)",
+        f"answers AS (SELECT x.video_id, x.ts_ms, x.on_keyframe, coalesce(f.ts_ms, g.first_ms) AS served_ms, CASE WHEN f.ts_ms IS NULL THEN g.first_score ELSE f.score END AS score FROM {lookup('asked x', 'ts_ms')})",
+        "room AS (SELECT video_id, greatest(0, 120 - count(*)) AS room FROM answers WHERE score IS NOT NULL GROUP BY 1)",
+        "failed AS (SELECT video_id, list(ts_ms) AS lost FROM answers WHERE score IS NULL GROUP BY 1)",
+        "near AS (SELECT *, lag(ts_ms) OVER w AS before, lag(score) OVER w AS before_score, lead(ts_ms) OVER w IS NULL AS ends FROM answers WHERE score IS NOT NULL WINDOW w AS (PARTITION BY video_id ORDER BY ts_ms))",
+        """open1 AS (SELECT video_id, coalesce(before, 0) AS a, ts_ms AS b, coalesce(before_score, score) AS sa, score AS sb, CAST('Infinity' AS DOUBLE) AS q FROM near
+          UNION ALL SELECT n.video_id, n.ts_ms, s.d, n.score, n.score, CAST('Infinity' AS DOUBLE) FROM near n JOIN sized s ON n.video_id = s.video_id WHERE ends)""",
+    ]
+    got = AROUND.format(x="((a + b) / 2.0::DOUBLE)", far="(b - a) / 4.0::DOUBLE", taken="lost")
+    for k in range(1, levels + 1):
+        parts += [
+            f"next{k} AS MATERIALIZED (SELECT o.video_id, a, b, sa, sb, least(q, {rank}) AS q, {k} AS level, {own} AS own, coalesce({got}, {own}) AS mid, lost FROM (SELECT o.*, coalesce(kfs, []) AS kfs, coalesce(lost, []) AS lost FROM open{k} o LEFT JOIN key_lists USING (video_id) LEFT JOIN failed USING (video_id) WHERE b - a >= 500) o)",
+            f"asked{k} AS MATERIALIZED (SELECT x.video_id, a, b, sa, sb, q, level, mid, mid <> own AS on_keyframe, coalesce(f.ts_ms, g.first_ms) AS served_ms, CASE WHEN f.ts_ms IS NULL THEN g.first_score ELSE f.score END AS score FROM {lookup(f'(SELECT * FROM next{k} WHERE NOT list_contains(lost, mid)) x', 'mid')})",
+            f"open{k + 1} AS MATERIALIZED (SELECT video_id, a, mid AS b, sa, coalesce(score, sa) AS sb, q FROM asked{k} UNION ALL SELECT video_id, mid, b, coalesce(score, sb), sb, q FROM asked{k})",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM asked{k}" for k in range(1, levels + 1))
+    parts.append(f"""best AS (SELECT *, row_number() OVER w AS place, coalesce(sum((score IS NOT NULL)::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS recorded FROM ({every}) WINDOW w AS (PARTITION BY video_id ORDER BY q DESC, level, a))""")
+    return f"""WITH RECURSIVE {', '.join(parts)}
+      SELECT video_id, CAST(NULL AS BIGINT) AS place, ts_ms, 0 AS level, CAST(NULL AS DOUBLE) AS priority, on_keyframe, served_ms, {six('score')} AS score FROM answers
+      UNION ALL SELECT video_id, place, mid, level, {six('q')}, on_keyframe, served_ms, {six('score')} FROM best JOIN room USING (video_id) WHERE recorded < room"""
+
+
 def all_queries() -> dict[str, str]:
     p = POLICIES[DEFAULT_POLICY]
     plan = PLAN
@@ -273,7 +322,9 @@ def all_queries() -> dict[str, str]:
           q AS (SELECT p.video_id, p.slot, p.ts_ms, coalesce(f.ts_ms, (SELECT min(g.ts_ms) FROM g WHERE g.video_id = p.video_id)) AS sample_ms FROM plan p ASOF LEFT JOIN frames f ON p.video_id = f.video_id AND p.ts_ms >= f.ts_ms)
           SELECT q.video_id, q.slot, q.ts_ms, g.served_ms, g.on_keyframe FROM q JOIN g ON q.video_id = g.video_id AND q.sample_ms = g.ts_ms""",
         "refine_plan": f"""{chosen()} SELECT video_id, place, mid AS ts_ms, level, {six("q")} AS priority, served_ms, {six("score")} AS score FROM refined""",
-        "scan_stats": f"""{chosen()}, c AS (SELECT video_id, count(*) FILTER (level = 0) AS surveyed, count(*) FILTER (level > 0) AS refined, count(DISTINCT served_ms) AS frames FROM requests GROUP BY 1)
+        "snapped_survey": f"WITH RECURSIVE {snapped_survey()} SELECT video_id, slot, ts_ms, on_keyframe FROM asked",
+        "snapped_refinement": snapped_refinement(),
+        "scan_stats": f"""{chosen()}, c AS (SELECT video_id, count(*) FILTER (level = 0) AS surveyed, count(*) FILTER (level > 0) AS refined, count(*) FILTER (score IS NULL) AS failed, count(DISTINCT served_ms) AS frames FROM requests GROUP BY 1)
           SELECT *, surveyed + refined - frames AS duplicates FROM c""",
         "selected_verdict": f"""{judged(p).replace(FRAMES, chosen().removeprefix("WITH ") + ", frames AS (SELECT DISTINCT video_id, served_ms AS ts_ms, score, CAST(259200 AS BIGINT) AS duration_ms FROM requests)")}
           SELECT video_id, n_frames, {six("max_score")} AS max_score, {six("coverage")} AS coverage, contains_inappropriate_content, confidence FROM judged""",
@@ -287,6 +338,7 @@ def all_queries() -> dict[str, str]:
             FROM (SELECT r.video_id, r.n, r.h, r.score AS own, r.arrival, held, kept, list_transform(held, lambda x: bit_count(xor(x, r.h))) AS gaps, h <> 0 AND coalesce(list_min(list_transform(held, lambda x: bit_count(xor(x, r.h)))) <= 12, FALSE) AS hit
                   FROM fold JOIN rows r ON r.video_id = fold.video_id AND r.n = fold.n + 1))
           SELECT video_id, arrival, score, inherited FROM fold WHERE n > 0""",
+        "streaming_segments": f"{spans(p)} SELECT video_id, segment, start_ms, end_ms, {six('peak_score')} AS peak_score, peak_ts_ms FROM spans",
         "streaming_verdict": f"{judged(p)} SELECT video_id, n_frames, contains_inappropriate_content, confidence FROM judged",
     }
     return made

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, scoring
+from tidemark.operators import buckets
 
 DURATION_MS = 259_200
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -46,6 +47,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_delivered(deliveries(spark, sf_dir).repartition(F.col("video_id")))
 
 
+def bucketed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with their time bucket, dealt by video and bucket: for what takes a video's frames in two levels."""
+    rows = buckets.bucketed(deliveries(spark, sf_dir)).repartition(F.col("video_id"), F.col(buckets.BUCKET))
+    return first_delivered(rows, ("video_id", buckets.BUCKET, "ts_ms"))
+
+
 def stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
     """deliveries as a stream; files_per_trigger holds the source back to so many files per micro-batch."""
     reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)

@@ -1,9 +1,11 @@
 """Progressively refined verdicts over a stream of frame deliveries.
 
 Frames of a video arrive in any order and none is ever late, so there is no watermark: the state of a video is its
-frames, bounded by the frame budget, and every trigger publishes the verdicts of the videos that changed (update mode).
+timeline (`timeline`), of which a trigger reads and writes the time buckets that its frames fall into and the few nodes
+above them. Nothing bounds a timeline but the frames that a source delivers; each of them is held once. Every trigger publishes
+the verdicts of the videos that changed (update mode).
 Micro-batches are written under their number to a folder that all executors share; a later one replaces an earlier one
-of the same video, so a batch that is written again after a failure changes nothing.
+of the same video, so a batch that is written again after a failure changes nothing. Needs the RocksDB state store.
 """
 
 from __future__ import annotations
@@ -11,48 +13,38 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.constants import TOP_K, VOUCH_RADIUS_MS, Policy
-from tidemark.functions.scoring import clamp01
+from tidemark.constants import MERGE_GAP_MS, PAD_MS, Policy
+from tidemark.operators.buckets import BUCKET, bucketed
 from tidemark.operators.metrics import latest
-from tidemark.operators.temporal import confidence, independent, positive, verdict_json
+from tidemark.operators.temporal import confidence, joined_runs, positive, verdict_json, verdicts
 from tidemark.shared import shared_folder
+from tidemark.sources.frames import first_delivered
 from tidemark.sources.sinks import event
+from tidemark.streaming.cache import with_state_store
+from tidemark.streaming.timeline import RunsProcessor, VerdictProcessor
 
+DELIVERY = ("ts_ms", "arrival", "score", "duration_ms")
 
-def held_ms(times: Column, duration: Column, radius: int = VOUCH_RADIUS_MS) -> Column:
-    """How much of the video sorted sample times vouch for."""
-    reach = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(float(radius)), x.cast("double")))
-    last = F.size(times) - 1
 
-    def one(t: Column, k: Column) -> Column:
-        back = F.when(k == 0, reach(t)).otherwise(reach((t - F.get(times, k - 1)) / 2.0))
-        ahead = F.when(k == last, reach(duration - t)).otherwise(reach((F.get(times, k + 1) - t) / 2.0))
-        return back + ahead
-
-    return F.aggregate(F.transform(times, one), F.lit(0.0), lambda a, x: a + x)
+def _keyed(deliveries: DataFrame, *keys: str) -> tuple[DataFrame, str]:
+    """What the processors take, and how the keys are declared in what they give."""
+    kinds = {"ts_ms": "long", "arrival": "long", "score": "double", "duration_ms": "long"}
+    rows = deliveries.select(*keys, *[F.col(c).cast(kinds[c]).alias(c) for c in DELIVERY])
+    return rows, ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
 
 def snapshots(deliveries: DataFrame, policy: Policy) -> DataFrame:
-    """video_id, n_frames, verdict and confidence from deliveries; works on streams and tables alike."""
-    row = F.struct("ts_ms", "arrival", "score")
-    state = deliveries.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("duration_ms").alias("d"))
-    # of the deliveries of one time the first to arrive counts; they stand side by side
-    first = F.filter("rows", lambda x, k: (k == 0) | (x["ts_ms"] != F.get(F.col("rows"), k - 1)["ts_ms"]))
-    frames = state.withColumn("frames", first).withColumn("times", F.transform("frames", lambda x: x["ts_ms"]))
-    times, scores = F.col("times"), F.transform("frames", lambda x: x["score"])
-    best = F.slice(F.reverse(F.array_sort(scores)), 1, TOP_K)
-    flagged = F.transform(F.filter("frames", lambda x: x["score"] >= policy.frame_threshold), lambda x: x["ts_ms"])
-    judged = (
-        frames.withColumn("n_frames", F.size("frames").cast("long"))
-        .withColumn("max_score", F.array_max(scores))
-        .withColumn("topk_mean", F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best))
-        .withColumn("independent", independent(flagged, policy.gap_ms))
-        .withColumn("coverage", F.when(F.col("d") > 0, clamp01(held_ms(times, F.col("d")) / F.col("d"))).otherwise(F.lit(0.0)))
-    )
-    return judged.select("video_id", "n_frames", positive(policy).alias("contains_inappropriate_content"), confidence(policy).alias("confidence"))
+    """video_id, n_frames, verdict and confidence from deliveries: of a stream by its state, of a table by the batch operators."""
+    if deliveries.isStreaming:
+        rows, key = _keyed(deliveries, "video_id")
+        found = rows.groupBy("video_id").transformWithState(VerdictProcessor(policy), f"{key}, {VerdictProcessor.OUT}", "Update", "None")
+        found = found.withColumn("contains_inappropriate_content", positive(policy)).withColumn("confidence", confidence(policy))
+    else:
+        found = verdicts(first_delivered(deliveries), policy)
+    return found.select("video_id", "n_frames", "contains_inappropriate_content", "confidence")
 
 
 def start(stream: DataFrame, policy: Policy, folder: str, every: str | None = None):
@@ -67,6 +59,7 @@ def start(stream: DataFrame, policy: Policy, folder: str, every: str | None = No
         told = stored.select("video_id", event("progress", phase=F.lit("survey"), result=verdict_json(stored)).alias("event"))
         told.select(F.lit(number).cast("long").alias("batch"), "video_id", "event.*").write.mode("overwrite").parquet(f"{folder}/events/part={number:09d}")
 
+    with_state_store(stream.sparkSession)
     writer = snapshots(stream, policy).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(publish)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
@@ -102,6 +95,37 @@ def run(spark: SparkSession, stream: DataFrame, policy: Policy, folder: str | No
     return published(spark, folder)
 
 
+def flagged_runs(deliveries: DataFrame, policy: Policy, merge_gap: int = MERGE_GAP_MS) -> DataFrame:
+    """video_id, bucket, runs: the runs of flagged frames of every time bucket that changed, from a stream in any order, without a watermark.
+
+    The state is a bucket's frames. A late frame joins runs of its bucket here, and spans across buckets where they are read.
+    """
+    rows, keys = _keyed(bucketed(deliveries), "video_id", BUCKET)
+    return rows.groupBy("video_id", BUCKET).transformWithState(RunsProcessor(policy.frame_threshold, merge_gap), f"{keys}, {RunsProcessor.OUT}", "Update", "None")
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """Drain a stream in update mode to folder, a table per micro-batch; all its rows, with the number of their batch."""
+    with_state_store(stream.sparkSession)
+    publish = lambda rows, number: rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/published/number={number}")
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(publish).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(f"{_ddl(stream)}, batch int").parquet(f"{folder}/published/number=*")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def segments(stream: DataFrame, policy: Policy, folder: str | None = None, merge_gap: int = MERGE_GAP_MS, pad: int = PAD_MS) -> DataFrame:
+    """The restricted spans of a drained stream: what `temporal.segments` gives for its first deliveries."""
+    folder = folder or f"{shared_folder(stream.sparkSession)}/spans-{uuid.uuid4().hex}"
+    published = drained(flagged_runs(stream, policy, merge_gap), folder)
+    last = published.groupBy("video_id", BUCKET).agg(F.max_by("runs", "batch").alias("runs"))
+    runs = last.select("video_id", F.inline("runs")).select("video_id", "first", "last", "d", F.struct(F.col("peak_score").alias("score"), (-F.col("peak_ts_ms")).alias("t")).alias("p"))
+    return joined_runs(runs, merge_gap, pad)
+
+
 def observed(frames: DataFrame, name: str = "frames") -> tuple[DataFrame, Observation]:
     """frames with run metrics that cost no pass of their own: rows, flagged share and highest score once an action has run."""
     seen = Observation(name)
