@@ -91,3 +91,18 @@ def test_fast_encoder_agrees(text):
 
     want = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
     assert packing.encoder(tokenizer_path(), 0)([text])[0].tolist() == [*want, 0]
+
+
+def test_long_white_space_has_the_librarys_ids(spark):
+    from tokenizers import Tokenizer
+
+    library, encode = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path(), 0)
+    runs = [" " * 2_000_000, "\n" * 2_000_000, "\t \r\n\x0b" * 100_000, "\u2003" * 30_000]
+    texts = [*runs, f"a{runs[1]}b", f"end {runs[0]}", "x" * 12_000, " " * packing.RUN, "a" + " " * (packing.RUN + 1)]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+    near = [" " * k + "a" for k in (1, 2, 3, 50, packing.RUN - 1)] + ["a\n \n" + " " * 7 + "<|endoftext|> " + "\n" * 9]
+    for text, ids in zip(near, encode(near), strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+    rows = packing.pack(documents(spark, ["a", f"a{runs[1]}b"]), tokenizer_path()).toPandas()
+    check(rows, ["a", f"a{runs[1]}b"])
