@@ -166,3 +166,23 @@ def test_edges(spark):
     r = hmm_lm.score(documents(spark, ["a b", "a b"], [held, held])).collect()
     assert len(r) == 2 and r[0].n_known == 0 and r[0].train_tokens == 0 and r[0].score <= 0
     assert hmm_lm.score(documents(spark, ["a b"], [None])).first().held_out is True
+
+
+@pytest.mark.parametrize("size", [300, 2500])
+def test_texts_of_any_length_train(spark, size):
+    """Halves of texts use different words: a state for each half explains them better than one distribution."""
+    rng = np.random.default_rng(size)
+    texts = [" ".join(f"{side}{w}" for side in "ab" for w in rng.integers(0, 50, size // 2)) for _ in range(60)]
+    rows = hmm_lm.score(documents(spark, texts)).toPandas()
+    assert (rows["score"] / rows["n_tokens"] - rows["base_score"] / rows["n_tokens"]).min() > 0.2
+
+
+def test_the_sample_follows_the_texts_only(spark):
+    texts = [np.arange(k, k + 3000, dtype="<i4").tobytes() for k in range(40)] + [b"\x01\0\0\0"] * 300
+    table = spark.createDataFrame([(t,) for t in texts], "seq binary")
+    made = [hmm_lm.stretches(table.repartition(n), 20_000, 500) for n in (1, 3, 7)]
+    assert made[0] == made[1] == made[2] and len(made[0]) == len(set(made[0]))
+    assert all(len(s) <= 2000 for s in made[0])
+    copies = spark.createDataFrame([(texts[-1],)] * 100, "seq binary")
+    assert hmm_lm.stretches(copies, 1, 500) == [texts[-1]]
+    assert hmm_lm.stretches(table.where("false")) == []

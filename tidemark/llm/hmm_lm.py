@@ -8,8 +8,8 @@ hashed classes, whose number grows with the square root of the vocabulary; the e
     Z(class) = sum over its training words of (c + 0.1), plus, in a hashed class, 0.1 for all words that were never seen
 
 so the model is a proper distribution over texts whatever the size of the vocabulary. Training: texts are written once as
-classes. Some texts, SEED_TOKENS tokens of them, only say where to begin: the states of a first model are clusters of them.
-All counts of the final model come from all training texts, by Baum-Welch passes over whole texts. The counts of a pass are
+classes. Stretches of some texts, SEED_TOKENS tokens in all, only say where to begin: the states of a first model are clusters
+of them. All counts of the final model come from all training texts, by Baum-Welch passes over whole texts. The counts of a pass are
 summed up per partition, and those of the partitions by Spark. Scoring runs the scaled forward recursion over every whole text.
 
 Word counts may be a table of any size. Words that make up more than one part in HEAD of all tokens, which are fewer
@@ -37,8 +37,8 @@ from tidemark.llm import hmm
 from tidemark.llm.shared import cut, utf8
 from tidemark.llm.words import Words, chunks
 
-STATES, PASSES = 16, 2
-#: Tokens of the texts that say where to begin (expected number), and of one such text at most.
+STATES, PASSES = 16, 3
+#: Tokens of the stretches of texts that say where to begin, about, and of one stretch at most.
 SEED_TOKENS, SEED_TEXT = 400_000, 2_000
 HEAD, OWN = 1_000_000, 1 << 16
 #: Hashed classes per square root of the number of words, and at least.
@@ -157,11 +157,28 @@ def _pass(seqs: DataFrame, model: hmm.Model) -> hmm.Counts:
     return hmm.Counts(whole[-1], whole[classes:-1], whole[:classes])
 
 
-def train(seqs: DataFrame, tokens: int, shares: np.ndarray, states: int = STATES, passes: int = PASSES, seed: int = 3) -> hmm.Model:
-    """seqs (checkpointed seq) of all training texts, with so many tokens -> the model. shares: of each class in them."""
-    part = F.lit(min(1.0, SEED_TOKENS / max(tokens, 1)) * 1_000_003)
-    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_003)) < part
-    sample = [bytes(r.seq) for r in seqs.where(drawn & (F.octet_length("seq") <= 4 * SEED_TEXT)).select("seq").collect()]
+def stretches(seqs: DataFrame, most_tokens: int = SEED_TOKENS, longest: int = SEED_TEXT) -> list[bytes]:
+    """Classes of about most_tokens tokens: from each text that a hash of it draws, a stretch of at most `longest`, which begins where the hash says.
+
+    Equal texts are one, and the draw doesn't depend on where texts lie. There is always one if there is a text.
+    """
+    size, h = (F.octet_length("seq") / 4).cast("long"), F.xxhash64("seq")
+    begins = F.pmod(F.xxhash64("seq", F.lit("begins")), F.greatest(F.lit(1).cast("long"), size - longest + 1))
+    cut_out = F.substring("seq", (4 * begins + 1).cast("int"), F.lit(4 * longest))
+    texts, tokens = seqs.agg(F.count("*"), F.sum(F.least(size, F.lit(longest)))).first()
+    if not texts:
+        return []
+    many = max(1, math.ceil(texts * most_tokens / tokens))
+    part = min(1.0, 2 * many / texts + 64 / texts)  # twice as many, so that the limit is met, but not all
+    every = seqs.select(h.alias("h"), cut_out.alias("stretch"))
+    drawn = every.where(F.pmod("h", F.lit(1_000_003)) < F.lit(math.ceil(part * 1_000_003)))
+    found = drawn.distinct().orderBy("h", "stretch").limit(many).collect() or every.orderBy("h", "stretch").limit(1).collect()
+    return [bytes(r.stretch) for r in found]
+
+
+def train(seqs: DataFrame, shares: np.ndarray, states: int = STATES, passes: int = PASSES, seed: int = 3) -> hmm.Model:
+    """seqs (checkpointed seq) of all training texts -> the model. shares: of each class in them."""
+    sample = stretches(seqs)
     if not sample:
         return hmm.Counts.zero(states, len(shares)).model(shares)
     classes, starts = _together(sample)
@@ -193,7 +210,7 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts
     shares = mass / mass.sum()
     vocabulary = spark.sparkContext.broadcast((words, own, tail))
     seqs = cut(as_classes(texts, vocabulary))
-    model = train(seqs, total, shares, states, passes)
+    model = train(seqs, shares, states, passes)
     log_mass = np.log10(mass)
     log_mass[-1] = 0.0
     floor = np.log10(total + ADD * (distinct + 1))
