@@ -149,3 +149,34 @@ def test_densities_sums_core_and_threshold_by_direct_formulas(seed):
         k = page.parents[k]
         path.append(each[k])
     assert got.threshold(core, body) == pytest.approx(min(path))
+
+
+PARAGRAPHS = [f"Paragraph {k} tells at some length, and in whole sentences, what this page is about; it has no links in it." for k in range(4)]
+STORY = "<h1>The headline</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+TOLD = " ".join(["The headline", *PARAGRAPHS])
+MENU = '<nav><a href="/">Home</a></nav><div class="menu"><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></div>'
+TALK = '<div class="comments"><h3>Comments</h3>' + "".join(f"<p>Reader {k} disagrees with that, and says so in many words, as readers do.</p>" for k in range(9)) + "</div>"
+
+
+@pytest.mark.parametrize("around", ['<div class="no-comments">', '<div class="post open-comments">', '<div id="respond">', '<div class="comments-enabled">', '<section class="content with-replies">', "<aside>", '<div role="complementary">', '<div role="dialog" class="page">'])
+@pytest.mark.parametrize("inner", [STORY, f"<article>{STORY}</article>", f"<main><article>{STORY}</article></main>", STORY.replace("h1", "p")])
+@pytest.mark.parametrize("talk", ["", TALK])
+def test_a_wrapper_is_no_cut_whatever_its_name(around, inner, talk):
+    if talk and "<h1>" not in inner:
+        inner = f"<article>{inner}</article>"
+    tag = around[1:].split(" ")[0].rstrip(">")
+    assert html_text.main_text(f"<html><body>{MENU}{around}{inner}{talk}</{tag}><footer>Imprint</footer></body></html>") == TOLD
+    assert html_text.main_text(f"<html><body>{MENU}<div>{around}{inner}</{tag}></div>{talk}<footer>Imprint</footer></body></html>") == TOLD
+
+
+@pytest.mark.parametrize("word", sorted(html_text.CUT_WORDS | html_text.COMMENT_WORDS))
+def test_no_word_in_a_wrappers_class_empties_the_page(word):
+    assert html_text.main_text(f'<html><body>{MENU}<div class="has-{word}">{STORY}</div></body></html>') == TOLD
+
+
+@pytest.mark.parametrize("times", [1, 5, 40])
+@pytest.mark.parametrize("each", ["<p>{}</p>", '<article class="comment"><p>{}</p></article>', "<li>{}</li>"])
+def test_comment_sections_are_cut_however_long(times, each):
+    talk = "".join(each.format(f"Reader {k} disagrees with all of that, and says so in very many words, as readers always do.") for k in range(9 * times))
+    for page in (f"{STORY}<div id='comments'>{talk}</div>", f"<article>{STORY}</article><section class='comment-list'>{talk}</section>", f"<div>{STORY}</div><div class='replies'>{talk}</div>"):
+        assert html_text.main_text(f"<html><body>{MENU}{page}</body></html>") == TOLD

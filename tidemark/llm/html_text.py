@@ -1,8 +1,9 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree by a forgiving tokeniser (implied end tags, unclosed elements, raw text, comments). Subtrees that
-are never article text are cut: raw elements, navigation, footers, asides, hidden ones, comment sections. Others are cut
-weakly, by forms or by words in their class or id. For every node left, with C characters, T tags, LC characters and LT
+are never article text are cut: raw elements, navigation, footers, hidden ones. Others are cut
+weakly, by forms or by words in their class or id. Asides, some roles and words of comment sections cut strongly: only an element that holds
+the page's text (most of it, its densest part, and its headline or article) is spared. For every node left, with C characters, T tags, LC characters and LT
 tags inside links, and the body's own C_b and LC_b, the composite density is
 
     C / T * log(C / LC * T / LT) to the base ln(C / (C - LC) * LC + LC_b / C_b * C + e)
@@ -68,30 +69,31 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SINGLE = INLINE | set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr".split())
 #: Text blocks that make a weakly cut element look like an article.
 BLOCKS = 3
-NO, WEAK, FIRM = 0, 1, 2
+#: How much less text than a strongly cut element holds may lie outside, for it to be the page's text.
+OUTSIDE = 0.1
+NO, WEAK, STRONG, FIRM = 0, 1, 2, 3
 
 
 def cut_kind(tag: str, attributes: str, in_article: bool) -> int:
-    """Whether an element can't hold article text: NO, WEAK (unless density says so) or FIRM."""
+    """Whether an element can't hold article text: NO, WEAK (unless density says so), STRONG (unless it holds the page's text) or FIRM."""
     if tag in CUT_TAGS:
-        return FIRM
+        return STRONG if tag == "aside" else FIRM
     weak = tag == "form" or (tag == "header" and not in_article)
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
         return WEAK if weak else NO
-    words: set[str] = set()
+    words, strong = set(), False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return FIRM
         if name == "role":
-            if value.lower() in CUT_ROLES:
-                return FIRM
+            strong = strong or value.lower() in CUT_ROLES
             weak = weak or value.lower() in WEAK_ROLES
         if name in ("class", "id"):
             words.update(w.lower() for w in WORDS.findall(value))
     found = words & CUT_WORDS
-    if found & COMMENT_WORDS:
-        return FIRM
+    if strong or found & COMMENT_WORDS:
+        return STRONG
     weak = weak or ("header" in words and not in_article and not words & KEEP_WORDS)
     weak = weak or (bool(found) and (not words & KEEP_WORDS or bool(found & CUT_ANYWAY)))
     return WEAK if weak else NO
@@ -103,6 +105,7 @@ class Page:
     def __init__(self, source: str):
         self.tags, self.parents, self.kinds = ["#root"], [0], [NO]
         self.texts: list[tuple[int, str]] = []  # "" marks the edge of a block
+        self.talk: set[int] = set()  # articles that are comments by their name
         stack, in_article = [0], 0
         at, size = 0, len(source)
         tags, texts = self.tags, self.texts
@@ -155,6 +158,8 @@ class Page:
             tags.append(tag)
             self.parents.append(stack[-1])
             self.kinds.append(cut_kind(tag, attributes, in_article > 0))
+            if tag == "article" and not COMMENT_WORDS.isdisjoint(w.lower() for w in WORDS.findall(attributes)):
+                self.talk.add(node)
             if tag not in INLINE:
                 texts.append((node, ""))
             if tag in RAW:
@@ -167,7 +172,50 @@ class Page:
         if at < size:
             texts.append((stack[-1], source[at:]))
 
+    def _settle(self) -> None:
+        """Strongly cut elements that hold the page's text are no cuts, the others are firm ones.
+
+        One holds it if it has more text than lies outside of all of them, the densest part too, and besides the page's h1, or an <article> or
+        <main> of most of its text, or hardly any text and no h1 is outside. That tells a wrapper ("no-comments") from a comment section of any length.
+        """
+        strong = [k for k, kind in enumerate(self.kinds) if kind == STRONG]
+        if not strong:
+            return
+        tags, parents, n = self.tags, self.parents, len(self.tags)
+        cut, linked, inside, chars, heads, widest, rest = [False] * n, [False] * n, [False] * n, [0] * n, [0] * n, [0] * n, 0
+        for k in range(1, n):
+            cut[k] = cut[parents[k]] or self.kinds[k] == FIRM
+            linked[k] = linked[parents[k]] or tags[k] == "a"
+            inside[k] = inside[parents[k]] or self.kinds[k] == STRONG
+        for node, t in self.texts:
+            if t and not cut[node] and not linked[node]:
+                size = len("".join(t.split()))
+                chars[node] += size
+                rest += 0 if inside[node] else size
+        for k in range(n - 1, 0, -1):
+            if cut[k]:
+                continue
+            if tags[k] == "h1" and chars[k]:
+                heads[k] += 1
+            elif tags[k] == "main" or (tags[k] == "article" and k not in self.talk):
+                widest[k] = max(widest[k], chars[k])
+            up = parents[k]
+            chars[up], heads[up], widest[up] = chars[up] + chars[k], heads[up] + heads[k], max(widest[up], widest[k])
+        large = [k for k in strong if not cut[k] and chars[k] > rest]
+        held = {k for k in large if heads[k] or 2 * widest[k] > chars[k] or (not heads[0] and chars[0] - chars[k] <= OUTSIDE * chars[k])}
+        if held:
+            for k in strong:
+                self.kinds[k] = NO if k in held else FIRM
+            up, around = self.densities(self._cut(None)).core(), set()
+            while up:
+                around.add(up)
+                up = parents[up]
+            held &= around
+        for k in strong:
+            self.kinds[k] = NO if k in held else FIRM
+
     def text(self) -> str:
+        self._settle()
         wanted = self._wanted()
         parts = [(html.unescape(t) if "&" in t else t) if t else " " for node, t in self.texts if wanted[node]]
         return " ".join("".join(parts).split())
