@@ -2,10 +2,9 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.constants import BUDGETS, Budget
-from tidemark.operators import lookups, metrics, sampling
+from tidemark.operators import lookups, sampling
 
 MEDIUM = BUDGETS["medium"]
 
@@ -89,14 +88,6 @@ def test_random_access(spark):
     }
 
 
-def test_scan_log_metrics(spark):
-    log = [(1, True, "inferred", False), (1, False, "inherited", True), (1, False, "failed", False), (1, False, "inferred", False)]
-    rows = spark.createDataFrame(log, "scan_id long, survey boolean, status string, duplicate boolean")
-    r = metrics.scan_stats(rows).first()
-    assert (r.sampled, r.inferred, r.deduped, r.failed, r.duplicates) == (2, 2, 1, 1, 1)
-    assert metrics.scan_stats(rows.where(F.lit(False))).count() == 0
-
-
 def sampled(duration, budget, keys, frames):
     """The whole of sampling, one request after the other: (ts, on_keyframe, level) in order. frames: {ts: score or None}."""
     gap, times, asked, taken = budget.min_gap_ms, sorted(frames), [], set()

@@ -19,10 +19,18 @@ def histograms(timings: DataFrame, keys: tuple[str, ...] = ("name",), value: str
     v = F.col(value).cast("double")
     sound = timings.where(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v != float("inf")))
     whole = sound.groupBy(*keys).agg(F.count("*").alias("count"), F.max(v).alias("max"))
-    late = sound.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("_n") <= reservoir)
-    kept = late.groupBy(*keys).agg(F.array_sort(F.collect_list(v)).alias("_v"), F.avg(v).alias("mean"))
-    joined = whole.join(kept, list(keys))
-    return joined.select(
+    return snapshot(whole, last_values(sound, keys, v, order, reservoir), keys)
+
+
+def last_values(rows: DataFrame, keys: tuple[str, ...], value: Column, order: str, reservoir: int) -> DataFrame:
+    """keys, _v (the last values, sorted), mean (of them)."""
+    late = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("_n") <= reservoir)
+    return late.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"), F.avg(value).alias("mean"))
+
+
+def snapshot(whole: DataFrame, late: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Histograms from counts and highest values of all rows and from the last values."""
+    return whole.join(late, list(keys)).select(
         *keys,
         "count",
         round_to(nearest_rank(F.col("_v"), 0.5), 2).alias("p50"),
@@ -44,18 +52,6 @@ def throughput(timings: DataFrame, key: str, name: str, elapsed_s: Column) -> Da
     return rows.select(key, F.when(F.col("s") > 0, F.col("n") / F.col("s")).otherwise(F.lit(0.0)).alias("per_second"))
 
 
-def scan_stats(log: DataFrame, key: str = "scan_id") -> DataFrame:
-    """key, counts of a scan log's frames by status; a duplicate was still inferred or inherited."""
-    status, duplicate = F.col("status"), F.col("duplicate")
-    return log.groupBy(key).agg(
-        F.count_if((status != "failed") & ~duplicate).alias("sampled"),
-        F.count_if(status == "inferred").alias("inferred"),
-        F.count_if(status == "inherited").alias("deduped"),
-        F.count_if(status == "failed").alias("failed"),
-        F.count_if(duplicate).alias("duplicates"),
-    )
-
-
 def long_tasks(tasks: DataFrame, key: str = "scan_id", least_ms: float = 50.0) -> DataFrame:
     return tasks.where(F.col("ms") >= least_ms).groupBy(key).agg(F.count("*").alias("tasks"), F.max("ms").alias("worst_ms"))
 
@@ -69,16 +65,3 @@ def latest(events: DataFrame, key: str, order: str) -> DataFrame:
 def frames_per_second(events: DataFrame, time_col: str = "ts") -> DataFrame:
     """second, fps: events per second of the clock."""
     return events.groupBy(F.window(time_col, "1 second").alias("w")).agg(F.count("*").alias("fps")).select(F.col("w.start").alias("second"), "fps")
-
-
-def first_verdict(log: DataFrame, key: str = "video_id") -> DataFrame:
-    """key, first_verdict_ms: when a scan's last survey request was answered, or its end where there was no refinement."""
-    at = F.coalesce(F.max(F.when(F.col("survey"), F.col("elapsed_ms"))), F.max("elapsed_ms"))
-    return log.groupBy(key).agg(at.alias("first_verdict_ms"))
-
-
-def outcome(log: DataFrame, key: str = "video_id") -> DataFrame:
-    """key, status: why a scan stopped, or no-frames if it recorded none and was not cancelled."""
-    recorded = F.count_if((F.col("status") != "failed") & ~F.col("duplicate"))
-    stop = F.max("stop")
-    return log.groupBy(key).agg(F.when((recorded == 0) & (stop != "cancelled"), "no-frames").otherwise(stop).alias("status"))

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.constants import BUDGETS, CLASSES, DEFAULT_POLICY, POLICIES
+from tidemark.constants import BUDGETS, CLASSES, DEFAULT_POLICY, POLICIES, Budget
 from tidemark.functions import device, formats, hashing, scoring
 from tidemark.functions.scoring import round_to
-from tidemark.operators import detectors, lookups, metrics, mitigation, near, sampling, temporal
+from tidemark.operators import detectors, lookups, metrics, mitigation, near, outcomes, sampling, temporal
 from tidemark.plans import sql
 from tidemark.sources import container, sinks
 from tidemark.sources import frames as sources
-from tidemark.streaming import progress
+from tidemark.streaming import progress, reservoirs
 
 BALANCED = POLICIES[DEFAULT_POLICY]
 
@@ -386,11 +386,26 @@ def streaming_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.segments(rows, BALANCED).withColumn("peak_score", six("peak_score"))
 
 
+def streaming_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms after a stream over the events."""
+    rows = sources.event_stream(spark, sf_dir).select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"), F.col("value").alias("ms"))
+    return reservoirs.histograms(rows)
+
+
+def scan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the log of a scan: 16 survey requests first, errors fail, a purchase of more than 190 cancels what follows."""
+    order = Window.partitionBy("video_id").orderBy("ts_ms", "arrival")
+    rows = sources.deliveries(spark, sf_dir).withColumns({"step": F.row_number().over(order), "elapsed_ms": F.col("ts_ms") - F.min("ts_ms").over(Window.partitionBy("video_id"))})
+    gone = F.lag((F.col("kind") == "purchase") & (F.col("score") > 190 / 400), 1, False).over(order)
+    log = rows.withColumns({"survey": F.col("step") <= 16, "failed": F.col("kind") == "error", "cancelled": gone})
+    return outcomes.outcomes(outcomes.recorded(log), Budget(max_frames=48, max_ms=200_000))
+
+
 def queries() -> dict:
     plain = (
         what_if, segments, coverage, independent_flagged, topk_mean, early_exit, verdict_json, restricted_report, peak_category, merge_detectors, combine_categories, screened_sets, frame_score, dominant_class, softmax,
         detector_scan, merge_crops, hit_probability, frame_rate, report, dhash, near_dup_banded, perceptual_dedupe, first_delivered, survey_plan, survey_lookup, keyframe_asof, nearest_keyframe, range_mitigation, player_state, timer_histogram, throughput, counters,
-        long_tasks, timeline_axis, luma_means, model_fitness, latest_progress, tier_budget, capabilities, governor, resolution_floor, source_decision, url_validation, median_gap, random_access, refine_plan, snapped_survey, snapped_refinement, scan_stats, selected_verdict, streaming_verdict, streaming_segments,
+        long_tasks, timeline_axis, luma_means, model_fitness, latest_progress, tier_budget, capabilities, governor, resolution_floor, source_decision, url_validation, median_gap, random_access, refine_plan, snapped_survey, snapped_refinement, scan_stats, selected_verdict, streaming_verdict, streaming_segments, streaming_histogram, scan_outcomes,
     )
     return {f"scan_verdict_{p}": partial(scan_verdict, p) for p in POLICIES} | {f.__name__: f for f in plain}
 

@@ -340,5 +340,16 @@ def all_queries() -> dict[str, str]:
           SELECT video_id, arrival, score, inherited FROM fold WHERE n > 0""",
         "streaming_segments": f"{spans(p)} SELECT video_id, segment, start_ms, end_ms, {six('peak_score')} AS peak_score, peak_ts_ms FROM spans",
         "streaming_verdict": f"{judged(p)} SELECT video_id, n_frames, contains_inappropriate_content, confidence FROM judged",
+        "scan_outcomes": f"""WITH {DELIVERIES}, o AS (SELECT *, row_number() OVER w AS step, ts_ms - min(ts_ms) OVER (PARTITION BY video_id) AS elapsed, coalesce(lag(kind = 'purchase' AND score > 0.475::DOUBLE) OVER w, FALSE) AS cancelled
+            FROM deliveries WINDOW w AS (PARTITION BY video_id ORDER BY ts_ms, arrival)),
+          l AS (SELECT *, kind = 'error' AS failed, kind <> 'error' AND row_number() OVER (PARTITION BY video_id, ts_ms, kind = 'error' ORDER BY step) > 1 AS duplicate FROM o),
+          b AS (SELECT *, coalesce(count(*) FILTER (NOT failed AND NOT duplicate) OVER v, 0) AS frames, coalesce(max(elapsed) OVER v, 0) AS spent, least(16, count(*) OVER (PARTITION BY video_id)) AS surveys FROM l WINDOW v AS (PARTITION BY video_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+          e AS (SELECT *, CASE WHEN cancelled THEN 'cancelled' WHEN frames >= 48 THEN 'frame-budget' WHEN spent > 200000 THEN 'time-budget' END AS reason FROM b),
+          stops AS (SELECT video_id, min(step) AS at, arg_min(reason, step) AS reason FROM e WHERE reason IS NOT NULL GROUP BY 1),
+          r AS (SELECT e.video_id, any_value(s.reason) AS reason, count(*) FILTER (made AND NOT failed AND NOT duplicate) AS sampled, count(*) FILTER (made AND failed) AS failed, count(*) FILTER (made AND duplicate) AS duplicates,
+            coalesce(max(elapsed) FILTER (made), 0) AS elapsed_ms, min(spent) FILTER (made AND step >= surveys AND frames > 0) AS first FROM (SELECT e.*, s.at IS NULL OR e.step < s.at AS made FROM e LEFT JOIN stops s USING (video_id)) e LEFT JOIN stops s USING (video_id) GROUP BY 1),
+          t AS (SELECT *, coalesce(reason, CASE WHEN sampled >= 48 THEN 'frame-budget' WHEN elapsed_ms > 200000 THEN 'time-budget' ELSE 'complete' END) AS stop_reason FROM r)
+          SELECT video_id, stop_reason, CASE WHEN sampled = 0 AND stop_reason <> 'cancelled' THEN 'no-frames' ELSE stop_reason END AS outcome, sampled, failed, duplicates, elapsed_ms, coalesce(first, CASE WHEN sampled > 0 THEN elapsed_ms END) AS first_verdict_ms FROM t""",
     }
+    made["streaming_histogram"] = made["timer_histogram"]
     return made

@@ -53,12 +53,17 @@ def bucketed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_delivered(rows, ("video_id", buckets.BUCKET, "ts_ms"))
 
 
-def stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
-    """deliveries as a stream; files_per_trigger holds the source back to so many files per micro-batch."""
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """events as a stream; files_per_trigger holds the source back to so many files per micro-batch."""
     reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return as_deliveries(reader.parquet(f"{sf_dir}/events.parquet*"))
+    return reader.parquet(f"{sf_dir}/events.parquet*")
+
+
+def stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """deliveries as a stream."""
+    return as_deliveries(event_stream(spark, sf_dir, files_per_trigger))
 
 
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
