@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 from tidemark.llm import exact_dedup
 from tests.llm.helpers import AWKWARD, WHITE, documents
 
@@ -35,3 +36,20 @@ def test_keep_first_keeps_whole_rows(spark):
     kept = exact_dedup.keep_first(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {w[0] for w in brute(list(enumerate(texts))).values()}
+
+
+@pytest.mark.parametrize("ids", ["own", "null", "repeated"])
+def test_a_hot_group_meets_in_no_task(spark, ids):
+    """A third of all rows are equal: no salted group has many more than the square root of the rows, and winners are one row a salt."""
+    n = 30_000
+    number = F.col("id") if ids == "own" else F.lit(None).cast("long") if ids == "null" else F.col("id") % 5
+    docs = spark.range(n, numPartitions=6).select(number.alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    hot = exact_dedup.hot_digests(docs, "text")
+    assert [r.salts for r in hot.collect()] == [-(-n // 3 // exact_dedup.group_limit(n))]
+    _, many = exact_dedup._keyed(docs, "text", "doc_id", 256, hot, [])
+    salted = exact_dedup.salted_groups(many)
+    sizes = [r.n for r in salted.select(F.size("places").alias("n")).collect()]
+    assert sum(sizes) == n // 3 and max(sizes) < 1.5 * n**0.5
+    got = exact_dedup.exact_groups(docs).where("group_size > 1").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("kept"), F.min("group_size").alias("least"), F.max("group_size").alias("most")).first()
+    assert tuple(got) == (n // 3, 1, n // 3, n // 3)
+    assert exact_dedup.keep_first(docs).where("text = 'hot'").count() == 1
