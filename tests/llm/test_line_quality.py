@@ -111,3 +111,50 @@ def test_edges(spark):
     assert line_quality.score(docs.where("false"), labels).count() == 0
     assert {r.score for r in line_quality.score(docs, labels.where("false")).collect()} == {0.5}
     assert {r.score for r in line_quality.score(docs, labels.where("quality = 1")).collect()} == {1.0}
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3, 7, 50])
+def test_stretches_carry_what_is_around_them(longest):
+    rng = np.random.default_rng(longest)
+    lines = np.array([3, 1, 50, 7, 8, 6, 200])
+    good, moves = rng.normal(0, 3, lines.sum()), rng.normal(0, 2, (2, 2))
+    got, expected = crf.marginals(good, moves, lines, longest=longest)
+    want, total = crf.marginals(good, moves, lines)
+    assert got == pytest.approx(want, abs=1e-12) and expected == pytest.approx(total)
+
+
+def test_neighbours_there_and_back():
+    rng = np.random.default_rng(1)
+    lines, parts = np.array([1, 4, 2, 9]), rng.normal(size=(16, 3))
+    values = rng.normal(size=16)
+    # the one is the transpose of the other
+    assert values @ crf.with_neighbours(parts, lines) == pytest.approx((crf.to_neighbours(values, lines) * parts).sum(), rel=1e-5)
+
+
+def test_long_texts_score_alike_in_slices(spark):
+    docs, labels = corpus(spark)
+    field = line_quality.learn(docs, labels, "text", "doc_id", "quality", 3, 1, line_quality.SAMPLE)
+    rng = random.Random(3)
+    text = "\n".join(rng.choice(["A line of words, as they come.", "W1!! W2!!", "", "x ### y", "É" * 30]) for _ in range(60_000)).encode()
+    long = pa.array([text, b"short", text[:70], b"no newline " * 3000, b"\n" * 5000], pa.binary())
+    whole = line_quality.scores_of(field, long, size=1 << 30)
+    assert line_quality.scores_of(field, long, size=20_000) == pytest.approx(whole, abs=1e-6)
+    assert b"".join(line_quality.slices(text, 1000)) == text
+    assert [*line_quality.slices(b"", 10)] == [b""] and [*line_quality.slices(b"x" * 50, 10)] == [b"x" * 50]
+
+
+def test_a_text_of_very_many_lines_is_scored_in_time(spark):
+    import time
+
+    docs, labels = corpus(spark)
+    field = line_quality.learn(docs, labels, "text", "doc_id", "quality", 3, 1, line_quality.SAMPLE)
+    began = time.time()
+    line_quality.scores_of(field, pa.array([b"ab cd\n" * 1_000_000], pa.binary()))
+    assert time.time() - began < 30
+
+
+def test_a_labelled_id_that_many_rows_repeat_counts_once(spark):
+    docs, labels = corpus(spark)
+    again = docs.unionByName(documents(spark, ["W1!! W2!! ###"] * 500, [0] * 500))
+    fields = [line_quality.learn(d, labels, "text", "doc_id", "quality", 3, 1, line_quality.SAMPLE) for d in (docs.where("doc_id <> 0"), again)]
+    assert np.abs(fields[0].weights - fields[1].weights).max() < 0.5

@@ -4,8 +4,9 @@ Every line gets features of its characters and words, taken from its bytes for a
 lines with their neighbours' features, and the marginals of forward-backward, weighted by the lines' lengths, make the
 document's quality, calibrated to a probability.
 
-The field is fitted on a bounded sample of labelled rows (SAMPLE, about so many documents, taken in the order of a hash
-until they have SAMPLE_LINES lines); every document is scored over its whole text.
+The field is fitted on a bounded sample of labelled rows (SAMPLE, about so many documents of at most SAMPLE_BYTES bytes, one for each
+id, taken in the order of a hash until they have SAMPLE_LINES lines); every document is scored over its whole text, a long one's
+features slice by slice.
 
 Defined cases: a null or empty text is one empty line; rows that repeat a doc_id are scored one by one; labels without
 an id or quality are left out and the least quality counts where an id has several; without any usable label, or with one
@@ -29,6 +30,8 @@ from tidemark.llm.shared import utf8
 from tidemark.llm.words import LOWERED, Words, chunks
 
 SAMPLE, SAMPLE_LINES = 6000, 1_000_000
+#: A sampled document has no more bytes than this. Bytes of a long text whose features are held at once.
+SAMPLE_BYTES, SLICE = 1 << 22, 1 << 21
 NEWLINE = 10
 # Bytes by kind: upper, lower, digit, space, sentence marks, shouts, symbols, bars, bytes above 127.
 KINDS = 9
@@ -95,8 +98,9 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_
     many = usable.count()
     part = min(1.0, sample / max(many, 1))
     drawn = usable.where(F.pmod(F.xxhash64("__label_id"), F.lit(1_000_003)) < F.lit(part * 1_000_003))
-    texts = docs.select(F.col(id_col).alias("__doc_id"), utf8(F.col(text_col)).alias("raw"))
-    rows = texts.join(F.broadcast(drawn), F.col("__doc_id") == F.col("__label_id")).select("label", "raw", F.xxhash64("__label_id", "raw").alias("place"))
+    texts = docs.select(F.col(id_col).alias("__doc_id"), utf8(F.col(text_col)).alias("raw")).where(F.octet_length("raw") <= SAMPLE_BYTES)
+    met = texts.join(F.broadcast(drawn), F.col("__doc_id") == F.col("__label_id")).withColumn("place", F.xxhash64("__label_id", "raw"))
+    rows = met.groupBy("__label_id").agg(F.min("label").alias("label"), F.min_by("raw", "place").alias("raw"), F.min("place").alias("place")).select("label", "raw", "place")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,8 +108,8 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_
             for piece in chunks(batch.column(1)):
                 made, sizes, lines = line_features(piece)
                 starts = np.append(0, np.cumsum(lines))
-                out = [made[a:b].tobytes() for a, b in zip(starts, starts[1:], strict=False)]
-                size = [sizes[a:b].tobytes() for a, b in zip(starts, starts[1:], strict=False)]
+                out = [made[a:b].astype(np.float32).tobytes() for a, b in zip(starts, starts[1:], strict=False)]
+                size = [sizes[a:b].astype(np.float32).tobytes() for a, b in zip(starts, starts[1:], strict=False)]
                 own = [batch.column(k).slice(at, len(piece)) for k in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.binary()), pa.array(size, pa.binary())], ["label", "place", "made", "sizes"])
                 at += len(piece)
@@ -115,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken = 0
         for batch in batches:
-            ends = taken + np.cumsum([len(x) // 8 for x in batch.column(3).to_pylist()])
+            ends = taken + np.cumsum([len(x) // 4 for x in batch.column(3).to_pylist()])
             rows = int((ends <= most).sum()) or int(taken == 0 and batch.num_rows > 0)  # one document at least
             if rows:
                 yield batch.slice(0, rows)
@@ -127,14 +131,53 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_
 
     # a bounded sample: one task sorts it, where a sort by ranges would make the features twice
     schema = "label int, place long, made binary, sizes binary"
-    found = rows.mapInArrow(task, schema).repartition(1).sortWithinPartitions("place").mapInArrow(bounded, schema).toPandas()
-    wanted = found["label"].to_numpy(dtype=float)
+    found = rows.mapInArrow(task, schema).repartition(1).sortWithinPartitions("place").mapInArrow(bounded, schema).select("label", "made", "sizes").toArrow().combine_chunks()
+    wanted = found.column("label").to_numpy().astype(float)
     if not len(wanted) or wanted.min() == wanted.max():
         return float(wanted.mean()) if len(wanted) else 0.5
-    sizes = [np.frombuffer(bytes(x)) for x in found["sizes"]]
+    sizes = [np.frombuffer(x.as_buffer(), dtype=np.float32) for x in found.column("sizes")]
     lines = np.array([len(x) for x in sizes])
-    made = np.concatenate([np.frombuffer(bytes(x)).reshape(n, -1) for x, n in zip(found["made"], lines, strict=True)])
-    return fit(made, np.concatenate(sizes), lines, wanted)
+    made = np.empty((int(lines.sum()), found.column("made")[0].as_buffer().size // 4 // int(lines[0])), dtype=np.float32)
+    at = 0
+    for x, n in zip(found.column("made"), lines.tolist(), strict=True):
+        made[at : at + n] = np.frombuffer(x.as_buffer(), dtype=np.float32).reshape(n, -1)
+        at += n
+    sizes = np.concatenate(sizes).astype(float)
+    del found
+    return fit(made, sizes, lines, wanted)
+
+
+def slices(raw: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of about `size` bytes, cut behind newlines."""
+    at = 0
+    while len(raw) - at > size:
+        end = raw.rfind(b"\n", at, at + size + 1)
+        end = raw.find(b"\n", at + size) if end < 0 else end
+        if end < 0:
+            break
+        yield raw[at : end + 1]
+        at = end + 1
+    yield raw[at:]
+
+
+def scores_of(field: Field, column: pa.Array, size: int = SLICE) -> np.ndarray:
+    """Scores of a binary column of texts. Of a long text's lines only three numbers each are held."""
+    found = []
+    for piece in chunks(column):
+        if len(piece) > 1 or piece[0].as_buffer() is None or piece[0].as_buffer().size <= size:
+            found.append(field.score(*line_features(piece)))
+            continue
+        parts, sizes = [], []
+        for part in slices(piece[0].as_py(), size):
+            features, own, _ = line_features(pa.array([part], pa.binary()))
+            parts.append(field.parts(features))
+            sizes.append(own)
+        # the empty line behind a cut is the next piece's first one
+        parts = [x[:-1] for x in parts[:-1]] + parts[-1:]
+        sizes = [x[:-1] for x in sizes[:-1]] + sizes[-1:]
+        whole = np.concatenate(parts)
+        found.append(field.scored(whole, np.concatenate(sizes), np.array([len(whole)])))
+    return np.concatenate(found) if found else np.zeros(0)
 
 
 def score(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", parts: int = 3, left_out: int = 1, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
@@ -143,10 +186,7 @@ def score(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     def scores(column: pa.Array) -> np.ndarray:
         field = shared.value
-        if isinstance(field, float):
-            return np.full(len(column), field)
-        found = [field.score(*line_features(piece)) for piece in chunks(column)]
-        return np.concatenate(found) if found else np.zeros(0)
+        return np.full(len(column), field) if isinstance(field, float) else scores_of(field, column)
 
     if keep:
 
