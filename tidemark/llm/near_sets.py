@@ -12,8 +12,9 @@ deviations above that.
 
 No bucket is held whole. It is read in blocks of BLOCK nodes, and up to LEADERS of its nodes stand for it: each other node is
 first a candidate with the nearest of those only, which joins a large group of near copies by as many candidates as it has members. After
-these are counted, buckets that are still of several components are searched block against block, each pair of blocks in
-a group of its own, for pairs of different components; their sets are counted there, and only links come out.
+these are counted, buckets that are still of several components are searched again, each block in a group of its own: strays, the
+members outside of their bucket's largest component, visit every block of it. First this finds which members are near one of
+another component; the sets of these only are fetched and counted there, and only links come out.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bktree import Forest, distance
 from tidemark.llm.components import components
+from tidemark.llm.hot_join import join_hot
 from tidemark.llm.shared import cut, utf8
 from tidemark.llm.shingles import fingerprint, shingle_hashes
 
@@ -205,17 +207,58 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members, with their root (roots: node, root), of buckets of more than LEADERS that are still of several components."""
-    large = members.groupBy("v").agg(F.count("*").alias("size"), F.max("block").alias("last")).where(F.col("size") > LEADERS)
-    rooted = members.join(large, "v").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    apart = rooted.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("v")
-    return rooted.join(apart, "v")
+    """The members of buckets of more than LEADERS that are still of several components, with their root (roots: node, root) and whether they are strays.
 
+    Strays are members outside of their bucket's largest component (the one with the greatest root on a tie).
+    """
+    rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    parts = rooted.groupBy("v", "root").agg(F.count("*").alias("size"), F.max("block").alias("last"))
+    buckets = parts.groupBy("v").agg(F.sum("size").alias("size"), F.max("last").alias("last"), F.count("*").alias("parts"), F.max_by("root", F.struct("size", "root")).alias("largest"))
+    apart = cut(buckets.where((F.col("size") > LEADERS) & (F.col("parts") > 1)).select("v", "size", "last", "largest"))
+    found = join_hot(rooted, apart, "v", "size").where("largest IS NOT NULL")
+    return found.withColumn("stray", F.col("root") != F.col("largest")).drop("largest")
 
-def other_links(left: DataFrame, sets: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
-    """Links (a, b) between components of unsettled members, counted block against block: a task gives one per two components it joins."""
-    spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    cells = spread.join(sets, "key").select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "fp", "root", "shingles")
+
+def cells(left: DataFrame) -> DataFrame:
+    """v, at (a block), stray, key, n, fp, root: unsettled members in their own block, and strays in every block of their bucket.
+
+    A pair of different components has a stray, so it meets in the block of its other one.
+    """
+    visits = left.where("stray").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("last")))).where("at <> block")
+    every = left.withColumn("at", F.col("block")).unionByName(visits)
+    return every.select("v", "at", (F.col("at") != F.col("block")).alias("visits"), "stray", "key", "n", "fp", "root")
+
+
+def _candidates(table: pa.Table, starts: np.ndarray, width: int, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a cell, of different components and near enough, of which one is a stray and one at home."""
+    items, n, roots = _items(table, width), table.column("n").to_numpy().astype(np.int64), table.column("root").to_pylist()
+    stray, visits = (table.column(c).to_numpy(zero_copy_only=False) for c in ("stray", "visits"))
+    number = {r: k for k, r in enumerate(set(roots))}
+    root = np.array([number[r] for r in roots])
+    bucket = np.repeat(starts, np.diff(np.append(starts, len(items))))
+    asked = np.flatnonzero(stray)
+    for i, j in Forest(items, starts).search(items[asked], bucket[asked], radius):
+        i = asked[i]
+        fits = (root[i] != root[j]) & ~(visits[i] & visits[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+        yield i[fits], j[fits]
+
+
+def close_members(laid: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
+    """The rows of cells that are near one of another component: only of these are sets needed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in groups(batches, ["v", "at"], ROWS):
+            some = np.zeros(table.num_rows, dtype=bool)
+            for i, j in _candidates(table, starts, width, radius, similarity):
+                some[i] = some[j] = True
+            if some.any():
+                yield from table.filter(pa.array(some)).combine_chunks().to_batches()
+
+    return laid.repartition(F.col("v"), F.col("at")).sortWithinPartitions("v", "at", "key").mapInArrow(task, laid.schema)
+
+
+def other_links(close: DataFrame, sets: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) between components, counted on whole sets in each cell: a task gives one per two components that it joins."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict[bytes, bytes] = {}  # of roots that this task has joined
@@ -225,17 +268,13 @@ def other_links(left: DataFrame, sets: DataFrame, width: int, radius: int, simil
                 x = up[x]
             return x
 
-        for table, starts in groups(batches, ["v", "i", "j"], CELL_ROWS):
-            items, n, keys, roots = _items(table, width), table.column("n").to_numpy().astype(np.int64), table.column("key").to_pylist(), table.column("root").to_pylist()
-            block, crossing = table.column("block").to_numpy(), table.column("i").to_numpy() != table.column("j").to_numpy()
+        for table, starts in groups(batches, ["v", "at"], CELL_ROWS):
+            n, keys, roots = table.column("n").to_numpy().astype(np.int64), table.column("key").to_pylist(), table.column("root").to_pylist()
             lists = pa.concat_arrays(table.column("shingles").chunks)
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            number = {r: k for k, r in enumerate(set(roots))}
-            root = np.array([number[r] for r in roots])
             a, b = [], []
-            for i, j in Forest(items, starts).pairs(radius):
-                fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (~crossing[i] | (block[i] != block[j]))
-                for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
+            for i, j in _candidates(table, starts, width, radius, similarity):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
                     own, his = top(roots[x]), top(roots[y])
                     if own == his:
                         continue
@@ -247,7 +286,8 @@ def other_links(left: DataFrame, sets: DataFrame, width: int, radius: int, simil
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return cells.repartition(F.col("v"), F.col("i"), F.col("j")).sortWithinPartitions("v", "i", "j", "key").mapInArrow(task, "a binary, b binary")
+    rows = close.join(sets, "key")
+    return rows.repartition(F.col("v"), F.col("at")).sortWithinPartitions("v", "at", "key").mapInArrow(task, "a binary, b binary")
 
 
 def shingle_sets(docs: DataFrame, prints: DataFrame, keys: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -286,8 +326,9 @@ def grouped_sets(docs: DataFrame, prints: DataFrame, text_col: str, words: int,
     roots = components(links)
     left = cut(unsettled(members, roots))
     if not left.isEmpty():
-        sets = shingle_sets(docs, prints, left.select("key").distinct(), text_col, words)
-        more = cut(other_links(left, sets, width, radius, similarity))
+        close = cut(close_members(cells(left), width, radius, similarity))
+        sets = shingle_sets(docs, prints, close.select("key").distinct(), text_col, words)
+        more = cut(other_links(close, sets, width, radius, similarity))
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     keys = nodes.select("key")
