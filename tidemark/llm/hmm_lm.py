@@ -147,10 +147,11 @@ def _pass(seqs: DataFrame, model: hmm.Model) -> hmm.Counts:
             hmm.baum_welch(shared.value, *_together(held), counts)
         rows = np.concatenate([counts.emit, counts.move, counts.start[None, :]])
         some = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(rows[some, k]) for k in range(states)]], ["at", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(rows[some, k].astype(np.float32)) for k in range(states)]], ["at", *names])
 
-    made = seqs.select("seq").mapInArrow(task, "at long, " + ", ".join(f"{s} double" for s in names))
-    summed = made.groupBy("at").agg(*[F.sum(s).alias(s) for s in names]).toPandas()
+    # a task has one row per class, so nothing is gained by summing before the shuffle; four bytes a count travel, sums are doubles
+    made = seqs.select("seq").mapInArrow(task, "at long, " + ", ".join(f"{s} float" for s in names))
+    summed = made.repartition("at").groupBy("at").agg(*[F.sum(s).alias(s) for s in names]).toPandas()
     shared.unpersist()
     whole = np.zeros((classes + states + 1, states))
     whole[summed["at"].to_numpy()] = summed[names].to_numpy()
