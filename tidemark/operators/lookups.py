@@ -10,17 +10,19 @@ from tidemark.functions.scoring import half_up
 from tidemark.operators.buckets import BUCKET_MS, bucket_of
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, out: str, also: tuple[str, ...] = (), width: int = BUCKET_MS) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, out: str, also: tuple[str, ...] = (), width: int = BUCKET_MS, asked: DataFrame | None = None) -> DataFrame:
     """left with out: the last right time at or before left's, else the first one after; null where the key has none.
 
     also: further columns of that right row. Both sides meet by key and time bucket and are laid in one order there, behind
     a row that the bucket is handed: the last right row before it, or the key's first one. So a key of a third of all rows is as many
-    groups as it has buckets, and what is ordered by key alone is one row per bucket.
+    groups as it has buckets, and what is ordered by key alone is one row per bucket. asked (key, _b): the buckets that left may
+    have rows in, where that is known without reading left.
     """
     row = F.struct(F.col(right_ts).cast("long").alias("_at"), *[F.col(c).alias(f"_{c}") for c in also])
     rights = right.where(F.col(right_ts).isNotNull()).select(F.col(key), F.col(right_ts).alias("_t"), F.lit(1).alias("_side"), row.alias("_r")).withColumn("_b", bucket_of(F.col("_t"), width))
     lefts = left.select("*", F.col(left_ts).alias("_t"), F.lit(2).alias("_side"), bucket_of(F.col(left_ts), width).alias("_b"))
-    asked = lefts.select(key, "_b", F.lit(None).alias("_r"), F.lit(None).alias("_first")).unionByName(rights.select(key, "_b", "_r", F.struct("_t", "_r").alias("_first")))
+    asked = lefts.select(key, "_b") if asked is None else asked
+    asked = asked.select(key, "_b", F.lit(None).alias("_r"), F.lit(None).alias("_first")).unionByName(rights.select(key, "_b", "_r", F.struct("_t", "_r").alias("_first")))
     ends = asked.groupBy(key, "_b").agg(F.max_by("_r", "_r._at").alias("_last"), F.min_by("_first", "_first._t").alias("_first"))
     whole = Window.partitionBy(key)
     before = F.last("_last", ignorenulls=True).over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))

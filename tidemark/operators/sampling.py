@@ -14,6 +14,7 @@ halves keep the score of the end that they have. Neither counts as a frame.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import BASE_PRIORITY, Budget
 from tidemark.functions.scoring import half_up
+from tidemark.operators.buckets import bucket_of
 from tidemark.operators.lookups import as_of, snapped
 from tidemark.shared import cut
 
@@ -50,9 +52,15 @@ def survey(videos: DataFrame, budget: Budget, keyframes: DataFrame | None = None
     return snapped(asked, keyframes).select("video_id", "slot", "ts_ms", "on_keyframe")
 
 
-def served(requests: DataFrame, frames: DataFrame) -> DataFrame:
-    """requests (video_id, ts_ms) with served_ms and score of the frame (video_id, ts_ms, score) that answers each."""
-    return as_of(requests, frames, "video_id", "ts_ms", "ts_ms", "served_ms", also=("score",))
+def served(requests: DataFrame, frames: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """requests (video_id, ts_ms) with served_ms and score of the frame (video_id, ts_ms, score) that answers each.
+
+    videos (video_id, duration_ms): requests are of these and within them, and needn't be read to know their time buckets.
+    """
+    asked = None
+    if videos is not None:
+        asked = videos.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), bucket_of(F.greatest(F.lit(0), F.col("duration_ms"))))).alias("_b"))
+    return as_of(requests, frames, "video_id", "ts_ms", "ts_ms", "served_ms", also=("score",), asked=asked)
 
 
 def _edges(answers: DataFrame, videos: DataFrame) -> DataFrame:
@@ -74,7 +82,7 @@ def _inside(edges: DataFrame, points: DataFrame, ts: str, out: str) -> DataFrame
 
 
 def halvings(edges: DataFrame, budget: Budget, keyframes: DataFrame | None = None, requested: DataFrame | None = None) -> DataFrame:
-    """edges (video_id, a, b) -> video_id, top (a of the edge), level, path, a, b, ts_ms, on_keyframe: every halving that refinement may ask for.
+    """edges (video_id, a, b) -> video_id, top (a of the edge), path, ts_ms, on_keyframe: every halving that refinement may ask for.
 
     requested (video_id, ts_ms): times inside edges that have been asked for before. An interval narrower than two gaps isn't
     halved. Its middle is the keyframe nearest to it within a quarter of its width that wasn't asked for, else its middle, rounded.
@@ -99,14 +107,14 @@ def halvings(edges: DataFrame, budget: Budget, keyframes: DataFrame | None = Non
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in parts(whole)):
             video, (a, b), beyond = batch.column(0), (batch.column(c).to_numpy() for c in ("a", "b")), batch.column("beyond").to_numpy(zero_copy_only=False)
-            top, at, path, level = a, np.arange(batch.num_rows), np.ones(batch.num_rows, dtype=np.int64), 0
+            top, at, path = a, np.arange(batch.num_rows), np.ones(batch.num_rows, dtype=np.int64)
             # of each edge its times, all of them as one rising sequence
             lists = {c: (np.asarray(batch.column(c).value_lengths()), np.asarray(batch.column(c).flatten())) for c in ("keys", "taken")}
             ends = np.cumsum(lists["keys"][0])
             keys, taken = ((np.repeat(at, size) << TIME_BITS) + times for size, times in lists.values())
             while True:
                 wide = b - a >= 2 * gap
-                a, b, at, path, level = a[wide], b[wide], at[wide], path[wide], level + 1
+                a, b, at, path = a[wide], b[wide], at[wide], path[wide]
                 if not len(a):
                     break
                 middle, own = (a + b) / 2, (a + b + 1) // 2
@@ -124,53 +132,89 @@ def halvings(edges: DataFrame, budget: Budget, keyframes: DataFrame | None = Non
                     chosen = np.where(good[pick], given[pick] & ((1 << TIME_BITS) - 1), own)
                 free = ~np.isin((at << TIME_BITS) + chosen, taken)
                 a, b, at, path, chosen, own = (x[free] for x in (a, b, at, path, chosen, own))
-                columns = [pa.array(x) for x in (top[at], np.full(len(a), level, dtype=np.int32), path, a, b, chosen, chosen != own)]
-                yield pa.RecordBatch.from_arrays([video.take(pa.array(at)), *columns], ["video_id", "top", "level", "path", "a", "b", "ts_ms", "on_keyframe"])
+                columns = [pa.array(x) for x in (top[at], path, chosen, chosen != own)]
+                yield pa.RecordBatch.from_arrays([video.take(pa.array(at)), *columns], ["video_id", "top", "path", "ts_ms", "on_keyframe"])
                 a, b = np.concatenate([a, chosen]), np.concatenate([chosen, b])
                 at, path = np.concatenate([at, at]), np.concatenate([2 * path, 2 * path + 1])
 
-    return rows.select("video_id", "a", "b", "keys", "beyond", "taken").mapInArrow(task, f"video_id {kind}, top long, level int, path long, a long, b long, ts_ms long, on_keyframe boolean")
+    return rows.select("video_id", "a", "b", "keys", "beyond", "taken").mapInArrow(task, f"video_id {kind}, top long, path long, ts_ms long, on_keyframe boolean")
+
+
+class Best:
+    """The first halvings of a video, best first, until `room` of them have been answered: higher rank, then the upper level, then the earlier interval."""
+
+    def __init__(self, room: int):
+        self.room = room
+        self.sound: list[tuple] = []  # a heap with the last of them on top
+        self.failed: list[tuple] = []
+
+    def take(self, key: tuple, row: tuple, sound: bool) -> None:
+        if not sound:
+            self.failed.append((key, row))
+        elif len(self.sound) < self.room:
+            heapq.heappush(self.sound, (key, row))
+        elif self.room and key > self.sound[0][0]:
+            heapq.heapreplace(self.sound, (key, row))
+
+    def rows(self) -> list[tuple]:
+        last = self.sound[0][0] if len(self.sound) == self.room and self.sound else None
+        failed = [x for x in self.failed if last is None or x[0] > last] if self.room else []
+        return [row for _, row in sorted(self.sound + failed, key=lambda x: x[0], reverse=True)]
 
 
 def ranked(answered: DataFrame, edges: DataFrame, room: DataFrame, budget: Budget) -> DataFrame:
     """The halvings (with served_ms, score) that are asked for, best first: video_id, place (from 1), ts_ms, level (from 1), priority, on_keyframe, served_ms, score.
 
-    edges: with the scores of their ends; room: video_id, room: so many frames may still be recorded. Ties go to the upper
-    level, then to the earlier interval.
+    edges: with the scores of their ends; room: video_id, room: so many frames may still be recorded. A video's trees stream past
+    from their tops down; besides the level that is open only its best halvings are held.
     """
     gap, kind = float(budget.min_gap_ms), edges.schema["video_id"].dataType.simpleString()
-    names = ("video_id", "top", "level", "path", "a", "b", "ts_ms", "on_keyframe", "served_ms", "score")
-    heads = edges.select("video_id", F.col("a").alias("top"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("path"), "score_a", "score_b")
+    names = ("video_id", "top", "path", "ts_ms", "on_keyframe", "served_ms", "score")
+    heads = edges.join(room, "video_id").select("video_id", F.col("a").alias("top"), F.lit(0).cast("long").alias("path"), "b", "score_a", "score_b", "room")
     laid = answered.select(*names).unionByName(heads, allowMissingColumns=True)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends: dict[int, tuple[float, float, float]] = {}
+        ends: dict[int, tuple] = {}
+        video = best = None
+        none = object()
+        at, done = none, []
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.float64())
+            made = pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], id_type), *(pa.array(c, k) for c, k in zip(list(zip(*done, strict=True))[1:], kinds, strict=True))], ["video_id", "place", "ts_ms", "level", "priority", "on_keyframe", "served_ms", "score"])
+            done.clear()
+            return made
+
         for batch in batches:
-            kept, priority = [], []
-            level, path, a, b, score, score_a, score_b = (batch.column(c).to_pylist() for c in ("level", "path", "a", "b", "score", "score_a", "score_b"))
-            for k, node in enumerate(path):
-                if level[k] == 0:
-                    ends = {1: (score_a[k], score_b[k], math.inf)}
+            id_type = batch.schema.field("video_id").type
+            columns = (batch.column(c).to_pylist() for c in (*names, "b", "score_a", "score_b", "room"))
+            for video, top, path, ts, key, when, score, b, score_a, score_b, room_left in zip(*columns, strict=True):
+                if video != at:
+                    if best:
+                        done += [(at, k, *row) for k, row in enumerate(best.rows(), 1)]
+                    at, best, ends = video, None, {}
+                    if len(done) > 20_000:
+                        yield out()
+                if path == 0:
+                    best = best or Best(room_left)
+                    ends = {1: (score_a, score_b, math.inf, top, b)}
                     continue
-                own = ends.pop(node, None)
+                own = ends.pop(path, None)
                 if own is None:  # of an edge that isn't asked about
                     continue
-                x, y, bound = own
-                rank = math.floor((BASE_PRIORITY + max(x, y)) * math.log2(1 + (b[k] - a[k]) / gap) * 1e9 + 0.5) / 1e9
-                rank, s = min(rank, bound), score[k]
-                ends[2 * node], ends[2 * node + 1] = (x, x if s is None else s, rank), (y if s is None else s, y, rank)
-                kept.append(k)
-                priority.append(rank)
-            if kept:
-                rows = batch.take(pa.array(kept))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("video_id", "a", "ts_ms", "level")), pa.array(priority), *(rows.column(c) for c in ("on_keyframe", "served_ms", "score"))], ["video_id", "a", "ts_ms", "level", "priority", "on_keyframe", "served_ms", "score"])
-
-    order = Window.partitionBy("video_id").orderBy(F.desc("priority"), "level", "a")
-    trees = laid.repartition("video_id", "top").sortWithinPartitions("video_id", "top", "level", "path")
-    down = trees.mapInArrow(task, f"video_id {kind}, a long, ts_ms long, level int, priority double, on_keyframe boolean, served_ms long, score double")
-    before = F.coalesce(F.sum(F.col("score").isNotNull().cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    best = down.join(room, "video_id").withColumns({"place": F.row_number().over(order), "_before": before}).where(F.col("_before") < F.col("room"))
-    return best.select("video_id", "place", "ts_ms", "level", "priority", "on_keyframe", "served_ms", "score")
+                x, y, bound, a, b = own
+                rank = min(bound, math.floor((BASE_PRIORITY + (x if x > y else y)) * math.log2(1 + (b - a) / gap) * 1e9 + 0.5) / 1e9)
+                ends[2 * path] = (x, x if score is None else score, rank, a, ts)
+                ends[2 * path + 1] = (y if score is None else score, y, rank, ts, b)
+                level = path.bit_length()
+                best.take((rank, -level, -a), (ts, level, rank, key, when, score), score is not None)
+        if best:
+            done += [(at, k, *row) for k, row in enumerate(best.rows(), 1)]
+        if done:
+            yield out()
+
+    trees = laid.repartition("video_id").sortWithinPartitions("video_id", "top", "path")
+    return trees.mapInArrow(task, f"video_id {kind}, place int, ts_ms long, level int, priority double, on_keyframe boolean, served_ms long, score double")
 
 
 def _room(answers: DataFrame, budget: Budget) -> DataFrame:
@@ -184,7 +228,7 @@ def refine(videos: DataFrame, answers: DataFrame, frames: DataFrame, budget: Bud
     """
     sound, failed = answers.where("score IS NOT NULL"), answers.where("score IS NULL")
     edges = cut(_edges(sound, videos))
-    answered = served(halvings(edges, budget, keyframes, failed.select("video_id", "ts_ms")), frames)
+    answered = served(halvings(edges, budget, keyframes, failed.select("video_id", "ts_ms")), frames, videos)
     return ranked(answered, edges, _room(sound, budget), budget)
 
 
@@ -197,16 +241,16 @@ def selected(videos: DataFrame, frames: DataFrame, budget: Budget, keyframes: Da
     asked = survey(videos, budget, keyframes)
     asked = cut(asked if keyframes is not None else asked.withColumn("on_keyframe", F.lit(False)))
     edges = _edges(asked.withColumn("score", F.lit(0.0)), videos)
-    laid = halvings(edges, budget, keyframes).unionByName(asked.select("video_id", F.lit(0).alias("level"), "ts_ms", "on_keyframe"), allowMissingColumns=True)
-    answered = cut(served(laid, frames))
-    first, tree = answered.where("level = 0"), answered.where("level > 0")
+    laid = halvings(edges, budget, keyframes).unionByName(asked.select("video_id", "ts_ms", "on_keyframe"), allowMissingColumns=True)
+    answered = cut(served(laid, frames, videos))
+    first, tree = answered.where("path IS NULL").withColumn("level", F.lit(0)), answered.where("path IS NOT NULL")
     sound = first.where("score IS NOT NULL")
     edges = cut(_edges(sound, videos))
     failed = first.where("score IS NULL").select("video_id", "ts_ms")
     if not failed.isEmpty():
         of = failed.select("video_id").distinct()
         again = halvings(edges.join(of, "video_id", "left_semi"), budget, keyframes, failed)
-        tree = tree.join(of, "video_id", "left_anti").unionByName(served(again, frames.join(of, "video_id", "left_semi")))
+        tree = tree.join(of, "video_id", "left_anti").unionByName(served(again, frames.join(of, "video_id", "left_semi"), videos.join(of, "video_id", "left_semi")))
     refined = ranked(tree, edges, _room(sound, budget), budget)
     return first.select("video_id", F.lit(None).cast("int").alias("place"), "ts_ms", "level", F.lit(None).cast("double").alias("priority"), "on_keyframe", "served_ms", "score").unionByName(refined)
 

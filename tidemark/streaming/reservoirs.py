@@ -36,7 +36,7 @@ class ReservoirProcessor(StatefulProcessor):
         self.whole = handle.getValueState("whole", "n long, most double")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, most = self.whole.get() if self.whole.exists() else (0, None)
+        n, most = self.whole.get() or (0, None)
         held = [(s, v) for s, v in self.late.get()]
         for r in rows:
             v = r["ms"]

@@ -141,7 +141,8 @@ class _Kept:
         self.state, self.pack, self.unpack = state, pack, unpack
 
     def get(self, key: tuple) -> list:
-        return self.unpack(self.state.getValue(key)) if self.state.containsKey(key) else []
+        held = self.state.getValue(key)  # a round trip to the state store
+        return [] if held is None else self.unpack(held)
 
     def put(self, key: tuple, value: list) -> None:
         self.state.updateValue(key, self.pack(value))
@@ -163,7 +164,7 @@ class VerdictProcessor(StatefulProcessor):
         self.video = handle.getValueState("video", "duration long, top int")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        duration, top = self.video.get() if self.video.exists() else (None, 0)
+        duration, top = self.video.get() or (None, 0)
         line, taken = Timeline(self.frames, self.nodes, self.policy.frame_threshold, top), []
         for r in rows:
             taken.append((r["ts_ms"], r["arrival"], r["score"]))
@@ -193,7 +194,7 @@ class RunsProcessor(StatefulProcessor):
         self.held = handle.getValueState("held", FRAMES + ", duration long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        times, arrivals, scores, duration = self.held.get() if self.held.exists() else ([], [], [], None)
+        times, arrivals, scores, duration = self.held.get() or ([], [], [], None)
         held = {t: (a, s) for t, a, s in zip(times, arrivals, scores, strict=True)}
         for r in rows:
             t, a = r["ts_ms"], r["arrival"]
