@@ -72,3 +72,17 @@ def test_histograms_of_a_stream_in_any_order_equal_the_batch(spark, tmp_path, sh
     want = metrics.histograms(spark.createDataFrame(rows, schema), reservoir=50)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_source_is_held_back_to_so_many_files(spark, tmp_path):
+    """As many micro-batches as files, at one file each; the histogram is the same."""
+    from tidemark.sources import frames as sources
+
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = spark.createDataFrame([(k, None, k % 3, "view", float(k), None) for k in range(40)], schema)
+    rows.repartition(4).write.parquet(str(tmp_path / "sf/events.parquet"))
+    stream = sources.event_stream(spark, str(tmp_path / "sf"), files_per_trigger=1)
+    timings = stream.selectExpr("event_type AS name", "event_id AS seq", "value AS ms")
+    found = reservoirs.histograms(timings, str(tmp_path / "out")).collect()
+    assert [(r["name"], r["count"], r["p50"]) for r in found] == [("view", 40, 19.0)]
+    assert len(list((tmp_path / "out/published").glob("number=*"))) >= 4

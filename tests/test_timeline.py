@@ -110,3 +110,18 @@ def test_an_empty_stream_publishes_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     assert progress.segments(stream.where(F.col("score") > 2), BALANCED, str(tmp_path / "out")).count() == 0
+
+
+def test_events_of_a_scan_from_loading_to_done(spark, tmp_path):
+    rows = [(v, 10 * v + k, 1000 * k, 0.1, 60_000 * v) for v in (1, 2) for k in range(6 if v == 1 else 2)]
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
+    stream = spark.readStream.schema(SCHEMA + ", part int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("part")
+    progress.finish(spark, progress.start(stream, BALANCED, str(tmp_path / "out"), survey_frames=4), str(tmp_path / "out"))
+    told = progress.events(spark, str(tmp_path / "out")).collect()
+    assert [(r.type, r.phase or r.message) for r in told if r.batch == -1] == [("phase", "loading"), ("model-ready", "balanced")]
+    own = lambda v: [(r.batch, r.type, r.phase, r.result) for r in sorted(told, key=lambda r: (r.batch, r.type, r.phase or "")) if r.video_id == v and r.type != "progress"]
+    assert own(1) == [(0, "meta", None, '{"duration_ms":60000}'), (0, "phase", "survey", None), (1, "phase", "refine", None)]
+    assert own(2) == [(0, "meta", None, '{"duration_ms":120000}'), (0, "phase", "survey", None)]
+    assert [r.phase for r in sorted(told, key=lambda r: r.batch) if r.video_id == 1 and r.type == "progress"] == ["survey", "refine"]
+    assert told and [r.type for r in told if r.batch > 10**6] == ["done"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.constants import BUDGETS, CLASSES, DEFAULT_POLICY, POLICIES, Budget
 from tidemark.functions import device, formats, hashing, scoring
 from tidemark.functions.scoring import round_to
-from tidemark.operators import detectors, lookups, metrics, mitigation, near, outcomes, sampling, temporal
+from tidemark.operators import detectors, lookups, metrics, mitigation, near, near_groups, outcomes, sampling, temporal
 from tidemark.plans import sql
 from tidemark.sources import container, sinks
 from tidemark.sources import frames as sources
@@ -160,6 +160,11 @@ def near_dup_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_pairs(sources.hashes(spark, sf_dir), 6)
 
 
+def near_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct hashes with their number of near ones, each under the least hash that near ones lead to."""
+    return near_groups.near_groups(sources.hashes(spark, sf_dir), 6)
+
+
 def perceptual_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of a label as a video's frames in arrival order."""
     rows = sources.hashes(spark, sf_dir).join(sources.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), "label"), "frame_id")
@@ -404,7 +409,7 @@ def scan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     plain = (
         what_if, segments, coverage, independent_flagged, topk_mean, early_exit, verdict_json, restricted_report, peak_category, merge_detectors, combine_categories, screened_sets, frame_score, dominant_class, softmax,
-        detector_scan, merge_crops, hit_probability, frame_rate, report, dhash, near_dup_banded, perceptual_dedupe, first_delivered, survey_plan, survey_lookup, keyframe_asof, nearest_keyframe, range_mitigation, player_state, timer_histogram, throughput, counters,
+        detector_scan, merge_crops, hit_probability, frame_rate, report, dhash, near_dup_banded, near_hash_groups, perceptual_dedupe, first_delivered, survey_plan, survey_lookup, keyframe_asof, nearest_keyframe, range_mitigation, player_state, timer_histogram, throughput, counters,
         long_tasks, timeline_axis, luma_means, model_fitness, latest_progress, tier_budget, capabilities, governor, resolution_floor, source_decision, url_validation, median_gap, random_access, refine_plan, snapped_survey, snapped_refinement, scan_stats, selected_verdict, streaming_verdict, streaming_segments, streaming_histogram, scan_outcomes,
     )
     return {f"scan_verdict_{p}": partial(scan_verdict, p) for p in POLICIES} | {f.__name__: f for f in plain}

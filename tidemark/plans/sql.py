@@ -257,6 +257,11 @@ def all_queries() -> dict[str, str]:
         "near_dup_banded": f"""WITH {hashes()}, counted AS (SELECT hash, count(*) AS frames FROM hashes WHERE hash <> repeat('0', 16) GROUP BY 1),
           pairs AS (SELECT a.hash AS hash_a, b.hash AS hash_b, CAST(bit_count(xor(('0x' || a.hash)::UBIGINT, ('0x' || b.hash)::UBIGINT)) AS BIGINT) AS distance, a.frames AS frames_a, b.frames AS frames_b
                     FROM counted a JOIN counted b ON a.hash < b.hash) SELECT * FROM pairs WHERE distance <= 6""",
+        "near_hash_groups": f"""WITH RECURSIVE {hashes()}, counted AS (SELECT hash, count(*) AS frames FROM hashes WHERE hash <> repeat('0', 16) GROUP BY 1),
+          near AS MATERIALIZED (SELECT a.hash AS a, b.hash AS b FROM counted a JOIN counted b ON a.hash <> b.hash AND bit_count(xor(('0x' || a.hash)::UBIGINT, ('0x' || b.hash)::UBIGINT)) <= 6),
+          reach(a, b) AS (SELECT hash, hash FROM counted UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
+          least AS (SELECT a AS hash, min(b) AS group_hash FROM reach GROUP BY 1), n AS (SELECT a AS hash, count(*) AS n FROM near GROUP BY 1)
+          SELECT hash, frames, coalesce(n, 0) AS n_near, group_hash FROM counted JOIN least USING (hash) LEFT JOIN n USING (hash)""",
         "first_delivered": f"WITH {FRAMES} SELECT video_id, ts_ms, arrival, {six('score')} AS score FROM frames",
         "survey_plan": f"WITH {DELIVERIES}, {plan} SELECT * FROM plan",
         "survey_lookup": f"""WITH {FRAMES}, {plan}, firsts AS (SELECT video_id, min(ts_ms) AS first FROM frames GROUP BY 1)

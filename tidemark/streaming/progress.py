@@ -36,31 +36,53 @@ def _keyed(deliveries: DataFrame, *keys: str) -> tuple[DataFrame, str]:
     return rows, ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
 
+SNAPSHOT = ("video_id", "n_frames", "contains_inappropriate_content", "confidence")
+
+
+def _judged(stream: DataFrame, policy: Policy) -> DataFrame:
+    """What verdicts rest on and verdicts, with frames_before (the batch) and duration_ms, of the videos that changed."""
+    rows, key = _keyed(stream, "video_id")
+    found = rows.groupBy("video_id").transformWithState(VerdictProcessor(policy), f"{key}, {VerdictProcessor.OUT}", "Update", "None")
+    return found.withColumn("contains_inappropriate_content", positive(policy)).withColumn("confidence", confidence(policy))
+
+
 def snapshots(deliveries: DataFrame, policy: Policy) -> DataFrame:
     """video_id, n_frames, verdict and confidence from deliveries: of a stream by its state, of a table by the batch operators."""
-    if deliveries.isStreaming:
-        rows, key = _keyed(deliveries, "video_id")
-        found = rows.groupBy("video_id").transformWithState(VerdictProcessor(policy), f"{key}, {VerdictProcessor.OUT}", "Update", "None")
-        found = found.withColumn("contains_inappropriate_content", positive(policy)).withColumn("confidence", confidence(policy))
-    else:
-        found = verdicts(first_delivered(deliveries), policy)
-    return found.select("video_id", "n_frames", "contains_inappropriate_content", "confidence")
+    found = _judged(deliveries, policy) if deliveries.isStreaming else verdicts(first_delivered(deliveries), policy)
+    return found.select(*SNAPSHOT)
 
 
-def start(stream: DataFrame, policy: Policy, folder: str, every: str | None = None):
+def _told(rows: DataFrame, survey_frames: int | None) -> DataFrame:
+    """The events of judged rows: progress; with the frames of a survey, also what a video is (meta) and the phase that it comes to."""
+    surveyed = F.col("n_frames") >= survey_frames if survey_frames else F.lit(False)
+    phase = F.when(surveyed, "refine").otherwise("survey")
+    events = [event("progress", phase=phase, result=verdict_json(rows))]
+    if survey_frames:
+        fresh, comes = F.col("frames_before") == 0, surveyed & (F.col("frames_before") < survey_frames)
+        events += [F.when(fresh, event("meta", result=F.to_json(F.struct("duration_ms")))), F.when(fresh, event("phase", phase=F.lit("survey"))), F.when(comes, event("phase", phase=F.lit("refine")))]
+    return rows.select("video_id", F.explode(F.array_compact(F.array(*events))).alias("event"))
+
+
+def start(stream: DataFrame, policy: Policy, folder: str, every: str | None = None, survey_frames: int | None = None):
     """Publish verdicts under folder: every so often ('100 milliseconds'), or until the stream is drained. stop() cancels; a new start goes on.
 
-    Every micro-batch also writes its events: 'progress' per video that changed, with the verdict as its result.
+    Every micro-batch also writes its events: 'progress' per video that changed, with the verdict as its result. With survey_frames,
+    the events before the first batch say that the model is ready, and videos tell their 'meta' and the 'phase' that they come to.
     """
+    spark = stream.sparkSession
+    with_state_store(spark)
 
     def publish(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/published/number={number}")
-        stored = batch.sparkSession.read.parquet(f"{folder}/published/number={number}")
-        told = stored.select("video_id", event("progress", phase=F.lit("survey"), result=verdict_json(stored)).alias("event"))
-        told.select(F.lit(number).cast("long").alias("batch"), "video_id", "event.*").write.mode("overwrite").parquet(f"{folder}/events/part={number:09d}")
-
-    with_state_store(stream.sparkSession)
-    writer = snapshots(stream, policy).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(publish)
+        stored = spark.read.parquet(f"{folder}/published/number={number}")
+        _told(stored, survey_frames).select(F.lit(number).cast("long").alias("batch"), "video_id", "event.*").write.mode("overwrite").parquet(f"{folder}/events/part={number:09d}")
+
+    if survey_frames:
+        opening = F.explode(F.array(event("phase", phase=F.lit("loading")), event("model-ready", message=F.lit(policy.id)))).alias("event")
+        first = spark.range(1).select(F.lit(-1).cast("long").alias("batch"), F.lit(None).cast("long").alias("video_id"), opening)
+        first.select("batch", "video_id", "event.*").write.mode("overwrite").parquet(f"{folder}/events/part=first")
+    columns = (*SNAPSHOT, "frames_before", "duration_ms")
+    writer = _judged(stream, policy).select(*columns).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(publish)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -85,7 +107,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 def published(spark: SparkSession, folder: str) -> DataFrame:
     """The last verdict of every video."""
-    return latest(spark.read.parquet(f"{folder}/published").drop("number"), "video_id", "batch").drop("batch")
+    return latest(spark.read.parquet(f"{folder}/published").select(*SNAPSHOT, "batch"), "video_id", "batch").drop("batch")
 
 
 def run(spark: SparkSession, stream: DataFrame, policy: Policy, folder: str | None = None) -> DataFrame:

@@ -152,7 +152,7 @@ class VerdictProcessor(StatefulProcessor):
     """Rows (ts_ms, arrival, score, duration_ms) of a video -> what its verdict rests on, in one row whenever it changed."""
 
     #: After the key.
-    OUT = "n_frames long, max_score double, topk_mean double, independent long, coverage double"
+    OUT = "n_frames long, max_score double, topk_mean double, independent long, coverage double, frames_before long, duration_ms long"
 
     def __init__(self, policy: Policy):
         self.policy = policy
@@ -161,22 +161,22 @@ class VerdictProcessor(StatefulProcessor):
         frames, nodes = handle.getMapState("frames", "bucket long", FRAMES), handle.getMapState("nodes", "level int, number long", NODE)
         self.frames = _Kept(frames, lambda rows: tuple(map(list, zip(*rows, strict=True))), lambda v: list(zip(*v, strict=True)))
         self.nodes = _Kept(nodes, lambda parts: ([(child, *p) for child, p in parts],), lambda v: [(p[0], Part(*p[1:])) for p in v[0]])
-        self.video = handle.getValueState("video", "duration long, top int")
+        self.video = handle.getValueState("video", "duration long, top int, frames long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        duration, top = self.video.get() or (None, 0)
+        duration, top, before = self.video.get() or (None, 0, 0)
         line, taken = Timeline(self.frames, self.nodes, self.policy.frame_threshold, top), []
         for r in rows:
             taken.append((r["ts_ms"], r["arrival"], r["score"]))
             if r["duration_ms"] is not None and (duration is None or r["duration_ms"] > duration):
                 duration = r["duration_ms"]
         line.add(taken)
-        self.video.update((duration, line.top))
+        self.video.update((duration, line.top, line.whole.n))
         best = line.whole.best
         # more of them change neither a verdict nor its confidence
         some = line.independent(self.policy.gap_ms, max(2, self.policy.min_flagged))
         mean = sum(best) / len(best) if best else None
-        yield Row(video_id=key[0], n_frames=line.whole.n, max_score=best[0] if best else 0.0, topk_mean=mean, independent=some, coverage=line.coverage(duration or 0))
+        yield Row(video_id=key[0], n_frames=line.whole.n, max_score=best[0] if best else 0.0, topk_mean=mean, independent=some, coverage=line.coverage(duration or 0), frames_before=before, duration_ms=duration)
 
     def close(self) -> None:
         pass
