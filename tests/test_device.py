@@ -105,15 +105,6 @@ def test_probe(value):
     assert [value(device.probe_result(d(None), F.lit(r))).kind for r in ("ok", "tainted", "failed")] == ["live", "cors", "decode"]
 
 
-def test_outcome_and_first_verdict(spark):
-    from tidemark.operators import metrics
-
-    log = "video_id long, survey boolean, status string, duplicate boolean, stop string, elapsed_ms double"
-    rows = spark.createDataFrame([(1, True, "failed", False, "complete", 1.0), (2, True, "inferred", False, "frame-budget", 2.0), (2, False, "inferred", False, "frame-budget", 5.0)], log)
-    assert {r.video_id: r.status for r in metrics.outcome(rows).collect()} == {1: "no-frames", 2: "frame-budget"}
-    assert {r.video_id: r.first_verdict_ms for r in metrics.first_verdict(rows).collect()} == {1: 1.0, 2: 2.0}
-
-
 def test_notes_and_gap(value):
     b = F.lit
     assert value(device.usable_probe(F.lit(None).cast("boolean"))) is False
