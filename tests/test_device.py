@@ -90,6 +90,12 @@ def test_formats(value, make, given, expected):
     assert value(getattr(formats, make)(F.lit(given))) == expected
 
 
+def test_tenths_of_seconds_are_rounded_as_in_sql(spark):
+    """Ties go to even, and what only looks like one is rounded by the double itself, at every ms below a minute."""
+    got = spark.range(60_000).select("id", formats.timestamp(F.col("id")).alias("x")).collect()
+    assert [r for r in got if r.x != f"0:{r.id / 1000:.1f}"] == []
+
+
 def test_crops(value):
     assert value(device.crops(F.lit(640), F.lit(360), "centerCrop"))[0].x == 140
     assert [c.x for c in value(device.crops(F.lit(640), F.lit(360), "multiCrop"))] == [0, 280]

@@ -9,13 +9,16 @@ from tidemark.functions.scoring import half_up
 
 
 def timestamp(ms: Column) -> Column:
-    """h:mm:ss, m:ss or 0:ss.s; negative or infinite times are 0:00."""
+    """h:mm:ss, m:ss or 0:ss.s; negative or infinite times are 0:00.
+
+    Tenths are rounded from the double itself, ties to even, as in C; format_string would round its shortest decimals, ties up.
+    """
     total = ms / 1000.0
     hours = F.floor(total / 3600).cast("long")
     minutes = F.floor((total - hours * 3600) / 60).cast("long")
     seconds = total - F.floor(total / 60) * 60
     whole = F.lpad(F.floor(seconds).cast("string"), 2, "0")
-    fine = F.format_string("%.1f", seconds)
+    fine = F.format_number(seconds, 1)
     return (
         F.when(ms.isNull() | F.isnan(ms.cast("double")) | (F.abs(ms.cast("double")) == float("inf")) | (ms < 0), "0:00")
         .when(hours > 0, F.concat_ws(":", hours, F.lpad(minutes.cast("string"), 2, "0"), whole))
