@@ -181,3 +181,12 @@ def test_frames_are_shuffled_once(spark, tmp_path):
     laid = spark.createDataFrame([(1, t) for t in range(0, 60_000, 250)], "video_id long, ts_ms long")
     plan = sampling.served(laid, table)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 2 and plan.count("hashpartitioning(video_id") == 3  # bucket ends by bucket, then by video; rows by bucket
+
+
+def test_work_follows_the_budget_and_not_the_duration(spark):
+    """A video of 35 years: what is looked up are the requests that its budget allows, not all halvings that could be asked for."""
+    table = frames(spark, [(0, 0.1), (2**38, 0.9), (2**39, 0.2)])
+    got = sampling.selected(videos(spark, 2**40), table, MEDIUM).collect()
+    assert len(got) == 120 and max(r.level for r in got) < 40
+    want, _ = best_first(2**40, {r.ts_ms: r.score for r in got if not r.level}, {0: 0.1, 2**38: 0.9, 2**39: 0.2}, MEDIUM)
+    assert [r.ts_ms for r in sorted(got, key=lambda r: r.place or 0) if r.level] == want

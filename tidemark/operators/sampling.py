@@ -1,12 +1,12 @@
 """Which times of a video to look at: an even survey, then halves of the widest and most suspicious intervals.
 
 Refinement is a tree of halved intervals per video. An interval's rank is the suspicion of its ends times the logarithm of its
-width, and none is halved before the interval that it came from. So the first n halvings of a video, best first, are the n
-of the highest bottleneck: the least rank on the way from the survey down to the interval. That is a ranking of rows.
+width, and none is halved before the interval that it came from: its rank is the least on the way down from the survey. So
+halvings are asked for in the order of rank, best first, and the order doesn't depend on what is asked for later.
 
-Where an interval is halved depends on its ends and on keyframes, not on scores. So all halvings that could be asked for are
-laid out first, at most one for each shortest gap of a video, and answered together with the survey: the frames are shuffled
-once, whatever the depth. Then ranks go down each survey interval's tree, and each video keeps its best.
+Every request depends on the answers to those before it. So a video's length, keyframes, frames and survey requests meet once,
+in one shuffle, and stream past in the order of video and time; a task looks up only the frames that the video's budget asks for.
+It holds one video at a time: 17 bytes for each of its frames, of which there is at most one a millisecond.
 
 A request whose frame could not be read (its score is null) fails: a survey's is no end of an interval, and a halving's two
 halves keep the score of the end that they have. Neither counts as a frame.
@@ -16,23 +16,23 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.constants import BASE_PRIORITY, Budget
 from tidemark.functions.scoring import half_up
-from tidemark.operators.buckets import bucket_of
 from tidemark.operators.lookups import as_of, snapped
-from tidemark.shared import cut
 
-#: Times are below 2 ** TIME_BITS ms, so that a batch's interval and a time are one number.
-TIME_BITS = 46
-#: Halvings that a task lays out at once, about.
-NODES = 1 << 18
+#: What the rows of a video are, in their order: its length, keyframes, frames, and requests without and with an answer.
+LENGTH, KEYFRAME, FRAME, ASKED, ANSWERED = range(5)
+#: Rows that a task hands on at once, about.
+ROWS = 20_000
 
 
 def cells(videos: DataFrame, budget: Budget) -> DataFrame:
@@ -52,207 +52,135 @@ def survey(videos: DataFrame, budget: Budget, keyframes: DataFrame | None = None
     return snapped(asked, keyframes).select("video_id", "slot", "ts_ms", "on_keyframe")
 
 
-def served(requests: DataFrame, frames: DataFrame, videos: DataFrame | None = None) -> DataFrame:
-    """requests (video_id, ts_ms) with served_ms and score of the frame (video_id, ts_ms, score) that answers each.
-
-    videos (video_id, duration_ms): requests are of these and within them, and needn't be read to know their time buckets.
-    """
-    asked = None
-    if videos is not None:
-        asked = videos.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), bucket_of(F.greatest(F.lit(0), F.col("duration_ms"))))).alias("_b"))
-    return as_of(requests, frames, "video_id", "ts_ms", "ts_ms", "served_ms", also=("score",), asked=asked)
-
-
-def _edges(answers: DataFrame, videos: DataFrame) -> DataFrame:
-    """video_id, a, b, score_a, score_b: between neighbouring answers, and from them to the ends of the video, which have the score of the nearest answer."""
-    order = Window.partitionBy("video_id").orderBy("ts_ms")
-    rows = answers.select("video_id", "ts_ms", "score").join(videos.select("video_id", "duration_ms"), "video_id")
-    rows = rows.withColumn("before", F.lag(F.struct("ts_ms", "score")).over(order)).withColumn("last", F.lead("ts_ms").over(order).isNull())
-    own, score = F.col("ts_ms").cast("long"), F.col("score")
-    between = F.struct(F.coalesce(F.col("before.ts_ms"), F.lit(0)).cast("long").alias("a"), own.alias("b"), F.coalesce("before.score", "score").alias("score_a"), score.alias("score_b"))
-    behind = F.struct(own.alias("a"), F.col("duration_ms").cast("long").alias("b"), score.alias("score_a"), score.alias("score_b"))
-    return rows.select("video_id", F.explode(F.when(F.col("last"), F.array(between, behind)).otherwise(F.array(between))).alias("x")).select("video_id", "x.*")
+def served(requests: DataFrame, frames: DataFrame) -> DataFrame:
+    """requests (video_id, ts_ms) with served_ms and score of the frame (video_id, ts_ms, score) that answers each."""
+    return as_of(requests, frames, "video_id", "ts_ms", "ts_ms", "served_ms", also=("score",))
 
 
-def _inside(edges: DataFrame, points: DataFrame, ts: str, out: str) -> DataFrame:
-    """edges with the array out: the times of points (video_id, ts) strictly inside each."""
-    placed = as_of(points.select("video_id", ts).distinct(), edges.select("video_id", "a", "b"), "video_id", ts, "a", "a", also=("b",))
-    held = placed.where((F.col(ts) > F.col("a")) & (F.col(ts) < F.col("b"))).groupBy("video_id", "a").agg(F.array_sort(F.collect_list(F.col(ts).cast("long"))).alias(out))
-    return edges.join(held, ["video_id", "a"], "left").withColumn(out, F.coalesce(out, F.array().cast("array<long>")))
+def best_first(duration: int, answers: Sequence[tuple], keys: Sequence[int], answer: Callable[[int], tuple], budget: Budget) -> Iterator[tuple]:
+    """The requests that follow a survey's answers (ts, score), best first: place (from 1), ts, level (from 1), priority, on_keyframe, served_ms, score.
 
-
-def halvings(edges: DataFrame, budget: Budget, keyframes: DataFrame | None = None, requested: DataFrame | None = None) -> DataFrame:
-    """edges (video_id, a, b) -> video_id, top (a of the edge), path, ts_ms, on_keyframe: every halving that refinement may ask for.
-
-    requested (video_id, ts_ms): times inside edges that have been asked for before. An interval narrower than two gaps isn't
-    halved. Its middle is the keyframe nearest to it within a quarter of its width that wasn't asked for, else its middle, rounded.
-    path: 1 for an edge, then 2 path and 2 path + 1 for the left and the right half.
+    Of equal ranks the upper level is first, then the earlier interval. An interval narrower than two gaps isn't halved. Its
+    middle is the keyframe (of keys, rising) nearest to it within a quarter of its width that no failed request of the survey
+    had, else its middle, rounded.
     """
-    gap, kind = budget.min_gap_ms, edges.schema["video_id"].dataType.simpleString()
-    rows = edges.select("video_id", "a", "b").where(F.col("b") - F.col("a") >= 2 * gap)
-    none = F.array().cast("array<long>")
-    if keyframes is None:
-        rows = rows.withColumns({"keys": none, "beyond": F.lit(False)})
-    else:
-        latest = keyframes.groupBy("video_id").agg(F.max("kf_ms").alias("latest"))
-        rows = _inside(rows, keyframes, "kf_ms", "keys").join(latest, "video_id", "left").withColumn("beyond", F.coalesce(F.col("latest") >= F.col("b"), F.lit(False)))
-    rows = rows.withColumn("taken", none) if requested is None else _inside(rows, requested, "ts_ms", "taken")
-
-    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Slices of a batch that have about NODES halvings each."""
-        size = np.cumsum((batch.column("b").to_numpy() - batch.column("a").to_numpy()) // gap) // NODES
-        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1), batch.num_rows]
-        yield from (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
+    gap, waiting, place = budget.min_gap_ms, [], 0
+    sound, failed = [x for x in answers if x[1] is not None], {t for t, score in answers if score is None}
+    room = budget.max_frames - len(sound)
+
+    def wait(a: int, b: int, x: float, y: float, bound: float, level: int) -> None:
+        if b - a >= 2 * gap:
+            rank = math.floor((BASE_PRIORITY + (x if x > y else y)) * math.log2(1 + (b - a) / gap) * 1e9 + 0.5) / 1e9
+            heapq.heappush(waiting, (-min(bound, rank), level, a, b, x, y))
+
+    ends = [(0, sound[0][1]), *sound, (duration, sound[-1][1])] if sound else []
+    for (a, x), (b, y) in zip(ends, ends[1:], strict=False):
+        wait(a, b, x, y, math.inf, 1)
+    while waiting and room > 0:
+        rank, level, a, b, x, y = heapq.heappop(waiting)
+        own = ts = (a + b + 1) // 2
+        if keys:
+            middle, reach = (a + b) / 2, (b - a) / 4
+            at = min(bisect_left(keys, own), len(keys) - 1)  # behind all keyframes the last two are asked
+            near = [(abs(k - middle), k) for k in keys[max(0, at - 1) : at + 2] if abs(k - middle) <= reach and k not in failed]
+            ts = min(near)[1] if near else own
+        if ts in failed:
+            continue
+        when, score = answer(ts)
+        place, room = place + 1, room - (score is not None)
+        yield place, ts, level, -rank, ts != own, when, score
+        wait(a, ts, x, x if score is None else score, -rank, level + 1)
+        wait(ts, b, y if score is None else score, y, -rank, level + 1)
+
+
+def _by_video(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Each video of a stream in the order of videos: its id with the type, and its columns as arrays."""
+    held, parts = None, []
+    for batch in batches:
+        score = batch.column("score")
+        columns = [batch.column("side").to_numpy(), batch.column("ts_ms").to_numpy(), score.to_numpy(zero_copy_only=False), score.is_null().to_numpy(zero_copy_only=False), batch.column("on_keyframe").to_numpy(zero_copy_only=False)]
+        runs, begin = pc.run_end_encode(batch.column("video_id")), 0
+        for end, video in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+            if parts and video != held[0]:
+                yield held, [np.concatenate(c) for c in zip(*parts, strict=True)]
+                parts = []
+            held = video, batch.schema.field("video_id").type
+            parts.append([c[begin:end] for c in columns])
+            begin = end
+    if parts:
+        yield held, [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def _requests(side: np.ndarray, ts: np.ndarray, score: np.ndarray, unread: np.ndarray, on_keyframe: np.ndarray, budget: Budget) -> Iterator[tuple]:
+    """The requests of one video, whose rows are in the order of side and time: those of the survey that have no answer yet (level 0), then `best_first`."""
+    cuts = np.searchsorted(side, np.arange(ANSWERED + 2)).tolist()
+    of = [slice(i, j) for i, j in zip(cuts, cuts[1:], strict=False)]
+    times, scores, lost = (memoryview(np.ascontiguousarray(c[of[FRAME]])) for c in (ts, score, unread))
+
+    def answer(t: int) -> tuple:
+        if not len(times):
+            return None, None
+        at = max(0, bisect_right(times, t) - 1)
+        return times[at], None if lost[at] else scores[at]
+
+    answers = [(t, None if null else x) for t, x, null in zip(ts[of[ANSWERED]].tolist(), score[of[ANSWERED]].tolist(), unread[of[ANSWERED]].tolist(), strict=True)]
+    for t, key in zip(ts[of[ASKED]].tolist(), on_keyframe[of[ASKED]].tolist(), strict=True):
+        found = answer(t)
+        answers.append((t, found[1]))
+        yield None, t, 0, None, key, *found
+    if cuts[LENGTH] < cuts[KEYFRAME]:
+        yield from best_first(int(ts[0]), answers, np.unique(ts[of[KEYFRAME]]).tolist(), answer, budget)
+
+
+def _searched(videos: DataFrame, requests: DataFrame, frames: DataFrame, budget: Budget, keyframes: DataFrame | None) -> DataFrame:
+    """What `_requests` gives for each video, with video_id; requests: video_id, side, ts_ms, score, on_keyframe."""
+    kind = videos.schema["video_id"].dataType.simpleString()
+
+    def rows(of: DataFrame, side: int, ts: str) -> DataFrame:
+        own = F.col("score").cast("double") if side == FRAME else F.lit(None).cast("double")
+        return of.where(F.col(ts).isNotNull()).select("video_id", F.lit(side).alias("side"), F.col(ts).cast("long").alias("ts_ms"), own.alias("score"), F.lit(False).alias("on_keyframe"))
+
+    laid = rows(videos, LENGTH, "duration_ms").unionByName(rows(frames, FRAME, "ts_ms")).unionByName(requests)
+    if keyframes is not None:
+        laid = laid.unionByName(rows(keyframes, KEYFRAME, "kf_ms"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in parts(whole)):
-            video, (a, b), beyond = batch.column(0), (batch.column(c).to_numpy() for c in ("a", "b")), batch.column("beyond").to_numpy(zero_copy_only=False)
-            top, at, path = a, np.arange(batch.num_rows), np.ones(batch.num_rows, dtype=np.int64)
-            # of each edge its times, all of them as one rising sequence
-            lists = {c: (np.asarray(batch.column(c).value_lengths()), np.asarray(batch.column(c).flatten())) for c in ("keys", "taken")}
-            ends = np.cumsum(lists["keys"][0])
-            keys, taken = ((np.repeat(at, size) << TIME_BITS) + times for size, times in lists.values())
-            while True:
-                wide = b - a >= 2 * gap
-                a, b, at, path = a[wide], b[wide], at[wide], path[wide]
-                if not len(a):
-                    break
-                middle, own = (a + b) / 2, (a + b + 1) // 2
-                chosen = own
-                if len(keys):
-                    low, high = ends[at] - lists["keys"][0][at], ends[at]
-                    place = np.searchsorted(keys, (at << TIME_BITS) + own)
-                    place = np.where((place == high) & ~beyond[at], high - 1, place)  # behind all keyframes the last two are asked
-                    near = place[:, None] + np.array([-1, 0, 1])
-                    given = keys[np.clip(near, 0, len(keys) - 1)]
-                    far = np.abs((given & ((1 << TIME_BITS) - 1)) - middle[:, None])
-                    good = (near >= low[:, None]) & (near < high[:, None]) & (far <= (b - a)[:, None] / 4) & ~np.isin(given, taken)
-                    best = np.where(good, far, np.inf).argmin(axis=1)
-                    pick = np.arange(len(a)), best
-                    chosen = np.where(good[pick], given[pick] & ((1 << TIME_BITS) - 1), own)
-                free = ~np.isin((at << TIME_BITS) + chosen, taken)
-                a, b, at, path, chosen, own = (x[free] for x in (a, b, at, path, chosen, own))
-                columns = [pa.array(x) for x in (top[at], path, chosen, chosen != own)]
-                yield pa.RecordBatch.from_arrays([video.take(pa.array(at)), *columns], ["video_id", "top", "path", "ts_ms", "on_keyframe"])
-                a, b = np.concatenate([a, chosen]), np.concatenate([chosen, b])
-                at, path = np.concatenate([at, at]), np.concatenate([2 * path, 2 * path + 1])
-
-    return rows.select("video_id", "a", "b", "keys", "beyond", "taken").mapInArrow(task, f"video_id {kind}, top long, path long, ts_ms long, on_keyframe boolean")
-
-
-class Best:
-    """The first halvings of a video, best first, until `room` of them have been answered: higher rank, then the upper level, then the earlier interval."""
-
-    def __init__(self, room: int):
-        self.room = room
-        self.sound: list[tuple] = []  # a heap with the last of them on top
-        self.failed: list[tuple] = []
-
-    def take(self, key: tuple, row: tuple, sound: bool) -> None:
-        if not sound:
-            self.failed.append((key, row))
-        elif len(self.sound) < self.room:
-            heapq.heappush(self.sound, (key, row))
-        elif self.room and key > self.sound[0][0]:
-            heapq.heapreplace(self.sound, (key, row))
-
-    def rows(self) -> list[tuple]:
-        last = self.sound[0][0] if len(self.sound) == self.room and self.sound else None
-        failed = [x for x in self.failed if last is None or x[0] > last] if self.room else []
-        return [row for _, row in sorted(self.sound + failed, key=lambda x: x[0], reverse=True)]
-
-
-def ranked(answered: DataFrame, edges: DataFrame, room: DataFrame, budget: Budget) -> DataFrame:
-    """The halvings (with served_ms, score) that are asked for, best first: video_id, place (from 1), ts_ms, level (from 1), priority, on_keyframe, served_ms, score.
-
-    edges: with the scores of their ends; room: video_id, room: so many frames may still be recorded. A video's trees stream past
-    from their tops down; besides the level that is open only its best halvings are held.
-    """
-    gap, kind = float(budget.min_gap_ms), edges.schema["video_id"].dataType.simpleString()
-    names = ("video_id", "top", "path", "ts_ms", "on_keyframe", "served_ms", "score")
-    heads = edges.join(room, "video_id").select("video_id", F.col("a").alias("top"), F.lit(0).cast("long").alias("path"), "b", "score_a", "score_b", "room")
-    laid = answered.select(*names).unionByName(heads, allowMissingColumns=True)
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.float64())
+        done: list[tuple] = []
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends: dict[int, tuple] = {}
-        video = best = None
-        none = object()
-        at, done = none, []
-
-        def out() -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.float64())
-            made = pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], id_type), *(pa.array(c, k) for c, k in zip(list(zip(*done, strict=True))[1:], kinds, strict=True))], ["video_id", "place", "ts_ms", "level", "priority", "on_keyframe", "served_ms", "score"])
+        def out(id_type: pa.DataType) -> pa.RecordBatch:
+            columns = zip(zip(*done, strict=True), (id_type, *kinds), strict=True)
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["video_id", "place", "ts_ms", "level", "priority", "on_keyframe", "served_ms", "score"])
             done.clear()
             return made
 
-        for batch in batches:
-            id_type = batch.schema.field("video_id").type
-            columns = (batch.column(c).to_pylist() for c in (*names, "b", "score_a", "score_b", "room"))
-            for video, top, path, ts, key, when, score, b, score_a, score_b, room_left in zip(*columns, strict=True):
-                if video != at:
-                    if best:
-                        done += [(at, k, *row) for k, row in enumerate(best.rows(), 1)]
-                    at, best, ends = video, None, {}
-                    if len(done) > 20_000:
-                        yield out()
-                if path == 0:
-                    best = best or Best(room_left)
-                    ends = {1: (score_a, score_b, math.inf, top, b)}
-                    continue
-                own = ends.pop(path, None)
-                if own is None:  # of an edge that isn't asked about
-                    continue
-                x, y, bound, a, b = own
-                rank = min(bound, math.floor((BASE_PRIORITY + (x if x > y else y)) * math.log2(1 + (b - a) / gap) * 1e9 + 0.5) / 1e9)
-                ends[2 * path] = (x, x if score is None else score, rank, a, ts)
-                ends[2 * path + 1] = (y if score is None else score, y, rank, ts, b)
-                level = path.bit_length()
-                best.take((rank, -level, -a), (ts, level, rank, key, when, score), score is not None)
-        if best:
-            done += [(at, k, *row) for k, row in enumerate(best.rows(), 1)]
+        id_type = None
+        for (video, id_type), columns in _by_video(batches):
+            done += [(video, *row) for row in _requests(*columns, budget)]
+            if len(done) > ROWS:
+                yield out(id_type)
         if done:
-            yield out()
-
-    trees = laid.repartition("video_id").sortWithinPartitions("video_id", "top", "path")
-    return trees.mapInArrow(task, f"video_id {kind}, place int, ts_ms long, level int, priority double, on_keyframe boolean, served_ms long, score double")
+            yield out(id_type)
 
-
-def _room(answers: DataFrame, budget: Budget) -> DataFrame:
-    return answers.groupBy("video_id").agg(F.greatest(F.lit(0), F.lit(budget.max_frames) - F.count("*")).alias("room"))
+    whole = laid.repartition("video_id").sortWithinPartitions("video_id", "side", "ts_ms")
+    return whole.mapInArrow(task, f"video_id {kind}, place int, ts_ms long, level int, priority double, on_keyframe boolean, served_ms long, score double")
 
 
 def refine(videos: DataFrame, answers: DataFrame, frames: DataFrame, budget: Budget, keyframes: DataFrame | None = None) -> DataFrame:
-    """The requests that follow a survey's answers (video_id, ts_ms, score), up to the frame budget of every video, as of `ranked`.
+    """The requests that follow a survey's answers (video_id, ts_ms, score), up to the frame budget of every video, as of `selected`.
 
     videos: video_id, duration_ms; frames: video_id, ts_ms, score, by which requests are answered; keyframes: video_id, kf_ms.
     """
-    sound, failed = answers.where("score IS NOT NULL"), answers.where("score IS NULL")
-    edges = cut(_edges(sound, videos))
-    answered = served(halvings(edges, budget, keyframes, failed.select("video_id", "ts_ms")), frames, videos)
-    return ranked(answered, edges, _room(sound, budget), budget)
+    given = answers.select("video_id", F.lit(ANSWERED).alias("side"), F.col("ts_ms").cast("long").alias("ts_ms"), F.col("score").cast("double").alias("score"), F.lit(False).alias("on_keyframe"))
+    return _searched(videos, given, frames, budget, keyframes)
 
 
 def selected(videos: DataFrame, frames: DataFrame, budget: Budget, keyframes: DataFrame | None = None) -> DataFrame:
-    """All requests of survey (level 0) and refinement: video_id, place (null in the survey), ts_ms, level, priority, on_keyframe, served_ms, score.
-
-    Survey and halvings are answered in one shuffle of the frames. Only videos of which a survey request failed have other
-    intervals than were laid out: those are laid out and answered again.
-    """
+    """All requests of survey (level 0) and refinement: video_id, place (null in the survey), ts_ms, level, priority, on_keyframe, served_ms, score."""
     asked = survey(videos, budget, keyframes)
-    asked = cut(asked if keyframes is not None else asked.withColumn("on_keyframe", F.lit(False)))
-    edges = _edges(asked.withColumn("score", F.lit(0.0)), videos)
-    laid = halvings(edges, budget, keyframes).unionByName(asked.select("video_id", "ts_ms", "on_keyframe"), allowMissingColumns=True)
-    answered = cut(served(laid, frames, videos))
-    first, tree = answered.where("path IS NULL").withColumn("level", F.lit(0)), answered.where("path IS NOT NULL")
-    sound = first.where("score IS NOT NULL")
-    edges = cut(_edges(sound, videos))
-    failed = first.where("score IS NULL").select("video_id", "ts_ms")
-    if not failed.isEmpty():
-        of = failed.select("video_id").distinct()
-        again = halvings(edges.join(of, "video_id", "left_semi"), budget, keyframes, failed)
-        tree = tree.join(of, "video_id", "left_anti").unionByName(served(again, frames.join(of, "video_id", "left_semi"), videos.join(of, "video_id", "left_semi")))
-    refined = ranked(tree, edges, _room(sound, budget), budget)
-    return first.select("video_id", F.lit(None).cast("int").alias("place"), "ts_ms", "level", F.lit(None).cast("double").alias("priority"), "on_keyframe", "served_ms", "score").unionByName(refined)
+    key = F.lit(False) if keyframes is None else F.col("on_keyframe")
+    asked = asked.select("video_id", F.lit(ASKED).alias("side"), F.col("ts_ms").cast("long").alias("ts_ms"), F.lit(None).cast("double").alias("score"), key.alias("on_keyframe"))
+    return _searched(videos, asked, frames, budget, keyframes)
 
 
 def request_stats(requests: DataFrame) -> DataFrame:
