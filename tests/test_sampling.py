@@ -2,9 +2,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.constants import BUDGETS, Budget
-from tidemark.operators import lookups, sampling
+from tidemark.constants import BUDGETS, POLICIES, Budget
+from tidemark.operators import lookups, sampling, temporal
 
 MEDIUM = BUDGETS["medium"]
 
@@ -190,3 +191,16 @@ def test_work_follows_the_budget_and_not_the_duration(spark):
     assert len(got) == 120 and max(r.level for r in got) < 40
     want, _ = best_first(2**40, {r.ts_ms: r.score for r in got if not r.level}, {0: 0.1, 2**38: 0.9, 2**39: 0.2}, MEDIUM)
     assert [r.ts_ms for r in sorted(got, key=lambda r: r.place or 0) if r.level] == want
+
+
+def test_a_selected_verdict_stores_no_halvings(spark, tmp_path):
+    """From the frames to the verdicts it is one plan with one pass of Python; nothing that grows with a video's length is written on the way."""
+    rows = [(v, t, 0.9 if t == 30_000 else 0.1, 60_000) for v in range(3) for t in range(0, 60_000, 500)]
+    spark.createDataFrame(rows, "video_id long, ts_ms long, score double, duration_ms long").write.parquet(str(tmp_path / "frames"))
+    table = spark.read.parquet(str(tmp_path / "frames"))
+    of = table.select("video_id", "duration_ms").distinct()
+    chosen = sampling.selected(of, table, MEDIUM).select("video_id", F.col("served_ms").alias("ts_ms"), "score", F.lit(60_000).cast("long").alias("duration_ms")).distinct()
+    made = temporal.verdicts(chosen, POLICIES["balanced"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ExistingRDD" not in plan
+    assert [(r.max_score, r.independent) for r in made.collect()] == [(0.9, 1)] * 3
