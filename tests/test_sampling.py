@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import BUDGETS, POLICIES, Budget
@@ -204,3 +205,30 @@ def test_a_selected_verdict_stores_no_halvings(spark, tmp_path):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "ExistingRDD" not in plan
     assert [(r.max_score, r.independent) for r in made.collect()] == [(0.9, 1)] * 3
+
+
+def test_inputs_that_are_dealt_by_video_meet(spark):
+    """Frames and lengths that come dealt by video are dealt together again: adaptive execution merges the partitions of each on its own."""
+    rows = spark.range(0, 60_000).select((F.col("id") % 3000).alias("video_id"), (F.col("id") * 7919 % 60_000).alias("ts_ms"), (F.col("id") % 10 / 10).alias("score"))
+    of = rows.groupBy("video_id").agg((F.max("ts_ms") + 1).alias("duration_ms"))
+    dealt = rows.repartition("video_id").withColumn("n", F.row_number().over(Window.partitionBy("video_id", "ts_ms").orderBy("score"))).where("n = 1").drop("n")
+    made = sampling.request_stats(sampling.selected(of, dealt, MEDIUM))
+    assert "xxhash64" in made._jdf.queryExecution().executedPlan().toString()
+    got = made.agg(F.count("*").alias("videos"), F.sum("failed").alias("failed"), F.min("frames").alias("frames")).first()
+    assert got.videos == 3000 and got.failed == 0 and got.frames > 1
+
+
+def test_long_videos_with_keyframes_and_lost_frames(spark):
+    """35 years with keyframes near the middles and frames that can't be read: the same requests as one after the other."""
+    r, plain, keys, rows = random.Random(7), [(1, 2**40), (2, 2**40 - 12_345)], {}, {}
+    for v, duration in plain:
+        keys[v] = sorted({int(duration * k / 512 + r.uniform(-1e8, 1e8)) for k in range(1, 512)})
+        rows[v] = {t: None if r.random() < 0.3 else round(r.random(), 3) for t in r.sample(range(duration), 200)}
+    table = spark.createDataFrame(plain, "video_id long, duration_ms long")
+    table_of = spark.createDataFrame([(v, t, s) for v in rows for t, s in rows[v].items()], "video_id long, ts_ms long, score double")
+    kfs = spark.createDataFrame([(v, k) for v in keys for k in keys[v]], "video_id long, kf_ms long")
+    got = sampling.selected(table, table_of, MEDIUM, kfs).collect()
+    for v, duration in plain:
+        want = sampled(duration, MEDIUM, keys[v], rows[v])
+        assert sorted((x.ts_ms, x.on_keyframe, x.level) for x in got if x.video_id == v) == sorted(want)
+        assert any(level and on for _, on, level in want) and any(x.score is None for x in got if x.video_id == v)

@@ -162,7 +162,8 @@ def _searched(videos: DataFrame, requests: DataFrame, frames: DataFrame, budget:
         if done:
             yield out(id_type)
 
-    whole = laid.repartition("video_id").sortWithinPartitions("video_id", "side", "ts_ms")
+    # by a hash of the video: where all inputs are dealt by video already, Spark leaves out a repartition by it, and then merges their partitions one by one
+    whole = laid.repartition(F.xxhash64("video_id")).sortWithinPartitions("video_id", "side", "ts_ms")
     return whole.mapInArrow(task, f"video_id {kind}, place int, ts_ms long, level int, priority double, on_keyframe boolean, served_ms long, score double")
 
 
