@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -232,3 +233,32 @@ def test_long_videos_with_keyframes_and_lost_frames(spark):
         want = sampled(duration, MEDIUM, keys[v], rows[v])
         assert sorted((x.ts_ms, x.on_keyframe, x.level) for x in got if x.video_id == v) == sorted(want)
         assert any(level and on for _, on, level in want) and any(x.score is None for x in got if x.video_id == v)
+
+
+def test_keyframes_meet_frames_in_one_shuffle_and_videos_go_on_together(spark, tmp_path, monkeypatch):
+    """With keyframes too the survey belongs to the step of refinement: one exchange, no window. And there a step is one of all videos of a task."""
+    rows = [(v, t, v % 7 / 10 + t % 3 / 10) for v in range(300) for t in range(v, 60_000, 3000)]
+    for name, made in {"frames": spark.createDataFrame(rows, "video_id long, ts_ms long, score double"), "keys": spark.createDataFrame([(v, t + 40) for v, t, _ in rows[::4]], "video_id long, kf_ms long")}.items():
+        made.write.parquet(str(tmp_path / name))
+    table, keys = (spark.read.parquet(str(tmp_path / name)) for name in ("frames", "keys"))
+    made = sampling.selected(spark.range(300).select(F.col("id").alias("video_id"), F.lit(60_000).alias("duration_ms")), table, MEDIUM, keys)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+    laid = sorted([(v, sampling.LENGTH, 60_000, None) for v in range(300)] + [(v, sampling.KEYFRAME, r.kf_ms, None) for r in keys.collect() for v in [r.video_id]] + [(v, sampling.FRAME, t, s) for v, t, s in rows], key=lambda x: x[:3])
+    calls = []
+    ranks = sampling.ranks
+    monkeypatch.setattr(sampling, "ranks", lambda *a: calls.append(1) or ranks(*a))
+    group = pa.table(dict(zip(["video_id", "side", "ts_ms", "score"], map(list, zip(*laid, strict=True)), strict=True)))
+    got = sampling._requests(group, MEDIUM, True)
+    assert len(calls) < 20 and len(got["ts_ms"]) == made.count() > 300 * 100
+
+
+@pytest.mark.parametrize("batch", [1, 37, 1000])
+def test_videos_are_never_cut_apart(batch, monkeypatch):
+    """Whatever the batches, a group has whole videos, and no more rows than its bound, one video and a batch."""
+    monkeypatch.setattr(sampling, "ROWS", 100)
+    ids = [v for v, n in enumerate([1, 250, 37, 37, 3, 90, 1, 1, 74, 400, 2]) for _ in range(n)]
+    groups = [g.column("video_id").to_pylist() for g in sampling._groups(iter(pa.table({"video_id": ids}).to_batches(max_chunksize=batch)))]
+    assert sum(groups, []) == ids and all(a[-1] != b[0] for a, b in zip(groups, groups[1:], strict=False))
+    assert batch == 1000 or max(map(len, groups)) <= 100 + 400 + batch

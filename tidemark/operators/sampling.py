@@ -4,9 +4,9 @@ Refinement is a tree of halved intervals per video. An interval's rank is the su
 width, and none is halved before the interval that it came from: its rank is the least on the way down from the survey. So
 halvings are asked for in the order of rank, best first, and the order doesn't depend on what is asked for later.
 
-Every request depends on the answers to those before it. So a video's length, keyframes, frames and survey requests meet once,
-in one shuffle, and stream past in the order of video and time; a task looks up only the frames that the video's budget asks for.
-It holds one video at a time: 17 bytes for each of its frames, of which there is at most one a millisecond.
+Every request depends on the answers to those before it. So a video's length, keyframes and frames meet once, in one shuffle, and
+stream past in the order of video and time. A task takes some hundred videos at once, so that each step is
+one of arrays, and looks up what their budgets could ask for. It holds ROWS rows or one video's, of at most one frame a millisecond.
 
 A request whose frame could not be read (its score is null) fails: a survey's is no end of an interval, and a halving's two
 halves keep the score of the end that they have. Neither counts as a frame.
@@ -14,10 +14,8 @@ halves keep the score of the end that they have. Neither counts as a frame.
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +27,12 @@ from tidemark.constants import BASE_PRIORITY, Budget
 from tidemark.functions.scoring import half_up
 from tidemark.operators.lookups import as_of, snapped
 
-#: What the rows of a video are, in their order: its length, keyframes, frames, and requests without and with an answer.
-LENGTH, KEYFRAME, FRAME, ASKED, ANSWERED = range(5)
-#: Rows that a task hands on at once, about.
-ROWS = 20_000
+#: What the rows of a video are, in their order: its length, keyframes, frames, and requests with an answer.
+LENGTH, KEYFRAME, FRAME, ANSWERED = range(4)
+#: No request's time.
+NEVER = np.iinfo(np.int64).min
+#: Rows of videos that a task takes at once, about.
+ROWS = 60_000
 
 
 def cells(videos: DataFrame, budget: Budget) -> DataFrame:
@@ -57,110 +57,215 @@ def served(requests: DataFrame, frames: DataFrame) -> DataFrame:
     return as_of(requests, frames, "video_id", "ts_ms", "ts_ms", "served_ms", also=("score",))
 
 
-def best_first(duration: int, answers: Sequence[tuple], keys: Sequence[int], answer: Callable[[int], tuple], budget: Budget) -> Iterator[tuple]:
-    """The requests that follow a survey's answers (ts, score), best first: place (from 1), ts, level (from 1), priority, on_keyframe, served_ms, score.
-
-    Of equal ranks the upper level is first, then the earlier interval. An interval narrower than two gaps isn't halved. Its
-    middle is the keyframe (of keys, rising) nearest to it within a quarter of its width that no failed request of the survey
-    had, else its middle, rounded.
+def ranks(width: np.ndarray, x: np.ndarray, y: np.ndarray, gap: int) -> np.ndarray:
+    """Of intervals with scores x and y at their ends. math.log2 and not numpy's, whose last digit may differ from SQL's."""
+    wide = np.array([math.log2(w) for w in (1 + width / gap).tolist()])
+    rank = np.floor((BASE_PRIORITY + np.maximum(x, y)) * wide * 1e9 + 0.5) / 1e9
+    if not np.isfinite(rank).all():
+        raise ValueError("scores must be finite")
+    return rank
+
+
+def _keyed(video: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Complex numbers are ordered by their real, then by their imaginary part; times are below 2 ** 53."""
+    made = np.empty(len(t), complex)
+    made.real, made.imag = video, t
+    return made
+
+
+class Times:
+    """Times of many videos: those of video k are at[cuts[k]:cuts[k + 1]], rising."""
+
+    def __init__(self, at: np.ndarray, video: np.ndarray, videos: int):
+        self.at, self.cuts, self.keyed = at, np.searchsorted(video, np.arange(videos + 1)), _keyed(video, at)
+
+    def upto(self, video: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Where the video's times after t begin."""
+        return np.searchsorted(self.keyed, _keyed(video, t), "right")
+
+
+def _snap(v: np.ndarray, at: np.ndarray, own: np.ndarray, reach: np.ndarray, keys: Times, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest keyframe around each time at, within its reach and not among the video's taken ones (a row a video), else own; and whether it is another time than own."""
+    low, high = keys.cuts[v], keys.cuts[v + 1]
+    if not len(keys.at):
+        return own, np.zeros(len(v), bool)
+    near = np.minimum(keys.upto(v, np.ceil(at).astype(np.int64) - 1), high - 1)[:, None] + np.arange(-1, 2)  # behind all keyframes the last two are asked
+    key = keys.at[np.clip(near, 0, len(keys.at) - 1)]
+    far = np.abs(key - at[:, None])
+    free = (near >= low[:, None]) & (near < high[:, None]) & (far <= reach[:, None]) & ~(key[:, :, None] == taken[v][:, None, :]).any(2)
+    best = np.argmin(np.where(free, far, np.inf), 1)
+    rows = np.arange(len(v))
+    ts = np.where(free[rows, best], key[rows, best], own)
+    return ts, ts != own
+
+
+def _surveyed(duration: np.ndarray, keys: Times, budget: Budget) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`survey` of many videos at once, one cell of all of them after the other: video, ts, on_keyframe, in the order of video and time."""
+    most = np.maximum(1, np.minimum(np.maximum(1, duration // budget.min_gap_ms), min(budget.survey_frames, budget.max_frames)))
+    n = np.where(duration > 0, most, 0)
+    taken, made = np.full((len(n), int(n.max(initial=0))), NEVER), []
+    for k in range(taken.shape[1]):
+        v = np.flatnonzero(n > k)
+        wide = duration[v] / n[v]
+        at = (k + 0.5) * wide
+        ts, key = _snap(v, at, np.floor(at + 0.5).astype(np.int64), wide * 0.5, keys, taken)
+        new = ~(ts[:, None] == taken[v]).any(1)
+        taken[v, k] = ts
+        made.append((v[new], ts[new], key[new]))
+    v, ts, key = (np.concatenate(c) for c in zip(*made, strict=True)) if made else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    order = np.lexsort((ts, v))
+    return v[order], ts[order], key[order]
+
+
+def _within(flags: np.ndarray, begins: np.ndarray, video: np.ndarray) -> np.ndarray:
+    """How many flags of its video are before each row; begins: each video's first row."""
+    before = np.cumsum(flags) - flags
+    return before - before[np.minimum(begins, len(flags) - 1)][video] if len(flags) else before
+
+
+def best_first(sound: dict, duration: np.ndarray, keys: Times, failed: np.ndarray, answer: Callable, budget: Budget) -> dict:
+    """The requests that follow the surveys of many videos, best first: v, place (from 1), ts, level (from 1), q (the rank), key, served, score, lost.
+
+    sound: v, ts, score of the answers that could be read, in the order of video and time; failed: the other times, a row a video.
+    Of equal ranks the upper level is first, then the earlier interval. An interval narrower than two gaps isn't halved. It is
+    halved at the keyframe nearest to its middle within a quarter of its width that is not failed, else at its middle, rounded.
+
+    All videos go on together, in waves. A wave asks of a video as many of the first intervals that wait as it could ask if each
+    were answered (and an eighth of what it asked, as many may fail). What turns out to lie behind the last frame of the budget,
+    as halves of others come before it, is left out again; halves are never before what they come from, so nothing else is.
     """
-    gap, waiting, place = budget.min_gap_ms, [], 0
-    sound, failed = [x for x in answers if x[1] is not None], {t for t, score in answers if score is None}
-    room = budget.max_frames - len(sound)
-
-    def wait(a: int, b: int, x: float, y: float, bound: float, level: int) -> None:
-        if b - a >= 2 * gap:
-            rank = math.floor((BASE_PRIORITY + (x if x > y else y)) * math.log2(1 + (b - a) / gap) * 1e9 + 0.5) / 1e9
-            heapq.heappush(waiting, (-min(bound, rank), level, a, b, x, y))
-
-    ends = [(0, sound[0][1]), *sound, (duration, sound[-1][1])] if sound else []
-    for (a, x), (b, y) in zip(ends, ends[1:], strict=False):
-        wait(a, b, x, y, math.inf, 1)
-    while waiting and room > 0:
-        rank, level, a, b, x, y = heapq.heappop(waiting)
-        own = ts = (a + b + 1) // 2
-        if keys:
-            middle, reach = (a + b) / 2, (b - a) / 4
-            at = min(bisect_left(keys, own), len(keys) - 1)  # behind all keyframes the last two are asked
-            near = [(abs(k - middle), k) for k in keys[max(0, at - 1) : at + 2] if abs(k - middle) <= reach and k not in failed]
-            ts = min(near)[1] if near else own
-        if ts in failed:
-            continue
-        when, score = answer(ts)
-        place, room = place + 1, room - (score is not None)
-        yield place, ts, level, -rank, ts != own, when, score
-        wait(a, ts, x, x if score is None else score, -rank, level + 1)
-        wait(ts, b, y if score is None else score, y, -rank, level + 1)
-
-
-def _by_video(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Each video of a stream in the order of videos: its id with the type, and its columns as arrays."""
-    held, parts = None, []
+    gap, videos = budget.min_gap_ms, len(duration)
+    v, ts, score = sound["v"], sound["ts"], sound["score"]
+    count = np.bincount(v, minlength=videos)
+    room = budget.max_frames - count
+    nth, last = np.cumsum(count > 0)[v] - 1, np.diff(v, append=-1) != 0  # of n answers there are n + 1 intervals: from 0, between them, to the end
+    ends, starts = np.arange(len(v)) + nth, np.arange(len(v)) + nth + 1
+    a, b, of = np.zeros(len(v) + int(last.sum()), np.int64), np.zeros(len(v) + int(last.sum()), np.int64), np.zeros(len(v) + int(last.sum()), np.int64)
+    x, y = np.zeros(len(a)), np.zeros(len(a))
+    of[ends], of[starts], b[ends], a[starts], y[ends], x[starts] = v, v, ts, ts, score, score
+    b[starts[last]], y[starts[last]] = duration[v[last]], score[last]
+    first = np.diff(v, prepend=-1) != 0
+    x[ends[first]] = score[first]
+
+    def waits(v, a, b, x, y, bound, level) -> dict:
+        wide = b - a >= 2 * gap
+        v, a, b, x, y, bound, level = (c[wide] for c in (v, a, b, x, y, bound, level))
+        return {"v": v, "a": a, "b": b, "x": x, "y": y, "level": level, "q": np.minimum(bound, ranks(b - a, x, y, gap))}
+
+    waiting = waits(of, a, b, x, y, np.full(len(a), np.inf), np.ones(len(a), np.uint8))
+    none = np.zeros(0, np.int64)
+    done = {"v": none, "a": none, "level": none.astype(np.uint8), "q": np.zeros(0), "ts": none, "key": none.astype(bool), "served": none, "score": np.zeros(0), "lost": none.astype(bool)}
+    small = np.min_scalar_type(videos)
+    while True:
+        v, a, level, q = (np.concatenate([done[c], waiting[c]]) for c in ("v", "a", "level", "q"))
+        asked = np.arange(len(v)) < len(done["v"])
+        order = np.lexsort((a, level, -q, v.astype(small)))
+        v, at, asked = v[order], np.where(asked, np.arange(len(v)), np.arange(len(v)) - len(done["v"]))[order], asked[order]
+        counts = asked.copy()
+        counts[asked] = ~done["lost"][at[asked]]
+        begins = np.searchsorted(v, np.arange(videos))
+        recorded = _within(counts.astype(np.int64), begins, v)
+        alive = recorded < room[v]
+        done = {c: x[at[asked & alive]] for c, x in done.items()}
+        waits_here = alive & ~asked
+        if not waits_here.any():
+            place = _within(np.ones(len(done["v"]), np.int64), np.searchsorted(done["v"], np.arange(videos)), done["v"]) + 1
+            return done | {"place": place}
+        most = room + np.bincount(done["v"], minlength=videos) // 8
+        now = waits_here & (recorded + _within((~asked).astype(np.int64), begins, v) < most[v])
+        ask, waiting = {c: x[at[now]] for c, x in waiting.items()}, {c: x[at[waits_here & ~now]] for c, x in waiting.items()}
+        a, b = ask["a"], ask["b"]
+        ts, key = _snap(ask["v"], (a + b) / 2, (a + b + 1) // 2, (b - a) / 4, keys, failed)
+        again = (ts[:, None] == failed[ask["v"]]).any(1)
+        ask, ts, key = {c: x[~again] for c, x in ask.items()}, ts[~again], key[~again]
+        served, score, lost = answer(ask["v"], ts)
+        done = {c: np.concatenate([x, y]) for (c, x), y in zip(done.items(), (ask["v"], ask["a"], ask["level"], ask["q"], ts, key, served, score, lost), strict=True)}
+        left, right = (ask["a"], ts, ask["x"], np.where(lost, ask["x"], score)), (ts, ask["b"], np.where(lost, ask["y"], score), ask["y"])
+        halves = waits(np.tile(ask["v"], 2), *(np.concatenate(c) for c in zip(left, right, strict=True)), np.tile(ask["q"], 2), np.tile(ask["level"] + np.uint8(1), 2))
+        waiting = {c: np.concatenate([x, halves[c]]) for c, x in waiting.items()}
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A stream in the order of videos as tables of whole videos, of ROWS rows or one video's and a batch more."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        score = batch.column("score")
-        columns = [batch.column("side").to_numpy(), batch.column("ts_ms").to_numpy(), score.to_numpy(zero_copy_only=False), score.is_null().to_numpy(zero_copy_only=False), batch.column("on_keyframe").to_numpy(zero_copy_only=False)]
-        runs, begin = pc.run_end_encode(batch.column("video_id")), 0
-        for end, video in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
-            if parts and video != held[0]:
-                yield held, [np.concatenate(c) for c in zip(*parts, strict=True)]
-                parts = []
-            held = video, batch.schema.field("video_id").type
-            parts.append([c[begin:end] for c in columns])
-            begin = end
-    if parts:
-        yield held, [np.concatenate(c) for c in zip(*parts, strict=True)]
-
-
-def _requests(side: np.ndarray, ts: np.ndarray, score: np.ndarray, unread: np.ndarray, on_keyframe: np.ndarray, budget: Budget) -> Iterator[tuple]:
-    """The requests of one video, whose rows are in the order of side and time: those of the survey that have no answer yet (level 0), then `best_first`."""
-    cuts = np.searchsorted(side, np.arange(ANSWERED + 2)).tolist()
-    of = [slice(i, j) for i, j in zip(cuts, cuts[1:], strict=False)]
-    times, scores, lost = (memoryview(np.ascontiguousarray(c[of[FRAME]])) for c in (ts, score, unread))
-
-    def answer(t: int) -> tuple:
-        if not len(times):
-            return None, None
-        at = max(0, bisect_right(times, t) - 1)
-        return times[at], None if lost[at] else scores[at]
-
-    answers = [(t, None if null else x) for t, x, null in zip(ts[of[ANSWERED]].tolist(), score[of[ANSWERED]].tolist(), unread[of[ANSWERED]].tolist(), strict=True)]
-    for t, key in zip(ts[of[ASKED]].tolist(), on_keyframe[of[ASKED]].tolist(), strict=True):
-        found = answer(t)
-        answers.append((t, found[1]))
-        yield None, t, 0, None, key, *found
-    if cuts[LENGTH] < cuts[KEYFRAME]:
-        yield from best_first(int(ts[0]), answers, np.unique(ts[of[KEYFRAME]]).tolist(), answer, budget)
-
-
-def _searched(videos: DataFrame, requests: DataFrame, frames: DataFrame, budget: Budget, keyframes: DataFrame | None) -> DataFrame:
-    """What `_requests` gives for each video, with video_id; requests: video_id, side, ts_ms, score, on_keyframe."""
+        if not batch.num_rows:
+            continue
+        video = batch.column("video_id")
+        ends = pc.run_end_encode(video).run_ends
+        cut = ends[-2].as_py() if len(ends) > 1 else 0
+        if sum(x.num_rows for x in held) + cut >= ROWS and (cut or held[-1].column("video_id")[-1].as_py() != video[0].as_py()):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _requests(group: pa.Table, budget: Budget, survey: bool) -> dict:
+    """The requests of whole videos, whose rows are in the order of video, side and time: with survey its own (level 0), and `best_first`. As columns."""
+    runs = pc.run_end_encode(group.column("video_id").combine_chunks())
+    videos, video = len(runs.values), np.repeat(np.arange(len(runs.values)), np.diff(runs.run_ends.to_numpy(), prepend=0))
+    side, ts, score = (group.column(c).to_numpy() for c in ("side", "ts_ms", "score"))
+    unread = group.column("score").is_null().to_numpy()
+    of, key, frame, given = (np.flatnonzero(side == s) for s in (LENGTH, KEYFRAME, FRAME, ANSWERED))
+    times = Times(ts[frame], video[frame], videos)
+    frame = np.append(frame, -1)  # what is found of a video without frames
+
+    def answer(v: np.ndarray, t: np.ndarray) -> tuple:
+        low, high = times.cuts[v], times.cuts[v + 1]
+        at = frame[np.where(low < high, np.maximum(low, times.upto(v, t) - 1), -1)]
+        return np.where(at < 0, -1, ts[at]), score[at], (at < 0) | unread[at]
+
+    duration, known = np.zeros(videos, np.int64), np.zeros(videos, bool)
+    duration[video[of[::-1]]], known[video[of]] = ts[of[::-1]], True
+    fresh = key[np.diff(video[key], prepend=-1).astype(bool) | np.diff(ts[key], prepend=0).astype(bool)]
+    keys = Times(ts[fresh], video[fresh], videos)
+    asked, wanted, on_keyframe = _surveyed(duration if survey else np.zeros(videos, np.int64), keys, budget)
+    served, found, lost = answer(asked, wanted)
+    v, t, x, no = (np.concatenate(c) for c in ((video[given], asked), (ts[given], wanted), (score[given], found), (unread[given], lost)))
+    order = np.argsort(v, kind="stable")
+    v, t, x, no = v[order], t[order], x[order], no[order]
+    sound, bad = ~no & known[v], np.flatnonzero(no)
+    nth = _within(np.ones(len(bad), np.int64), np.searchsorted(v[bad], np.arange(videos)), v[bad])
+    failed = np.full((videos, int(nth.max(initial=-1)) + 1), NEVER)
+    failed[v[bad], nth] = t[bad]
+    made = best_first({"v": v[sound], "ts": t[sound], "score": x[sound]}, duration, keys, failed, answer, budget)
+    first = np.arange(len(asked) + len(made["v"])) < len(asked)
+    both = lambda x, y: np.concatenate([x, y])
+    blank, lost = np.zeros(len(asked)), both(lost, made["lost"])
+    of = both(asked, made["v"])
+    return {
+        "video_id": runs.values.take(pa.array(of)),
+        "place": pa.array(both(blank, made["place"]).astype(np.int32), mask=first),
+        "ts_ms": pa.array(both(wanted, made["ts"])),
+        "level": pa.array(both(blank, made["level"]).astype(np.int32)),
+        "priority": pa.array(both(blank, made["q"]), mask=first),
+        "on_keyframe": pa.array(both(on_keyframe, made["key"])),
+        "served_ms": pa.array(both(served, made["served"]), mask=times.cuts[of] == times.cuts[of + 1]),
+        "score": pa.array(both(found, made["score"]), mask=lost),
+    }
+
+
+def _searched(videos: DataFrame, answers: DataFrame | None, frames: DataFrame, budget: Budget, keyframes: DataFrame | None) -> DataFrame:
+    """What `_requests` gives for each video, with video_id; without answers (video_id, ts_ms, score) it begins with the survey."""
     kind = videos.schema["video_id"].dataType.simpleString()
 
     def rows(of: DataFrame, side: int, ts: str) -> DataFrame:
-        own = F.col("score").cast("double") if side == FRAME else F.lit(None).cast("double")
-        return of.where(F.col(ts).isNotNull()).select("video_id", F.lit(side).alias("side"), F.col(ts).cast("long").alias("ts_ms"), own.alias("score"), F.lit(False).alias("on_keyframe"))
+        own = F.col("score").cast("double") if side >= FRAME else F.lit(None).cast("double")
+        return of.where(F.col(ts).isNotNull()).select("video_id", F.lit(side).alias("side"), F.col(ts).cast("long").alias("ts_ms"), own.alias("score"))
 
-    laid = rows(videos, LENGTH, "duration_ms").unionByName(rows(frames, FRAME, "ts_ms")).unionByName(requests)
+    laid = rows(videos, LENGTH, "duration_ms").unionByName(rows(frames, FRAME, "ts_ms"))
+    if answers is not None:
+        laid = laid.unionByName(rows(answers, ANSWERED, "ts_ms"))
     if keyframes is not None:
         laid = laid.unionByName(rows(keyframes, KEYFRAME, "kf_ms"))
 
+    survey = answers is None
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.float64())
-        done: list[tuple] = []
-
-        def out(id_type: pa.DataType) -> pa.RecordBatch:
-            columns = zip(zip(*done, strict=True), (id_type, *kinds), strict=True)
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["video_id", "place", "ts_ms", "level", "priority", "on_keyframe", "served_ms", "score"])
-            done.clear()
-            return made
-
-        id_type = None
-        for (video, id_type), columns in _by_video(batches):
-            done += [(video, *row) for row in _requests(*columns, budget)]
-            if len(done) > ROWS:
-                yield out(id_type)
-        if done:
-            yield out(id_type)
+        for group in _groups(batches):
+            yield pa.RecordBatch.from_pydict(_requests(group, budget, survey))
 
     # by a hash of the video: where all inputs are dealt by video already, Spark leaves out a repartition by it, and then merges their partitions one by one
     whole = laid.repartition(F.xxhash64("video_id")).sortWithinPartitions("video_id", "side", "ts_ms")
@@ -172,16 +277,12 @@ def refine(videos: DataFrame, answers: DataFrame, frames: DataFrame, budget: Bud
 
     videos: video_id, duration_ms; frames: video_id, ts_ms, score, by which requests are answered; keyframes: video_id, kf_ms.
     """
-    given = answers.select("video_id", F.lit(ANSWERED).alias("side"), F.col("ts_ms").cast("long").alias("ts_ms"), F.col("score").cast("double").alias("score"), F.lit(False).alias("on_keyframe"))
-    return _searched(videos, given, frames, budget, keyframes)
+    return _searched(videos, answers, frames, budget, keyframes)
 
 
 def selected(videos: DataFrame, frames: DataFrame, budget: Budget, keyframes: DataFrame | None = None) -> DataFrame:
     """All requests of survey (level 0) and refinement: video_id, place (null in the survey), ts_ms, level, priority, on_keyframe, served_ms, score."""
-    asked = survey(videos, budget, keyframes)
-    key = F.lit(False) if keyframes is None else F.col("on_keyframe")
-    asked = asked.select("video_id", F.lit(ASKED).alias("side"), F.col("ts_ms").cast("long").alias("ts_ms"), F.lit(None).cast("double").alias("score"), key.alias("on_keyframe"))
-    return _searched(videos, asked, frames, budget, keyframes)
+    return _searched(videos, None, frames, budget, keyframes)
 
 
 def request_stats(requests: DataFrame) -> DataFrame:
