@@ -1,3 +1,5 @@
+import bisect
+import heapq
 import math
 import random
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import BUDGETS, POLICIES, Budget
 from tidemark.operators import lookups, sampling, temporal
+from tidemark.plans import registry
 
 MEDIUM = BUDGETS["medium"]
 
@@ -262,3 +265,44 @@ def test_videos_are_never_cut_apart(batch, monkeypatch):
     groups = [g.column("video_id").to_pylist() for g in sampling._groups(iter(pa.table({"video_id": ids}).to_batches(max_chunksize=batch)))]
     assert sum(groups, []) == ids and all(a[-1] != b[0] for a, b in zip(groups, groups[1:], strict=False))
     assert batch == 1000 or max(map(len, groups)) <= 100 + 400 + batch
+
+
+def test_selected_verdict_lays_out_no_requests(spark):
+    """Between the frames and the step of selection there are lengths and frames only: survey requests aren't rows of a shuffle."""
+    plan = registry.selected_verdict(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan
+
+
+def test_videos_that_can_hardly_be_read(spark):
+    """Where most requests fail, far more of them than the budget's frames are made, beside videos that fail never: in the order of a heap."""
+    r, budget, rows = random.Random(5), Budget(survey_frames=6, max_frames=30, min_gap_ms=250), {}
+    for v, lost in enumerate([0.97, 0.9, 0.0, 0.8]):
+        rows[v] = {t: None if r.random() < lost else round(r.random(), 2) for t in r.sample(range(100_000), 900)}
+    rows[0] |= {t: 0.5 for t in range(8_333, 100_000, 16_667)}
+    frames = spark.createDataFrame([(v, t, s) for v in rows for t, s in rows[v].items()], "video_id long, ts_ms long, score double")
+    got = sampling.selected(spark.createDataFrame([(v, 100_000) for v in rows], "video_id long, duration_ms long"), frames, budget).collect()
+    for v in rows:
+        mine = sorted((x for x in got if x.video_id == v and x.level), key=lambda x: x.place)
+        survey = sorted((x.ts_ms, x.score) for x in got if x.video_id == v and not x.level)
+        seen, failed, times = [x for x in survey if x[1] is not None], [t for t, s in survey if s is None], sorted(rows[v])
+        waiting, want, room = [], [], budget.max_frames - len(seen)
+
+        def wait(a, b, x, y, bound, level, waiting=waiting):
+            if b - a >= 500:
+                rank = math.floor((0.15 + max(x, y)) * math.log2(1 + (b - a) / 250) * 1e9 + 0.5) / 1e9
+                heapq.heappush(waiting, (-min(bound, rank), level, a, b, x, y))
+
+        ends = [(0, seen[0][1]), *seen, (100_000, seen[-1][1])] if seen else []
+        for (a, x), (b, y) in zip(ends, ends[1:], strict=False):
+            wait(a, b, x, y, math.inf, 1)
+        while waiting and room > 0:
+            q, level, a, b, x, y = heapq.heappop(waiting)
+            t = (a + b + 1) // 2
+            if t not in failed:
+                s = rows[v][times[max(0, bisect.bisect_right(times, t) - 1)]]
+                want.append((t, level, -q, s))
+                room -= s is not None
+                wait(a, t, x, x if s is None else s, -q, level + 1)
+                wait(t, b, y if s is None else s, y, -q, level + 1)
+        assert [(x.ts_ms, x.level, x.priority, x.score) for x in mine] == want
+    assert max(sum(x.video_id == v for x in got) for v in rows) > 100
