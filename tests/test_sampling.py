@@ -306,3 +306,32 @@ def test_videos_that_can_hardly_be_read(spark):
                 wait(t, b, y if s is None else s, y, -q, level + 1)
         assert [(x.ts_ms, x.level, x.priority, x.score) for x in mine] == want
     assert max(sum(x.video_id == v for x in got) for v in rows) > 100
+
+
+def test_the_search_has_the_tasks_that_shuffles_are_given(spark):
+    """It takes far longer than its few bytes let adaptive execution expect, which merged them to one task."""
+    rows = spark.range(0, 3000).select((F.col("id") % 300).alias("video_id"), (F.col("id") * 7919 % 60_000).alias("ts_ms"), (F.col("id") % 10 / 10).alias("score"))
+    made = sampling.selected(spark.range(300).select(F.col("id").alias("video_id"), F.lit(60_000).alias("duration_ms")), rows, MEDIUM)
+    tasks = made.select("video_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == 300 and {r.task for r in tasks} == {0, 1, 2, 3}
+
+
+def test_of_frames_delivered_again_the_first_counts(spark):
+    r = random.Random(3)
+    rows = [(v, t, None if r.random() < 0.2 else round(r.random(), 3), n) for v in range(5) for n, t in enumerate(r.choices(range(0, 60_000, 500), k=300))]
+    r.shuffle(rows)
+    table = spark.createDataFrame(rows, "video_id long, ts_ms long, score double, arrival long")
+    first = {(v, t): s for v, t, s, _ in sorted(rows, key=lambda x: -x[3])}
+    once = spark.createDataFrame([(v, t, s) for (v, t), s in first.items()], "video_id long, ts_ms long, score double")
+    of = spark.createDataFrame([(v, 60_000) for v in range(5)], "video_id long, duration_ms long")
+    keys = table.where("arrival % 9 = 0").select("video_id", F.col("ts_ms").alias("kf_ms"))
+    of_all, of_one = (sorted(map(tuple, sampling.selected(of, x, MEDIUM, keys, **how).collect()), key=str) for x, how in ((table, {"arrival": "arrival"}), (once, {})))
+    assert of_all == of_one and len(of_all) > 300
+
+
+@pytest.mark.parametrize("name", ["refine_plan", "snapped_refinement", "scan_stats", "selected_verdict"])
+def test_deliveries_are_dealt_and_put_in_order_once(spark, name):
+    """On their way to the search they meet lengths and keyframes, and the first of a time is found there."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("MapInArrow") :]
+    assert before.count("REPARTITION_BY_") == 1 and before.count(" Sort [") == 1

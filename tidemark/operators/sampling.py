@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import BASE_PRIORITY, Budget
@@ -247,13 +247,15 @@ def _requests(group: pa.Table, budget: Budget, survey: bool) -> dict:
     }
 
 
-def _searched(videos: DataFrame, answers: DataFrame | None, frames: DataFrame, budget: Budget, keyframes: DataFrame | None) -> DataFrame:
+def _searched(videos: DataFrame, answers: DataFrame | None, frames: DataFrame, budget: Budget, keyframes: DataFrame | None, arrival: str | None = None) -> DataFrame:
     """What `_requests` gives for each video, with video_id; without answers (video_id, ts_ms, score) it begins with the survey."""
     kind = videos.schema["video_id"].dataType.simpleString()
+    rising = ["video_id", "side", "ts_ms"]
 
     def rows(of: DataFrame, side: int, ts: str) -> DataFrame:
         own = F.col("score").cast("double") if side >= FRAME else F.lit(None).cast("double")
-        return of.where(F.col(ts).isNotNull()).select("video_id", F.lit(side).alias("side"), F.col(ts).cast("long").alias("ts_ms"), own.alias("score"))
+        nth = [F.col(arrival).alias("nth") if side == FRAME else F.lit(None).cast(frames.schema[arrival].dataType).alias("nth")] if arrival else []
+        return of.where(F.col(ts).isNotNull()).select("video_id", F.lit(side).alias("side"), F.col(ts).cast("long").alias("ts_ms"), own.alias("score"), *nth)
 
     laid = rows(videos, LENGTH, "duration_ms").unionByName(rows(frames, FRAME, "ts_ms"))
     if answers is not None:
@@ -267,8 +269,13 @@ def _searched(videos: DataFrame, answers: DataFrame | None, frames: DataFrame, b
         for group in _groups(batches):
             yield pa.RecordBatch.from_pydict(_requests(group, budget, survey))
 
-    # by a hash of the video: where all inputs are dealt by video already, Spark leaves out a repartition by it, and then merges their partitions one by one
-    whole = laid.repartition(F.xxhash64("video_id")).sortWithinPartitions("video_id", "side", "ts_ms")
+    # by a hash of the video: where all inputs are dealt by video already, Spark leaves out a repartition by it, and then merges their partitions one by one;
+    # with a number: a search takes far longer than its few bytes let adaptive execution expect, which else merges what it deals to one or two tasks
+    dealt = laid.withColumn("deal", F.xxhash64("video_id")).repartition(int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "deal")
+    if arrival:
+        first = F.row_number().over(Window.partitionBy("deal", *rising).orderBy("nth"))
+        dealt = dealt.withColumn("_n", first).where("_n = 1")
+    whole = dealt.sortWithinPartitions("deal", *rising).select(*rising, "score")
     return whole.mapInArrow(task, f"video_id {kind}, place int, ts_ms long, level int, priority double, on_keyframe boolean, served_ms long, score double")
 
 
@@ -280,9 +287,12 @@ def refine(videos: DataFrame, answers: DataFrame, frames: DataFrame, budget: Bud
     return _searched(videos, answers, frames, budget, keyframes)
 
 
-def selected(videos: DataFrame, frames: DataFrame, budget: Budget, keyframes: DataFrame | None = None) -> DataFrame:
-    """All requests of survey (level 0) and refinement: video_id, place (null in the survey), ts_ms, level, priority, on_keyframe, served_ms, score."""
-    return _searched(videos, None, frames, budget, keyframes)
+def selected(videos: DataFrame, frames: DataFrame, budget: Budget, keyframes: DataFrame | None = None, arrival: str | None = None) -> DataFrame:
+    """All requests of survey (level 0) and refinement: video_id, place (null in the survey), ts_ms, level, priority, on_keyframe, served_ms, score.
+
+    arrival: a column of frames that were delivered more than once; of those of one time the first counts.
+    """
+    return _searched(videos, None, frames, budget, keyframes, arrival)
 
 
 def request_stats(requests: DataFrame) -> DataFrame:

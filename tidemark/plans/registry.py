@@ -346,7 +346,7 @@ def random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.selected(_videos(spark, sf_dir), sources.frames(spark, sf_dir).select("video_id", "ts_ms", "score"), BUDGETS["medium"])
+    return sampling.selected(_videos(spark, sf_dir), sources.deliveries(spark, sf_dir), BUDGETS["medium"], arrival="arrival")
 
 
 def refine_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,8 +362,8 @@ def snapped_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapped_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All requests of every video, on keyframes (signups) where one is near; frames of error events can't be read."""
-    rows = sources.frames(spark, sf_dir).select("video_id", "ts_ms", F.when(F.col("kind") != "error", F.col("score")).alias("score"))
-    made = sampling.selected(_videos(spark, sf_dir), rows, BUDGETS["medium"], sources.keyframes(spark, sf_dir))
+    rows = sources.deliveries(spark, sf_dir).withColumn("score", F.when(F.col("kind") != "error", F.col("score")))
+    made = sampling.selected(_videos(spark, sf_dir), rows, BUDGETS["medium"], sources.keyframes(spark, sf_dir), arrival="arrival")
     return made.withColumns({"priority": six("priority"), "score": six("score"), "level": F.col("level").cast("long"), "place": F.col("place").cast("long")})
 
 
