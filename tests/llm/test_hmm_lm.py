@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tidemark.llm import hmm, hmm_lm
 from tidemark.llm.words import Words, chunks
 from tests.llm.helpers import AWKWARD, documents, words
@@ -186,3 +187,59 @@ def test_the_sample_follows_the_texts_only(spark):
     copies = spark.createDataFrame([(texts[-1],)] * 100, "seq binary")
     assert hmm_lm.stretches(copies, 1, 500) == [texts[-1]]
     assert hmm_lm.stretches(table.where("false")) == []
+
+
+def test_texts_are_split_into_words_twice_only(spark):
+    """To count words of the training texts, and to write all texts as classes; scoring reads these."""
+    texts, read = two_tongues(100), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = hmm_lm.score(documents(spark, texts).withColumn("text", seen("text")), states=2).collect()
+    assert len(rows) == 100 and read.value == 100 + sum(not r.held_out for r in rows)
+
+
+@pytest.mark.parametrize(("stretch", "flush"), [(7, 500_000), (1, 500_000), (1 << 16, 200)])
+def test_sequences_go_together_over_the_borders_of_stretches(monkeypatch, stretch, flush):
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    monkeypatch.setattr(hmm, "FLUSH", flush)
+    rng = np.random.default_rng(5)
+    lines = [rng.integers(0, 5, n) for n in (150, 1, 64, 65, 7, 14, 33, 128, 2, 150)]
+    starts, model, want, got = np.append(0, np.cumsum([len(x) for x in lines])[:-1]), tiny(), hmm.Counts.zero(3, 5), hmm.Counts.zero(3, 5)
+    for line in lines:
+        own = by_all_pairs(model, line)
+        want = hmm.Counts(want.start + own.start, want.move + own.move, want.emit + own.emit)
+    hmm.baum_welch(model, np.concatenate(lines), starts, got)
+    for a, b in ((got.start, want.start), (got.move, want.move), (got.emit, want.emit)):
+        assert a == pytest.approx(b, rel=1e-4)
+    alone = [hmm.log10_likelihood(model, x, np.array([0]))[0] for x in lines]
+    assert hmm.log10_likelihood(model, np.concatenate(lines), starts) == pytest.approx(alone, rel=1e-5)
+
+
+def test_forward_variables_of_what_fits_are_computed_once(monkeypatch):
+    steps, call = [], hmm._Forward.__call__
+    monkeypatch.setattr(hmm._Forward, "__call__", lambda self, first, end, before: steps.append(end - first) or call(self, first, end, before))
+    hmm.baum_welch(tiny(), np.zeros(2130, dtype=np.int32), np.array([0, 1000, 2000]), hmm.Counts.zero(3, 5))
+    assert steps == [1000]
+
+
+def test_state_weights_of_a_long_text_add_up():
+    counts = hmm.Counts.zero(3, 5)
+    hmm.baum_welch(tiny(), np.random.default_rng(6).integers(0, 5, 600_000), np.array([0]), counts)
+    assert counts.emit.sum() == pytest.approx(600_000, rel=1e-6) and counts.move.sum() == pytest.approx(599_999, rel=1e-6)
+
+
+def test_counting_hands_words_on(monkeypatch):
+    batches = [pa.RecordBatch.from_arrays([pa.array([b"a B b c" * 2, b"", f"w{k} a".encode()], pa.binary())], ["raw"]) for k in range(50)]
+    for held, size in ((10**6, 1 << 26), (12, 1 << 26), (1, 1 << 26), (10**6, 40)):
+        monkeypatch.setattr(hmm_lm, "HELD", held)
+        monkeypatch.setattr(hmm_lm, "HELD_BYTES", size)
+        got = Counter()
+        for made in hmm_lm._count(iter(batches)):
+            for word, n in zip(made.column(0).to_pylist(), made.column(1).to_pylist(), strict=True):
+                got[word] += n
+        assert got == {b"a": 100, b"b": 200, b"c": 50, b"ca": 50} | {f"w{k}".encode(): 1 for k in range(50)}
+    assert list(hmm_lm._count(iter([]))) == []

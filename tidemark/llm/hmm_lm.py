@@ -7,10 +7,11 @@ hashed classes, whose number grows with the square root of the vocabulary; the e
     P(text) = sum over state paths of prod move * emit(class) * (c + 0.1) / Z(class),
     Z(class) = sum over its training words of (c + 0.1), plus, in a hashed class, 0.1 for all words that were never seen
 
-so the model is a proper distribution over texts whatever the size of the vocabulary. Training: texts are written once as
-classes. Stretches of some texts, SEED_TOKENS tokens in all, only say where to begin: the states of a first model are clusters
-of them. All counts of the final model come from all training texts, by Baum-Welch passes over whole texts. The counts of a pass are
-summed up per partition, and those of the partitions by Spark. Scoring runs the scaled forward recursion over every whole text.
+so the model is a proper distribution over texts whatever the size of the vocabulary. Texts are split into words twice: to
+count these, and to write every text once as classes, which training and scoring read. Training: stretches of some texts,
+SEED_TOKENS tokens in all, only say where to begin: the states of a first model are clusters of them. All counts of the final
+model come from all training texts, by Baum-Welch passes over whole texts. The counts of a pass are summed up per partition, and
+those of the partitions by Spark. Scoring runs the scaled forward recursion over every whole text.
 
 Word counts may be a table of any size. Words that make up more than one part in HEAD of all tokens, which are fewer
 than HEAD, are broadcast; the words of the tail are joined with the table of counts, where no word can be hot. Words are
@@ -43,8 +44,9 @@ SEED_TOKENS, SEED_TEXT = 400_000, 2_000
 HEAD, OWN = 1_000_000, 1 << 16
 #: Hashed classes per square root of the number of words, and at least.
 TAIL, LEAST_TAIL = 32, 1024
-#: Distinct words that a counting task holds, and tokens that Baum-Welch takes at once, at least.
-HELD, TOKENS = 300_000, 4_000_000
+#: Words and their bytes that a counting task holds before it adds up those that are equal, and hands them on if they are
+#: still more than half; and tokens that Baum-Welch takes at once, at least.
+HELD, HELD_BYTES, TOKENS = 1_000_000, 1 << 26, 4_000_000
 ADD = 0.1
 
 
@@ -54,22 +56,20 @@ def remainder(id_col: Column, parts: int) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[bytes, int] = {}
-
-    def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "n"])
-        held.clear()
-        return made
-
+    held, rows, size = [], 0, 0
     for batch in batches:
         for piece in chunks(batch.column(0)):
             words = Words(piece)
-            for word, n in zip(words.distinct, np.bincount(words.codes, minlength=len(words.distinct)).tolist(), strict=True):
-                held[word] = held.get(word, 0) + n
-            if len(held) > HELD:
-                yield out()
-    if held:
-        yield out()
+            held.append(pa.table([words.kinds, np.bincount(words.codes, minlength=len(words.kinds))], ["token", "n"]))
+            rows, size = rows + held[-1].num_rows, size + held[-1].nbytes
+            if rows > HELD or size > HELD_BYTES:
+                summed = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
+                held, rows, size = [summed], summed.num_rows, summed.nbytes
+                if 2 * rows > HELD or 2 * size > HELD_BYTES:
+                    yield from summed.to_batches()
+                    held, rows, size = [], 0, 0
+    for table in held:
+        yield from table.to_batches()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -107,19 +107,54 @@ def with_ends(words: Words, classes: np.ndarray, end: int) -> tuple[np.ndarray,
     return out, words.per_text + 1
 
 
-def as_classes(texts: DataFrame, shared) -> DataFrame:
-    """texts (raw) -> seq: the classes of every text, little-endian, with the end."""
+def as_classes(rows: DataFrame, vocabulary, logs) -> DataFrame:
+    """rows (id, held_out, raw) -> id, held_out, and of every text:
+
+    row, its number; n_tokens, with the end; seq, its classes, little-endian, with the end's; known and logs, how many of
+    its words are in the head, and the sum of their logs; spent, the sum of its classes' logs; tail, its words beyond the head.
+    vocabulary and logs are broadcast: what Vocabulary takes, and logs of the head's words and of the classes.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(*shared.value)
+        known_words, (log_at, log_mass) = Vocabulary(*vocabulary.value), logs.value
+        log_at = np.append(log_at, 0.0)  # a word beyond the head, whose place is -1
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for piece in chunks(batch.column(0)):
-                words = Words(piece)
-                classes, lengths = with_ends(words, vocabulary.look_up(words.distinct)[1], vocabulary.end)
+            first = 0
+            for piece in chunks(batch.column(2)):
+                found = Words(piece)
+                n = len(found.per_text)
+                places, kinds = known_words.look_up(found.distinct)
+                text, at = np.repeat(np.arange(n), found.per_text), places[found.codes]
+                classes, lengths = with_ends(found, kinds, known_words.end)
                 ends = np.append(0, np.cumsum(4 * lengths)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(classes.astype("<i4"))])], ["seq"])
+                seq = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(classes.astype("<i4"))])
+                spent = np.bincount(np.repeat(np.arange(n), lengths), log_mass[classes], minlength=n)
+                rare, per_text = found.picked(at < 0)
+                tail = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)), pa.int32()), rare)
+                columns = [np.arange(number, number + n), lengths, np.bincount(text[at >= 0], minlength=n), np.bincount(text, log_at[at], minlength=n), spent]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), *map(pa.array, columns), seq, tail],
+                    ["id", "held_out", "row", "n_tokens", "known", "logs", "spent", "seq", "tail"],
+                )
+                first, number = first + n, number + n
 
-    return texts.select("raw").mapInArrow(task, "seq binary")
+    made = "row long, n_tokens long, known long, logs double, spent double, seq binary, tail array<binary>"
+    return rows.select("id", "held_out", "raw").mapInArrow(task, f"id {kind}, held_out boolean, {made}")
+
+
+def with_paths(made: DataFrame, model) -> DataFrame:
+    """What as_classes made, with paths, log10 of the chance of a text's classes under a broadcast model less `spent`, for spent, seq and tail."""
+    kept = ["id", "held_out", "row", "n_tokens", "known", "logs"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chances = hmm.log10_likelihood(model.value, *_together(batch.column("seq").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(chances - batch.column("spent").to_numpy())], [*kept, "paths"])
+
+    kind = made.schema["id"].dataType.simpleString()
+    return made.select(*kept, "spent", "seq").mapInArrow(task, f"id {kind}, held_out boolean, row long, n_tokens long, known long, logs double, paths double")
 
 
 def _together(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +226,7 @@ def train(seqs: DataFrame, shares: np.ndarray, states: int = STATES, passes: int
 
 def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: int = 10, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score per row; trained where the id's remainder is not 0."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), (remainder(F.col(id_col), parts) == 0).alias("held_out"), utf8(F.col(text_col)).alias("raw"))
     texts = rows.where(~F.col("held_out"))
     ends = texts.count()
@@ -209,47 +243,14 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts
     mass[own + by_class["k"].to_numpy(dtype=np.int64)] += by_class["c"].to_numpy() + ADD * by_class["v"].to_numpy()
     mass[-1] += ends
     shares = mass / mass.sum()
-    vocabulary = spark.sparkContext.broadcast((words, own, tail))
-    seqs = cut(as_classes(texts, vocabulary))
-    model = train(seqs, shares, states, passes)
     log_mass = np.log10(mass)
     log_mass[-1] = 0.0
     floor = np.log10(total + ADD * (distinct + 1))
     end_term = float(np.log10(ends + ADD))
-    shared = spark.sparkContext.broadcast((model, log_mass, np.append(np.log10(often + ADD), 0.0)))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model, log_mass, log_at), known_words = shared.value, Vocabulary(*vocabulary.value)
-        number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            tokens, lengths, known, logs, spent, tails = [], [], [], [], [], []
-            for piece in chunks(batch.column(2)):
-                found = Words(piece)
-                n = len(found.per_text)
-                places, classes = known_words.look_up(found.distinct)
-                text, at = np.repeat(np.arange(n), found.per_text), places[found.codes]
-                own, length = with_ends(found, classes, known_words.end)
-                tokens.append(own)
-                lengths.append(length)
-                logs.append(np.bincount(text, log_at[at], minlength=n))
-                known.append(np.bincount(text[at >= 0], minlength=n))
-                spent.append(np.bincount(np.repeat(np.arange(n), length), log_mass[own], minlength=n))
-                rare, per_text = found.picked(at < 0)
-                tails.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)), pa.int32()), rare))
-            if not tokens:
-                continue
-            lengths = np.concatenate(lengths)
-            paths = hmm.log10_likelihood(model, np.concatenate(tokens), np.append(0, np.cumsum(lengths)[:-1]))
-            rows = np.arange(number, number + len(lengths))
-            number += len(lengths)
-            columns = [rows, lengths, np.concatenate(known) + min(ends, 1), np.concatenate(logs), paths - np.concatenate(spent)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *map(pa.array, columns), pa.concat_arrays(tails)],
-                ["id", "held_out", "row", "n_tokens", "known", "logs", "paths", "tail"],
-            )
-
-    scored = cut(rows.mapInArrow(task, f"id {kind}, held_out boolean, row long, n_tokens long, known long, logs double, paths double, tail array<binary>"))
-    words = scored.select("row", F.explode("tail").alias("token"))
+    made = cut(as_classes(rows, sc.broadcast((words, own, tail)), sc.broadcast((np.log10(often + ADD), log_mass))))
+    model = train(made.where(~F.col("held_out")).select("seq"), shares, states, passes)
+    scored = with_paths(made, sc.broadcast(model))
+    words = made.select("row", F.explode("tail").alias("token"))
     rare = counts.where(F.col("c") * HEAD <= total).select("token", "c")
     tails = (
         words.join(rare, "token", "left")
@@ -257,11 +258,11 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts
         .agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("tail_logs"), F.count("c").alias("tail_known"))
     )
     logs = F.col("logs") + F.coalesce("tail_logs", F.lit(0.0))
-    return scored.drop("tail").join(tails, "row", "left").select(
+    return scored.join(tails, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(min(ends, 1))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (logs + F.lit(end_term) - F.col("n_tokens") * F.lit(float(floor))).alias("base_score"),
         (logs + F.col("paths")).alias("score"),

@@ -7,6 +7,7 @@ dictionary encoding), so two words are never taken for one another.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ CHUNK = 1 << 20
 
 
 class Words:
-    """Of some texts: where words begin and end in them, words per text, the code of every word, and the distinct words by code."""
+    """Of some texts: where words begin and end in them, words per text, the code of every word, and the distinct words by code (kinds in Arrow)."""
 
     def __init__(self, column: pa.Array):
         bounds = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
@@ -39,7 +40,15 @@ class Words:
         offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
         self.tokens = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(LOWERED[raw[black]])])
         encoded = self.tokens.dictionary_encode()
-        self.codes, self.distinct = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
+        self.codes, self.kinds = encoded.indices.to_numpy(), encoded.dictionary
+
+    @cached_property
+    def distinct(self) -> list[bytes]:
+        """Cut out of one buffer: Arrow would make a scalar object of each."""
+        data = self.kinds.buffers()[2]
+        bounds = np.frombuffer(self.kinds.buffers()[1], dtype=np.int32, count=len(self.kinds) + 1).tolist() if len(self.kinds) else []
+        raw = data.to_pybytes() if data is not None else b""
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def picked(self, mask: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """The words under the mask as a binary array, and how many each text has."""
